@@ -3,7 +3,9 @@
 Each language has a raw-content zstandard dictionary made from sample texts. A text is cut into blocks, each
 block is compressed with every language's dictionary, and the language with the smallest total wins: its
 dictionary holds most of the strings the text is made of. Blocks keep the dictionary useful for long texts,
-which would otherwise soon be explained by their own beginning; the whole text counts.
+which would otherwise soon be explained by their own beginning; the whole text counts. Case is ignored. The
+compressor takes matches of four bytes and leaves literals as they are, so a size tells what the dictionary
+could explain.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BLOCK_BYTES = 4096
-DICTIONARY_BYTES = 48 * 1024
+DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 600
-LEVEL = 1
 MIN_MARGIN = 0.002
+SCALE = 16
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -41,7 +43,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             own = own.filter(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))
         middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
         sample = own.orderBy(key, "text").limit(SAMPLE_ROWS).select(F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("t")).collect()
-        data = "\n".join(r["t"] for r in sample).encode()
+        data = "\n".join(r["t"] for r in sample).lower().encode()
         out[lang] = data[:DICTIONARY_BYTES]
     return out
 
@@ -57,22 +59,23 @@ class Classifier:
         import zstandard
 
         self.langs = sorted(dictionaries)
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, min_match=4, target_length=8, window_log=18, hash_log=17, chain_log=17, search_log=1, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.pack = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.pack.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            d.precompute_compress(compression_params=how)
+            self.pack.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
     def __call__(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin). The score is a two-way softmax of the bits per byte that the winner saves."""
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         sizes = sorted((sum(len(pack(b)) for b in blocks), i) for i, pack in enumerate(self.pack))
         best, i = sizes[0]
         if len(sizes) == 1:
             return self.langs[i], 1.0, 1.0
         margin = (sizes[1][0] - best) / max(1, sizes[1][0])
-        return self.langs[i], 1 / (1 + math.exp(-40 * margin)), margin
+        return self.langs[i], 1 / (1 + math.exp(-SCALE * margin)), margin
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, min_margin: float = MIN_MARGIN) -> DataFrame:
