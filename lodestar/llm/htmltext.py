@@ -20,7 +20,9 @@ FEATURES = ["words", "links", "words_before", "links_before", "words_after", "li
 
 #: Fixed values, labelled by hand: FEATURES of a block, then 1 if it is part of the main text.
 LABELLED = [
-    (8, 0, 0, 0, 40, 0, 1, 0, 0, 1), (40, 0, 8, 0, 35, 0, 1, 0, 0, 1), (1, 0, 40, 0, 30, 0, 1, 0, 0, 1), (2, 0, 1, 0, 1, 0, 1, 0, 0, 1),
+    (4, 0, 30, 0, 30, 0, 1, 0, 0, 1), (5, 0, 15, 0, 45, 0, 1, 0, 0, 1), (3, 0, 60, 0, 25, 0, 1, 0, 0, 1), (2, 0, 5, 0, 18, 0, 1, 0, 0, 1), (22, 0, 25, 0, 28, 0, 1, 0, 0, 1), (4, 0, 9, 0, 3, 0, 1, 0, 0, 1),
+    (3, 0, 2, 0, 3, 0, 1, 0, 0, 1), (6, 0, 4, 0, 0, 0, 1, 0, 0, 1), (5, 0, 0, 0, 2, 1, 1, 0, 0, 1), (4, 0, 3, 0, 2, 0, 1, 0, 0, 1), (5, 0, 4, 0, 50, 0, 1, 0, 0, 1), (40, 0.6, 3, 1, 5, 1, 1, 0, 0, 1),
+    (4, 0, 2, 0, 40, 0, 1, 0, 0, 1), (2, 0, 1, 1, 2, 0.9, 1, 0, 0, 1), (3, 1, 2, 1, 2, 1, 1, 0, 0, 1), (3, 1, 60, 0, 70, 0, 1, 0, 0, 1), (8, 0, 0, 0, 40, 0, 1, 0, 0, 1), (40, 0, 8, 0, 35, 0, 1, 0, 0, 1), (1, 0, 40, 0, 30, 0, 1, 0, 0, 1), (2, 0, 1, 0, 1, 0, 1, 0, 0, 1),
     (120, 0, 60, 0, 12, 0, 1, 0, 0, 1), (35, 0.1, 20, 0, 12, 0, 1, 0, 0, 1), (3, 0, 90, 0, 8, 0.1, 1, 0, 0, 1), (10, 0.9, 50, 0, 60, 0, 1, 0, 0, 1),
     (5, 1, 30, 0, 20, 0, 1, 0, 0, 1), (60, 0.3, 4, 0, 4, 0, 1, 0, 0, 1), (15, 0, 6, 1, 80, 0, 1, 0, 0, 1), (6, 0, 10, 0, 0, 0, 1, 0, 0, 1),
     (1, 1, 1, 1, 1, 1, 0, 1, 0, 0), (1, 1, 0, 0, 1, 1, 0, 1, 0, 0), (2, 1, 1, 1, 9, 0, 0, 1, 0, 0), (14, 0, 60, 0, 0, 0, 0, 1, 0, 0),
