@@ -209,7 +209,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
         pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
             texts = materialize(texts, "texts")
         found = materialize(_verify(pairs, texts), "links")
         links = found if links is None else links.union(found)
