@@ -22,7 +22,8 @@ BLOCK_BYTES = 4096
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 600
-MIN_MARGIN = 0.002
+MIN_MARGIN, CLOSE = 0.002, 0.05
+PAD = b"\n" * 12  # the compressor looks for no match in a block's last bytes
 SCALE = 16
 
 
@@ -53,28 +54,38 @@ def has_letter(text: str) -> Column:
 
 
 class Classifier:
-    """Compressors for one worker."""
+    """Compressors for one worker: quick ones for every text, and ones that search longer for texts that those leave close."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
         self.langs = sorted(dictionaries)
-        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, min_match=4, target_length=8, window_log=18, hash_log=17, chain_log=17, search_log=1, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.pack = []
-        for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            self.pack.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
+        shared = {"min_match": 4, "window_log": 18, "hash_log": 17, "chain_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        quick = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=8, search_log=1, **shared)
+        long = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, target_length=32, search_log=8, **shared)
+
+        def compressors(how) -> list:
+            out = []
+            for lang in self.langs:
+                d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=how)
+                out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
+            return out
+
+        self.quick, self.long = compressors(quick), compressors(long)
+
+    def _best(self, blocks: list[bytes], compressors: list) -> tuple[int, float]:
+        """(the language's place, by what share of the second smallest size it is smaller)"""
+        sizes = sorted((sum(len(compress(b)) for b in blocks), i) for i, compress in enumerate(compressors))
+        return sizes[0][1], (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0]) if len(sizes) > 1 else 1.0
 
     def __call__(self, text: str) -> tuple[str, float, float]:
-        """(language, score, margin). The score is a two-way softmax of the bits per byte that the winner saves."""
+        """(language, score, margin). The score is a two-way softmax of the margin."""
         data = text.lower().encode("utf-8", "replace")
-        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        sizes = sorted((sum(len(pack(b)) for b in blocks), i) for i, pack in enumerate(self.pack))
-        best, i = sizes[0]
-        if len(sizes) == 1:
-            return self.langs[i], 1.0, 1.0
-        margin = (sizes[1][0] - best) / max(1, sizes[1][0])
+        blocks = [data[i : i + BLOCK_BYTES] + PAD for i in range(0, len(data), BLOCK_BYTES)]
+        i, margin = self._best(blocks, self.quick)
+        if margin < CLOSE:
+            i, margin = self._best(blocks, self.long)
         return self.langs[i], 1 / (1 + math.exp(-SCALE * margin)), margin
 
 
