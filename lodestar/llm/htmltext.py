@@ -31,6 +31,7 @@ LABELLED = [
     (9, 0, 1, 1, 10, 0, 0, 0, 1, 0), (30, 0, 1, 1, 40, 0, 0, 0, 1, 0), (50, 0, 60, 0, 30, 0, 0, 0, 1, 0), (12, 0, 60, 0, 60, 0, 1, 0, 1, 0),
     (60, 0, 60, 0, 40, 0, 1, 0, 1, 0), (3, 0, 5, 0, 40, 0, 1, 0, 1, 0), (4, 1, 8, 0, 8, 0, 0, 0, 1, 0), (20, 0.5, 20, 0, 20, 0, 0, 1, 1, 0),
     (4, 0, 1, 1, 40, 0, 0, 0, 0, 1), (5, 0, 1, 0, 45, 0, 0, 0, 0, 1), (7, 0, 0, 0, 50, 0, 0, 0, 0, 1), (3, 0, 2, 1, 60, 0, 0, 0, 0, 1), (5, 0, 3, 1, 38, 0, 0, 0, 0, 1),
+    (1, 0, 40, 0, 40, 0, 0, 0, 0, 1), (2, 0, 40, 0, 35, 0, 0, 0, 0, 1), (1, 0, 60, 0, 50, 0, 0, 0, 0, 1), (3, 0, 25, 0, 45, 0, 0, 0, 0, 1),
     (40, 0, 4, 0, 2, 0, 0, 0, 0, 1), (60, 0, 30, 0, 3, 0, 0, 0, 0, 1), (25, 0, 40, 0, 1, 0, 0, 0, 0, 1), (90, 0, 2, 0, 0, 0, 0, 0, 0, 1), (30, 0, 2, 0, 3, 0, 0, 0, 0, 1),
     (40, 0, 5, 0, 30, 0, 0, 0, 0, 1), (60, 0.05, 40, 0, 50, 0, 0, 0, 0, 1), (25, 0.1, 3, 1, 60, 0, 0, 0, 0, 1), (18, 0, 40, 0, 20, 0, 0, 0, 0, 1),
     (5, 0, 50, 0, 45, 0, 0, 0, 0, 1), (4, 0, 35, 0, 60, 0, 0, 0, 0, 1), (7, 0, 2, 1, 50, 0, 0, 0, 0, 1), (30, 0.2, 30, 0, 4, 0, 0, 0, 0, 1),
