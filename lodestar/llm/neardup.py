@@ -9,8 +9,14 @@ are compared on their full shingles.
 
 Texts with equal words are one node from the start. The texts of a key don't become all pairs: few of them
 (``SMALL``) do, and in a larger group each is compared with its centre, the text that shares keys with most
-others; those not like the centre form the group's next round, with a centre of their own. Links become classes
-by spreading the smallest id.
+others. Those not like the centre go on, in rounds with four times as many centres each, until none is left.
+Links become classes by spreading the smallest id.
+
+What is left are two texts of which only one is like their centre. Both similarities are one minus a metric, so
+two texts are alike only if their similarities to the centre differ by at most ``1 - SIMILARITY``: those of different
+classes for which this holds are compared too (``_border``). After the first round, pairs whose sketches agree on
+less than ``AGREE`` of the registers aren't compared; at a similarity of 0.8 that is more than nine standard
+deviations below the mean.
 """
 
 from __future__ import annotations
@@ -21,14 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
-SMALL, ROUNDS = 8, 3
+SMALL, GROWTH, AGREE = 8, 4, 0.43
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -71,14 +77,14 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(s, return_counts=True)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the Jaccard similarity of the shingle sets and the probability Jaccard of the weighted shingles."""
+def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """The Jaccard similarity of the shingle sets and the probability Jaccard of the weighted shingles."""
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(common):
-        return 0.0
+        return 0.0, 0.0
     plain = len(common) / (len(a[0]) + len(b[0]) - len(common))
-    if plain >= SIMILARITY or (a[1].max() == 1 and b[1].max() == 1):
-        return plain
+    if a[1].max() == 1 and b[1].max() == 1:
+        return plain, plain
     # with r = x / y over the common shingles, shingle i adds 1 / sum_j max(x_j / x_i, y_j / y_i)
     x, y = a[1][i].astype(float), b[1][j].astype(float)
     by_ratio = np.argsort(x / y, kind="stable")
@@ -86,8 +92,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     y_up_to = np.cumsum(y)
     x_after = x.sum() - np.cumsum(x)
     only_a, only_b = a[1].sum() - x.sum(), b[1].sum() - y.sum()
-    weighted = float(np.sum(1 / ((x_after + only_a) / x + (y_up_to + only_b) / y)))
-    return max(plain, weighted)
+    return plain, float(np.sum(1 / ((x_after + only_a) / x + (y_up_to + only_b) / y)))
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of the two similarities."""
+    return max(similarities(a, b))
 
 
 def sketch(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
@@ -123,7 +133,7 @@ def _band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, ``content`` (a digest of the words; null if there is none) and ``keys``, a key per band."""
+    """id, ``content`` (a digest of the words; null if there is none), ``keys``, a key per band, and ``sketch``, a byte per register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -133,15 +143,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 batch = whole.slice(lo, 256)
                 words = [word_hashes(t) for t in batch.column(1).to_pylist()]
                 content = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
-                keys = _band_keys(sketch([shingles(w) for w in words], bands * rows), rows)
+                registers = sketch([shingles(w) for w in words], bands * rows)
+                keys = _band_keys(registers, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists], names=["id", "content", "keys"])
+                short = [r.tobytes() for r in _mix(registers).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists, pa.array(short, pa.binary())], names=["id", "content", "keys", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>, sketch binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>")
 
+def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree often enough to be compared in full."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                left, right = (np.frombuffer(b"".join(batch[side]), np.uint8).reshape(len(batch), -1) for side in ("sa", "sb"))
+                yield batch.loc[(left == right).mean(1) >= AGREE, ["a", "b"]]
+
+    left, right = (sketches.select(F.col("id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "sa"), ("b", "sb")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike enough."""
+
+def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both similarities of their full texts."""
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,11 +180,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return kept[i]
 
         for batch in batches:
-            like = [similarity(of(a, ta), of(b, tb)) >= SIMILARITY for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
-            yield batch.loc[like, ["a", "b"]]
+            both = [similarities(of(a, ta), of(b, tb)) for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
+            plain, weighted = np.array(both, float).reshape(-1, 2).T
+            yield batch[["a", "b"]].assign(plain=plain, weighted=weighted)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return joined.mapInPandas(run, "a long, b long")
+    return joined.mapInPandas(run, "a long, b long, plain double, weighted double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,7 +203,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(members: DataFrame, small: int, centres: int) -> tuple[DataFrame, DataFrame]:
     """(key, id) -> pairs (a, b) to compare, and the members of large keys with their centres (key, id, centre)."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(members.join(sizes, "key"), "members")
@@ -185,40 +211,79 @@ def _candidates(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     large = members.filter(F.col("n") > small)
     degree = large.groupBy("id").agg(F.sum("n").alias("degree"))
-    centres = large.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("top")).select("key", (-F.col("top.i")).alias("centre"))
-    stars = large.join(centres, "key").select("key", "id", "centre")
+    if centres == 1:
+        top = large.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("top"))
+        top = top.select("key", (-F.col("top.i")).alias("centre"))
+    else:
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
+        top = large.join(degree, "id").withColumn("place", place).filter(F.col("place") <= centres).select("key", F.col("id").alias("centre"))
+    stars = large.join(top, "key").select("key", "id", "centre")
     pairs = pairs.union(stars.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
     return pairs.distinct(), stars
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+def _like() -> Column:
+    return F.greatest("plain", "weighted") >= SIMILARITY
+
+
+def _border(spokes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that may be alike although just one is like their centre.
+
+    ``spokes`` are (centre, id, plain, weighted). A text not like the centre comes into question if its similarity
+    lies at most ``1 - SIMILARITY`` below that of one which is.
+    """
+    reach = 1 - SIMILARITY + 1e-9
+    like = spokes.filter(_like()).join(roots, "id").select("centre", F.col("id").alias("x"), F.col("root").alias("x_root"), F.col("plain").alias("p"), F.col("weighted").alias("w"))
+    floors = like.groupBy("centre").agg(F.min("p").alias("least_p"), F.min("w").alias("least_w"))
+    unlike = spokes.filter(~_like()).join(floors, "centre").filter((F.col("plain") >= F.col("least_p") - reach) | (F.col("weighted") >= F.col("least_w") - reach))
+    unlike = unlike.join(roots, "id", "left").select("centre", "id", "plain", "weighted", F.coalesce("root", "id").alias("root"))
+    near = (F.abs(F.col("p") - F.col("plain")) <= reach) | (F.abs(F.col("w") - F.col("weighted")) <= reach)
+    pairs = unlike.join(like, "centre").filter((F.col("root") != F.col("x_root")) & near)
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, growth: int = GROWTH) -> DataFrame:
     """One row per row of ``docs``: the id, ``class_id`` (the smallest id of its class), ``class_size``, ``kept``.
 
     The row named by the class stays. Texts without a word (null, empty) are classes of their own, and so are
     rows with a null id, whose class is null and which stay. Of rows that repeat an id all are kept or dropped
     together. Other columns aren't read. An empty table gives an empty result. In a key's group larger than
-    ``small``, members are compared with up to ``rounds`` centres one after the other.
+    ``small``, members are compared with one centre, those unlike it with ``growth`` others, and so on until all have
+    been linked or compared with every member.
     """
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
-    nodes = signed.filter("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nodes")
+    nodes = signed.filter("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("node"), F.first(F.struct("keys", "sketch")).alias("s"))
+    nodes = materialize(nodes.select("content", "node", "s.keys", "s.sketch"), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
-    texts, links = None, None
-    for _ in range(rounds):
-        pairs, stars = _candidates(members, small)
+    sketches = nodes.select(F.col("node").alias("id"), "sketch")
+    texts, compared, spokes, centres = None, None, None, 1
+    while True:
+        pairs, stars = _candidates(members, small, centres)
         pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
             texts = materialize(texts, "texts")
-        found = materialize(_verify(pairs, texts), "links")
-        links = found if links is None else links.union(found)
-        like = found.select(F.col("a").alias("id"), F.col("b").alias("centre")).union(found.select("b", "a"))
-        members = stars.filter("id <> centre").join(like, ["id", "centre"], "left_anti").select("key", "id")
-        members = materialize(members, "unlike")
+        else:
+            pairs = _agreeing(pairs, sketches)
+        found = materialize(_compare(pairs, texts), "compared")
+        of = stars.filter("id <> centre").select("centre", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        now = materialize(of.join(found, ["a", "b"]).select("centre", "id", "plain", "weighted"), "spokes")
+        compared, spokes = (found, now) if compared is None else (compared.union(found), spokes.union(now))
+        done = stars.join(now.filter(_like()), ["id", "centre"]).select("key", "id").union(stars.select("key", F.col("centre").alias("id"))).distinct()
+        members = materialize(stars.select("key", "id").distinct().join(done, ["key", "id"], "left_anti"), "unlike")
         if not members.limit(1).count():
             break
-    roots = components(links)
+        centres *= growth
+    roots = components(compared.filter(_like()))
+    border = materialize(_agreeing(_border(spokes, roots), sketches), "border")
+    if border.limit(1).count():
+        between = materialize(_compare(border, texts), "compared").filter(_like())
+        for side in ("a", "b"):
+            between = between.join(roots.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+        joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("further"))
+        alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("further").alias("root"))
+        roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
     named = nodes.select("content", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("content", F.coalesce("root", "node").alias("root"))
     of = signed.select("id", "content").join(named, "content", "left").select("id", F.coalesce("root", "id").alias("class_id"))
     of = materialize(of, "classes")

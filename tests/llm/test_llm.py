@@ -105,6 +105,31 @@ def test_near_copies_like_brute_force(spark):
     assert neardup.classes(docs(spark, [])).count() == 0
 
 
+def test_no_link_of_a_large_key_is_lost(spark):
+    """A chain: each text is like its neighbours, few are like one centre; a third of the texts are unlike all."""
+    rng = random.Random(8)
+    text, rows = [f"a{k}" for k in range(200)], []
+    for k in range(60):
+        rows.append((k, " ".join(text)))
+        for w in range(3):
+            text[(k * 3 + w) % 200] = f"b{k}-{w}"
+    stem = [f"a{k}" for k in range(120)]
+    rows += [(100 + k, " ".join(stem + [f"c{k}-{rng.random()}" for _ in range(100)])) for k in range(30)]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in brute_links(rows):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    for small, growth in ((2, 2), (8, 4)):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows), small=small, growth=growth).collect()}
+        assert got == {i: find(i) for i, _ in rows}
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     common = rng.integers(1, 1 << 62, 60).astype(np.uint64)
