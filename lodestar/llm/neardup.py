@@ -9,18 +9,19 @@ are compared on their full shingles.
 
 Texts with equal words are one node from the start. The texts of a key don't become all pairs: few of them
 (``SMALL``) do, and in a larger group each is compared with its centre, the text that shares keys with most
-others. Those not like the centre go on, in rounds with four times as many centres each, until none is left.
-Links become classes by spreading the smallest id.
-
-What is left are two texts of which only one is like their centre. Both similarities are one minus a metric, so
-two texts are alike only if their similarities to the centre differ by at most ``1 - SIMILARITY``: those of different
-classes for which this holds are compared too (``_border``). After the first round, pairs whose sketches agree on
-less than ``AGREE`` of the registers aren't compared; at a similarity of 0.8 that is more than nine standard
-deviations below the mean.
+others; those not like it are compared with ``SECOND`` further centres. Links become classes by spreading the
+smallest id.
+
+Two kinds of pairs are left, and only where the texts are of different classes: two texts of a key like none of its
+centres, and a text like a centre with one unlike it. Both similarities are one minus a metric, so two texts are alike
+only if their similarities to the centre differ by at most ``1 - SIMILARITY``. Such pairs are told apart by longer
+sketches of one bit a register, within the join; those that differ in few enough bits are compared in full. At a
+similarity of 0.8 the bound (``DIFFER`` of ``BITS``) lies more than five standard deviations above the mean.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ from lodestar.llm.common import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
-SMALL, GROWTH, AGREE = 8, 4, 0.43
+SMALL, SECOND = 8, 8
+BITS, DIFFER = 1024, 152
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +135,7 @@ def _band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, ``content`` (a digest of the words; null if there is none), ``keys``, a key per band, and ``sketch``, a byte per register."""
+    """id, ``content`` (a digest of the words; null if there is none) and ``keys``, a key per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -143,26 +145,34 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 batch = whole.slice(lo, 256)
                 words = [word_hashes(t) for t in batch.column(1).to_pylist()]
                 content = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
-                registers = sketch([shingles(w) for w in words], bands * rows)
-                keys = _band_keys(registers, rows)
+                keys = _band_keys(sketch([shingles(w) for w in words], bands * rows), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                short = [r.tobytes() for r in _mix(registers).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists, pa.array(short, pa.binary())], names=["id", "content", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists], names=["id", "content", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>")
 
 
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree often enough to be compared in full."""
+def _bits(texts: DataFrame) -> DataFrame:
+    """id and two sketches of one bit a register, as longs: of the weighted shingles and of their set."""
+    names = [f"{kind}{k}" for kind in ("weighted", "plain") for k in range(BITS // 64)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[side]), np.uint8).reshape(len(batch), -1) for side in ("sa", "sb"))
-                yield batch.loc[(left == right).mean(1) >= AGREE, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 64):
+                batch = whole.slice(lo, 64)
+                sets = [shingles(word_hashes(t)) for t in batch.column(1).to_pylist()]
+                both = (sketch(s, BITS) for s in (sets, [(e, np.ones_like(n)) for e, n in sets]))
+                longs = np.concatenate([np.packbits(_mix(s) & np.uint64(1) > 0, axis=1).view(np.int64) for s in both], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy())], names=["id", *names])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
-    left, right = (sketches.select(F.col("id").alias(i), F.col("sketch").alias(s)) for i, s in (("a", "sa"), ("b", "sb")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+
+def _close(left: str, right: str) -> Column:
+    """Whether two rows' sketches differ in few enough bits."""
+    kinds = ([F.bit_count(F.col(f"{left}.{kind}{k}").bitwiseXOR(F.col(f"{right}.{kind}{k}"))) for k in range(BITS // 64)] for kind in ("weighted", "plain"))
+    weighted, plain = (functools.reduce(Column.__add__, counts) <= DIFFER for counts in kinds)
+    return weighted | plain
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -226,46 +236,50 @@ def _like() -> Column:
     return F.greatest("plain", "weighted") >= SIMILARITY
 
 
-def _border(spokes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that may be alike although just one is like their centre.
+def _left_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, id) of one key, of different classes and with close sketches. ``known``: id, root, sketches."""
+    left, right = members.join(known, "id").alias("l"), members.join(known, "id").alias("r")
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
+    return left.join(right, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def _border_pairs(spokes: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes, one like and one unlike their centre, that may be alike.
 
     ``spokes`` are (centre, id, plain, weighted). A text not like the centre comes into question if its similarity
     lies at most ``1 - SIMILARITY`` below that of one which is.
     """
     reach = 1 - SIMILARITY + 1e-9
-    like = spokes.filter(_like()).join(roots, "id").select("centre", F.col("id").alias("x"), F.col("root").alias("x_root"), F.col("plain").alias("p"), F.col("weighted").alias("w"))
-    floors = like.groupBy("centre").agg(F.min("p").alias("least_p"), F.min("w").alias("least_w"))
-    unlike = spokes.filter(~_like()).join(floors, "centre").filter((F.col("plain") >= F.col("least_p") - reach) | (F.col("weighted") >= F.col("least_w") - reach))
-    unlike = unlike.join(roots, "id", "left").select("centre", "id", "plain", "weighted", F.coalesce("root", "id").alias("root"))
-    near = (F.abs(F.col("p") - F.col("plain")) <= reach) | (F.abs(F.col("w") - F.col("weighted")) <= reach)
-    pairs = unlike.join(like, "centre").filter((F.col("root") != F.col("x_root")) & near)
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    like, unlike = spokes.filter(_like()), spokes.filter(~_like())
+    floors = like.groupBy("centre").agg(F.min("plain").alias("p"), F.min("weighted").alias("w"))
+    unlike = unlike.join(floors, "centre").filter((F.col("plain") >= F.col("p") - reach) | (F.col("weighted") >= F.col("w") - reach))
+    near = (F.abs(F.col("l.plain") - F.col("r.plain")) <= reach) | (F.abs(F.col("l.weighted") - F.col("r.weighted")) <= reach)
+    on = (F.col("l.centre") == F.col("r.centre")) & (F.col("l.root") != F.col("r.root")) & near & _close("l", "r")
+    pairs = unlike.join(known, "id").alias("l").join(like.join(known, "id").alias("r"), on)
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, growth: int = GROWTH) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, second: int = SECOND) -> DataFrame:
     """One row per row of ``docs``: the id, ``class_id`` (the smallest id of its class), ``class_size``, ``kept``.
 
     The row named by the class stays. Texts without a word (null, empty) are classes of their own, and so are
     rows with a null id, whose class is null and which stay. Of rows that repeat an id all are kept or dropped
     together. Other columns aren't read. An empty table gives an empty result. In a key's group larger than
-    ``small``, members are compared with one centre, those unlike it with ``growth`` others, and so on until all have
-    been linked or compared with every member.
+    ``small``, members are compared with one centre, those unlike it with ``second`` others, and the pairs then left
+    by their sketches.
     """
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
-    nodes = signed.filter("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("node"), F.first(F.struct("keys", "sketch")).alias("s"))
-    nodes = materialize(nodes.select("content", "node", "s.keys", "s.sketch"), "nodes")
+    nodes = signed.filter("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes, "nodes")
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
-    sketches = nodes.select(F.col("node").alias("id"), "sketch")
-    texts, compared, spokes, centres = None, None, None, 1
-    while True:
+    texts, compared, spokes = None, None, None
+    for centres in (1, second):
         pairs, stars = _candidates(members, small, centres)
         pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
             texts = materialize(texts, "texts")
-        else:
-            pairs = _agreeing(pairs, sketches)
         found = materialize(_compare(pairs, texts), "compared")
         of = stars.filter("id <> centre").select("centre", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         now = materialize(of.join(found, ["a", "b"]).select("centre", "id", "plain", "weighted"), "spokes")
@@ -274,16 +288,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
         members = materialize(stars.select("key", "id").distinct().join(done, ["key", "id"], "left_anti"), "unlike")
         if not members.limit(1).count():
             break
-        centres *= growth
     roots = components(compared.filter(_like()))
-    border = materialize(_agreeing(_border(spokes, roots), sketches), "border")
-    if border.limit(1).count():
-        between = materialize(_compare(border, texts), "compared").filter(_like())
+    if spokes.filter(~_like()).limit(1).count():
+        starred = spokes.select("id").union(members.select("id")).distinct()
+        known = _bits(texts.join(starred, "id", "left_semi")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        known = materialize(known, "sketches")
+        left = materialize(_left_pairs(members, known).union(_border_pairs(spokes, known)).distinct(), "left")
+        between = _compare(left, texts).filter(_like())
         for side in ("a", "b"):
             between = between.join(roots.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("further"))
-        alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("further").alias("root"))
-        roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
+        between = materialize(between, "between")
+        if between.limit(1).count():
+            joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("further"))
+            alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("further").alias("root"))
+            roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
     named = nodes.select("content", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("content", F.coalesce("root", "node").alias("root"))
     of = signed.select("id", "content").join(named, "content", "left").select("id", F.coalesce("root", "id").alias("class_id"))
     of = materialize(of, "classes")

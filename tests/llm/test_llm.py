@@ -125,8 +125,8 @@ def test_no_link_of_a_large_key_is_lost(spark):
     for a, b in brute_links(rows):
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    for small, growth in ((2, 2), (8, 4)):
-        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows), small=small, growth=growth).collect()}
+    for small, second in ((2, 1), (8, 8)):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows), small=small, second=second).collect()}
         assert got == {i: find(i) for i, _ in rows}
 
 
