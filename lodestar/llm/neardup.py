@@ -36,7 +36,7 @@ from lodestar.llm.common import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 SMALL, SECOND = 8, 8
-BITS, DIFFER = 1024, 152
+BITS, DIFFER = 2048, 275
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
