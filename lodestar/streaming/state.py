@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,3 +64,12 @@ def last_turns(events: DataFrame, key: str, text: str, most: int = 10, ttl_ms: i
         yield pd.DataFrame({key: [keys[0]], "turns": [held]})
 
     return events.select(key, text).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, turns array<string>", "turns array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def preferences(events: DataFrame, session: str, name: str, value: str, time: str, tie: str, ttl_seconds: int = 600) -> DataFrame:
+    """(session, name, value): the last value of each setting, unless it was cleared (null) or lies further back than the
+    time to live before the session's last event."""
+    last = events.groupBy(session, name).agg(F.max(F.struct(time, tie, value)).alias("m"))
+    alive = F.unix_micros(F.max(f"m.{time}").over(Window.partitionBy(session)).cast("timestamp")) - F.unix_micros(F.col(f"m.{time}").cast("timestamp"))
+    kept = last.withColumn("rest", alive).filter((F.col("rest") <= ttl_seconds * 1_000_000) & F.col(f"m.{value}").isNotNull())
+    return kept.select(session, name, F.col(f"m.{value}").alias(value))
