@@ -15,7 +15,8 @@ smallest id.
 Two kinds of pairs are left, and only where the texts are of different classes: two texts of a key like none of its
 centres, and a text like a centre with one unlike it. Both similarities are one minus a metric, so two texts are alike
 only if their similarities to the centre differ by at most ``1 - SIMILARITY``. Such pairs are told apart by longer
-sketches of one bit a register, within the join; those that differ in few enough bits are compared in full. At a
+sketches of one bit a register, within the join; those that differ in few enough bits are compared in full. A bit is
+taken from shingle and register together, so that the bits of a text of few shingles are independent too. At a
 similarity of 0.8 the bound (``DIFFER`` of ``BITS``) lies more than five standard deviations above the mean.
 """
 
@@ -155,6 +156,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
 def _bits(texts: DataFrame) -> DataFrame:
     """id and two sketches of one bit a register, as longs: of the weighted shingles and of their set."""
     names = [f"{kind}{k}" for kind in ("weighted", "plain") for k in range(BITS // 64)]
+    register = np.arange(BITS, dtype=np.uint64) * _MULTIPLIER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,7 +164,7 @@ def _bits(texts: DataFrame) -> DataFrame:
                 batch = whole.slice(lo, 64)
                 sets = [shingles(word_hashes(t)) for t in batch.column(1).to_pylist()]
                 both = (sketch(s, BITS) for s in (sets, [(e, np.ones_like(n)) for e, n in sets]))
-                longs = np.concatenate([np.packbits(_mix(s) & np.uint64(1) > 0, axis=1).view(np.int64) for s in both], axis=1)
+                longs = np.concatenate([np.packbits(_mix(s ^ register) & np.uint64(1) > 0, axis=1).view(np.int64) for s in both], axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy())], names=["id", *names])
 
     return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))

@@ -130,6 +130,19 @@ def test_no_link_of_a_large_key_is_lost(spark):
         assert got == {i: find(i) for i, _ in rows}
 
 
+def test_sketches_lose_no_short_pair(spark):
+    """One key of short texts: each pair of 0.8 is told by its sketches, though few shingles make them."""
+    rows = []
+    for words in (9, 14, 19, 24, 29):
+        own = (words - 4) // 5  # of the longer text's shingles a fifth are its own
+        for k in range(40):
+            text = [f"v{words}x{k}x{w}" for w in range(words)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[:-own]))]
+    known = neardup._bits(spark.createDataFrame(rows, "id long, text string")).withColumn("root", F.col("id")).persist()
+    found = {(r["a"], r["b"]) for r in neardup._left_pairs(known.select(F.lit(1).alias("key"), "id"), known).collect()}
+    assert len(brute_links(rows)) == 200 and set(brute_links(rows)) <= found
+
+
 def test_sketch_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     common = rng.integers(1, 1 << 62, 60).astype(np.uint64)
