@@ -5,7 +5,8 @@ occur. Each shingle is a Poisson process whose rate is its weight; its arrivals
 register keeps the shingle that arrives first. Two texts agree on a register with the probability Jaccard
 similarity of their weighted shingles. A shingle's process ends as soon as its next arrival comes later than
 all registers' first ones. Bands of registers are keys; texts that share a key are candidates, and candidates
-are compared on their full shingles.
+are compared on their full shingles. Two texts count as alike by the larger of plain and probability Jaccard, so a
+text that repeats shingles has the keys of its plain set too; for any other text both are the same.
 
 Texts with equal words are one node from the start. The texts of a key don't become all pairs: few of them
 (``SMALL``) do, and in a larger group each is compared with its centre, the text that shares keys with most
@@ -136,7 +137,7 @@ def _band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, ``content`` (a digest of the words; null if there is none) and ``keys``, a key per band."""
+    """id, ``content`` (a digest of the words; null if there is none) and ``keys``: one per band, and for a text that repeats shingles those of their set too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -146,8 +147,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 batch = whole.slice(lo, 256)
                 words = [word_hashes(t) for t in batch.column(1).to_pylist()]
                 content = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
-                keys = _band_keys(sketch([shingles(w) for w in words], bands * rows), rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+                sets = [shingles(w) for w in words]
+                keys = list(_band_keys(sketch(sets, bands * rows), rows))
+                repeating = [i for i, (_, n) in enumerate(sets) if len(n) and n.max() > 1]
+                if repeating:
+                    plain = _band_keys(sketch([(sets[i][0], np.ones_like(sets[i][1])) for i in repeating], bands * rows), rows)
+                    for i, own in zip(repeating, plain, strict=True):
+                        keys[i] = np.union1d(keys[i], own)
+                ends = np.cumsum([0, *map(len, keys)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists], names=["id", "content", "keys"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>")

@@ -130,6 +130,17 @@ def test_no_link_of_a_large_key_is_lost(spark):
         assert got == {i: find(i) for i, _ in rows}
 
 
+def test_copies_with_a_passage_repeated(spark):
+    """Alike by their sets of shingles, not by their weights: with and without repeats on the other side."""
+    rows = []
+    for base in range(10):
+        text = [f"p{base}x{w}" for w in range(204)]
+        rows += [(base * 10 + n, " ".join(text[:at] + text[at : at + 24] * times + text[at + 24 :])) for n, (at, times) in enumerate(((50, 1), (50, 20), (120, 20)))]
+    sets = [neardup.shingles(neardup.word_hashes(t)) for _, t in rows[:3]]
+    assert all(plain > 0.95 and weighted < 0.45 for plain, weighted in (neardup.similarities(sets[a], sets[b]) for a, b in ((0, 1), (0, 2), (1, 2))))
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows)).collect()} == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_sketches_lose_no_short_pair(spark):
     """One key of short texts: each pair of 0.8 is told by its sketches, though few shingles make them."""
     rows = []
