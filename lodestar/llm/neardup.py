@@ -11,7 +11,10 @@ text that repeats shingles has the keys of its plain set too; for any other text
 Texts with equal words are one node from the start. The texts of a key don't become all pairs: few of them
 (``SMALL``) do, and in a larger group each is compared with its centre, the text that shares keys with most
 others; those not like it are compared with ``SECOND`` further centres. Links become classes by spreading the
-smallest id.
+smallest node number.
+
+An id may stand on different texts. A row is therefore known by its id and ``mark``, a digest of its text as it
+stands; nodes are numbered, and a class is named by its smallest (id, mark).
 
 Two kinds of pairs are left, and only where the texts are of different classes: two texts of a key like none of its
 centres, and a text like a centre with one unlike it. Both similarities are one minus a metric, so two texts are alike
@@ -137,7 +140,7 @@ def _band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, ``content`` (a digest of the words; null if there is none) and ``keys``: one per band, and for a text that repeats shingles those of their set too."""
+    """id, ``mark``, ``content`` (a digest of the words; null if there is none) and ``keys``: one per band, and for a text that repeats shingles those of their set too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -156,9 +159,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                         keys[i] = np.union1d(keys[i], own)
                 ends = np.cumsum([0, *map(len, keys)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), lists], names=["id", "content", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(content, pa.binary()), lists], names=["id", "mark", "content", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, content binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), F.xxhash64(text_col).alias("mark")).mapInArrow(run, "id long, mark long, content binary, keys array<long>")
 
 
 def _bits(texts: DataFrame) -> DataFrame:
@@ -269,17 +272,12 @@ def _border_pairs(spokes: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, second: int = SECOND) -> DataFrame:
-    """One row per row of ``docs``: the id, ``class_id`` (the smallest id of its class), ``class_size``, ``kept``.
-
-    The row named by the class stays. Texts without a word (null, empty) are classes of their own, and so are
-    rows with a null id, whose class is null and which stay. Of rows that repeat an id all are kept or dropped
-    together. Other columns aren't read. An empty table gives an empty result. In a key's group larger than
-    ``small``, members are compared with one centre, those unlike it with ``second`` others, and the pairs then left
-    by their sketches.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: int) -> DataFrame:
+    """(id, mark, class_id, class_size, kept) for every row of ``docs``; see ``classes``."""
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
-    nodes = signed.filter("content IS NOT NULL AND id IS NOT NULL").groupBy("content").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    row = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
+    nodes = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    nodes = nodes.filter("row IS NOT NULL").select("content", "row.id", "row.mark", "n", "keys", F.monotonically_increasing_id().alias("node"))
     nodes = materialize(nodes, "nodes")
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
     texts, compared, spokes = None, None, None
@@ -288,7 +286,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
         pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+            wanted = nodes.select("id", "mark", "node").join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
+            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+            texts = texts.join(wanted.hint("merge"), ["id", "mark"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
             texts = materialize(texts, "texts")
         found = materialize(_compare(pairs, texts), "compared")
         of = stars.filter("id <> centre").select("centre", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -312,16 +312,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
             joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("further"))
             alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("further").alias("root"))
             roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
-    named = nodes.select("content", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("content", F.coalesce("root", "node").alias("root"))
-    of = signed.select("id", "content").join(named, "content", "left").select("id", F.coalesce("root", "id").alias("class_id"))
-    of = materialize(of, "classes")
-    sizes = of.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    kept = F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))
-    out = of.join(sizes.filter("class_size > 1"), "class_id", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
+    linked = materialize(nodes.select("node", "id", "mark", "n").join(roots.withColumnRenamed("id", "node"), "node"), "linked")
+    named = linked.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"), F.sum("n").alias("size"))
+    linked = linked.select("node", "root").join(named, "root").select("node", "first", "size")
+    own = nodes.select("content", "node", "id", "mark", "n").join(linked, "node", "left")
+    own = own.select("content", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.mark", "mark").alias("class_mark"), F.coalesce("size", "n").alias("class_size"))
+    kept = F.col("id").isNull() | F.col("class_mark").isNull() | ((F.col("id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark")))
+    out = signed.select("id", "mark", "content").join(own, "content", "left")
+    return out.select("id", "mark", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, second: int = SECOND) -> DataFrame:
+    """One row per row of ``docs``: the id, ``class_id`` (the smallest id of its class), ``class_size``, ``kept``.
+
+    The row named by the class stays. Texts without a word (null, empty) are classes of their own, and so are
+    rows with a null id, whose class is null and which stay. Of rows that repeat an id with the same text all are
+    kept or dropped together; rows that repeat it with different texts are told apart, so that each class keeps its
+    own row, and classes named by the same id are counted apart. Other columns aren't read. An empty table gives an empty result. In a key's group larger than
+    ``small``, members are compared with one centre, those unlike it with ``second`` others, and the pairs then left
+    by their sketches.
+    """
+    return _classes(docs, id_col, text_col, small, second).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = classes(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    dropped = _classes(docs, id_col, text_col, SMALL, SECOND).filter("NOT kept").select(F.col("id").alias("_dropped_id"), F.col("mark").alias("_dropped_mark")).distinct()
+    same = (docs[id_col].cast("long") == dropped["_dropped_id"]) & (F.xxhash64(docs[text_col]) == dropped["_dropped_mark"])
+    return docs.join(dropped, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -141,6 +141,16 @@ def test_copies_with_a_passage_repeated(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, rows)).collect()} == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_an_id_on_different_texts(spark):
+    """Each class keeps its named row, whatever other texts its id stands on."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(3, x), (2, y), (3, y), (7, z), (7, z + " end"), (8, z + " end"), (9, z), (7, x)]
+    want = [(2, y), (3, x), (7, min((t for i, t in rows if i == 7 and t != x), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0]))]
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.drop_near_copies(docs(spark, rows)).collect()) == want
+    got = neardup.classes(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in got) == [(2, 2, 2, True), (3, 2, 2, False), (3, 3, 2, True), (7, 3, 2, False), (7, 7, 4, False), (7, 7, 4, True), (8, 7, 4, False), (9, 7, 4, False)]
+
+
 def test_sketches_lose_no_short_pair(spark):
     """One key of short texts: each pair of 0.8 is told by its sketches, though few shingles make them."""
     rows = []
