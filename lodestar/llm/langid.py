@@ -28,22 +28,22 @@ SCALE = 16
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary per language, from at most ``SAMPLE_ROWS`` rows of it picked by a hash of the text.
+    """A dictionary per language, from at most ``SAMPLE_ROWS`` distinct texts of it picked by their hash.
 
     The sample is bounded (rows times characters times languages); languages are taken to be few. Rows with null
     text or language, or without a letter, don't take part. No row gives no language, and then all is unknown.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & has_letter("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.select("lang", F.xxhash64("text").alias("key")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for lang, n in sorted((r["lang"], r["n"]) for r in counts):
-        own = rows.filter(F.col("lang") == lang).select("text")
-        key = F.xxhash64("text")
-        share = min(1.0, 8 * SAMPLE_ROWS / n)  # keeps the sort small; the order below decides
-        if share < 1:
-            own = own.filter(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)))
         middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-        sample = own.orderBy(key, "text").limit(SAMPLE_ROWS).select(F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("t")).collect()
+        own = rows.filter(F.col("lang") == lang).select(F.xxhash64("text").alias("key"), F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("t"))
+        share = min(1.0, 8 * SAMPLE_ROWS / n)  # of the distinct texts; keeps the sort small, and the order below decides
+        few = own.filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else own
+        sample = few.distinct().orderBy("key", "t").limit(SAMPLE_ROWS).collect()
+        if share < 1 and len(sample) < SAMPLE_ROWS:
+            sample = own.distinct().orderBy("key", "t").limit(SAMPLE_ROWS).collect()
         data = "\n".join(r["t"] for r in sample).lower().encode()
         out[lang] = data[:DICTIONARY_BYTES]
     return out

@@ -195,6 +195,13 @@ def test_language(spark):
     assert langid.predict(test, {}).filter("lang_pred <> 'und'").count() == 0 and langid.predict(docs(spark, []), model).count() == 0
 
 
+def test_language_of_few_texts_with_many_copies(spark):
+    """Each distinct text goes into the dictionary once, however often it stands in the table."""
+    texts = spark.range(50).select(F.concat(F.lit("text number "), F.col("id")).alias("text"), F.lit("aa").alias("lang"))
+    model = langid.learn(texts.crossJoin(spark.range(2000).select(F.col("id").alias("doc_id"))))
+    assert sorted(model["aa"].decode().split("\n")) == sorted(f"text number {k}" for k in range(50))
+
+
 # 4: exact copies
 
 
