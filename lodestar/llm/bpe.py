@@ -1,10 +1,11 @@
 """Byte-level BPE by a monoid tree reduction.
 
-``encode`` of a string splits it by the pattern; each match is encoded alone. A match's bytes are halved until
-they are short; a half's tokens are an element of a monoid whose product re-encodes a window around the joint.
+``encode`` of a string splits it by the pattern; each match is encoded alone. A match's bytes are halved down to
+single bytes; a half's tokens are an element of a monoid whose product re-encodes a window around the joint.
 Tokens stand if every neighbouring pair stands, since a merge needs only what its two sides hold; so once the
 window's outermost tokens are those that were there before, what lies outside can't change. Until then the
-window doubles. Decoding concatenates the byte strings up the same kind of tree.
+window doubles. Short halves and windows recur, so a worker remembers what they encode to. Decoding concatenates
+byte strings up a tree.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from lodestar.llm import tokenizers_io
 from lodestar.llm.units import UnitEncoder
 
-LEAF = 32
+LONG = 128  # bytes from which the merges of a window go through a heap
+FAN = 64  # children of a node of the decoding tree
+REMEMBERED, SHORT = 400_000, 12  # halves and windows that a worker remembers, and their bytes
 
 
 def greedy(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Merge the lowest-ranked neighbouring pair, the leftmost of equals, until none is left."""
-    if len(piece) > 4 * LEAF:
+    if len(piece) > LONG:
         return _greedy_heap(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
     get = ranks.get
@@ -70,40 +74,62 @@ def _greedy_heap(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [piece[i : end[i]] for i in range(n) if alive[i]]
 
 
-def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The monoid's product: tokens of the concatenation of what ``left`` and ``right`` encode."""
-    if not left or not right:
-        return left or right
-    i = j = 1
-    while True:
-        i, j = min(i, len(left)), min(j, len(right))
-        window = greedy(b"".join(left[-i:]) + b"".join(right[:j]), ranks)
-        left_stands = i == len(left) or window[0] == left[-i]
-        right_stands = j == len(right) or window[-1] == right[j - 1]
-        if left_stands and right_stands:
-            return left[:-i] + window + right[j:]
-        i, j = i * (1 if left_stands else 2), j * (1 if right_stands else 2)
-
-
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    if piece in ranks:
-        return [piece]
-
-    def reduce(lo: int, hi: int) -> list[bytes]:
-        if hi - lo <= LEAF:
-            return greedy(piece[lo:hi], ranks)
-        mid = (lo + hi) // 2
-        return join(reduce(lo, mid), reduce(mid, hi), ranks)
-
-    return reduce(0, len(piece))
+class Monoid:
+    """The tokens of byte strings under the product that encodes their concatenation."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.halves: dict[bytes, list[bytes]] = {}
+        self.windows: dict[bytes, list[bytes]] = {}
+
+    def window(self, piece: bytes) -> list[bytes]:
+        got = self.windows.get(piece)
+        if got is None:
+            got = greedy(piece, self.ranks)
+            if len(piece) <= SHORT:
+                if len(self.windows) >= REMEMBERED:
+                    self.windows.clear()
+                self.windows[piece] = got
+        return got
+
+    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+        """Tokens of the concatenation of what ``left`` and ``right`` encode."""
+        if not left or not right:
+            return left or right
+        i = j = 1
+        while True:
+            i, j = min(i, len(left)), min(j, len(right))
+            window = self.window(b"".join(left[-i:] + right[:j]))
+            left_stands = i == len(left) or window[0] == left[-i]
+            right_stands = j == len(right) or window[-1] == right[j - 1]
+            if left_stands and right_stands:
+                return left[:-i] + window + right[j:]
+            i, j = i * (1 if left_stands else 2), j * (1 if right_stands else 2)
+
+    def reduce(self, piece: bytes) -> list[bytes]:
+        if len(piece) < 2:
+            return [piece] if piece else []
+        got = self.halves.get(piece)
+        if got is None:
+            mid = len(piece) // 2
+            got = self.join(self.reduce(piece[:mid]), self.reduce(piece[mid:]))
+            if len(piece) <= SHORT:
+                if len(self.halves) >= REMEMBERED:
+                    self.halves.clear()
+                self.halves[piece] = got
+        return got
+
+    def encode(self, piece: bytes) -> list[bytes]:
+        """A match that is a token as it stands is that token."""
+        return [piece] if piece in self.ranks else self.reduce(piece)
 
 
 def decode(ids, table: list[bytes]) -> bytes:
     """Concatenates up a tree; ``table[id]`` holds a token's bytes."""
-    if len(ids) <= 4096:
-        return b"".join(map(table.__getitem__, ids))
-    mid = len(ids) // 2
-    return decode(ids[:mid], table) + decode(ids[mid:], table)
+    parts = list(map(table.__getitem__, ids))
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return parts[0] if parts else b""
 
 
 @functools.lru_cache(maxsize=2)
@@ -118,12 +144,12 @@ def codec(ranks_path: str, pattern: str | None = None):
     for token, rank in ranks.items():
         table[rank] = token
     known: dict[str, bytes] = {}
+    tokens_of = Monoid(ranks).encode
 
     def of_piece(piece: str) -> bytes:
         packed = known.get(piece)
         if packed is None:
-            tokens = encode_piece(piece.encode("utf-8", "replace"), ranks)
-            packed = np.array([ranks[t] for t in tokens], dtype="<u4").tobytes()
+            packed = array("I", map(ranks.__getitem__, tokens_of(piece.encode("utf-8", "replace")))).tobytes()
             if len(piece) <= 64:
                 if len(known) > 200_000:
                     known.clear()
