@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +23,37 @@ def _local_dir() -> str:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder serves only where that is
-    unset, as in tests on one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a session on
+    one machine; on a cluster its absence is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and nothing is computed twice."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize``, once whatever was read from them is written."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
