@@ -14,39 +14,33 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BLOCK_BYTES = 4096
-DICTIONARY_BYTES = 64 * 1024
-SAMPLE_ROWS = 400
-SAMPLE_CHARS = 600
+SAMPLE_ROWS = 120
 MIN_MARGIN, CLOSE = 0.002, 0.05
 PAD = b"\n" * 12  # the compressor looks for no match in a block's last bytes
 SCALE = 16
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary per language, from at most ``SAMPLE_ROWS`` distinct texts of it picked by their hash.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+    """A dictionary per language: the whole texts of at most ``rows`` distinct ones, those with the smallest hashes.
 
-    The sample is bounded (rows times characters times languages); languages are taken to be few. Rows with null
-    text or language, or without a letter, don't take part. No row gives no language, and then all is unknown.
+    What is gathered is bounded by rows times languages; languages are taken to be few. Rows with null text or
+    language, or without a letter, don't take part. No row gives no language, and then all is unknown. The first
+    pass picks hashes, the second fetches their texts; copies of a text count once.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & has_letter("text"))
-    counts = rows.select("lang", F.xxhash64("text").alias("key")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    out = {}
-    for lang, n in sorted((r["lang"], r["n"]) for r in counts):
-        middle = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
-        own = rows.filter(F.col("lang") == lang).select(F.xxhash64("text").alias("key"), F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("t"))
-        share = min(1.0, 8 * SAMPLE_ROWS / n)  # of the distinct texts; keeps the sort small, and the order below decides
-        few = own.filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else own
-        sample = few.distinct().orderBy("key", "t").limit(SAMPLE_ROWS).collect()
-        if share < 1 and len(sample) < SAMPLE_ROWS:
-            sample = own.distinct().orderBy("key", "t").limit(SAMPLE_ROWS).collect()
-        data = "\n".join(r["t"] for r in sample).lower().encode()
-        out[lang] = data[:DICTIONARY_BYTES]
-    return out
+    texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    texts = texts.filter(F.col("lang").isNotNull() & has_letter("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    picked = texts.select("lang", "key").distinct().withColumn("place", place).filter(F.col("place") <= rows).select("lang", "key")
+    sample = texts.join(F.broadcast(picked), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
+    out: dict[str, list[str]] = {}
+    for r in sample.orderBy("lang", "key").collect():
+        out.setdefault(r["lang"], []).append(r["text"].lower())
+    return {lang: "\n".join(own).encode() for lang, own in out.items()}
 
 
 def has_letter(text: str) -> Column:
@@ -94,7 +88,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
     A text that is null or has no letter is ``und`` with score 0 and rejected. So is, but with its language and
     score, one whose two smallest sizes differ by less than ``min_margin`` of the larger. Ties go to the
-    alphabetically first language. The dictionaries are bounded and sent to each executor once.
+    alphabetically first language. Texts whose sizes under the quick compressor lie closer than ``CLOSE`` are
+    compressed again by one that searches longer. A text is read whole, however long. Repeated rows and null ids
+    are carried through, an empty table gives an empty result, and other columns aren't read (with ``keep`` they
+    pass unchanged). The dictionaries are bounded by the sample and sent to each executor once.
     """
     learned = docs.sparkSession.sparkContext.broadcast(dictionaries)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,7 +2,8 @@
 
 The reader's tasks get byte ranges. A task looks for gzip magic from its range's start, takes a place for a
 member only if it inflates to a WARC header, then goes from member to member; it owns the records that start
-inside its range and reads past its end to finish the last.
+inside its range and reads past its end to finish the last. The member that follows a range's last record must
+have a header too, so ranges leave no gap: damage is an error, never a record less.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize, shared_dir, shuffle_partitions
+from lodestar.llm.common import discard, materialize, shared_dir, shuffle_partitions
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 2 << 20
 CHUNK = 1 << 20
 LEVEL = 4
 MAX_HEADER = 64 << 10
@@ -30,14 +31,20 @@ def _header(kind: str, fields: list[tuple[str, object]], length: int) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def record(page_id, url, payload: bytes, refers_to) -> bytes:
-    """One member. A revisit carries its payload's digest and size but not the payload."""
+class Damage(ValueError):
+    """An archive that doesn't hold the records it should."""
+
+
+def record(page_id, url, payload: bytes | None, refers_to=None, digest: str | None = None, size: int | None = None) -> bytes:
+    """One member. A revisit (``refers_to``) carries its payload's digest and size but not the payload."""
     clean = None if url is None else "".join(c for c in url if c not in "\r\n")
     revisit = refers_to is not None
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    if payload is not None:
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     fields = [
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", clean),
-        ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"), ("X-Payload-Length", len(payload)), ("X-Page-Id", page_id),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", size), ("X-Page-Id", page_id),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
         ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>" if revisit else None),
         ("X-Refers-To-Page-Id", refers_to), ("Content-Type", "application/http; msgtype=response"),
@@ -50,39 +57,46 @@ def record(page_id, url, payload: bytes, refers_to) -> bytes:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000) -> DataFrame:
     """Write a record per row, an archive per task and a manifest (path, bytes, records), which is returned.
 
-    Of rows with equal payloads of at least ``min_revisit`` bytes the one with the largest id is the response and
-    the others are revisits of it; null html is an empty payload. A row with a null id can't be referred to: it
-    is written as a response. Rows that repeat with the same id and payload are each written; all but one of
-    such rows with the largest id refer to that id too. A retried task writes a new file; only files of the
-    manifest count. An empty table gives an empty manifest.
+    Of rows with equal payloads of at least ``min_revisit`` bytes those with the largest id are responses and the
+    others are revisits of it; null html is an empty payload. A row with a null id can't be referred to: it is
+    written as a response. Repeated rows are each written. Only rows that may be revisits are joined, by their
+    digests and without their payloads; payloads are dealt by id. A retried task writes a new file; only files of
+    the manifest count. An empty table gives an empty manifest. Other columns aren't read.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    large = rows.select("page_id", "sha", F.octet_length("payload").alias("n")).filter((F.col("n") >= min_revisit) & F.col("page_id").isNotNull())
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    large = rows.filter((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "url", "sha", "n")
     copies = large.groupBy("sha").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha", "latest")
-    joined = rows.join(copies, "sha", "left")
-    refers = F.when((F.octet_length("payload") >= min_revisit) & (F.col("page_id") != F.col("latest")), F.col("latest"))
-    records = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
+    revisits = materialize(large.join(copies, "sha").filter("page_id <> latest"), "warc-revisits")
+    again = revisits.select("page_id", "sha").distinct()
+    responses = rows.filter("page_id IS NOT NULL").join(again, ["page_id", "sha"], "left_anti").unionByName(rows.filter("page_id IS NULL"))
+    columns = ["page_id", "url", "payload", "sha", "n", "refers_to"]
+    records = responses.withColumn("refers_to", F.lit(None).cast(revisits.schema["latest"].dataType)).select(columns)
+    records = records.unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")).withColumnRenamed("latest", "refers_to").select(columns))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         out, n, size = None, 0, 0
         for batch in batches:
-            for page_id, url, body, ref in zip(batch["page_id"].astype(object), batch["url"], batch["payload"], batch["refers_to"].astype(object), strict=True):
+            ids, refs = batch["page_id"].astype(object), batch["refers_to"].astype(object)
+            for page_id, url, body, sha, length, ref in zip(ids, batch["url"], batch["payload"], batch["sha"], batch["n"], refs, strict=True):
                 if out is None:
                     store, base = fs.FileSystem.from_uri(folder)
                     store.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
-                member = record(_int(page_id), url, bytes(body), _int(ref))
+                member = record(_int(page_id), url, None if body is None else bytes(body), _int(ref), sha, int(length))
                 out.write(member)
                 n, size = n + 1, size + len(member)
         if out is not None:
             out.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "bytes": [size], "records": [n]})
 
-    return materialize(records.mapInPandas(put, "path string, bytes long, records long"), "warc-manifest")
+    manifest = materialize(records.mapInPandas(put, "path string, bytes long, records long"), "warc-manifest")
+    discard(revisits)
+    return manifest
 
 
 def _int(x):
@@ -93,117 +107,168 @@ class _Source:
     """Bytes of a file from any offset on, kept only from where they are still needed."""
 
     def __init__(self, file, size: int, at: int):
-        self.file, self.size, self.start, self.data = file, size, at, b""
+        self.file, self.size, self.start, self.data, self.at = file, size, at, bytearray(), 0
+
+    @property
+    def offset(self) -> int:
+        return self.start + self.at
 
     def more(self) -> bool:
-        at = self.start + len(self.data)
-        if at >= self.size:
+        end = self.start + len(self.data)
+        if end >= self.size:
             return False
-        self.file.seek(at)
-        got = self.file.read(min(CHUNK, self.size - at))
+        self.file.seek(end)
+        got = self.file.read(min(CHUNK, self.size - end))
         self.data += got
         return bool(got)
 
-    def drop(self, n: int) -> None:
-        self.data, self.start = self.data[n:], self.start + n
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at >= 2 * CHUNK:
+            del self.data[: self.at]
+            self.start, self.at = self.start + self.at, 0
 
+    def done(self) -> bool:
+        return self.at >= len(self.data) and not self.more()
 
-def _inflate(source: _Source, whole: bool) -> tuple[bytes, int] | None:
-    """The member at the source's start: (content, member's size), or None if it isn't one of a WARC record."""
-    gunzip, out, at = zlib.decompressobj(31), bytearray(), 0
-    while True:
-        if at >= len(source.data) and not source.more():
-            return None
+    def find(self, mark: bytes) -> bool:
+        """Go on to the mark; to the end if there is none."""
+        while True:
+            found = self.data.find(mark, self.at)
+            if found >= 0:
+                self.skip(found - self.at)
+                return True
+            self.skip(max(0, len(self.data) - len(mark) + 1 - self.at))
+            if not self.more():
+                return False
+
+
+def _inflate(source: _Source, whole: bool = True) -> tuple[bytes, int] | None:
+    """The member at the source's place: (content, member's size); None if it isn't one of a WARC record.
+
+    At most MAX_HEADER bytes are inflated before they must hold a header. A member with a good header that can't
+    be inflated to its end is damage. Without ``whole`` the header is enough.
+    """
+    gunzip, out, at, piece, tail, header = zlib.decompressobj(31), bytearray(), source.at, 4096, b"", None
+    while not gunzip.eof:
+        if not tail:
+            if at >= len(source.data):
+                start = source.start
+                if not source.more():
+                    if header:
+                        raise Damage(f"member at {source.offset} ends too early")
+                    return None
+                at -= source.start - start
+            tail = bytes(source.data[at : at + piece])
+            at, piece = at + len(tail), min(4 * piece, CHUNK)
         try:
-            out += gunzip.decompress(source.data[at : at + CHUNK])
-        except zlib.error:
+            out += gunzip.decompress(tail, CHUNK if header else MAX_HEADER)
+        except zlib.error as e:
+            if header:
+                raise Damage(f"member at {source.offset}: {e}") from e
             return None
-        at = min(at + CHUNK, len(source.data))
-        if len(out) >= 5 and not out.startswith(b"WARC/") or len(out) > MAX_HEADER and b"\r\n\r\n" not in out[:MAX_HEADER]:
-            return None
-        if gunzip.eof:
-            size = at - len(gunzip.unused_data)
-            return (bytes(out), size) if b"\r\n\r\n" in out[: MAX_HEADER + 4] and parse(bytes(out)) else None
-        if not whole and b"\r\n\r\n" in out:
-            return bytes(out), 0
+        tail = gunzip.unconsumed_tail
+        if not header:
+            if len(out) >= 5 and not out.startswith(b"WARC/"):
+                return None
+            end = out.find(b"\r\n\r\n")
+            if end >= 0:
+                header = fields_of(bytes(out[:end]))
+            if header is None and (end >= 0 or len(out) >= MAX_HEADER):
+                return None
+            if header and not whole:
+                return bytes(out), 0
+    if header is None:
+        return None
+    return bytes(out), at - len(tail) - len(gunzip.unused_data) - source.at
 
 
-def parse(content: bytes) -> tuple[dict[str, str], bytes] | None:
-    """(header fields, block), or None if the header isn't a WARC record's or the block isn't as long as it says."""
-    head, _, rest = content.partition(b"\r\n\r\n")
+def fields_of(head: bytes) -> dict[str, str] | None:
+    """A record's header fields by lower-case name, or None if it isn't one of a WARC record."""
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        return None
     fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
-    if not {"warc-type", "warc-record-id", "content-length"} <= fields.keys() or not fields["content-length"].isdigit():
-        return None
+    fine = lines[0].startswith("WARC/") and {"warc-type", "warc-record-id", "content-length"} <= fields.keys() and fields["content-length"].isdigit()
+    return fields if fine else None
+
+
+def parse(content: bytes) -> tuple[dict[str, str], bytes]:
+    """(header fields, block)"""
+    head, _, rest = content.partition(b"\r\n\r\n")
+    fields = fields_of(head)
     n = int(fields["content-length"])
-    return (fields, rest[:n]) if len(rest) >= n else None
+    if len(rest) < n:
+        raise Damage(f"record {fields['warc-record-id']} has {len(rest)} bytes of {n}")
+    return fields, rest[:n]
 
 
-def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, block) of the records that start in [start, end)."""
-    source, found = _Source(file, size, start), False
-    while source.start < end:
-        if not found:
-            at = source.data.find(MAGIC)
-            if at < 0:
-                source.drop(max(0, len(source.data) - len(MAGIC) + 1))
-                if not source.more():
-                    return
-                continue
-            source.drop(at)
-            if source.start >= end:
-                return
-        member = _inflate(source, True)
-        if member is None:  # not a member after all, or damage: look for the next magic
-            if len(source.data) == 0 and not source.more():
-                return
-            source.drop(1)
-            found = False
+def records_in(file, size: int, start: int, end: int, strict: bool = True) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, fields, block) of the records that start in [start, end).
+
+    ``strict``: what follows a record, and what a file begins with, must be a record; else other bytes between
+    records are passed over.
+    """
+    source, known = _Source(file, size, start), strict and start == 0
+    while source.offset < end and not source.done():
+        if not known and not source.find(MAGIC) or source.offset >= end:
+            return
+        member = _inflate(source)
+        if member is None:
+            if known:
+                raise Damage(f"no record at {source.offset}")
+            source.skip(1)
             continue
         fields, block = parse(member[0])
-        yield source.start, fields, block
-        source.drop(member[1])
-        found = True
-        if not source.data and not source.more():
-            return
-        if source.data[:3] != MAGIC[: len(source.data[:3])]:
-            found = False
+        yield source.offset, fields, block
+        source.skip(member[1])
+        known = strict
+    if known and not source.done() and _inflate(source, whole=False) is None:
+        raise Damage(f"no record at {source.offset}")
 
 
-def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True, strict: bool = True) -> DataFrame:
     """Records of the files of ``manifest`` (path, bytes), read by byte ranges of ``split_bytes``.
 
-    Columns: path, offset, record_type, page_id, url, payload_bytes, payload_digest, refers_to, payload (null for
-    revisits), intact (the block's digest is the header's; null for revisits).
+    Columns: path, offset, record_type, page_id, url, payload_bytes, payload_digest, refers_to, and the payload if
+    asked for (null for revisits). Size and digest of a response are taken from its bytes; where they differ from
+    the header's, the archive is damaged. Those of a revisit are the header's.
     """
     spark = manifest.sparkSession
     last = F.greatest(F.lit(0), F.col("bytes") - 1)
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0), last, F.lit(split_bytes))).alias("start"))
     ranges = ranges.repartition(shuffle_partitions(spark), "path", "start")
+    names = ["path", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", *["payload"] * payload]
+
+    def row(path: str, offset: int, f: dict[str, str], block: bytes) -> tuple:
+        digest, size = f.get("warc-payload-digest", "").removeprefix("sha1:"), _number(f.get("x-payload-length"))
+        body = None
+        if f["warc-type"] != "revisit":
+            body = block.partition(b"\r\n\r\n")[2]
+            found = hashlib.sha1(body).hexdigest(), len(body)
+            if digest and found[0] != digest or size is not None and found[1] != size:
+                raise Damage(f"{path}: payload of the record at {offset} isn't what its header says")
+            digest, size = found
+        shown = path, offset, f["warc-type"], _number(f.get("x-page-id")), f.get("warc-target-uri"), size, digest, _number(f.get("x-refers-to-page-id"))
+        return (*shown, body) if payload else shown
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        names = ["path", "offset", "record_type", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload", "intact"]
         for batch in batches:
             for path, size, start in batch.itertuples(index=False):
                 store, inner = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_file(inner) as file:
-                    for offset, f, block in records_in(file, size, start, min(size, start + split_bytes)):
-                        digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                        body = None if f["warc-type"] == "revisit" else block.partition(b"\r\n\r\n")[2]
-                        rows.append((path, offset, f["warc-type"], _number(f.get("x-page-id")), f.get("warc-target-uri"), _number(f.get("x-payload-length")), digest, _number(f.get("x-refers-to-page-id")), body, None if body is None else hashlib.sha1(body).hexdigest() == digest and len(body) == _number(f.get("x-payload-length"))))
-                        held += len(block)
+                    for offset, f, block in records_in(file, size, start, min(size, start + split_bytes), strict):
+                        rows.append(row(path, offset, f, block))
+                        held += len(block) if payload else 200
                         if held > 16 << 20:
                             yield _frame(rows, names)
                             rows, held = [], 0
                 if rows:
                     yield _frame(rows, names)
 
-    return ranges.mapInPandas(scan, "path string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, intact boolean")
+    schema = "path string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
+    return ranges.mapInPandas(scan, schema + ", payload binary" * payload)
 
 
 def _number(x: str | None) -> int | None:
@@ -212,13 +277,22 @@ def _number(x: str | None) -> int | None:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64", "intact": "boolean"})
+    return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+
 
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Write ``pages`` to archives in the shared folder and read them back, without the payloads.
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
+    Ids are integers. An archive that gives another number of records than its manifest says is an error.
+    """
     folder = shared_dir(pages.sparkSession, "warc")
-    return read(write(pages, folder, id_col, url_col, html_col))
+    manifest = write(pages, folder, id_col, url_col, html_col)
+    found = materialize(read(manifest, split_bytes, payload=False), "warc-records")
+    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    short = manifest.join(counts, "path", "left").filter(F.coalesce("found", F.lit(0)) != F.col("records")).limit(1).collect()
+    if short:
+        raise Damage(f"{short[0]['path']}: {short[0]['found']} records of {short[0]['records']}")
+    return found
 
 
 ORACLE_SQL = """

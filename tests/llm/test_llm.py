@@ -57,7 +57,7 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "é", "é" * 700), (None, "u", big)]
     pages = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, sha string")
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
-    assert len(got) == 9 and all(r["intact"] in (True, None) for r in got.values())
+    assert len(got) == 9
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items() if k} == {k: ("revisit", 7) if k in (1, 2) else ("response", None) for k in range(1, 9)}
     assert got[None]["record_type"] == "response"
     for i, _, h in rows:
@@ -70,10 +70,56 @@ def test_warc_ranges_own_each_record_once():
     junk = b"\x1f\x8b\x08 not a member" + gzip.compress(b"no record")
     data = b"".join(members[:30]) + junk + b"".join(members[30:])
     for size in (100, 777, 5000, 1 << 20):
-        found = [int(f["x-page-id"]) for lo in range(0, len(data), size) for _, f, _ in warc.records_in(io.BytesIO(data), len(data), lo, min(len(data), lo + size))]
+        found = [int(f["x-page-id"]) for lo in range(0, len(data), size) for _, f, _ in warc.records_in(io.BytesIO(data), len(data), lo, min(len(data), lo + size), strict=False)]
         assert found == list(range(60))
 
 
+def in_ranges(data, size):
+    return [f["x-page-id"] for lo in range(0, len(data), size) for _, f, _ in warc.records_in(io.BytesIO(data), len(data), lo, min(len(data), lo + size))]
+
+
+def test_warc_damage_is_an_error():
+    members = [warc.record(i, "u", random.Random(i).randbytes(i * 91 % 5000), None) for i in range(40)]
+    data = b"".join(members)
+    for size in (300, 4000, 1 << 20):
+        assert in_ranges(data, size) == [str(i) for i in range(40)]
+        for at in range(3, len(data), 1777):
+            bad = bytearray(data)
+            bad[at] ^= 0x10
+            try:
+                assert in_ranges(bytes(bad), size) == [str(i) for i in range(40)]  # a byte of a gzip header that carries nothing
+            except warc.Damage:
+                pass
+        for bad in (data[:-9], data[: len(data) // 2] + data[len(data) // 2 + 5 :], b"x" + data):
+            with pytest.raises(warc.Damage):
+                in_ranges(bad, size)
+
+
+def test_warc_of_many_ranges_and_a_hot_payload(spark):
+    """A hot payload, one larger than the reader's chunk, repeated rows, empty pages; archives read by small ranges."""
+    hot, huge = "h" * 1200, "".join(random.Random(3).choices("abcdefgh", k=3 << 20))
+    rows = [(i, "u", hot) for i in range(300)] + [(i, "u", "") for i in range(300, 400)] + [(500, "u", huge), (501, "u", huge), (502, None, "z"), (502, None, "z"), (299, "u", hot)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(pages, split_bytes=5000).collect()
+    refers = {**dict.fromkeys(range(299), 299), 500: 501}
+    want = [(i, "revisit" if i in refers else "response", refers.get(i)) for i, _, _ in rows]
+    order = lambda x: (x[0], x[1])
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=order) == sorted(want, key=order)
+    assert {r["payload_digest"] for r in got if r["page_id"] in (500, 501)} == {hashlib.sha1(huge.encode()).hexdigest()}
+
+
+def test_warc_manifest_must_match(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages, f"file://{tmp_path}/w")
+    assert {r["payload"].decode() for r in warc.read(manifest).collect()} == {f"text {i}" for i in range(20)}
+    path = manifest.first()["path"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[100] ^= 0x20  # inside the first member
+    open(path, "wb").write(bytes(data))
+    with pytest.raises(Exception, match="Damage|member at|no record|header says"):
+        warc.read(manifest).collect()
+
+
 # 2: near copies
 
 
