@@ -20,9 +20,12 @@ TRAIN_ROWS = 12_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE = 120, 60, 0.15
 
-FEATURES = ["chars", "words", "word_length", "unique_words", "upper", "digits", "bars", "exclamations", "symbols", "stops", "commas", "repeated_lines", "line_length", "longest_word", "wide_bytes", "word_entropy"]
-_UPPER, _DIGITS, _SYMBOLS, _ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~_=+<>{}[]\\", bytes(range(128))
-_LONG = re.compile(r"\S{30,}")
+FEATURES = [
+    "chars", "words", "word_length", "unique_words", "upper", "digits", "other", "runs", "marked_words", "stops", "commas", "repeated_lines", "line_length", "long_words", "wide_bytes", "word_entropy",
+]
+_UPPER, _DIGITS, _ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128))
+_PLAIN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 \t\r\n" + bytes(range(128, 256))
+_LONG, _RUN, _MARKED = re.compile(r"\S{30,}"), re.compile(rb"([^\s\w])\1"), re.compile(r"[^\w\s](?=\s|$)")
 
 
 def features(text: str) -> tuple[float, ...]:
@@ -32,7 +35,8 @@ def features(text: str) -> tuple[float, ...]:
     share = lambda chars: (n - len(data.translate(None, chars))) / n
     unique = len(set(words))
     return (
-        np.log1p(len(text)), np.log1p(len(words)), len(text) / k, unique / k, share(_UPPER), share(_DIGITS), data.count(b"|") / k, data.count(b"!") / k, share(_SYMBOLS), data.count(b".") / k, data.count(b",") / k,
+        np.log1p(len(text)), np.log1p(len(words)), len(text) / k, unique / k, share(_UPPER), share(_DIGITS), len(data.translate(None, _PLAIN)) / n, len(_RUN.findall(data)) / k,
+        len(_MARKED.findall(text)) / k, data.count(b".") / k, data.count(b",") / k,
         1 - len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)), len(_LONG.findall(text)) / k, (n - len(data.translate(None, _ASCII))) / n, np.log1p(unique) / np.log1p(k),
     )
 
@@ -52,12 +56,12 @@ class Model:
         b = self.bins(x)
         z = self.base + self.tables[np.arange(len(self.edges)), b].sum(1)
         for (i, j), t in zip(self.pairs, self.pair_tables, strict=True):
-            z = z + t[_coarse(b[:, i]), _coarse(b[:, j])]
+            z = z + t[self.coarse(b, i), self.coarse(b, j)]
         return 1 / (1 + np.exp(-z))
 
-
-def _coarse(b: np.ndarray) -> np.ndarray:
-    return b * PAIR_BINS // BINS
+    def coarse(self, b: np.ndarray, f: int) -> np.ndarray:
+        """A feature's bins, as many as its own edges make, in PAIR_BINS at most."""
+        return b[:, f] * PAIR_BINS // max(PAIR_BINS, len(self.edges[f]) + 1)
 
 
 def _cut(g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
@@ -109,7 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
             z += step[b[:, f]]
 
     def grids(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cell, q = _coarse(b[:, i]) * PAIR_BINS + _coarse(b[:, j]), 1 / (1 + np.exp(-z))
+        cell, q = model.coarse(b, i) * PAIR_BINS + model.coarse(b, j), 1 / (1 + np.exp(-z))
         grid = lambda w: np.bincount(cell, w, PAIR_BINS**2).reshape(PAIR_BINS, PAIR_BINS)
         return cell, grid(y - q), grid(q * (1 - q))
 
