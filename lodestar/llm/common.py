@@ -20,8 +20,8 @@ def _local_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path below the folder that driver and executors share.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a session on
     one machine; on a cluster its absence is an error.
@@ -31,7 +31,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
         base = _local_dir()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_base(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -62,3 +67,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key, without gathering the rows of a frequent key.
+
+    Keys with more than an eighth of a partition's even share of ``left``, of which there can't be more than eight a
+    partition, are joined by broadcast; the others by a shuffle. ``how`` is inner or left.
+    """
+    parts = shuffle_partitions(left.sparkSession)
+    counts = materialize(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"), "key-counts")
+    most = (counts.agg(F.sum("_copies")).first()[0] or 0) / (8 * parts)
+    hot = F.broadcast(counts.filter(F.col("_copies") > max(1.0, most)).select(key))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    rest = left.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, how)
+    out = left.join(hot, key, "left_semi").join(few, key, how).unionByName(rest)
+    return out if how == "inner" else out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -17,9 +17,9 @@ An id may stand on different texts. A row is therefore known by its id and ``mar
 stands; nodes are numbered, and a class is named by its smallest (id, mark).
 
 Two kinds of pairs are left, and only where the texts are of different classes: two texts of a key like none of its
-centres, and a text like a centre with one unlike it. Both similarities are one minus a metric, so two texts are alike
-only if their similarities to the centre differ by at most ``1 - SIMILARITY``. Such pairs are told apart by longer
-sketches of one bit a register, within the join; those that differ in few enough bits are compared in full. A bit is
+centres, and a text like a centre with one unlike it. They are found by further keys: ``MORE_BANDS`` bands of a longer
+sketch, so many that two texts of a similarity of 0.8 share none with a chance below one in a million. What shares one
+is told apart by sketches of one bit a register; those that differ in few enough bits are compared in full. A bit is
 taken from shingle and register together, so that the bits of a text of few shingles are independent too. At a
 similarity of 0.8 the bound (``DIFFER`` of ``BITS``) lies more than five standard deviations above the mean.
 """
@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize
+from lodestar.llm.common import discard, join_split, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 SMALL, SECOND = 8, 8
 BITS, DIFFER = 2048, 275
+MORE_BANDS, MORE_ROWS = 128, 10
+SALTS = 16
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -161,11 +163,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(content, pa.binary()), lists], names=["id", "mark", "content", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), F.xxhash64(text_col).alias("mark")).mapInArrow(run, "id long, mark long, content binary, keys array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col), F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"id {kind}, mark long, content binary, keys array<long>")
 
 
 def _bits(texts: DataFrame) -> DataFrame:
-    """id and two sketches of one bit a register, as longs: of the weighted shingles and of their set."""
+    """id, two sketches of one bit a register, as longs, of the weighted shingles and of their set, and ``more``, the further keys."""
     names = [f"{kind}{k}" for kind in ("weighted", "plain") for k in range(BITS // 64)]
     register = np.arange(BITS, dtype=np.uint64) * _MULTIPLIER
 
@@ -174,11 +177,14 @@ def _bits(texts: DataFrame) -> DataFrame:
             for lo in range(0, len(whole), 64):
                 batch = whole.slice(lo, 64)
                 sets = [shingles(word_hashes(t)) for t in batch.column(1).to_pylist()]
-                both = (sketch(s, BITS) for s in (sets, [(e, np.ones_like(n)) for e, n in sets]))
+                both = [sketch(s, BITS) for s in (sets, [(e, np.ones_like(n)) for e, n in sets])]
                 longs = np.concatenate([np.packbits(_mix(s ^ register) & np.uint64(1) > 0, axis=1).view(np.int64) for s in both], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy())], names=["id", *names])
+                weighted, plain = (_band_keys(s[:, : MORE_BANDS * MORE_ROWS], MORE_ROWS) for s in both)
+                more = [np.union1d(w, p) for w, p in zip(weighted, plain, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]), pa.int32()), pa.array(np.concatenate(more)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy()), lists], names=["id", *names, "more"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
+    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names) + ", more array<long>")
 
 
 def _close(left: str, right: str) -> Column:
@@ -228,19 +234,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def _candidates(members: DataFrame, small: int, centres: int) -> tuple[DataFrame, DataFrame]:
     """(key, id) -> pairs (a, b) to compare, and the members of large keys with their centres (key, id, centre)."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(members.join(sizes, "key"), "members")
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key-sizes")
+    members = materialize(join_split(members, sizes, "key"), "members")
     few = members.filter(F.col("n") <= small).select("key", "id")
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     large = members.filter(F.col("n") > small)
-    degree = large.groupBy("id").agg(F.sum("n").alias("degree"))
-    if centres == 1:
-        top = large.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("top"))
-        top = top.select("key", (-F.col("top.i")).alias("centre"))
-    else:
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-        top = large.join(degree, "id").withColumn("place", place).filter(F.col("place") <= centres).select("key", F.col("id").alias("centre"))
-    stars = large.join(top, "key").select("key", "id", "centre")
+    ranked = large.join(large.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+    best = F.sort_array(F.collect_list(F.struct((-F.col("degree")).alias("d"), "id")))
+    # the first members of each of a key's SALTS parts, then the first of those
+    part = ranked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for keys in (("key", "part"), ("key",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "id"))
+        part = part.withColumn("place", place).filter(F.col("place") <= centres)
+    top = materialize(part.groupBy("key").agg(F.transform(best, lambda x: x["id"]).alias("centres")), "centres")
+    stars = join_split(large.select("key", "id"), top, "key").select("key", "id", F.explode("centres").alias("centre"))
     pairs = pairs.union(stars.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
     return pairs.distinct(), stars
 
@@ -249,27 +256,31 @@ def _like() -> Column:
     return F.greatest("plain", "weighted") >= SIMILARITY
 
 
-def _left_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, id) of one key, of different classes and with close sketches. ``known``: id, root, sketches."""
-    left, right = members.join(known, "id").alias("l"), members.join(known, "id").alias("r")
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
-    return left.join(right, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+def _further_pairs(asking: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes, one of them in ``asking`` (id), that share a further key and have close
+    sketches. ``known``: id, root, sketches, ``more``. A key's texts are dealt over SALTS parts; those that ask go to each."""
+    keys = known.select("id", "root", F.explode("more").alias("key"))
+    right = keys.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    left = keys.join(asking, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = left.select(F.col("id").alias("l"), F.col("root").alias("l_root"), "key", "part")
+    met = left.join(right, ["key", "part"]).filter((F.col("l") != F.col("id")) & (F.col("l_root") != F.col("root")))
+    pairs = met.select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
+    sketches = known.drop("root", "more")
+    both = pairs.join(sketches.withColumnRenamed("id", "a").alias("l"), "a").join(sketches.withColumnRenamed("id", "b").alias("r"), "b")
+    return both.filter(_close("l", "r")).select("a", "b")
 
 
-def _border_pairs(spokes: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes, one like and one unlike their centre, that may be alike.
+def _border(spokes: DataFrame) -> DataFrame:
+    """Of spokes (centre, id, plain, weighted) the texts unlike their centre that may be alike to one which is like it.
 
-    ``spokes`` are (centre, id, plain, weighted). A text not like the centre comes into question if its similarity
-    lies at most ``1 - SIMILARITY`` below that of one which is.
+    Both similarities are one minus a metric, so two texts are alike only if their similarities to the centre
+    differ by at most ``1 - SIMILARITY``.
     """
     reach = 1 - SIMILARITY + 1e-9
     like, unlike = spokes.filter(_like()), spokes.filter(~_like())
     floors = like.groupBy("centre").agg(F.min("plain").alias("p"), F.min("weighted").alias("w"))
-    unlike = unlike.join(floors, "centre").filter((F.col("plain") >= F.col("p") - reach) | (F.col("weighted") >= F.col("w") - reach))
-    near = (F.abs(F.col("l.plain") - F.col("r.plain")) <= reach) | (F.abs(F.col("l.weighted") - F.col("r.weighted")) <= reach)
-    on = (F.col("l.centre") == F.col("r.centre")) & (F.col("l.root") != F.col("r.root")) & near & _close("l", "r")
-    pairs = unlike.join(known, "id").alias("l").join(like.join(known, "id").alias("r"), on)
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    near = (F.col("plain") >= F.col("p") - reach) | (F.col("weighted") >= F.col("w") - reach)
+    return unlike.join(floors, "centre").filter(near).select("id").distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: int) -> DataFrame:
@@ -287,7 +298,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: in
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             wanted = nodes.select("id", "mark", "node").join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
-            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+            texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
             texts = texts.join(wanted.hint("merge"), ["id", "mark"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
             texts = materialize(texts, "texts")
         found = materialize(_compare(pairs, texts), "compared")
@@ -303,7 +314,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: in
         starred = spokes.select("id").union(members.select("id")).distinct()
         known = _bits(texts.join(starred, "id", "left_semi")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         known = materialize(known, "sketches")
-        left = materialize(_left_pairs(members, known).union(_border_pairs(spokes, known)).distinct(), "left")
+        asking = materialize(members.select("id").union(_border(spokes)).distinct(), "asking")
+        left = materialize(_further_pairs(asking, known), "left")
         between = _compare(left, texts).filter(_like())
         for side in ("a", "b"):
             between = between.join(roots.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
@@ -314,11 +326,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: in
             roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
     linked = materialize(nodes.select("node", "id", "mark", "n").join(roots.withColumnRenamed("id", "node"), "node"), "linked")
     named = linked.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"), F.sum("n").alias("size"))
-    linked = linked.select("node", "root").join(named, "root").select("node", "first", "size")
+    linked = join_split(linked.select("node", "root"), materialize(named, "named"), "root").select("node", "first", "size")
     own = nodes.select("content", "node", "id", "mark", "n").join(linked, "node", "left")
     own = own.select("content", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.mark", "mark").alias("class_mark"), F.coalesce("size", "n").alias("class_size"))
     kept = F.col("id").isNull() | F.col("class_mark").isNull() | ((F.col("id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark")))
-    out = signed.select("id", "mark", "content").join(own, "content", "left")
+    out = join_split(signed.select("id", "mark", "content"), materialize(own, "classes"), "content", "left")
     return out.select("id", "mark", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
 
 
@@ -328,9 +340,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
     The row named by the class stays. Texts without a word (null, empty) are classes of their own, and so are
     rows with a null id, whose class is null and which stay. Of rows that repeat an id with the same text all are
     kept or dropped together; rows that repeat it with different texts are told apart, so that each class keeps its
-    own row, and classes named by the same id are counted apart. Other columns aren't read. An empty table gives an empty result. In a key's group larger than
-    ``small``, members are compared with one centre, those unlike it with ``second`` others, and the pairs then left
-    by their sketches.
+    own row, and classes named by the same id are counted apart. Ids may be of any type that has an order. Texts
+    are read whole, however long, and ties are broken by the smaller id. Other columns aren't read. An empty table gives
+    an empty result. In a key's group larger than ``small``, members are compared with one centre, those unlike it with
+    ``second`` others, and the pairs then left by further keys and sketches.
     """
     return _classes(docs, id_col, text_col, small, second).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
@@ -338,5 +351,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = _classes(docs, id_col, text_col, SMALL, SECOND).filter("NOT kept").select(F.col("id").alias("_dropped_id"), F.col("mark").alias("_dropped_mark")).distinct()
-    same = (docs[id_col].cast("long") == dropped["_dropped_id"]) & (F.xxhash64(docs[text_col]) == dropped["_dropped_mark"])
+    same = (docs[id_col] == dropped["_dropped_id"]) & (F.xxhash64(docs[text_col]) == dropped["_dropped_mark"])
     return docs.join(dropped, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -60,12 +60,18 @@ def _byte_letters() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=4)
 def same_by_ranks(path: str):
-    """The .json's byte-level BPE as ranks, which give the same ids several times faster; None if its ids aren't in order of its merges."""
+    """The .json's byte-level BPE as ranks, which give the same ids several times faster.
+
+    None where they might not: if the ids aren't in order of the merges, or if a vocabulary entry isn't what its own
+    bytes merge to (a rank encoder takes such an entry whole, the library never does). Then the library encodes.
+    """
     import json
 
     import public_tokenizers
     import tiktoken
 
+    from lodestar.llm.bpe import greedy
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, letters = spec["model"], _byte_letters()
@@ -74,6 +80,8 @@ def same_by_ranks(path: str):
     if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or ids != sorted(ids):
         return None
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    if any(len(greedy(token, ranks)) > 1 for token in ranks):
+        return None
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:

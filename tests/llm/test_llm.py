@@ -206,7 +206,7 @@ def test_sketches_lose_no_short_pair(spark):
             text = [f"v{words}x{k}x{w}" for w in range(words)]
             rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[:-own]))]
     known = neardup._bits(spark.createDataFrame(rows, "id long, text string")).withColumn("root", F.col("id")).persist()
-    found = {(r["a"], r["b"]) for r in neardup._left_pairs(known.select(F.lit(1).alias("key"), "id"), known).collect()}
+    found = {(r["a"], r["b"]) for r in neardup._further_pairs(known.select("id"), known).collect()}
     assert len(brute_links(rows)) == 200 and set(brute_links(rows)) <= found
 
 
@@ -278,6 +278,16 @@ def test_token_counts(spark, tmp_path):
         assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == sorted((i or 0, len((t or "").encode()), n := len(reference_ids(t)), n > 512) for i, t in ODD)
     assert spark.read.parquet(cache).count() == len({t or "" for _, t in ODD})
     assert tokencount.count_tokens(docs(spark, []), JSON, cache).count() == 0
+    # what is stored is taken as it is: a second call encodes nothing
+    other = f"file://{tmp_path}/other"
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000).write.parquet(other)
+    for broadcast in (tokencount.BROADCAST_DIGESTS, 0):
+        tokencount.BROADCAST_DIGESTS, kept = broadcast, tokencount.BROADCAST_DIGESTS
+        got = tokencount.count_tokens(docs(spark, [*ODD, (99, "new text")]), JSON, other).collect()
+        tokencount.BROADCAST_DIGESTS = kept
+        assert {r["doc_id"] for r in got if r["n_tokens"] < 1000} <= {99} and len(got) == len(ODD) + 1
+    hot = [(k, "the same") for k in range(500)] + ODD
+    assert sum(r["n_tokens"] for r in tokencount.count_tokens(docs(spark, hot), JSON).collect()) == sum(len(reference_ids(t)) for _, t in hot)
 
 
 @settings(max_examples=300, deadline=None)
