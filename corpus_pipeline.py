@@ -1,51 +1,5 @@
-"""From raw documents to packed training sequences. Each stage's rows are written, and read as the next one's."""
+"""The corpus pipeline as a script's worth of names: its stages, its SQL and how to run it."""
 
-from __future__ import annotations
+from lodestar.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from lodestar.llm import exactdedup, langid, neardup, packing, quality, queries
-from lodestar.llm.common import materialize, table
-from lodestar.llm.tokenizers_io import public_path
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; learnt as in the language query."""
-    return langid.predict(docs, queries.language_model(table(spark, sf_dir, "documents")), keep=True)
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at least one half; learnt as in the quality query."""
-    model = queries.quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exactdedup.drop_copies(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_near_copies(docs)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_path(queries.TOKENIZER))
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("quality_classifier", quality_classifier),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: SQL can't express the compression, the additive model, the sketches or the packing.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

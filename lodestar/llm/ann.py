@@ -227,8 +227,8 @@ def search(
     nodes: list = []
     if cells > 1:
         share = min(1.0, 2 * SAMPLE_ROWS / n)
-        sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(SAMPLE_ROWS).toArrow()
-        nodes = cell_splits(space.points(_matrix(sample.column(0).combine_chunks(), width)), cells) if len(sample) else []
+        sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(SAMPLE_ROWS).collect()
+        nodes = cell_splits(space.points(np.array([r["v"] for r in sample], dtype=float)), cells) if sample else []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

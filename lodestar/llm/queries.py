@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import ann, bpe, exactdedup, htmltext, langid, neardup, packing, quality, tokencount, warc
+from lodestar.llm import pipeline as stages
 from lodestar.llm.common import held_out, table
 from lodestar.llm.tokenizers_io import public_path
 
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +23,9 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-def language_model(docs: DataFrame) -> dict[str, bytes]:
-    return langid.learn(docs.filter(F.col("lang").isNotNull() & ~held_out("doc_id", 4, 2)))
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.predict(docs, language_model(docs))
+    found = langid.predict(docs, stages.language_model(docs))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -37,11 +34,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_path(stages.TOKENIZER))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), public_path(stages.TOKENIZER))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,24 +53,20 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    return quality.learn(docs, labels.filter(~held_out("doc_id", 3, 1)))
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, stages.quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_near_dedup, op3_language_id, op4_exact_dedup, op5_token_counts, op6_packing, op7_bpe, op8_html_text, op9_ann, op10_quality, pipeline)
+    own = (
+        op1_warc, op2_near_dedup, op3_language_id, op4_exact_dedup, op5_token_counts, op6_packing, op7_bpe, op8_html_text, op9_ann, op10_quality, pipeline,
+    )
     return {f.__name__: f for f in own}
 
 

@@ -248,6 +248,36 @@ def test_language_of_few_texts_with_many_copies(spark):
     assert sorted(model["aa"].decode().split("\n")) == sorted(f"text number {k}" for k in range(50))
 
 
+@functools.cache
+def driver_rows(table, *columns):
+    import pyarrow.parquet as pq
+
+    return [tuple(r.values()) for r in pq.read_table(f"/root/testdata/sf0.01/{table}.parquet", columns=list(columns)).to_pylist()]
+
+
+def test_language_on_held_out_documents(spark):
+    """The query on the driver's tables: split by crc32, each verdict as the classifier gives it, accuracy on held-out rows."""
+    from lodestar.llm import pipeline, queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op3_language_id(spark, sf).collect()}
+    rows = driver_rows("documents", "doc_id", "text", "lang")
+    classify = langid.Classifier(pipeline.language_model(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert len(got) == len(rows) and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in rows)
+    for i, text, _ in rows[::7]:
+        if text and any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == classify(text)[:2]
+    held = [(got[i]["lang_pred"], lang) for i, _, lang in rows if got[i]["held_out"] and lang]
+    assert sum(a == b for a, b in held) >= 0.98 * len(held)
+
+
+def test_language_odd_rows(spark):
+    model = {"aa": b"the and thing with", "bb": b"der und nicht keit"}
+    rows = [(None, "the thing with"), (1, "the thing with"), (1, "the thing with"), (2, "zzzz qqqq"), (3, "x")]
+    got = sorted(((r["doc_id"] or 0, r["lang_pred"], r["rejected"]) for r in langid.predict(docs(spark, rows), model).collect()))
+    assert got == [(0, "aa", False), (1, "aa", False), (1, "aa", False), (2, "aa", True), (3, "aa", True)]
+
+
 # 4: exact copies
 
 
@@ -338,9 +368,41 @@ def test_plan_places_each_piece_once(lengths):
         assert [o for o, _ in parts] == list(np.cumsum([0, *(n for _, n in parts)])[:-1]) and sum(n for _, n in parts) <= 40
 
 
+def test_plan_is_no_worse_than_best_fit(spark):
+    """On the driver's documents and on made-up lengths; 193 and 964 are what best fit alone needs for the former."""
+
+    def sequences(runs):
+        return max((first + n for _, _, n, first, _ in runs), default=0)
+
+    count = tokenizers_io.unit_encoder(JSON, True)
+    for sf, most in (("sf0.001", 193), ("sf0.01", 964)):
+        counts = np.zeros(1025, int)
+        for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect():
+            n = count(r["text"] or "") + 1
+            counts[1024] += (n - 1) // 1024
+            counts[(n - 1) % 1024 + 1] += 1
+        assert sequences(packing.plan(counts)) <= most
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        counts = np.bincount(rng.integers(1, 101, 300 * (seed + 1)), minlength=101) * (1 + 1000 * (seed % 2))
+        assert sequences(packing.plan(counts)) <= sequences(packing._plan(counts, 101))
+
+
 # 7: BPE
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abthei nrs")), max_size=60).map(str.encode), st.integers(0, 60))
+def test_bpe_monoid(piece, at):
+    """The product of any two parts is the encoding of the whole."""
+    ranks = tokenizers_io.read_ranks(RANKS)
+    monoid = bpe.Monoid(ranks)
+    whole = bpe.greedy(piece, ranks)
+    assert monoid.reduce(piece) == whole and monoid.join(monoid.reduce(piece[:at]), monoid.reduce(piece[at:])) == whole
+
+
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abthei nrs1.'é漢\n ")), max_size=400))
 def test_bpe_like_tiktoken(text):
@@ -363,6 +425,99 @@ def test_bpe_long_runs_and_odd_rows(spark):
 # 8: HTML
 
 
+def test_html_of_the_driver_pages():
+    """By construction an article's blocks are its heading and its paragraphs: read again by splitting at their tags."""
+    import html as entities
+    import re
+
+    for (page,) in driver_rows("pages", "html"):
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        parts = [entities.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split() for p in re.split(r"</?(?:p|h1)>", article)]
+        assert htmltext.main_text(page) == "\n".join(" ".join(p) for p in parts if p)
+
+
+def test_html_blocks_like_a_parser():
+    """Texts and link densities of blocks against the standard library's parser, on pages that close what they open."""
+    from html.parser import HTMLParser
+
+    class Slow(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text, self.links, self.link, self.drop = [], "", "", 0, 0
+
+        def cut(self):
+            if words := self.text.split():
+                self.out.append((" ".join(words), round(min(1, len(self.links.split()) / len(words)), 6)))
+            self.text = self.links = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.drop += tag in htmltext.DROPPED.split()
+            self.link += tag == "a"
+            if tag in htmltext.BLOCKS:
+                self.cut()
+            if tag == "a":
+                self.links += " "
+            if tag == "br":
+                self.text, self.links = self.text + " ", self.links + " "
+
+        def handle_endtag(self, tag):
+            self.drop -= tag in htmltext.DROPPED.split()
+            self.link -= tag == "a"
+            if tag in htmltext.BLOCKS:
+                self.cut()
+
+        def handle_data(self, data):
+            if not self.drop:
+                self.text += data
+                self.links += data if self.link else ""
+
+    rng = random.Random(11)
+    inline = lambda: rng.choice(["word ", "more &amp; more ", "<b>bold</b> ", "<a href='x>y'>a link</a> ", "<br>", "<script>if (a<b) x('</p>')</script>", "<!-- <p>no</p> -->", "é&eacute; "])
+    for _ in range(200):
+        page = "".join(f"<{t} class=\"c > d\">{''.join(inline() for _ in range(rng.randint(0, 8)))}</{t}>" for t in rng.choices(["p", "div", "li", "h2", "td", "section"], k=12))
+        slow = Slow()
+        slow.feed(page)
+        slow.cut()
+        assert [(b[0], round(b[2], 6)) for b in htmltext.blocks(page)] == slow.out
+
+
+def test_html_unclosed_and_odd_markup():
+    long = "word " * 40
+    for page, want in (
+        ("<html><head><title>t</title><body><article><p>abc def", "abc def"), ("<article><p>one<button>two<p>three", "one two\nthree"),
+        ("<article><p>one<select><option>two<p>three", "one\ntwo\nthree"), ("<article>a <math>x+y</math> b <noscript>z</noscript> <object>w</object></article>", "a x+y b z w"),
+        ("<article><h1>x</h1>a < b<button><div>go</div></button><textarea>t</textarea> c</article>", "x\na < b c"), ("<article>a<p>b<svg><title>s</title></svg></article>", "a\nb"),
+        (f"<div class='has-sidebar'><article><p>{long}</article></div>", long.strip()), (f"<article><p>{long}<div class=advert>buy</div></article>", long.strip()),
+        (f"<article><p>{long}</p><ul>" + "<li><a href=x>link one</a>" * 20 + "</ul></article>", long.strip()), ("<article><p>a</p><!-- <p>b", "a"),
+        (f"<div id=menu><a>A</a></div><article><p>{long}</article><section class=comments><article><p>{long}</article></section>", long.strip()),
+        ("<p>" + "<a href=u><div>card text</div></a>" * 3, ""),
+    ):
+        assert htmltext.main_text(page) == want, page[:80]
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for part in ("<a ", "<a =\"", "<a =\"x>\" ", "<div>", "</ul><ul>", "<button>", "<", "<!--", "</a", "<a>x", "<select x", "&amp", "<p>w "):
+        began = time.perf_counter()
+        htmltext.main_text(part * ((1 << 20) // len(part)))
+        assert time.perf_counter() - began < 8, part
+
+
+def test_html_tree_learns_the_labelled_table():
+    x, y = htmltext.labelled_table()
+    used = set()
+
+    def verdict(row, node):
+        while not isinstance(node, int):
+            used.add(htmltext.FEATURES[node[0]])
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    assert all(verdict(row, htmltext.tree()) == label for row, label in zip(x.tolist(), y, strict=True))
+    assert {"links", "words", "words_after", "links_before", "links_after"} <= used
+
+
 def test_html(spark):
     long = "word " * 40
     page = f"""<html><head><title>No</title><style>p{{}}</style></head><body><header><p>{long}</p></header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="ad">Buy</div>
@@ -427,18 +582,92 @@ def test_quality(spark):
     assert quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0)).score(np.zeros((1, len(quality.FEATURES))))[0] == pytest.approx(0.5)
 
 
+def test_quality_on_held_out_labels(spark):
+    """The query on the driver's tables: split by crc32, scores as the model gives them, accuracy on held-out labels."""
+    from lodestar.llm import pipeline, queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
+    rows, labels = driver_rows("documents", "doc_id", "text"), dict(driver_rows("labels", "doc_id", "quality"))
+    model = pipeline.quality_model(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(got) == len(rows) and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in rows)
+    for i, text in rows[::7]:  # the additive score, a feature and a pair at a time
+        b = model.bins(np.array([quality.features(text or "")]))[0]
+        z = model.base + sum(model.tables[f][b[f]] for f in range(len(b)))
+        coarse = lambda f: b[f] * quality.PAIR_BINS // max(quality.PAIR_BINS, len(model.edges[f]) + 1)  # noqa: B023, E731
+        z += sum(t[coarse(f), coarse(g)] for (f, g), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z))) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+    held = [got[i]["predicted"] == q for i, q in labels.items() if q is not None and i in got and got[i]["held_out"]]
+    assert sum(held) >= 0.97 * len(held)
+
+
+def test_quality_pairs_of_features_with_few_values():
+    """What only a pair of two-valued features tells is learnt."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((2000, len(quality.FEATURES)))
+    x[:, 5], x[:, 7] = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
+    y = (x[:, 5] != x[:, 7]).astype(float)
+    assert ((quality.fit(x, y).score(x) >= 0.5) == y).mean() > 0.99
+
+
 # the pipeline
 
 
-def test_pipeline_stages(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
+def classes_by_brute_force(rows):
+    """id -> smallest id of its class, over texts with a word."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in brute_links(rows):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in root}
+
+
+def test_pipeline_stages_like_brute_force(spark):
+    """Every stage on the smallest tables with odd rows and clashing columns, its decisions made again text by text."""
+    from lodestar.llm import pipeline
+
     sf = "/root/testdata/sf0.001"
-    got = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, sizes = got.columns, [got.count()]
-    for name, stage in pipeline.STAGES:
-        got = stage(spark, got, sf)
-        if name != "best_fit_packing":
-            assert got.columns == columns
-            got = got.persist()
-            sizes.append(got.count())
-    assert sizes == sorted(sizes, reverse=True) and got.select(F.countDistinct("doc_id")).first()[0] == sizes[-1]
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(f"word{k % 977}" for k in range(60_000))
+    odd = [(10_001, None), (10_002, ""), (10_003, "  "), (10_004, long), (None, "an odd row without id, of words enough to tell"), (10_006, "12 34 !!")]
+    first = given.filter("length(text) > 200").orderBy("doc_id").first()
+    odd += [(10_007, first["text"].upper()), (10_008, first["text"] + " end"), (10_008, first["text"] + " end")]
+    got = given.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    got = got.withColumn("keep_id", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("score", F.lit("s")).persist()
+    schema = got.schema
+    learned = langid.Classifier(pipeline.language_model(given))
+    model = pipeline.quality_model(given, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    for name, stage in pipeline.STAGES[:-1]:
+        before, got = rows(got), stage(spark, got, sf).persist()
+        assert got.schema.names == schema.names and pipeline.STAGES and stage(spark, got.limit(0), sf).count() == 0
+        if name == "language_id":
+            want = [(i, t) for i, t in before if t and any(c.isalpha() for c in t) and learned(t)[2] >= langid.MIN_MARGIN]
+        elif name == "quality_classifier":
+            want = [(i, t) for i, t in before if model.score(np.array([quality.features(t or "")]))[0] >= 0.5]
+        elif name == "exact_dedup":
+            norm, last = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""), {}
+            for i, t in before:
+                if norm(t) not in last or (i or -1) > (last[norm(t)][0] or -1):
+                    last[norm(t)] = (i, t)
+            want = sorted(last.values(), key=str)
+        else:
+            named = [(i, t) for i, t in before if i is not None]
+            cls = classes_by_brute_force(named)
+            want = [(i, t) for i, t in before if i is None or cls[i] == i]
+        assert rows(got) == want, name
+    packed = pipeline.best_fit_packing(spark, got, sf).collect()
+    ids = {i: np.array([*reference_ids(t), 2], "<u4") for i, t in rows(got)}
+    assert sum(r["length"] for r in packed) == sum(map(len, ids.values()))
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in packed)
+
+
+def test_pipeline_script():
+    script = pytest.importorskip("corpus_pipeline")
+    assert [n for n, _ in script.STAGES] == ["language_id", "quality_classifier", "exact_dedup", "near_dedup", "best_fit_packing"] and script.ORACLE_SQL is None
