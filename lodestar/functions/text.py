@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: File extensions by modality.
-IMAGE_EXT = ["jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff"]
-AUDIO_EXT = ["mp3", "wav", "flac", "m4a", "aac", "ogg"]
-VIDEO_EXT = ["mp4", "avi", "mov", "mkv", "webm", "flv"]
+IMAGE_EXT = ["jpg", "jpeg", "png", "gif", "webp", "bmp", "svg", "tiff", "tif", "ico", "heic", "heif"]
+AUDIO_EXT = ["mp3", "wav", "m4a", "aac", "flac", "ogg", "opus", "wma"]
+VIDEO_EXT = ["mp4", "mov", "avi", "mkv", "webm", "flv", "wmv", "m4v", "mpeg", "mpg"]
 
 
 def trimmed(c: Column, n: int, mark: str = "…") -> Column:
@@ -90,20 +92,16 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), r"\n+", "\n"))
 
 
-def deictic(query: Column) -> Column:
-    """Whether a short query points at something it doesn't name."""
-    return (F.length(query) <= 40) & F.lower(query).rlike("(^|[^a-z])(this|that|these|those|it)([^a-z]|$)")
-
-
-def any_keyword(query: Column, keywords: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.lower(query), k))
-
-
 def timestamp_text(x: Column) -> Column:
     """Epoch seconds or milliseconds as text."""
     return F.from_unixtime((F.when(x > 1e12, x / 1000).otherwise(x)).cast("long"), "yyyy-MM-dd HH:mm:ss")
 
 
-def number_text(x: Column) -> Column:
-    """Whole numbers without a point, others rounded to four decimals without trailing zeros."""
-    return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""))
+@F.pandas_udf(StringType())
+def number_text(x: pd.Series) -> pd.Series:
+    """Whole numbers without a point, others with four significant digits, NaN as nothing."""
+
+    def one(v: float) -> str:
+        return "" if v != v else str(int(v)) if abs(v) < 1e300 and abs(v - int(v)) < 1e-9 else f"{v:.4g}"
+
+    return x.map(one).astype(object)

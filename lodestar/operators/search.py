@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the retrieval model.
 RRF_K, STORE_RRF_K = 60, 2
 ROUTE_WEIGHTS = {"dense": 1.0, "sparse": 0.8, "visual": 1.2, "audio": 1.0, "video": 1.1, "selected_file": 2.4}
+PORTRAITS = 30
 DECAY, DECAY_TOP, NO_MATCH, DOMINANT_GAP = 0.9, 5, 0.08, 0.3
 CE_WEIGHT, TOTAL_WEIGHT = 0.7, 0.3
 
@@ -45,19 +46,53 @@ def top(df: DataFrame, n: int, by: Column, keys: tuple[str, ...] = ("query_id",)
     return df.withColumn(rank, F.row_number().over(order) - 1).filter(F.col(rank) < n)
 
 
-def dense_search(scope: DataFrame, points: DataFrame, limit: int = 20, threshold: float | None = 0.0) -> DataFrame:
-    """scope (query_id, kb_id, query_vec), points (id, kb_id, vec) -> query_id, id, score, rank. Only points of a query's knowledge bases are scored."""
-    scored = points.join(scope, "kb_id").withColumn("score", cosine(F.col("vec"), F.col("query_vec")))
+def dense_search(scope: DataFrame, points: DataFrame, limit: int = 20, threshold: float | None = 0.0, parts: int = 4) -> DataFrame:
+    """scope (query_id, kb_id, query_vec), points (id, kb_id, vec) -> query_id, id, kb_id, score, rank.
+
+    Only points of a query's knowledge bases are scored. Both sides are made unit vectors once, so that a pair costs
+    one product. A knowledge base's points are dealt over ``parts``, each of which keeps its own first ``limit``.
+    """
+    base = points.select("id", "kb_id", unit(F.col("vec")).alias("_u"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"))
+    asking = scope.select("query_id", "kb_id", unit(F.col("query_vec")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    scored = base.join(asking, ["kb_id", "_part"]).select("query_id", "id", "kb_id", "_part", dot(F.col("_u"), F.col("_q")).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
-    return top(scored, limit, F.col("score")).select("query_id", "id", "kb_id", "score", "rank")
+    first = top(scored, limit, F.col("score"), ("query_id", "_part"))
+    return top(first, limit, F.col("score")).select("query_id", "id", "kb_id", "score", "rank")
+
+
+def nearest_portraits(queries: DataFrame, portraits: DataFrame, limit: int = PORTRAITS, block: int = 2000) -> DataFrame:
+    """queries (query_id, query_vec), portraits (kb_id, cluster, vec) -> query_id, kb_id, cluster, sim: each query's nearest portraits.
+
+    Portraits are dealt into blocks of about ``block``, and each block meets the queries on its own: none is sent whole.
+    """
+    blocks = max(1, -(-portraits.count() // block))
+    base = portraits.select("kb_id", "cluster", unit(F.col("vec")).alias("_u"), F.pmod(F.xxhash64("kb_id", "cluster"), F.lit(blocks)).cast("int").alias("_part"))
+    asking = queries.select("query_id", unit(F.col("query_vec")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_part"))
+    scored = base.join(asking, "_part").select("query_id", "kb_id", "cluster", "_part", dot(F.col("_u"), F.col("_q")).alias("sim"))
+    order = (F.desc("sim"), F.col("kb_id"), F.col("cluster"))
+    for keys in (("query_id", "_part"), ("query_id",)):
+        scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= limit)
+    return scored.select("query_id", "kb_id", "cluster", "sim")
+
+
+def sparse_search(query_terms: DataFrame, terms: DataFrame, limit: int = 15, by: tuple[str, ...] = (), salts: int = 8) -> DataFrame:
+    """query_terms (query_id, token, weight, *by), terms (id, token, weight, *by) -> the largest dot products over shared tokens.
+
+    Postings of a token are dealt over ``salts`` parts by id, so that no task holds a frequent token's rows; a part's
+    sums are complete, since an id lies in one part.
+    """
+    q = query_terms.select("query_id", "token", F.col("weight").alias("query_weight"), *by)
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = terms.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    scored = dealt.join(q, ["token", "_part", *by]).groupBy("query_id", "id", *by).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+    return top(scored, limit, F.col("score"))
 
 
-def sparse_search(query_terms: DataFrame, terms: DataFrame, limit: int = 15) -> DataFrame:
-    """query_terms (query_id, token, weight), terms (id, token, weight) -> the largest dot products over shared tokens."""
-    q = query_terms.select("query_id", "token", F.col("weight").alias("query_weight"))
-    scored = terms.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
-    return top(scored, limit, F.col("score"))
+def sparse_text(dense: Column, keywords: Column, original: Column) -> Column:
+    """What the sparse route asks with: the dense query, else the keywords, else the question; null if all are blank."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(blank(dense), blank(F.array_join(keywords, " ")), blank(original))
 
 
 def store_fusion(routes: DataFrame, limit: int, threshold: float | None = None, k: int = STORE_RRF_K) -> DataFrame:
@@ -81,8 +116,12 @@ def route_scores(hits: DataFrame) -> DataFrame:
     return raw.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low)))
 
 
-def route_decision(scores: DataFrame) -> DataFrame:
-    """query_id, kb_id, raw, norm, method: the knowledge bases to search; all if even the best is below the least similarity, one if it leads clearly, else two."""
+def route_decision(scores: DataFrame, kbs: DataFrame | None = None) -> DataFrame:
+    """query_id, kb_id, raw, norm, method: the knowledge bases to search.
+
+    One if it leads clearly, else two. If even the best is below the least similarity, all of ``kbs`` (kb_id), each
+    with the confidence 1; without that list, all that have a score.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("norm"), "kb_id")
     every = Window.partitionBy("query_id")
     ranked = scores.withColumn("place", F.row_number().over(order)).withColumn("best", F.max("raw").over(every))
@@ -90,32 +129,64 @@ def route_decision(scores: DataFrame) -> DataFrame:
     gap = F.max(F.when(F.col("place") == 1, F.col("norm"))).over(every) - second
     method = F.when(F.col("best") < NO_MATCH, "low_confidence").when(F.col("gap") >= DOMINANT_GAP, "single_kb_dominant").otherwise("dual_kb")
     chosen = ranked.withColumn("gap", gap).withColumn("method", method)
-    return chosen.filter((F.col("method") == "low_confidence") | (F.col("place") <= F.when(F.col("method") == "dual_kb", 2).otherwise(1))).select("query_id", "kb_id", "raw", "norm", "method")
-
-
-def weighted_rrf(hits: DataFrame, weights: dict[str, float] | None = None, limit: int = 50, k: int = RRF_K) -> DataFrame:
-    """hits (query_id, route, id, rank from 0) -> query_id, id, score, routes, rank."""
-    table = F.create_map(*[F.lit(x) for pair in (weights or ROUTE_WEIGHTS).items() for x in pair])
-    part = F.coalesce(table[F.col("route")], F.lit(0.0)) / (F.lit(k) + F.col("rank"))
+    low = F.col("method") == "low_confidence"
+    led = chosen.filter(~low & (F.col("place") <= F.when(F.col("method") == "dual_kb", 2).otherwise(1))).select("query_id", "kb_id", "raw", "norm", "method")
+    unsure = chosen.filter(low)
+    if kbs is not None:
+        lost = unsure.filter("place = 1").select("query_id", "method", F.explode(F.lit([0])).alias("_all"))
+        raw = unsure.select("query_id", "kb_id", "raw")
+        unsure = kbs.select("kb_id", F.lit(0).alias("_all")).join(lost, "_all").join(raw, ["query_id", "kb_id"], "left")
+    return led.unionByName(unsure.select("query_id", "kb_id", "raw", F.lit(1.0).alias("norm"), "method"))
+
+
+def weighted_rrf(hits: DataFrame, weights: dict[str, float] | Column | None = None, limit: int = 50, k: int = RRF_K) -> DataFrame:
+    """hits (query_id, route, id, rank from 0) -> query_id, id, score, routes, rank. Weights by route, or a column of ``hits``."""
+    if not isinstance(weights, Column):
+        weights = F.coalesce(F.create_map(*[F.lit(x) for pair in (weights or ROUTE_WEIGHTS).items() for x in pair])[F.col("route")], F.lit(0.0))
+    part = weights / (F.lit(k) + F.col("rank"))
     fused = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.array_join(F.sort_array(F.collect_set("route")), ",").alias("routes"))
     return top(fused, limit, F.col("score"))
 
 
-def merge_scores(candidates: DataFrame) -> DataFrame:
-    """candidates (query_id, id, total, ce) -> final: 0.7 ce + 0.3 total. A first candidate well ahead of the second gets a larger share of total."""
+def settled_types(hits: DataFrame, order: list[str] = list(ROUTE_WEIGHTS)) -> DataFrame:
+    """hits (query_id, route, id, content_type) -> query_id, id, content_type, payload_route: where routes disagree on a row, video
+    wins, else the first route's type; the last route's payload is kept."""
+    place = F.array_position(F.lit(order), F.col("route"))
+    first, last = F.min_by("content_type", place), F.max_by("route", place)
+    kind = F.when(F.bool_or(F.col("content_type") == "video"), "video").otherwise(first)
+    return hits.groupBy("query_id", "id").agg(kind.alias("content_type"), last.alias("payload_route"))
+
+
+def merge_scores(candidates: DataFrame, protect: Column | None = None) -> DataFrame:
+    """candidates (query_id, id, total, ce) -> final: 0.7 ce + 0.3 total.
+
+    A first candidate well ahead of the second gets a larger share of total. Rows that meet ``protect`` (images where
+    they only enrich) are scored half by ce and half as much again by total.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("total"), "id")
     gap = (F.col("total") - F.lead("total").over(order)) / F.when(F.col("total") != 0, F.col("total"))
-    ranked = candidates.withColumn("place", F.row_number().over(order)).withColumn("gap", gap)
+    kept = candidates.withColumn("_protect", F.lit(False) if protect is None else protect)
+    ranked = kept.withColumn("place", F.row_number().over(order)).withColumn("gap", gap)
     ahead = (F.col("place") == 1) & (F.col("gap") > 0.2)
     w = F.when(ahead, F.least(F.lit(0.5), TOTAL_WEIGHT * (1 + F.col("gap")))).otherwise(TOTAL_WEIGHT)
-    return ranked.withColumn("final", (1 - w) * F.coalesce("ce", "total") + w * F.col("total")).select("query_id", "id", "total", "ce", "final")
-
-
-def final_cut(ranked: DataFrame, limit: int = 10, score: str = "final", image: str = "is_image") -> DataFrame:
-    """With images protected: up to ``limit`` images keep their places, other rows fill the rest, text first."""
-    place = F.row_number().over(Window.partitionBy("query_id", image).orderBy(F.desc(score), "id"))
+    ce, total = F.coalesce("ce", "total"), F.col("total")
+    least = 1.5 * TOTAL_WEIGHT
+    pw = F.when(ahead, F.least(F.lit(2.0), least * (1 + F.col("gap")))).otherwise(least)
+    pc = F.when(ahead, 1 - (pw - least)).otherwise(0.5 * CE_WEIGHT)
+    final = F.when(F.col("_protect"), pc * ce + pw * total).otherwise((1 - w) * ce + w * total)
+    return ranked.withColumn("final", final).select("query_id", "id", "total", "ce", "final")
+
+
+def final_cut(ranked: DataFrame, limit: int = 10, score: str = "final", image: str = "is_image", protect: Column | None = None) -> DataFrame:
+    """The first ``limit`` rows. Where images are protected (everywhere, unless ``protect`` says where), up to ``limit`` of them keep
+    their places, other rows fill the rest, text first."""
+    protect = F.lit(True) if protect is None else protect
+    by = (F.desc(score), F.col("id"))
+    place = F.row_number().over(Window.partitionBy("query_id", image).orderBy(*by))
+    overall = F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
     images = F.least(F.lit(limit), F.sum(F.col(image).cast("int")).over(Window.partitionBy("query_id")))
-    kept = ranked.withColumn("_place", place).withColumn("_images", images)
-    kept = kept.filter(F.when(F.col(image), F.col("_place") <= F.col("_images")).otherwise(F.col("_place") <= limit - F.col("_images")))
-    order = Window.partitionBy("query_id").orderBy(F.col(image), F.desc(score), "id")
-    return kept.withColumn("position", F.row_number().over(order)).drop("_place", "_images")
+    kept = ranked.withColumn("_protect", protect).withColumn("_place", place).withColumn("_overall", overall).withColumn("_images", images)
+    reserved = F.when(F.col(image), F.col("_place") <= F.col("_images")).otherwise(F.col("_place") <= limit - F.col("_images"))
+    kept = kept.filter(F.when(F.col("_protect"), reserved).otherwise(F.col("_overall") <= limit))
+    order = Window.partitionBy("query_id").orderBy(F.col("_protect") & F.col(image), F.desc(score), "id")
+    return kept.withColumn("position", F.row_number().over(order)).drop("_place", "_images", "_overall", "_protect")

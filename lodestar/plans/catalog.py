@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from lodestar.plans import content, corpus, ingest, retrieval  # noqa: F401  they register their queries
+from lodestar.plans import content, corpus, ingest, intents, retrieval, routes  # noqa: F401  they register their queries
 from lodestar.plans.registry import QUERIES, SQL

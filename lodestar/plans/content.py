@@ -78,18 +78,18 @@ def questions(spark, sf_dir):
     return b.select("item_id", T.question(F.col("text")).alias("question"), T.canonical_key(F.col("text")).alias("key"), T.trimmed(F.col("text"), 40).alias("short"))
 
 
-_KEYS = ["picture", "photo", "the image", "video", "sound"]
+_EXTENSIONS = [
+    *[(e, "image") for e in ("jpg", "jpeg", "png", "gif", "webp", "bmp", "svg", "tiff", "tif", "ico", "heic", "heif")],
+    *[(e, "audio") for e in ("mp3", "wav", "m4a", "aac", "flac", "ogg", "opus", "wma")],
+    *[(e, "video") for e in ("mp4", "mov", "avi", "mkv", "webm", "flv", "wmv", "m4v", "mpeg", "mpg")],
+    *[(e, "doc") for e in ("pdf", "docx", "txt", "md", "csv")],
+]
 
 
-@query("SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{k}')" for k in _KEYS) + " AS visual, length(text) <= 40 AND regexp_matches(lower(text), '(^|[^a-z])(this|that|these|those|it)([^a-z]|$)') AS deictic FROM conversations")
-def intent_keywords(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.any_keyword(F.col("text"), _KEYS).alias("visual"), T.deictic(F.col("text")).alias("deictic"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'image' WHEN p_size % 4 = 1 THEN 'audio' WHEN p_size % 4 = 2 THEN 'video' ELSE 'doc' END AS modality FROM part")
+@query(f"SELECT p_partkey, {[kind for _, kind in _EXTENSIONS]}[p_partkey % {len(_EXTENSIONS)} + 1] AS modality FROM part")
 def file_modality(spark, sf_dir):
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("PNG", "mp3", "mkv", "pdf")]), (F.col("p_size") % 4 + 1).cast("int"))
+    names = F.array(*[F.lit(e if i % 2 else e.upper()) for i, (e, _) in enumerate(_EXTENSIONS)])
+    ext = F.get(names, (F.col("p_partkey") % len(_EXTENSIONS)).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", T.modality(F.concat(F.lit("dir.x/"), F.col("p_name"), F.lit("."), ext)).alias("modality"))
 
 
@@ -143,9 +143,12 @@ def kb_text_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", score.cast("int").alias("score"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN floor(c_acctbal)::BIGINT::VARCHAR ELSE regexp_replace(format('{:.4f}', c_acctbal), '0+$', '') END AS shown FROM customer")
+@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN round(c_acctbal, 0) WHEN 2 THEN c_acctbal / 1e7 ELSE c_acctbal * 1000 + 0.5 END AS v FROM customer)
+SELECT c_custkey, CASE WHEN abs(v - trunc(v)) < 1e-9 THEN trunc(v)::BIGINT::VARCHAR ELSE format('{:.4g}', v) END AS shown FROM v""")
 def shown_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", T.number_text(F.col("c_acctbal")).alias("shown"))
+    k, b = F.col("c_custkey") % 4, F.col("c_acctbal")
+    v = F.when(k == 0, b).when(k == 1, F.round(b, 0)).when(k == 2, b / 1e7).otherwise(b * 1000 + 0.5)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.number_text(v).alias("shown"))
 
 
 @query()
