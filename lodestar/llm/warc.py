@@ -180,7 +180,7 @@ def _inflate(source: _Source, whole: bool = True) -> tuple[bytes, int] | None:
                 return bytes(out), 0
     if header is None:
         return None
-    return bytes(out), at - len(tail) - len(gunzip.unused_data) - source.at
+    return bytes(out), at - len(gunzip.unused_data) - source.at
 
 
 def fields_of(head: bytes) -> dict[str, str] | None:

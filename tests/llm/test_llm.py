@@ -78,6 +78,14 @@ def in_ranges(data, size):
     return [f["x-page-id"] for lo in range(0, len(data), size) for _, f, _ in warc.records_in(io.BytesIO(data), len(data), lo, min(len(data), lo + size))]
 
 
+def test_warc_of_payloads_that_shrink_much():
+    members = [warc.record(i, "u", b"ab" * (i * 9000), None) for i in range(30)]
+    data = b"".join(members)
+    assert max(map(len, members)) < 4096 < 65536 < 29 * 18000
+    for size in (400, 5000, 1 << 20):
+        assert in_ranges(data, size) == [str(i) for i in range(30)]
+
+
 def test_warc_damage_is_an_error():
     members = [warc.record(i, "u", random.Random(i).randbytes(i * 91 % 5000), None) for i in range(40)]
     data = b"".join(members)
