@@ -23,9 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokenizers_io
-from lodestar.llm.common import materialize
-
-BLOCK_PIECES = 250_000
+from lodestar.llm.common import materialize, shuffle_partitions
 
 
 class _Sums:
@@ -132,20 +130,21 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A null or empty text is one piece that holds the end token alone. Repeated rows are packed as often as they
     occur; a null id is carried through. Other columns aren't read. An empty table gives an empty result. The
-    driver holds the plan, which is bounded by the capacity alone. Pieces of a length are numbered in blocks of
-    about ``block_pieces``; the table of blocks has a row for each, besides at most one per length.
+    driver holds the plan, which is bounded by the capacity alone. Pieces of a length are numbered in blocks of an
+    eighth of a partition's even share, so the table of blocks has at most a row per length and eight per partition.
     """
     spark = docs.sparkSession
     pieces = materialize(cut(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["length"]] = row["n"]
-    blocks = F.lit([int(-(-c // block_pieces)) or 1 for c in counts])
+    share = max(1, int(counts.sum()) // (8 * shuffle_partitions(spark)))
+    blocks = F.lit([int(-(-c // share)) or 1 for c in counts])
     pieces = pieces.withColumn("_block", F.pmod(F.xxhash64(id_col, "piece"), F.get(blocks, F.col("length").cast("int"))))
     sizes = pieces.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
