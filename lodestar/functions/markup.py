@@ -74,6 +74,16 @@ def around(parts: Column, i: Column, cap: int = 1200) -> Column:
     return F.left(F.array_join(F.slice(parts, start, i + 3 - start), "\n"), F.lit(cap))
 
 
+#: Declared types of a page that is an article.
+ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "Report", "TechArticle"]
+
+
+def is_article(types: Column) -> Column:
+    """Whether declared types, a JSON string or a list of them, hold one of an article."""
+    listed = F.from_json(F.when(types.startswith("["), types).otherwise(F.concat(F.lit("["), types, F.lit("]"))), "array<string>")
+    return F.coalesce(F.arrays_overlap(listed, F.lit(ARTICLE_TYPES)), F.lit(False))
+
+
 def bucket(name: Column) -> Column:
     """A name that object stores accept."""
     return F.concat(F.lit("kb-"), F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9-]+", "-"), "^-+|-+$", ""))

@@ -105,3 +105,9 @@ def number_text(x: pd.Series) -> pd.Series:
         return "" if v != v else str(int(v)) if abs(v) < 1e300 and abs(v - int(v)) < 1e-9 else f"{v:.4g}"
 
     return x.map(one).astype(object)
+
+
+def phrase_keywords(topic: Column, most: int = 10) -> Column:
+    """The parts of a topic between punctuation, of two characters or more, each once."""
+    parts = F.transform(F.split(topic, r"[,，。、;；\s]+"), lambda x: F.trim(x))
+    return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 2)), 1, most)

@@ -1,31 +1,119 @@
-"""Knowledge-base portraits: clusters of a bounded sample of a knowledge base's vectors."""
+"""Knowledge-base portraits: clusters of a bounded sample of each knowledge base's vectors, all of them in one job."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST, MOST, SEED = 10, 5000, 42
+#: Least points of a portrait, sample sizes, seed and restarts of the clustering, rules of the refresh.
+LEAST, FULL, SAMPLE_LEAST, SAMPLE_MOST, SHARE, SEED, RESTARTS = 10, 5000, 50, 1000, 0.2, 42, 10
+CHANGE, DAYS, THRESHOLD = 0.2, 7, 50
+MODALITIES = ["doc", "image", "audio", "video"]
 
 
 def clusters_for(n: int) -> int:
     return max(2, min(20, int(math.sqrt(n / 2))))
 
 
-def portraits(points: DataFrame, kb_id) -> tuple[DataFrame, dict[str, float]] | None:
-    """(kb_id, cluster, vec, cluster_size) and inertia and silhouette; None under ten points. The sample is the feature's own bound."""
-    own = points.filter(F.col("kb_id") == kb_id).orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(MOST)
-    data = own.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    n = data.count()
-    if n < LEAST:
-        return None
-    model = KMeans(k=clusters_for(n), seed=SEED).fit(data)
-    found = model.transform(data)
-    sizes = found.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("cluster_size"))
-    centres = points.sparkSession.createDataFrame([(kb_id, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "kb_id int, cluster int, vec array<double>")
-    return centres.join(sizes, "cluster"), {"inertia": model.summary.trainingCost, "silhouette": ClusteringEvaluator().evaluate(found)}
+def quotas(points: DataFrame) -> DataFrame:
+    """points (kb_id, modality) -> kb_id, modality, n, quota: all where a knowledge base is small, else a share of a bounded
+    sample, of which the last modality takes what rounding leaves."""
+    every = Window.partitionBy("kb_id")
+    n, total = F.col("n"), F.sum("n").over(every)
+    counts = points.groupBy("kb_id", "modality").agg(F.count(F.lit(1)).alias("n")).withColumn("total", total)
+    size = F.least(F.lit(SAMPLE_MOST), F.greatest(F.lit(SAMPLE_LEAST), F.floor(SHARE * F.col("total"))))
+    own = F.floor(size * n / F.col("total"))
+    others = F.sum(F.when(F.col("modality") != MODALITIES[-1], own).otherwise(0)).over(every)
+    quota = F.when(F.col("total") < FULL, n).when(F.col("modality") == MODALITIES[-1], size - others).otherwise(own)
+    return counts.withColumn("quota", quota.cast("long")).select("kb_id", "modality", "n", "quota")
+
+
+def sample(points: DataFrame, seed: int = SEED) -> DataFrame:
+    """Of points (id, kb_id, modality, ..) each modality's quota, by a hash of the id; below ``FULL`` rows a knowledge base."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy("kb_id", "modality").orderBy(draw, "id"))
+    few = points.withColumn("place", place).filter(F.col("place") <= FULL)
+    return few.join(quotas(points).select("kb_id", "modality", "quota"), ["kb_id", "modality"]).filter(F.col("place") <= F.col("quota")).drop("quota")
+
+
+def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(labels, centres, inertia) of the best of RESTARTS runs; a cluster that empties takes the farthest point."""
+    rng, best = np.random.default_rng(SEED), None
+    for _ in range(RESTARTS):
+        centres = x[rng.choice(len(x), k, replace=False)]
+        for _ in range(50):
+            away = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
+            labels = away.argmin(1)
+            for c in np.setdiff1d(np.arange(k), labels):
+                far = int(np.where(np.bincount(labels, minlength=k)[labels] > 1, away[np.arange(len(x)), labels], -1).argmax())
+                labels[far], away[far, c] = c, 0.0
+            moved = np.stack([x[labels == c].mean(0) for c in range(k)])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        inertia = float(((x - centres[labels]) ** 2).sum())
+        if best is None or inertia < best[2]:
+            best = labels, centres, inertia
+    return best
+
+
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """The mean over points of (nearest other cluster's mean distance - own) / the larger of both."""
+    away = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(2))) if len(x) <= 1000 else None
+    if away is None:  # a bounded part of the sample stands for it
+        return silhouette(x[:1000], labels[:1000])
+    kinds = np.unique(labels)
+    if len(kinds) < 2:
+        return 0.0
+    sums = np.stack([away[:, labels == c].sum(1) for c in kinds], axis=1)
+    sizes, own = np.array([(labels == c).sum() for c in kinds]), np.searchsorted(kinds, labels)
+    at = np.arange(len(x))
+    inner = sums[at, own] / np.maximum(1, sizes[own] - 1)
+    outer = sums / sizes
+    outer[at, own] = np.inf
+    outer = outer.min(1)
+    return float(np.where(sizes[own] == 1, 0.0, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300)).mean())
+
+
+def portraits(points: DataFrame) -> DataFrame:
+    """points (id, kb_id, modality, vec) -> kb_id, cluster, vec, cluster_size, nearest (ids of its central members), inertia, silhouette.
+
+    Knowledge bases under ten points have none. A group holds less than FULL vectors, whatever the input.
+    """
+    kind, id_kind = (points.schema[c].dataType.simpleString() for c in ("kb_id", "id"))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        columns = ["kb_id", "cluster", "vec", "cluster_size", "nearest", "inertia", "silhouette"]
+        if len(frame) < LEAST:
+            return pd.DataFrame(columns=columns)
+        frame = frame.sort_values("id")
+        x, ids = np.stack(frame["vec"].to_numpy()).astype(float), frame["id"].to_numpy()
+        labels, centres, inertia = _cluster(x, clusters_for(len(x)))
+        score, out = silhouette(x, labels), []
+        for c, centre in enumerate(centres):
+            own = np.flatnonzero(labels == c)
+            near = own[np.argsort(np.linalg.norm(x[own] - centre, axis=1), kind="stable")][: min(15, max(10, len(own)))]
+            out.append((frame["kb_id"].iloc[0], c, centre, len(own), ids[near], inertia, score))
+        return pd.DataFrame(out, columns=columns)
+
+    schema = f"kb_id {kind}, cluster int, vec array<double>, cluster_size long, nearest array<{id_kind}>, inertia double, silhouette double"
+    return sample(points).select("kb_id", "id", "vec").groupBy("kb_id").applyInPandas(build, schema)
+
+
+def replaced(stored: DataFrame, built: DataFrame, kbs: DataFrame) -> DataFrame:
+    """Stored portraits after a run over ``kbs`` (kb_id): those of these knowledge bases go, and the new ones come."""
+    return stored.join(kbs.select("kb_id").distinct(), "kb_id", "left_anti").unionByName(built, allowMissingColumns=True)
+
+
+def needs_refresh(now: Column, last: Column, created: Column, today: Column, threshold: int = THRESHOLD) -> Column:
+    """Whether a portrait is due: there is none, its count changed by a fifth, it is a week old, or the count crossed the threshold."""
+    rules = [
+        created.isNull(), (last > 0) & (F.abs(now - last) / F.greatest(last, F.lit(1)) >= CHANGE),
+        F.datediff(today, created) >= DAYS, (now >= threshold) & (last < threshold),
+    ]
+    return reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules])

@@ -80,37 +80,6 @@ def reservoir_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(50)
 
 
-_PLAN = "WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS total FROM c), q AS (SELECT lang, n, CASE WHEN total < 500 THEN n ELSE floor(least(1000, greatest(50, floor(0.2 * total))) * n / total) END::BIGINT AS quota FROM c, t)"
-
-
-@query(_PLAN + " SELECT * FROM q")
-def sample_plan(spark, sf_dir):
-    return _quotas(table(spark, sf_dir, "documents"))
-
-
-def _quotas(docs, full: int = 500):
-    c = docs.groupBy("lang").agg(n("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    size = F.least(F.lit(1000), F.greatest(F.lit(50), F.floor(0.2 * F.col("total"))))
-    quota = F.when(F.col("total") < full, F.col("n")).otherwise(F.floor(size * F.col("n") / F.col("total")))
-    return c.withColumn("total", total).select("lang", "n", quota.cast("long").alias("quota"))
-
-
-@query(_PLAN + ", r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS place FROM documents) SELECT doc_id, lang, place FROM r JOIN q USING (lang) WHERE place <= quota")
-def stratified_sample(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    draw = F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary"))
-    ranked = docs.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id")).alias("place")).filter("place <= 1000")
-    return ranked.join(_quotas(docs), "lang").filter(F.col("place") <= F.col("quota")).select("doc_id", "lang", "place")
-
-
-@query("SELECT source AS kb_id, count(*) AS n, round(abs(count(*) - 40) / 40.0, 6) AS change, (abs(count(*) - 40) / 40.0 >= 0.2 OR (count(*) >= 50) <> (40 >= 50)) AS refresh FROM documents GROUP BY source")
-def portrait_refresh(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("kb_id")).agg(n("n"))
-    change = F.abs(F.col("n") - 40) / 40.0
-    return c.select("kb_id", "n", F.round(change, 6).alias("change"), ((change >= 0.2) | (F.col("n") >= 50)).alias("refresh"))
-
-
 @query("SELECT n_name AS kb, coalesce(r_name, n_nationkey::VARCHAR) AS name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
 def kb_names(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_regionkey <> 2")

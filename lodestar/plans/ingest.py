@@ -154,15 +154,3 @@ def bucket_names(spark, sf_dir):
 def question_material(spark, sf_dir):
     parts = F.transform(F.slice(T.paragraphs(F.col("text"), "\n"), 1, 3), lambda x: F.left(x, F.lit(450)))
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.left(F.array_join(parts, "\n"), F.lit(14000)).cast("binary")).alias("digest"))
-
-
-@query("""WITH r AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), s AS (SELECT source, string_agg(array_to_string(string_split(left(text, 200), ' ')[1:3], ' '), ' | ' ORDER BY doc_id) AS samples FROM r WHERE n <= 5 GROUP BY source),
-f AS (SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS formats FROM documents WHERE lang IS NOT NULL GROUP BY source) SELECT source AS kb_id, formats, md5(samples) AS samples FROM f JOIN s USING (source)""")
-def content_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    first = d.select("source", "doc_id", F.left("text", F.lit(200)).alias("text")).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    samples = first.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", words.alias("w")))).alias("s"))
-    samples = samples.select("source", F.array_join(F.transform("s", lambda x: x["w"]), " | ").alias("samples"))
-    formats = d.filter("lang IS NOT NULL").groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("formats"))
-    return formats.join(samples, "source").select(F.col("source").alias("kb_id"), "formats", F.md5(F.col("samples").cast("binary")).alias("samples"))

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions import folds
@@ -49,9 +50,17 @@ def test_fusion_and_cut(spark):
 
 def test_portraits_and_chunk_links(spark):
     pts = spark.range(60).select("id", F.lit(1).alias("kb_id"), F.array((F.col("id") % 2).cast("float"), F.lit(1.0).cast("float")).alias("vec"))
-    found, quality = portraits.portraits(pts, 1)
-    assert found.agg(F.sum("cluster_size")).first()[0] == 60 and quality["inertia"] < 1e-6
-    assert portraits.portraits(pts, 2) is None
+    few = spark.range(9).select((F.col("id") + 100).alias("id"), F.lit(2).alias("kb_id"), F.lit([1.0, 2.0]).cast("array<float>").alias("vec"))
+    found = portraits.portraits(pts.unionByName(few).withColumn("modality", F.lit("doc"))).collect()
+    assert {r["kb_id"] for r in found} == {1} and sum(r["cluster_size"] for r in found) == 60 and len(found) == portraits.clusters_for(60)
+    assert all(r["inertia"] < 1e-6 for r in found)
+    two = np.array([[0.0, 0], [0, 1], [9, 0], [9, 1]])
+    labels, _, inertia = portraits._cluster(two, 2)
+    a, b = 1.0, (9 + np.sqrt(82)) / 2
+    assert labels[0] == labels[1] != labels[2] and abs(inertia - 1) < 1e-9 and abs(portraits.silhouette(two, labels) - (b - a) / b) < 1e-9
+    stored = spark.createDataFrame([(1, "old"), (3, "kept")], "kb_id int, note string")
+    new = spark.createDataFrame([(1, "new")], "kb_id int, note string")
+    assert sorted(portraits.replaced(stored, new, spark.createDataFrame([(1,), (2,)], "kb_id int")).collect()) == [(1, "new"), (3, "kept")]
     docs = spark.createDataFrame([(1, "a\n\nb\n\nc"), (2, None), (3, "")], "doc_id int, text string")
     rows = chunks.records(chunks.parts(docs)).orderBy("chunk_index").collect()
     assert [r["text"] for r in rows] == ["a", "b", "c"] and rows[0]["next_id"] == rows[1]["id"] and rows[1]["prev_id"] == rows[0]["id"]
