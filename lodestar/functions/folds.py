@@ -63,56 +63,127 @@ def markdown_parts(text: str) -> list[str]:
 def row_blocks(header: list[str], rows: list[list[str]], limit: int = MAX_CHUNK) -> list[tuple[int, int, str]]:
     """(first row, last row, Markdown table) with the header repeated; rows are numbered from 1."""
     cell = lambda x: str(x or "").replace("|", "\\|").replace("\n", " ")
-    line = lambda xs: "| " + " | ".join(cell(x) for x in [*xs, *[""] * (len(header) - len(xs))]) + " |"
+    line = lambda xs: "| " + " | ".join(cell(x) for x in [*xs, *[""] * len(header)][: len(header)]) + " |"
     head = line(header) + "\n|" + " --- |" * len(header)
-    budget, out, held = max(200, limit - len(head)), [], []
+    budget, out, held, used = max(200, limit - len(head)), [], [], 0
     for i, row in enumerate(rows, 1):
         text = line(row)
-        if held and sum(len(x) + 1 for x in held) + len(text) > budget:
+        if held and used + len(text) > budget:
             out.append((i - len(held), i - 1, "\n".join([head, *held])))
-            held = []
+            held, used = [], 0
         held.append(text)
+        used += len(text) + 1
     if held:
         out.append((len(rows) - len(held) + 1, len(rows), "\n".join([head, *held])))
     return out
 
 
 def merge_scenes(scenes: list[tuple[float, float, str]], overlap: float = 10.0) -> list[tuple[float, float, str]]:
-    """Neighbours closer than the overlap with the same summary (80 characters) or the same first 20 become one."""
+    """Neighbours closer than the overlap with the same summary (80 characters), or the same first 20 of a longer one, become one."""
     out: list[tuple[float, float, str]] = []
     for start, end, summary in sorted(scenes):
-        if out and start - out[-1][1] < overlap and (out[-1][2][:80] == summary[:80] or out[-1][2][:20] == summary[:20]):
-            out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
-        else:
-            out.append((start, end, summary))
+        if out and start - out[-1][1] < overlap:
+            before, now = out[-1][2][:80], summary[:80]
+            if before == now or len(before) > 20 and before[:20] == now[:20]:
+                out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2] or summary)
+                continue
+        out.append((start, end, summary))
     return out
 
 
-def first_json(text: str):
-    """The first balanced JSON value in a text, fences and trailing commas tolerated; None if there is none."""
+_RULE, _TITLE = re.compile(r"^\s*(?:---|\*\*\*|___)\s*$"), re.compile(r"^(\s*)#{1,6}\s+(.+?)\s*$")
+_PICTURE, _FENCED = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)"), re.compile(r"(^```[^\n]*\n[\s\S]*?^```)", re.M)
+
+
+def post_markdown(text: str) -> str:
+    """Markdown as chat posts show it: outside fences, headers become bold, rules stand alone, images become links or a note."""
+    out, fenced = [], False
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if line.strip().startswith("```"):
+            fenced = not fenced
+        elif not fenced and _RULE.match(line):
+            out += ["", " --- ", ""]
+            continue
+        elif not fenced and (m := _TITLE.match(line)):
+            line = f"{m[1]}**{m[2].strip()}**"
+        out.append(line)
+
+    def shown(m: re.Match) -> str:
+        return f"[{m[1]}]({m[2].strip()})" if m[2].strip().startswith(("http://", "https://")) else f"（图：{m[1] or '配图'}）"
+
+    return "".join(part if i % 2 else _PICTURE.sub(shown, part) for i, part in enumerate(_FENCED.split("\n".join(out))))
+
+
+def post_parts(text: str, limit: int = 5200) -> list[str]:
+    """Paragraphs packed up to the limit; one that is longer is cut on its own."""
+    text = text.strip()
+    if len(text) <= limit:
+        return [text] if text else []
+    out, held = [], ""
+    for p in text.split("\n\n"):
+        both = f"{held}\n\n{p}" if held else p
+        if len(both) <= limit:
+            held = both
+            continue
+        out += [held] if held else []
+        held = "" if len(p) > limit else p
+        out += [p[i : i + limit] for i in range(0, len(p), limit)] if len(p) > limit else []
+    return out + [held] if held else out
+
+
+def first_json(text: str, wanted=lambda x: True):
+    """The first balanced JSON value in a text that is ``wanted``, fences and trailing commas tolerated; None if there is none."""
     decoder, clean = json.JSONDecoder(), re.sub(r",\s*([}\]])", r"\1", text or "")
     for m in re.finditer(r"[{\[]", clean):
         try:
-            return decoder.raw_decode(clean, m.start())[0]
+            value = decoder.raw_decode(clean, m.start())[0]
         except ValueError:
             continue
+        if wanted(value):
+            return value
     return None
 
 
-def json_ld(page: str) -> list[dict]:
-    """Every mapping with a headline or body in the page's JSON-LD and application state."""
-    out: list[dict] = []
-
-    def walk(x) -> None:
-        if isinstance(x, dict):
-            if any(isinstance(x.get(k), str) for k in ("articleBody", "headline", "content")):
-                out.append(x)
-            for v in x.values():
-                walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v)
-
-    for m in re.finditer(r'(?is)<script[^>]*(?:application/ld\+json|id="__NEXT_DATA__"|application/json)[^>]*>(.*?)</script>', page or ""):
-        walk(first_json(m[1]))
+def scenes(answer: str | None) -> list[tuple[float, str]]:
+    """(start, summary) of the scenes that a model's answer lists, alone or under ``scenes``."""
+    found = first_json(answer or "", lambda x: isinstance(x, list) or isinstance(x, dict) and isinstance(x.get("scenes"), list))
+    listed = found["scenes"] if isinstance(found, dict) else found or []
+    return [(float(x.get("start_time") or 0), str(x.get("scene_summary") or "")) for x in listed if isinstance(x, dict)]
+
+
+def _mappings(x, around=()):
+    """Every mapping within a JSON value, each with those around it, nearest first."""
+    if isinstance(x, dict):
+        yield x, around
+        for v in x.values():
+            yield from _mappings(v, (x, *around))
+    elif isinstance(x, list):
+        for v in x:
+            yield from _mappings(v, around)
+
+
+def _named(mappings, keys: tuple[str, ...]) -> str:
+    """The first text under one of the keys, or the name of a mapping there."""
+    for m in mappings:
+        for k in keys:
+            v = m.get(k)
+            v = v[0] if isinstance(v, list) and v else v
+            v = v.get("name") if isinstance(v, dict) else v
+            if isinstance(v, str) and v.strip():
+                return v.strip()
+    return ""
+
+
+_DATA = re.compile(r'(?is)<script[^>]*(?:application/ld\+json|id="__NEXT_DATA__"|application/json)[^>]*>(.*?)</script>')
+
+
+def page_candidates(page: str | None) -> list[tuple[str, str, str, str, int]]:
+    """(title, body, author, site, base score) of every mapping with a text in the page's structured data."""
+    out = []
+    for m in _DATA.finditer(page or ""):
+        for x, around in _mappings(first_json(m[1])):
+            body = next((x[k].strip() for k in ("articleBody", "content", "text") if isinstance(x.get(k), str) and x[k].strip()), None)
+            if body:
+                near = (x, *around)
+                out.append((_named((x,), ("headline", "title", "name")), body, _named((x,), ("author", "creator")), _named(near, ("publisher", "siteName", "site_name")), 50))
     return out

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Attributes that hold an image's address where ``src`` doesn't yet.
+LAZY = ["data-src", "data-original", "data-lazy-src", "data-srcset", "srcset"]
 IMAGE = r'!\[[^\]]*\]\([^)\s]+\)|<img[^>]*src="[^"]*"[^>]*>'
 
 
@@ -60,14 +62,61 @@ def listed(c: Column, marks: str, most: int) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(F.split(c, marks), lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
+@F.pandas_udf(StringType())
+def _texts_within(content: pd.Series) -> pd.Series:
+    """All texts of a nested post, in order and at any depth; null where the JSON can't be read."""
+
+    def walk(x):
+        if isinstance(x, dict):
+            if isinstance(x.get("text"), str):
+                yield x["text"]
+            for k, v in x.items():
+                if k != "text":
+                    yield from walk(v)
+        elif isinstance(x, list):
+            for v in x:
+                yield from walk(v)
+
+    def one(c):
+        try:
+            return " ".join(walk(json.loads(c)))
+        except (TypeError, ValueError):
+            return None
+
+    return content.map(one).astype(object)
+
+
 def message_text(content: Column) -> Column:
     """The text of a message: its ``text``, else all texts of a nested post; mentions go, spaces collapse."""
-    nested = F.from_json(F.get_json_object(content, "$.content"), "array<array<struct<tag string, text string>>>")
-    post = F.array_join(F.transform(F.flatten(nested), lambda x: x["text"]), " ")
-    text = F.regexp_replace(F.coalesce(F.get_json_object(content, "$.text"), post), r"@_[a-z]+_[0-9]+", " ")
+    nested = _texts_within(F.when(F.get_json_object(content, "$.text").isNull(), F.get_json_object(content, "$.content")))
+    text = F.regexp_replace(F.coalesce(F.get_json_object(content, "$.text"), nested), r"@_[a-z]+_[0-9]+", " ")
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
+def lazy_source(tag: Column) -> Column:
+    """The address of an image: its ``src``, unless that is missing or a placeholder and a lazy one is given."""
+    attribute = lambda name: F.nullif(F.trim(F.regexp_extract(tag, rf'(?i)[\s"]{name}="([^"]*)"', 1)), F.lit(""))
+    src = attribute("src")
+    held = F.lower(src)
+    placeholder = src.isNull() | held.startswith("data:image/svg") | held.startswith("data:image/gif;base64,r0lgodlh")
+    placeholder = placeholder | (held.rlike(r"\.(gif|svg)$") & held.rlike("blank|loading"))
+    lazy = F.coalesce(*[F.regexp_extract(attribute(name), r"^[^\s,]+", 0) for name in LAZY])
+    return F.when(placeholder & lazy.isNotNull(), lazy).otherwise(src)
+
+
+def resource(kind: Column, content: Column) -> Column:
+    """What to download for a message: (type, key, suffix, name), or null if it carries nothing."""
+    key = lambda name: F.nullif(F.trim(F.get_json_object(content, f"$.{name}")), F.lit(""))
+    given = F.coalesce(*[F.nullif(F.get_json_object(content, f"$.{n}"), F.lit("")) for n in ("file_name", "filename", "name")])
+    name = F.nullif(F.trim(given), F.lit(""))
+    suffix = F.coalesce(F.lower(F.regexp_extract(name, r"[^/.](\.[^./]+)$", 1)), F.lit(""))
+    spec = lambda *parts: F.struct(*[p.cast("string").alias(n) for n, p in zip(("type", "key", "suffix", "name"), parts, strict=True)])
+    none, kind = F.lit(None), F.lower(kind)
+    out = F.when((kind == "image") & key("image_key").isNotNull(), spec(F.lit("image"), key("image_key"), F.lit(".jpg"), none))
+    out = out.when((kind == "audio") & key("file_key").isNotNull(), spec(F.lit("file"), key("file_key"), F.lit(".mp3"), none))
+    return out.when((kind == "file") & key("file_key").isNotNull(), spec(F.lit("file"), key("file_key"), suffix, name))
+
+
 def around(parts: Column, i: Column, cap: int = 1200) -> Column:
     """A part (counted from 0) with the one before and the one after, capped."""
     start = F.greatest(i, F.lit(1))
@@ -75,13 +124,13 @@ def around(parts: Column, i: Column, cap: int = 1200) -> Column:
 
 
 #: Declared types of a page that is an article.
-ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "Report", "TechArticle"]
+ARTICLE_TYPES = ["article", "newsarticle", "blogposting", "report", "techarticle"]
 
 
 def is_article(types: Column) -> Column:
     """Whether declared types, a JSON string or a list of them, hold one of an article."""
     listed = F.from_json(F.when(types.startswith("["), types).otherwise(F.concat(F.lit("["), types, F.lit("]"))), "array<string>")
-    return F.coalesce(F.arrays_overlap(listed, F.lit(ARTICLE_TYPES)), F.lit(False))
+    return F.coalesce(F.arrays_overlap(F.transform(listed, lambda t: F.lower(t)), F.lit(ARTICLE_TYPES)), F.lit(False))
 
 
 def bucket(name: Column) -> Column:
@@ -96,7 +145,7 @@ def _marked(node: dict) -> str:
         if kind == "link":
             text = f"[{text}]({(mark.get('attrs') or {}).get('href', '')})"
         else:
-            around = {"bold": "**", "italic": "*", "code": "`", "strike": "~~"}.get(kind, "")
+            around = {"bold": "**", "italic": "*", "code": "`", "strike": "~~", "underline": "_"}.get(kind, "")
             text = f"{around}{text}{around}"
     return text
 
@@ -108,6 +157,8 @@ def node_markdown(node) -> str:
     kind, attrs, below = node.get("type"), node.get("attrs") or {}, node.get("content") or []
     if kind == "text":
         return _marked(node)
+    if kind == "hardBreak":
+        return "  \n"
     if kind == "image":
         return f"![{attrs.get('alt', '')}]({attrs.get('src', '')})"
     if kind in ("paragraph", "heading", "tableCell", "tableHeader"):

@@ -108,6 +108,5 @@ def number_text(x: pd.Series) -> pd.Series:
 
 
 def phrase_keywords(topic: Column, most: int = 10) -> Column:
-    """The parts of a topic between punctuation, of two characters or more, each once."""
-    parts = F.transform(F.split(topic, r"[,，。、;；\s]+"), lambda x: F.trim(x))
-    return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 2)), 1, most)
+    """The first parts of a topic between punctuation and spaces."""
+    return F.slice(F.filter(F.split(topic, r"[，。、；：！？\s]+"), lambda x: x != ""), 1, most)

@@ -149,36 +149,3 @@ def shown_numbers(spark, sf_dir):
     k, b = F.col("c_custkey") % 4, F.col("c_acctbal")
     v = F.when(k == 0, b).when(k == 1, F.round(b, 0)).when(k == 2, b / 1e7).otherwise(b * 1000 + 0.5)
     return table(spark, sf_dir, "customer").select("c_custkey", T.number_text(v).alias("shown"))
-
-
-@query()
-def structured_pages(spark, sf_dir):
-    """Candidates from structured data in pages, the best of each page by (score, length)."""
-
-    @F.udtf(returnType="title string, body string")
-    class Candidates:
-        def eval(self, html: str):
-            for x in folds.json_ld(html):
-                yield x.get("headline"), x.get("articleBody") or x.get("content") or ""
-
-    spark.udtf.register("page_candidates", Candidates)
-    table(spark, sf_dir, "pages").createOrReplaceTempView("lodestar_pages")
-    rows = spark.sql("SELECT page_id, title, body FROM lodestar_pages, LATERAL page_candidates(html)")
-    score = F.least(F.floor(F.length("body") / 160), F.lit(140)) + F.when(F.col("title").isNotNull(), 30).otherwise(0)
-    best = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc(F.length("body")), "title")
-    return rows.withColumn("score", score).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
-
-
-@query()
-def sheet_blocks(spark, sf_dir):
-    """Rows of a sheet as Markdown blocks with a repeated header, dealt by a hash into bounded groups."""
-    rows = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 500).alias("part"), "s_suppkey", F.array(F.col("s_suppkey").cast("string"), "s_name").alias("cells"))
-
-    def blocks(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("s_suppkey")
-        out = folds.row_blocks(["key", "name"], [list(x) for x in frame["cells"]])
-        return pd.DataFrame([(frame["part"].iloc[0], *x) for x in out], columns=["part", "first_row", "last_row", "block"])
-
-    return rows.groupBy("part").applyInPandas(blocks, "part long, first_row int, last_row int, block string")

@@ -268,7 +268,7 @@ def article_types(spark, sf_dir):
     return p.select("page_id", M.is_article(F.col("t")).alias("article"))
 
 
-@query("""WITH t AS (SELECT label AS kb_id, vec_id % 3 AS cluster, count(*) AS size FROM embeddings GROUP BY ALL) SELECT kb_id, cluster, size, CASE WHEN cluster = 0 THEN 'one,two,three' WHEN cluster = 1 THEN '' ELSE 'alpha,beta' END AS keywords FROM t""")
+@query("""WITH t AS (SELECT label AS kb_id, vec_id % 3 AS cluster, count(*) AS size FROM embeddings GROUP BY ALL) SELECT kb_id, cluster, size, CASE WHEN cluster = 0 THEN 'one,,two,three;two' WHEN cluster = 1 THEN '' ELSE 'alpha,beta,x' END AS keywords FROM t""")
 def portrait_rows(spark, sf_dir):
     """Portraits as shown to clients, with the words of their topics."""
     t = R.points(spark, sf_dir).groupBy("kb_id", (F.col("id") % 3).alias("cluster")).agg(n("size"))
