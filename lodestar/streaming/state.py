@@ -13,7 +13,7 @@ THRESHOLD, DEDUP_TTL, PENDING_TTL = 50, "10 minutes", "120 seconds"
 
 
 def counter_triggers(events: DataFrame, key: str, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, fired, at): a row each time a key's count reaches the threshold; the count then starts anew."""
+    """(key, fired): a row each time a key's count reaches the threshold; the count then starts anew."""
     kind = events.schema[key].dataType.simpleString()
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,22 +48,95 @@ def windows(events: DataFrame, time: str, length: str, slide: str | None = None,
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def last_turns(events: DataFrame, key: str, text: str, most: int = 10, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
-    """(key, turns): each session's last turns after every batch; a session that rests for the time to live is forgotten."""
+def last_turns(events: DataFrame, key: str, text: str, order: str, most: int = 10, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+    """(key, turns): each session's last turns by ``order`` (a number) after every batch, whatever order they arrive in; a session
+    that rests for the time to live is forgotten."""
     kind = events.schema[key].dataType.simpleString()
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get, strict=True)) if state.exists else []
         for frame in frames:
-            held = (held + frame[text].tolist())[-most:]
-        state.update((held,))
+            held = sorted([*held, *zip(frame[order].tolist(), frame[text].tolist(), strict=True)])[-most:]
+        numbers, turns = [int(n) for n, _ in held], [t for _, t in held]
+        state.update((numbers, turns))
         state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({key: [keys[0]], "turns": [held]})
+        yield pd.DataFrame({key: [keys[0]], "turns": [turns]})
 
-    return events.select(key, text).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, turns array<string>", "turns array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    few = events.select(key, text, order).groupBy(key)
+    return few.applyInPandasWithState(step, f"{key} {kind}, turns array<string>", "numbers array<long>, turns array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+STAGES = ["connected", "intent", "routing", "retrieval", "message", "citation", "complete"]
+
+
+def staged(queries: DataFrame, cites) -> DataFrame:
+    """A row per stage of each query, numbered in the order in which clients are told; ``citation`` only where something is cited."""
+    rows = queries.withColumn("_cites", cites).select("*", F.posexplode(F.lit(STAGES)).alias("place", "stage"))
+    return rows.withColumn("place", F.col("place") + 1).filter(F.col("_cites") | (F.col("stage") != "citation")).drop("_cites")
+
+
+def latest(updates: DataFrame, key: str, order: list[str], fields: dict) -> DataFrame:
+    """(key, fields): each field's last value that isn't null, or its default. Partial maxima, so it runs as a stream too."""
+    last = [F.max(F.when(F.col(f).isNotNull(), F.struct(*order, F.col(f).alias("_v")))).alias(f) for f in fields]
+    return updates.groupBy(key).agg(*last).select(key, *[F.coalesce(F.col(f"{f}._v"), F.lit(default)).alias(f) for f, default in fields.items()])
+
+
+def within(begun, now, seconds: int):
+    """Whether no more than that many seconds lie between."""
+    return F.unix_micros(now.cast("timestamp")) - F.unix_micros(begun.cast("timestamp")) <= seconds * 1_000_000
+
+
+def alive(rows: DataFrame, time: str, now, seconds: int) -> DataFrame:
+    """Rows that aren't older than their time to live."""
+    return rows.filter(within(F.col(time), now, seconds))
+
+
+def _take(most: int, ttl: int):
+    def step(held: list, deadline: int, rows) -> tuple[list, int, list]:
+        out = []
+        for at, item, taking in rows:
+            if at > deadline:
+                held = []
+            if taking:
+                out.append((item, ",".join(map(str, held))))
+                held = []
+            elif len(held) < most:
+                held, deadline = [*held, item], at + ttl
+        return held, deadline, out
+
+    return step
+
+
+def taken(events: DataFrame, key: str, item: str, time: str, taking: str, most: int = 3, ttl_seconds: int = 120) -> DataFrame:
+    """(key, at, items): what waits for each event that takes all. Other events wait, at most ``most`` of them, until a pause
+    longer than the time to live. As a stream the waiting items are the state."""
+    kind, item_kind = (events.schema[c].dataType.simpleString() for c in (key, item))
+    step = _take(most, ttl_seconds * 1_000_000)
+    rows = events.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(item).alias("_item"), F.col(taking).alias("_taking"))
+    columns = ["_t", "_item", "_taking"]
+    schema = f"{key} {kind}, at {item_kind}, items string"
+
+    def shown(k, out: list) -> pd.DataFrame:
+        return pd.DataFrame({key: [k] * len(out), "at": [x for x, _ in out], "items": [x for _, x in out]})
+
+    if not events.isStreaming:
+        def whole(frame: pd.DataFrame) -> pd.DataFrame:
+            ordered = frame.sort_values(["_t", "_item"])
+            return shown(frame[key].iloc[0], step([], -1 << 62, ordered[columns].itertuples(index=False))[2])
+
+        return rows.groupBy(key).applyInPandas(whole, schema)
+
+    def batch(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, deadline = (list(state.get[0]), state.get[1]) if state.exists else ([], -1 << 62)
+        ordered = pd.concat(list(frames)).sort_values(["_t", "_item"])
+        held, deadline, out = step(held, deadline, ordered[columns].itertuples(index=False))
+        state.update((held, deadline))
+        yield shown(keys[0], out)
+
+    return rows.groupBy(key).applyInPandasWithState(batch, schema, f"held array<{item_kind}>, deadline long", "append", GroupStateTimeout.NoTimeout)
 
 
 def preferences(events: DataFrame, session: str, name: str, value: str, time: str, tie: str, ttl_seconds: int = 600) -> DataFrame:
