@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BLOCK_BYTES = 4096
-SAMPLE_ROWS = 120
+SAMPLE_ROWS, PARTS = 120, 16
 MIN_MARGIN, CLOSE = 0.002, 0.05
 PAD = b"\n" * 12  # the compressor looks for no match in a block's last bytes
 SCALE = 16
@@ -34,8 +34,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     """
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     texts = texts.filter(F.col("lang").isNotNull() & has_letter("text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = texts.select("lang", "key").distinct().withColumn("place", place).filter(F.col("place") <= rows).select("lang", "key")
+    picked = texts.select("lang", "key", F.pmod("key", F.lit(PARTS)).alias("part")).distinct()
+    for keys in (("lang", "part"), ("lang",)):  # the smallest of each part, then of those, so no task holds a language's rows
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("key"))
+        picked = picked.withColumn("place", place).filter(F.col("place") <= rows)
+    picked = picked.select("lang", "key")
     sample = texts.join(F.broadcast(picked), ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in sample.orderBy("lang", "key").collect():
