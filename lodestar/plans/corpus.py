@@ -61,10 +61,11 @@ s AS (SELECT source AS kb_id, token, tf * ln(total / df::DOUBLE) AS score FROM t
 def topic_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     per = docs.select("source", "doc_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("source", "doc_id", "token").agg(n("n"))
-    tf = per.groupBy("source", "token").agg(F.sum("n").alias("tf"))
-    df = per.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
-    score = F.round(F.col("tf") * F.log(docs.count() / F.col("df").cast("double")), 6)
-    s = tf.join(df, "token").select(F.col("source").alias("kb_id"), "token", score.alias("score"))
+    # a document has one source, so a row of ``per`` is a document of its token: both counts come from one pass over it
+    tf = per.groupBy("token", "source").agg(F.sum("n").alias("tf"), n("own"))
+    total = F.broadcast(docs.agg(n("total")))
+    df = F.sum("own").over(Window.partitionBy("token"))
+    s = tf.withColumn("df", df).join(total).select(F.col("source").alias("kb_id"), "token", F.round(F.col("tf") * F.log(F.col("total") / F.col("df").cast("double")), 6).alias("score"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("score"), "token"))).filter("place <= 10")
 
 

@@ -151,10 +151,25 @@ def route_decisions(spark, sf_dir):
     return decided(points(spark, sf_dir)).select("query_id", "kb_id", r6("raw"), r6("norm"), "method")
 
 
-@query(f"WITH {_E}, {_P}, {_R}, {_C}, o AS (SELECT DISTINCT query_id, method FROM c) SELECT method, count(*) AS queries, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM o GROUP BY method")
+@query(
+    f"""WITH {_E}, {_P}, {_R}, {_C}, o AS (SELECT query_id, method, count(*) AS kbs, max(norm) AS best FROM c GROUP BY ALL)
+SELECT method, count(*) AS queries, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent, round(avg(kbs), 6) AS kbs, round(avg(best), 6) AS confidence FROM o GROUP BY method"""
+)
 def routing_statistics(spark, sf_dir):
-    per = decided(points(spark, sf_dir)).select("query_id", "method").distinct().groupBy("method").agg(F.count(F.lit(1)).alias("queries"))
-    return per.withColumn("percent", F.round(100.0 * F.col("queries") / F.sum("queries").over(Window.partitionBy(F.lit(1))), 2))
+    per = decided(points(spark, sf_dir)).groupBy("query_id", "method").agg(F.count(F.lit(1)).alias("kbs"), F.max("norm").alias("best"))
+    counts = per.groupBy("method").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("kbs"), 6).alias("kbs"), F.round(F.avg("best"), 6).alias("confidence"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("queries") / F.sum("queries").over(Window.partitionBy(F.lit(1))), 2))
+
+
+@query(
+    f"""WITH {_E}, {_P}, {_R}, {_C}, {_D}, {_D2}, u AS (SELECT query_id, id, 1.0 / (60 + rank) AS w FROM dn UNION ALL SELECT query_id, id, 0.8 / (60 + rank) FROM vn),
+f2 AS (SELECT query_id, id, sum(w) AS score FROM u GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM f2) SELECT query_id, id, round(score, 8) AS score, rank FROM t WHERE rank < 10"""
+)
+def multi_query_fusion(spark, sf_dir):
+    """The views of a query fused by rank, the first with the larger weight."""
+    dense, other = both_views(points(spark, sf_dir))
+    hits = dense.withColumn("route", F.lit("main")).unionByName(other.withColumn("route", F.lit("view")))
+    return S.weighted_rrf(hits, {"main": 1.0, "view": 0.8}, 10).select("query_id", "id", F.round("score", 8).alias("score"), "rank")
 
 
 @query(f"WITH {_E}, {_P}, {_R}, {_C}, {_D} SELECT query_id, id, kb_id, round(score, 6) AS score, rank FROM dn")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,21 +47,66 @@ def file_type(path: Column, content: Column) -> Column:
     return F.coalesce(known, media, magic, F.lit("unknown"))
 
 
-def folder(spark: SparkSession, path: str, extensions: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = 500) -> DataFrame:
-    """Files below a folder; ``exclude`` holds globs for a file's or its folder's name. ``max_files`` is the feature's own cap, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def folder(spark: SparkSession, path: str, extensions: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = 500, recursive: bool = True) -> DataFrame:
+    """Files below a folder; ``exclude`` holds globs for a file's or its folder's name.
+
+    ``max_files`` is the feature's own cap, by path. Paths are listed, filtered and capped first; contents are read
+    only of the files that stay.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     if extensions:
         files = files.filter(text.extension(F.col("path")).isin([e.lower().lstrip(".") for e in extensions]))
     for glob in exclude or []:
         pattern = "^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() else c) for c in glob) + "$"
         parts = F.split("path", "/")
         files = files.filter(~(F.element_at(parts, -1).rlike(pattern) | F.element_at(parts, -2).rlike(pattern)))
-    return files.orderBy("path").limit(max_files) if max_files else files
+    if not max_files:
+        return files
+    first = files.select("path").orderBy("path").limit(max_files)  # at most max_files paths
+    return files.join(F.broadcast(first), "path", "left_semi")
+
+
+def encoding_of(content: bytes) -> str:
+    """The first of ENCODINGS that reads all of it; a mark of byte order asks for the encoding that drops it."""
+    for name in ENCODINGS:
+        try:
+            content.decode(name)
+        except UnicodeDecodeError:
+            continue
+        return "utf-8-sig" if name == "utf-8" and content.startswith(b"\xef\xbb\xbf") else name
+    return ENCODINGS[-1]
+
+
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Text of bytes in the first encoding that fits."""
+    return content.map(lambda b: None if b is None else bytes(b).decode(encoding_of(bytes(b))))
+
 
+#: Encodings that Spark's own reader takes, by its names.
+READABLE = {"utf-8": "utf-8", "utf-8-sig": "utf-8", "latin-1": "iso-8859-1"}
 
-def csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Every column as text, empty fields as empty text."""
-    return spark.read.csv(path, header=True, inferSchema=False, encoding=encoding).fillna("")
+
+def csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Every column as text, empty fields as empty text. Without ``encoding`` the first that reads the file's beginning is taken.
+
+    In an encoding that Spark's reader doesn't take, each file is parsed whole by the task that reads it.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if encoding is None:
+        head = bytes(files.select(F.substring("content", 1, 1 << 16).alias("b")).first()["b"])
+        encoding = encoding_of(head[: head.rfind(b"\n") + 1] or head)
+    if encoding in READABLE:
+        return spark.read.csv(path, header=True, inferSchema=False, encoding=READABLE[encoding]).fillna("")
+    first = files.select(F.substring("content", 1, 1 << 16).alias("b")).first()
+    columns = list(pd.read_csv(io.BytesIO(bytes(first["b"])), encoding=encoding, nrows=0, encoding_errors="ignore").columns)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                yield pd.read_csv(io.BytesIO(bytes(content)), encoding=encoding, dtype=str, keep_default_na=False)[columns]
+
+    return files.select("content").mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -76,9 +125,19 @@ def append(points: DataFrame, path: str, schema: T.StructType = POINT) -> None:
     checked(points, schema).write.mode("append").partitionBy("kb_id").parquet(path)
 
 
-def replace_kbs(points: DataFrame, path: str, schema: T.StructType = POINT) -> None:
-    """The knowledge bases that occur in ``points`` hold these rows afterwards; others stay."""
+def replace_kbs(points: DataFrame, path: str, schema: T.StructType = POINT, kbs: list | None = None) -> None:
+    """The knowledge bases that occur in ``points`` hold these rows afterwards; others stay. Of ``kbs`` those that don't occur are emptied."""
     checked(points, schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
+    spark = points.sparkSession
+    held = {str(r["kb_id"]) for r in points.filter(F.col("kb_id").isin(kbs)).select("kb_id").distinct().collect()} if kbs else set()
+    for kb in [k for k in kbs or [] if str(k) not in held]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kb_id={kb}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def progress(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows as lines of JSON, one an event, as progress streams send them."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
 def without(points: DataFrame, gone: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestar.sources import files
 def text_points(found: DataFrame, kb_id: str) -> DataFrame:
     """Chunks of the text files among ``found`` (path, content) as rows of ``files.POINT``; the vectors are still to be given."""
     typed = found.filter(files.file_type(F.col("path"), F.col("content")).isin("txt", "markdown"))
-    docs = typed.select(F.sha2("path", 256).alias("file_id"), T.newlines(F.decode("content", "UTF-8")).alias("text"))
+    docs = typed.select(F.sha2("path", 256).alias("file_id"), T.newlines(files.decoded("content")).alias("text"))
     cut = chunks.split(docs, id_col="file_id")
     return cut.select(
         chunks.chunk_id(F.col("file_id"), F.col("chunk_index")).alias("id"), F.lit(kb_id).alias("kb_id"), "file_id", F.col("file_id").alias("source_file_id"),
@@ -21,6 +21,7 @@ def text_points(found: DataFrame, kb_id: str) -> DataFrame:
     )
 
 
-def upload(spark: SparkSession, source: str, path: str, kb_id: str, **kw) -> None:
-    """Read a folder, cut its texts and let the knowledge base hold exactly them: a repeated upload changes nothing."""
-    files.replace_kbs(text_points(files.folder(spark, source, **kw), kb_id), path)
+def upload(spark: SparkSession, source: str, path: str, kb_id: str, max_files: int | None = None, **kw) -> None:
+    """Read a folder, cut its texts and let the knowledge base hold exactly them, none if the folder has none: a repeated upload
+    changes nothing. Every file is read unless ``max_files`` says otherwise."""
+    files.replace_kbs(text_points(files.folder(spark, source, max_files=max_files, **kw), kb_id), path, kbs=[kb_id])

@@ -105,3 +105,41 @@ def test_dedup_stream_and_windows(spark, tmp_path):
     assert spark.table("once").count() == 5
     assert state.windows(rows, "ts", "10 seconds").agg(F.sum("n")).first()[0] == 20
     assert state.pending(rows, "k", "ts", "ts").agg(F.max("taken")).first()[0] == 3
+
+
+def test_encodings_parsers_and_texts(spark, tmp_path):
+    for name, data in (("a.csv", "k,v\n1,é\n2,\n".encode()), ("b.csv", "k,v\n1,中文\n".encode("gbk")), ("c.csv", b"\xef\xbb\xbfk,v\n1,x\n"), ("d.txt", "x\r\ny".encode())):
+        (tmp_path / name).write_bytes(data)
+    assert [tuple(r) for r in files.csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", "é"), ("2", "")]
+    assert files.csv(spark, str(tmp_path / "b.csv")).first()["v"] == "中文" and files.csv(spark, str(tmp_path / "c.csv")).columns == ["k", "v"]
+    assert files.whole_texts(spark, str(tmp_path / "d.txt")).first()["text"] == "x\ny"
+    files.register_parser("sheet", lambda found: found.select("path"))
+    try:
+        parsed = files.parse_files(files.folder(spark, str(tmp_path)))
+        assert set(parsed) == {"sheet"} and parsed["sheet"].count() == 3
+    finally:
+        files.PARSERS.clear()
+    capped = files.folder(spark, str(tmp_path), max_files=2).select("path").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in capped) == ["a.csv", "b.csv"]
+    assert files.progress(spark.createDataFrame([("one", 1)], "stage string, percent int"), "stage", "percent").first()["value"] == '{"stage":"one","percent":1}'
+    heads = [(b"II*\x00rest", "image"), (b"BMxx", "image"), (b"RIFF0000WEBP", "image"), (b"%PDF-1", "pdf"), (b"zz", "unknown")]
+    got = spark.createDataFrame([(bytearray(b), "f") for b, _ in heads], "content binary, path string").select(files.file_type(F.col("path"), F.col("content"))).collect()
+    assert [r[0] for r in got] == [kind for _, kind in heads]
+
+
+def test_turns_and_pending_items_as_streams(spark, tmp_path):
+    rows = [(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 5, "x")]
+    spark.createDataFrame(rows, "s int, n int, t string").coalesce(1).write.parquet(str(tmp_path / "turns"))
+    stream = spark.readStream.schema("s int, n int, t string").parquet(str(tmp_path / "turns"))
+    q = state.last_turns(stream, "s", "t", "n", 2).writeStream.format("memory").queryName("turns").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r["s"]: r["turns"] for r in spark.table("turns").collect()} == {1: ["b", "c"], 2: ["x"]}
+    events = [(1, k, k * 10, k in (4, 7)) for k in range(8)] + [(2, 0, 0, False), (2, 1, 500, True)]
+    made = spark.createDataFrame(events, "s int, id int, sec int, takes boolean").withColumn("ts", F.timestamp_seconds("sec"))
+    want = [(1, 4, "0,1,2"), (1, 7, "5,6"), (2, 1, "")]
+    assert sorted(map(tuple, state.taken(made, "s", "id", "ts", "takes").collect())) == want
+    made.coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "events"))
+    q = state.taken(stream, "s", "id", "ts", "takes").writeStream.format("memory").queryName("taken").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("taken").collect())) == want

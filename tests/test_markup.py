@@ -47,3 +47,12 @@ def test_upload_twice(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert sorted(len(r.text_content) for r in rows) == [8, 200, 900, 900]
     assert {r.kb_id for r in rows} == {"kb1"} and len({r.id for r in rows}) == 4
+    ingest.upload(spark, str(source), path, "kb2", extensions=["md"])
+    ingest.upload(spark, str(source), path, "kb1", extensions=["none"])
+    assert {r.kb_id for r in spark.read.parquet(path).collect()} == {"kb2"}
+
+
+def test_nested_posts_marks_and_breaks(spark):
+    deep = json.dumps({"content": {"zh": {"rows": [[{"text": "a"}, [{"x": {"text": "b"}}]]]}}})
+    assert spark.createDataFrame([(deep,)], "c string").select(M.message_text(F.col("c"))).first()[0] == "a b"
+    assert M.node_markdown(node("paragraph", text("a", "underline"), {"type": "hardBreak"}, text("b"))) == "_a_  \nb"
