@@ -13,14 +13,18 @@ from lodestar.plans.registry import query, table
 from lodestar.streaming import state
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,;:!?\-()\[\]"''/\\]', ' ', 'g'))"""
-_REFS = """r0 AS (SELECT doc_id, source, text, lang, doc_id % 4 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id % 4, doc_id) AS ref_id FROM documents),
-r AS (SELECT *, ['doc', 'image', 'audio', 'video'][k + 1] AS content_type, ['文档', '图片', '音频', '视频'][k + 1] AS label, 'dir/f' || doc_id AS path FROM r0 WHERE ref_id <= 12)"""
+_REFS = """r0 AS (SELECT doc_id, source, text, lang, doc_id % 4 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id % 4, doc_id) AS ref_id
+FROM documents),
+r AS (SELECT *, ['doc', 'image', 'audio', 'video'][k + 1] AS content_type, ['文档', '图片', '音频', '视频'][k + 1] AS label, 'dir/f' || doc_id AS path FROM r0
+WHERE ref_id <= 12)"""
 _CUT = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || '...' ELSE {0} END"
 _LONG = "CASE WHEN doc_id % 8 = 7 THEN '未知' ELSE concat(doc_id // 60, '分', doc_id % 60, '秒') END"
 _FRAMES = "CASE WHEN doc_id % 8 = 7 THEN '无关键帧信息' ELSE array_to_string(list_transform([0, 1, 2, 3, 4], lambda i: concat('- ', (doc_id + 61 * i) // 60, ':', lpad(((doc_id + 61 * i) % 60)::VARCHAR, 2, '0'), ' - frame ', i)), chr(10)) END"
 _MATERIALS = f"""{_REFS}, c AS (SELECT *, {_CLEAN.format('text')} AS t, {_CLEAN.format('lang')} AS l FROM r),
-m AS (SELECT *, concat('【材料 ', ref_id, '】 (类型: ', label, ' | 来源: ', path, ')', chr(10), CASE k WHEN 0 THEN concat('内容片段：', chr(10), {_CUT.format('t', 500)}) WHEN 1 THEN concat('[视觉描述]：', chr(10), {_CUT.format('t', 300)})
-WHEN 2 THEN concat('时长：', {_LONG}, chr(10), '转写文本：', chr(10), {_CUT.format('t', 500)}, chr(10), '描述：', l) ELSE concat('时长：', {_LONG}, chr(10), '描述：', t, chr(10), '关键帧：', chr(10), {_FRAMES}) END) AS material FROM c)"""
+m AS (SELECT *, concat('【材料 ', ref_id, '】 (类型: ', label, ' | 来源: ', path, ')', chr(10), CASE k WHEN 0 THEN concat('内容片段：', chr(10),
+{_CUT.format('t', 500)}) WHEN 1 THEN concat('[视觉描述]：', chr(10), {_CUT.format('t', 300)})
+WHEN 2 THEN concat('时长：', {_LONG}, chr(10), '转写文本：', chr(10), {_CUT.format('t', 500)}, chr(10), '描述：', l) ELSE concat('时长：', {_LONG}, chr(10), '描述：',
+t, chr(10), '关键帧：', chr(10), {_FRAMES}) END) AS material FROM c)"""
 
 
 def md5(c):
@@ -48,8 +52,10 @@ def formatted_materials(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MATERIALS} SELECT source, md5(concat('参考材料列表：', chr(10), chr(10), CASE WHEN bool_or(k > 0) THEN concat('{X.MEDIA_NOTE.strip()}', chr(10), chr(10)) ELSE '' END,
-string_agg(material || chr(10), chr(10) ORDER BY ref_id), chr(10), '用户问题：what of ', source)) AS digest FROM m WHERE k <> 2 OR doc_id > 0 GROUP BY source"""
+    f"""WITH {_MATERIALS} SELECT source, md5(concat('参考材料列表：', chr(10), chr(10), CASE WHEN bool_or(k > 0) THEN concat('{X.MEDIA_NOTE.strip()}',
+chr(10), chr(10)) ELSE '' END,
+string_agg(material || chr(10), chr(10) ORDER BY ref_id), chr(10), '用户问题：what of ', source)) AS digest FROM m WHERE k <> 2 OR doc_id > 0 GROUP BY
+source"""
 )
 def context_strings(spark, sf_dir):
     """A query's materials in their order, with the note on media and the question."""
@@ -57,14 +63,16 @@ def context_strings(spark, sf_dir):
     return X.assembled(m, "source", F.concat(F.lit("what of "), "source")).select("source", md5(F.col("context")).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN concat('用户问题：', text) ELSE concat('以下是根据检索结果整理的参考材料，以及用户的最新问题。', chr(10), chr(10), '---', chr(10), 'some ', role, chr(10), '---', chr(10), chr(10), '用户问题：', text) END) AS digest FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN concat('用户问题：', text) ELSE concat('以下是根据检索结果整理的参考材料，以及用户的最新问题。', chr(10), chr(10), '---',
+chr(10), 'some ', role, chr(10), '---', chr(10), chr(10), '用户问题：', text) END) AS digest FROM conversations WHERE text IS NOT NULL""")
 def user_turns(spark, sf_dir):
     context = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("some "), "role"))
     c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
     return c.select("conv_id", "turn", md5(X.asked_with(F.col("text"), context)).alias("digest"))
 
 
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 < 2 AND doc_id % 2 = 0 THEN '缺少标准引用格式' END, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN '没有找到引用编号' END) AS warnings FROM documents""")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 < 2 AND doc_id % 2 = 0 THEN '缺少标准引用格式' END, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0
+THEN '没有找到引用编号' END) AS warnings FROM documents""")
 def format_warnings(spark, sf_dir):
     n = F.col("doc_id")
     kind = F.get(F.array(F.lit("doc"), F.lit("image"), F.lit("audio")), (n % 3).cast("int"))
@@ -72,16 +80,22 @@ def format_warnings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.warnings(text, kind).alias("warnings"))
 
 
-@query(f"WITH {_REFS} SELECT source, ref_id, md5(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS preview, count(*) OVER (PARTITION BY source, content_type) AS of_type FROM r WHERE text IS NOT NULL")
+@query(
+    f"""WITH {_REFS} SELECT source, ref_id, md5(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS preview, count(*) OVER
+(PARTITION BY source, content_type) AS of_type FROM r WHERE text IS NOT NULL"""
+)
 def reference_previews(spark, sf_dir):
     kinds = F.count(F.lit(1)).over(Window.partitionBy("source", "content_type"))
     r = references(spark, sf_dir).filter("text IS NOT NULL")
     return r.select("source", "ref_id", md5(X.preview(F.col("text"))).alias("preview"), kinds.alias("of_type"))
 
 
-_CITED = f"""WITH {_REFS}, n AS (SELECT source, unnest([3, 1, 3, 99, 2, 5, 4]) AS ref_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS o FROM (SELECT DISTINCT source FROM r)), f AS (SELECT source, ref_id, min(o) AS o FROM n GROUP BY ALL),
-j AS (SELECT f.source, f.ref_id, f.o, CASE WHEN r.ref_id <= 3 THEN 'c' || (r.ref_id // 2) ELSE '' END AS chunk_id, CASE WHEN r.ref_id = 5 THEN 'dir/shared' WHEN r.ref_id = 4 THEN 'dir/shared' ELSE r.path END AS path FROM f JOIN r ON r.source = f.source AND r.ref_id = f.ref_id),
-d AS (SELECT *, row_number() OVER (PARTITION BY source, coalesce(nullif(chunk_id, ''), path) ORDER BY o) AS n FROM j), v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o) AS place FROM d WHERE n = 1)"""
+_CITED = f"""WITH {_REFS}, n AS (SELECT source, unnest([3, 1, 3, 99, 2, 5, 4]) AS ref_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS o FROM (SELECT DISTINCT
+source FROM r)), f AS (SELECT source, ref_id, min(o) AS o FROM n GROUP BY ALL),
+j AS (SELECT f.source, f.ref_id, f.o, CASE WHEN r.ref_id <= 3 THEN 'c' || (r.ref_id // 2) ELSE '' END AS chunk_id, CASE WHEN r.ref_id = 5 THEN
+'dir/shared' WHEN r.ref_id = 4 THEN 'dir/shared' ELSE r.path END AS path FROM f JOIN r ON r.source = f.source AND r.ref_id = f.ref_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY source, coalesce(nullif(chunk_id, ''), path) ORDER BY o) AS n FROM j), v AS (SELECT *, row_number()
+OVER (PARTITION BY source ORDER BY o) AS place FROM d WHERE n = 1)"""
 
 
 def cited(spark, sf_dir: str):
@@ -106,8 +120,10 @@ def completed_citations(spark, sf_dir):
     return X.completed(found, base, "source", ["path", "chunk_id"]).select("source", "ref_id", "path", "chunk_id")
 
 
-@query(f"""WITH {_REFS}, w AS (SELECT doc_id AS chunk_id, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS p, lead(lang) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
-SELECT source, ref_id, content_type AS type, 'f' || doc_id AS file_name, md5(left(coalesce(text, ''), 500)) AS content, CASE WHEN k = 0 THEN coalesce(p, '') END AS prev, CASE WHEN k = 0 THEN coalesce(n, '') END AS next FROM r JOIN w ON w.chunk_id = r.doc_id""")
+@query(f"""WITH {_REFS}, w AS (SELECT doc_id AS chunk_id, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS p, lead(lang) OVER (PARTITION BY
+source ORDER BY doc_id) AS n FROM documents)
+SELECT source, ref_id, content_type AS type, 'f' || doc_id AS file_name, md5(left(coalesce(text, ''), 500)) AS content, CASE WHEN k = 0 THEN
+coalesce(p, '') END AS prev, CASE WHEN k = 0 THEN coalesce(n, '') END AS next FROM r JOIN w ON w.chunk_id = r.doc_id""")
 def client_references(spark, sf_dir):
     """References as rows for clients, documents with the text around them."""
     w = Window.partitionBy("source").orderBy("doc_id")
@@ -116,15 +132,18 @@ def client_references(spark, sf_dir):
     return X.client_rows(r, near, "source").select("source", "ref_id", "type", "file_name", md5(F.col("content")).alias("content"), "prev", "next")
 
 
-@query("""WITH q AS (SELECT conv_id AS query_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT query_id, p AS place, ['connected', 'intent', 'routing', 'retrieval', 'message', 'citation', 'complete'][p] AS stage FROM q, (SELECT unnest([1, 2, 3, 4, 5, 6, 7])::INT AS p) WHERE p <> 6 OR n > 3""")
+@query("""WITH q AS (SELECT conv_id AS query_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT query_id, p AS place, ['connected', 'intent',
+'routing', 'retrieval', 'message', 'citation', 'complete'][p] AS stage FROM q, (SELECT unnest([1, 2, 3, 4, 5, 6, 7])::INT AS p) WHERE p <> 6 OR n > 3""")
 def stage_events(spark, sf_dir):
     """What a client is told of a query, in order: stages as they end, messages, citations if there are any."""
     q = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
     return state.staged(q, F.col("n") > 3).select("query_id", "place", "stage")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN event_type END AS stage, CASE WHEN event_id % 3 = 0 THEN event_id % 101 END AS progress FROM events),
-l AS (SELECT user_id, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage, arg_max(progress, (ts, event_id)) FILTER (progress IS NOT NULL) AS progress FROM e GROUP BY user_id) SELECT user_id, coalesce(stage, 'initializing') AS stage, coalesce(progress, 0)::BIGINT AS progress FROM l""")
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN event_type END AS stage, CASE WHEN event_id % 3 = 0 THEN event_id %
+101 END AS progress FROM events),
+l AS (SELECT user_id, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage, arg_max(progress, (ts, event_id)) FILTER (progress IS NOT
+NULL) AS progress FROM e GROUP BY user_id) SELECT user_id, coalesce(stage, 'initializing') AS stage, coalesce(progress, 0)::BIGINT AS progress FROM l""")
 def processing_status(spark, sf_dir):
     """The state of each job after its updates, each of which may carry only some fields."""
     e = table(spark, sf_dir, "events").withColumn("stage", F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).withColumn("progress", F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 101))
@@ -139,7 +158,8 @@ def live_questions(spark, sf_dir):
     return state.alive(e, "ts", F.lit(now), 7 * 86400).select("user_id", "event_id")
 
 
-@query("""WITH s AS (SELECT user_id, min(ts) AS begun, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id), t AS (SELECT max(ts) - INTERVAL 40000 second AS now FROM events) SELECT user_id, n, now - begun > INTERVAL 3600 second AS expired FROM s, t WHERE begun <= now""")
+@query("""WITH s AS (SELECT user_id, min(ts) AS begun, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id), t AS (SELECT max(ts) - INTERVAL
+40000 second AS now FROM events) SELECT user_id, n, now - begun > INTERVAL 3600 second AS expired FROM s, t WHERE begun <= now""")
 def stream_sessions(spark, sf_dir):
     """Streams at a time: how many events they have sent in all, and whether they have outlived an hour."""
     e = table(spark, sf_dir, "events")
@@ -148,10 +168,14 @@ def stream_sessions(spark, sf_dir):
     return s.select("user_id", "n", (~state.within(F.col("begun"), now, 3600)).alias("expired"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type = 'purchase' AS taking FROM events WHERE user_id % 20 = 0),
-r AS (SELECT user_id, i, t, taking, CASE WHEN taking THEN [] ELSE [event_id] END AS held, CASE WHEN taking THEN [] END AS taken, event_id FROM e WHERE i = 1 UNION ALL
-SELECT e.user_id, e.i, CASE WHEN e.taking OR len(k) < 3 THEN e.t ELSE r.t END, e.taking, CASE WHEN e.taking THEN [] WHEN len(k) < 3 THEN list_append(k, e.event_id) ELSE k END, CASE WHEN e.taking THEN k END, e.event_id
-FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN r.taking OR e.t - r.t > 120000000 THEN []::BIGINT[] ELSE r.held END AS k) x) SELECT user_id, event_id AS at, array_to_string(taken, ',') AS items FROM r WHERE taking""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+event_type = 'purchase' AS taking FROM events WHERE user_id % 20 = 0),
+r AS (SELECT user_id, i, t, taking, CASE WHEN taking THEN [] ELSE [event_id] END AS held, CASE WHEN taking THEN [] END AS taken, event_id FROM e WHERE
+i = 1 UNION ALL
+SELECT e.user_id, e.i, CASE WHEN e.taking OR len(k) < 3 THEN e.t ELSE r.t END, e.taking, CASE WHEN e.taking THEN [] WHEN len(k) < 3 THEN
+list_append(k, e.event_id) ELSE k END, CASE WHEN e.taking THEN k END, e.event_id
+FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN r.taking OR e.t - r.t > 120000000 THEN []::BIGINT[] ELSE r.held
+END AS k) x) SELECT user_id, event_id AS at, array_to_string(taken, ',') AS items FROM r WHERE taking""")
 def pending_attachments(spark, sf_dir):
     """What waits when a message takes all: at most three items, none after a pause of two minutes."""
     e = table(spark, sf_dir, "events").filter("user_id % 20 = 0").withColumn("taking", F.col("event_type") == "purchase")

@@ -11,26 +11,36 @@ from lodestar.operators import chunks as C
 from lodestar.plans.registry import query, table
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_parts, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1] AS first FROM documents WHERE text IS NOT NULL")
+@query(
+    """SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_parts, list_filter(string_split(text, chr(10)),
+lambda x: trim(x) <> '')[1] AS first FROM documents WHERE text IS NOT NULL"""
+)
 def text_parser(spark, sf_dir):
     parts = T.paragraphs(F.col("text"), "\n")
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(parts).cast("long").alias("n_parts"), F.get(parts, F.lit(0)).alias("first"))
 
 
-_LINES = "l0 AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS text, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS i FROM documents), l AS (SELECT doc_id, i, trim(text) AS text FROM l0)"
+_LINES = """l0 AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS text,
+generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS i FROM documents), l AS (SELECT doc_id, i, trim(text)
+AS text FROM l0)"""
 
 
 def lines(spark, sf_dir):
     return C.parts(table(spark, sf_dir, "documents"), mark="\n")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, i::INT AS chunk_index, length(text)::INT AS n, CASE WHEN i > 0 THEN sha256(doc_id || ':' || (i - 1)) END AS prev_id, CASE WHEN i < max(i) OVER (PARTITION BY doc_id) THEN sha256(doc_id || ':' || (i + 1)) END AS next_id FROM l")
+@query(
+    f"""WITH {_LINES} SELECT doc_id, i::INT AS chunk_index, length(text)::INT AS n, CASE WHEN i > 0 THEN sha256(doc_id || ':' || (i - 1)) END AS
+prev_id, CASE WHEN i < max(i) OVER (PARTITION BY doc_id) THEN sha256(doc_id || ':' || (i + 1)) END AS next_id FROM l"""
+)
 def chunk_records(spark, sf_dir):
     return C.records(lines(spark, sf_dir)).select("doc_id", "chunk_index", F.length("text").alias("n"), "prev_id", "next_id")
 
 
-@query(f"""WITH {_LINES}, w AS (SELECT doc_id, i, text, lag(text) OVER k AS a, lead(text) OVER k AS b FROM l WINDOW k AS (PARTITION BY doc_id ORDER BY i))
-SELECT doc_id, i::INT AS chunk_index, md5(concat(CASE WHEN length(a) > 150 THEN right(a, 150) || chr(10) ELSE '' END, text, CASE WHEN length(b) > 150 THEN chr(10) || left(b, 150) ELSE '' END)) AS digest FROM w""")
+@query(f"""WITH {_LINES}, w AS (SELECT doc_id, i, text, lag(text) OVER k AS a, lead(text) OVER k AS b FROM l WINDOW k AS (PARTITION BY doc_id ORDER BY
+i))
+SELECT doc_id, i::INT AS chunk_index, md5(concat(CASE WHEN length(a) > 150 THEN right(a, 150) || chr(10) ELSE '' END, text, CASE WHEN length(b) > 150
+THEN chr(10) || left(b, 150) ELSE '' END)) AS digest FROM w""")
 def chunk_overlap(spark, sf_dir):
     return C.overlapped(lines(spark, sf_dir)).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -41,12 +51,17 @@ def recursive_chunks(spark, sf_dir):
     return C.records(C.split(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", F.length("text").alias("n"), "prev_id", "next_id")
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, substring(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 300) AS title FROM pages")
+@query(
+    """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, substring(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 300)
+AS title FROM pages"""
+)
 def page_metadata(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.page_title(F.col("html")).alias("title"))
 
 
-@query(r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\/:*?"<>|#%&' || chr(10) || chr(13) || chr(9) || ' ]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || '.md' AS name FROM pages""")
+@query(r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\/:*?"<>|#%&' ||
+chr(10) || chr(13) || chr(9) || ' ]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || '.md' AS name
+FROM pages""")
 def page_file_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.file_name(T.page_title(F.col("html")), T.host(F.col("url"))).alias("name"))
 
@@ -65,14 +80,21 @@ def page_text(spark, sf_dir):
     return c.select("page_id", F.md5(F.col("c").cast("binary")).alias("digest"), F.length("c").alias("n"))
 
 
-@query(f"WITH c AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS a, {_TEXT} AS b FROM pages) SELECT page_id, CASE WHEN length(a) >= 200 THEN 'heading' WHEN length(b) >= 200 THEN 'text' WHEN a <> '' THEN 'heading' ELSE 'text' END AS source FROM c")
+@query(
+    f"""WITH c AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS a, {_TEXT} AS b FROM pages) SELECT page_id, CASE WHEN length(a) >=
+200 THEN 'heading' WHEN length(b) >= 200 THEN 'text' WHEN a <> '' THEN 'heading' ELSE 'text' END AS source FROM c"""
+)
 def extraction_cascade(spark, sf_dir):
     """The first candidate long enough, else the first there is."""
     c = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("a"), T.html_text(F.col("html")).alias("b"))
     return c.select("page_id", F.when(F.length("a") >= 200, "heading").when(F.length("b") >= 200, "text").when(F.col("a") != "", "heading").otherwise("text").alias("source"))
 
 
-@query("SELECT item_id, regexp_replace(trim(regexp_replace(text, '[ ' || chr(10) || chr(9) || ']+', ' ', 'g')), '[.!?;,]+$', '')[1:96] || '？' AS question, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key, CASE WHEN length(text) <= 40 THEN text ELSE substring(text, 1, 39) || '…' END AS short FROM benchmark")
+@query(
+    """SELECT item_id, regexp_replace(trim(regexp_replace(text, '[ ' || chr(10) || chr(9) || ']+', ' ', 'g')), '[.!?;,]+$', '')[1:96] || '？' AS
+question, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key, CASE WHEN length(text) <= 40 THEN text ELSE substring(text, 1, 39) || '…' END AS
+short FROM benchmark"""
+)
 def questions(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     return b.select("item_id", T.question(F.col("text")).alias("question"), T.canonical_key(F.col("text")).alias("key"), T.trimmed(F.col("text"), 40).alias("short"))
@@ -103,7 +125,11 @@ def validated_citations(spark, sf_dir):
     return refs.join(known, ["conv_id", "ref"]).select("conv_id", "turn", "ref")
 
 
-@query("WITH k AS (SELECT doc_id, source, text, len(list_filter(regexp_split_to_array(text, '[ ' || chr(10) || chr(9) || chr(13) || ']+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT source, sum(n) AS total, count(*) AS refs FROM k GROUP BY source) SELECT doc_id, n, length(CASE WHEN total > 4000 THEN left(text, greatest(100, (4000 // refs)::BIGINT)::BIGINT) ELSE text END)::INT AS kept FROM k JOIN s USING (source)")
+@query(
+    """WITH k AS (SELECT doc_id, source, text, len(list_filter(regexp_split_to_array(text, '[ ' || chr(10) || chr(9) || chr(13) || ']+'), lambda x: x
+<> '')) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT source, sum(n) AS total, count(*) AS refs FROM k GROUP BY source) SELECT doc_id, n,
+length(CASE WHEN total > 4000 THEN left(text, greatest(100, (4000 // refs)::BIGINT)::BIGINT) ELSE text END)::INT AS kept FROM k JOIN s USING (source)"""
+)
 def token_budget(spark, sf_dir):
     k = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "source", "text", T.white_tokens(F.col("text")).cast("long").alias("n"))
     s = k.groupBy("source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("refs"))
@@ -111,13 +137,19 @@ def token_budget(spark, sf_dir):
     return k.join(s, "source").select("doc_id", "n", F.length(kept).alias("kept"))
 
 
-@query("SELECT p_partkey, (p_size * 61) // 60 || ':' || lpad(((p_size * 61) % 60)::VARCHAR, 2, '0') AS at, (p_size * 61) // 60 || '分' || (p_size * 61) % 60 || '秒' AS spoken FROM part")
+@query(
+    """SELECT p_partkey, (p_size * 61) // 60 || ':' || lpad(((p_size * 61) % 60)::VARCHAR, 2, '0') AS at, (p_size * 61) // 60 || '分' || (p_size * 61)
+% 60 || '秒' AS spoken FROM part"""
+)
 def durations(spark, sf_dir):
     s = F.col("p_size") * 61
     return table(spark, sf_dir, "part").select("p_partkey", T.minutes(s).alias("at"), F.concat(F.floor(s / 60).cast("string"), F.lit("分"), (s % 60).cast("string"), F.lit("秒")).alias("spoken"))
 
 
-@query("SELECT p_partkey, w::INT AS start, least(w + 480, p_size * 100)::INT AS stop FROM part, LATERAL (SELECT unnest(generate_series(0, greatest(0, p_size * 100 - 11), 470)) AS w)")
+@query(
+    """SELECT p_partkey, w::INT AS start, least(w + 480, p_size * 100)::INT AS stop FROM part, LATERAL (SELECT unnest(generate_series(0, greatest(0,
+p_size * 100 - 11), 470)) AS w)"""
+)
 def video_windows(spark, sf_dir):
     """Windows of 480 seconds that overlap by 10."""
     p = table(spark, sf_dir, "part").withColumn("length", F.col("p_size") * 100)
@@ -131,19 +163,26 @@ def event_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.timestamp_text(F.when(F.col("event_id") % 2 == 0, seconds * 1000).otherwise(seconds)).alias("at"))
 
 
-@query("SELECT r_regionkey, concat('| key | name |', chr(10), '| --- | --- |', chr(10), '| ', r_regionkey, ' | ', r_name, ' |') AS preview FROM region")
+@query(
+    """SELECT r_regionkey, concat('| key | name |', chr(10), '| --- | --- |', chr(10), '| ', r_regionkey, ' | ', r_name, ' |') AS preview FROM region"""
+)
 def sheet_preview(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", F.concat_ws("\n", F.lit("| key | name |"), F.lit("| --- | --- |"), F.format_string("| %s | %s |", "r_regionkey", "r_name")).alias("preview"))
 
 
-@query("WITH p AS (SELECT p_partkey, p_brand AS q, lower(p_name) AS name, lower(p_type) AS d, 'a' AS w FROM part) SELECT p_partkey, (CASE WHEN name = 'a' THEN 100 WHEN contains(name, w) THEN 50 + floor(30.0 / length(name)) ELSE 0 END + CASE WHEN contains(d, w) THEN 20 ELSE 0 END)::INT AS score FROM p")
+@query(
+    """WITH p AS (SELECT p_partkey, p_brand AS q, lower(p_name) AS name, lower(p_type) AS d, 'a' AS w FROM part) SELECT p_partkey, (CASE WHEN name =
+'a' THEN 100 WHEN contains(name, w) THEN 50 + floor(30.0 / length(name)) ELSE 0 END + CASE WHEN contains(d, w) THEN 20 ELSE 0 END)::INT AS score FROM
+p"""
+)
 def kb_text_score(spark, sf_dir):
     name, kind = F.lower("p_name"), F.lower("p_type")
     score = F.when(name == "a", 100).when(F.contains(name, F.lit("a")), 50 + F.floor(30.0 / F.length(name))).otherwise(0) + F.when(F.contains(kind, F.lit("a")), 20).otherwise(0)
     return table(spark, sf_dir, "part").select("p_partkey", score.cast("int").alias("score"))
 
 
-@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN round(c_acctbal, 0) WHEN 2 THEN c_acctbal / 1e7 ELSE c_acctbal * 1000 + 0.5 END AS v FROM customer)
+@query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN round(c_acctbal, 0) WHEN 2 THEN c_acctbal / 1e7 ELSE
+c_acctbal * 1000 + 0.5 END AS v FROM customer)
 SELECT c_custkey, CASE WHEN abs(v - trunc(v)) < 1e-9 THEN trunc(v)::BIGINT::VARCHAR ELSE format('{:.4g}', v) END AS shown FROM v""")
 def shown_numbers(spark, sf_dir):
     k, b = F.col("c_custkey") % 4, F.col("c_acctbal")

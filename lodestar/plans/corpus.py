@@ -14,19 +14,29 @@ def n(alias: str):
     return F.count(F.lit(1)).alias(alias)
 
 
-@query("SELECT source AS kb_id, count(DISTINCT doc_id) AS files, count(*) AS chunks, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS english, round(sum(n_chars) / 1048576.0, 2) AS size_mb FROM documents GROUP BY source")
+@query(
+    """SELECT source AS kb_id, count(DISTINCT doc_id) AS files, count(*) AS chunks, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS english,
+round(sum(n_chars) / 1048576.0, 2) AS size_mb FROM documents GROUP BY source"""
+)
 def kb_statistics(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy(F.col("source").alias("kb_id")).agg(F.countDistinct("doc_id").alias("files"), n("chunks"), F.sum((F.col("lang") == "en").cast("long")).alias("english"), F.round(F.sum("n_chars") / 1048576.0, 2).alias("size_mb"))
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM events GROUP BY event_type")
+@query(
+    """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM events
+GROUP BY event_type"""
+)
 def retrieval_counters(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy("event_type").agg(n("n"), F.round(F.avg("value"), 6).alias("mean"))
     return g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2))
 
 
-@query("WITH t AS (SELECT doc_id, source, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS nnz FROM documents) SELECT source AS kb_id, count(*) FILTER (nnz > 0) AS ok, count(*) FILTER (nnz = 0 OR nnz IS NULL) AS failed, sum(nnz)::BIGINT AS total, round(avg(nnz), 6) AS mean FROM t GROUP BY source")
+@query(
+    """WITH t AS (SELECT doc_id, source, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS nnz FROM documents) SELECT source AS
+kb_id, count(*) FILTER (nnz > 0) AS ok, count(*) FILTER (nnz = 0 OR nnz IS NULL) AS failed, sum(nnz)::BIGINT AS total, round(avg(nnz), 6) AS mean FROM
+t GROUP BY source"""
+)
 def sparse_statistics(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("source", F.size(F.array_distinct(T.words(F.col("text")))).alias("nnz"))
     t = t.withColumn("nnz", F.when(F.col("nnz") >= 0, F.col("nnz")))
@@ -37,9 +47,11 @@ COLUMNS = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mk
 
 
 @query(
-    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::VARCHAR AS v FROM customer" for c in COLUMNS["customer"]) + """), p AS (SELECT name, count(*) AS n_rows, count(*) FILTER (v IS NULL OR v = '') AS nulls, count(DISTINCT v) AS n_distinct, count(try_cast(v AS DOUBLE)) AS numbers,
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::VARCHAR AS v FROM customer" for c in COLUMNS["customer"]) + """), p AS (SELECT
+name, count(*) AS n_rows, count(*) FILTER (v IS NULL OR v = '') AS nulls, count(DISTINCT v) AS n_distinct, count(try_cast(v AS DOUBLE)) AS numbers,
     min(try_cast(v AS DOUBLE)) AS low, max(try_cast(v AS DOUBLE)) AS high, avg(try_cast(v AS DOUBLE)) AS mean FROM u GROUP BY name)
-    SELECT name, n_rows, nulls, n_distinct, CASE WHEN numbers >= 0.8 * n_rows THEN 'numeric' WHEN n_distinct <= greatest(20, floor(0.1 * n_rows)) THEN 'categorical' ELSE 'text' END AS kind, round(low, 4) AS low, round(high, 4) AS high, round(mean, 4) AS mean FROM p"""
+    SELECT name, n_rows, nulls, n_distinct, CASE WHEN numbers >= 0.8 * n_rows THEN 'numeric' WHEN n_distinct <= greatest(20, floor(0.1 * n_rows)) THEN
+'categorical' ELSE 'text' END AS kind, round(low, 4) AS low, round(high, 4) AS high, round(mean, 4) AS mean FROM p"""
 )
 def column_profile(spark, sf_dir):
     t = table(spark, sf_dir, "customer")
@@ -50,14 +62,22 @@ def column_profile(spark, sf_dir):
     return p.select("name", "n_rows", "nulls", "n_distinct", kind.alias("kind"), *[F.round(c, 4).alias(c) for c in ("low", "high", "mean")])
 
 
-@query("WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place FROM t) SELECT doc_id, token, n, place FROM r WHERE place <= 5")
+@query(
+    """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token, count(*)
+AS n FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place FROM t) SELECT doc_id, token, n,
+place FROM r WHERE place <= 5"""
+)
 def top_keywords(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(n("n"))
     return t.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "token"))).filter("place <= 5")
 
 
-@query("""WITH d AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), tf AS (SELECT source, token, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM d GROUP BY ALL), t AS (SELECT count(*) AS total FROM documents),
-s AS (SELECT source AS kb_id, token, tf * ln(total / df::DOUBLE) AS score FROM tf JOIN df USING (token), t), r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY round(score, 6) DESC, token) AS place FROM s) SELECT kb_id, token, round(score, 6) AS score, place FROM r WHERE place <= 10""")
+@query("""WITH d AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), tf AS (SELECT source,
+token, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM d GROUP BY ALL), t AS (SELECT count(*) AS total
+FROM documents),
+s AS (SELECT source AS kb_id, token, tf * ln(total / df::DOUBLE) AS score FROM tf JOIN df USING (token), t), r AS (SELECT *, row_number() OVER
+(PARTITION BY kb_id ORDER BY round(score, 6) DESC, token) AS place FROM s) SELECT kb_id, token, round(score, 6) AS score, place FROM r WHERE place <=
+10""")
 def topic_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     per = docs.select("source", "doc_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("source", "doc_id", "token").agg(n("n"))
@@ -69,7 +89,10 @@ def topic_keywords(spark, sf_dir):
     return s.withColumn("place", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("score"), "token"))).filter("place <= 10")
 
 
-@query("WITH g AS (SELECT lang, source, count(*) AS texts, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY texts DESC, chars DESC, source DESC) AS n FROM g) SELECT lang, source AS best, texts, chars FROM r WHERE n = 1")
+@query(
+    """WITH g AS (SELECT lang, source, count(*) AS texts, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL), r AS (SELECT *, row_number()
+OVER (PARTITION BY lang ORDER BY texts DESC, chars DESC, source DESC) AS n FROM g) SELECT lang, source AS best, texts, chars FROM r WHERE n = 1"""
+)
 def best_kb(spark, sf_dir):
     g = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(n("texts"), F.sum("n_chars").alias("chars"))
     return g.groupBy("lang").agg(F.max(F.struct("texts", "chars", "source")).alias("m")).select("lang", F.col("m.source").alias("best"), "m.texts", "m.chars")
@@ -81,42 +104,64 @@ def reservoir_sample(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(50)
 
 
-@query("SELECT n_name AS kb, coalesce(r_name, n_nationkey::VARCHAR) AS name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
+@query(
+    """SELECT n_name AS kb, coalesce(r_name, n_nationkey::VARCHAR) AS name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey
+<> 2"""
+)
 def kb_names(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").filter("r_regionkey <> 2")
     return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(F.col("n_name").alias("kb"), F.coalesce("r_name", F.col("n_nationkey").cast("string")).alias("name"))
 
 
-@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND (l.toxic = 1 OR l.quality = 0))")
+@query(
+    """SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND (l.toxic = 1 OR l.quality =
+0))"""
+)
 def cascade_delete(spark, sf_dir):
     gone = table(spark, sf_dir, "labels").filter("toxic = 1 OR quality = 0").select("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(gone, "doc_id", "left_anti")
 
 
-@query("SELECT l.doc_id, coalesce(nullif(trim(d.lang), ''), 'none') AS lang, concat_ws('；', d.lang, d.source) AS label FROM labels l JOIN documents d USING (doc_id)")
+@query(
+    """SELECT l.doc_id, coalesce(nullif(trim(d.lang), ''), 'none') AS lang, concat_ws('；', d.lang, d.source) AS label FROM labels l JOIN documents d
+USING (doc_id)"""
+)
 def point_get(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return table(spark, sf_dir, "labels").select("doc_id").join(d, "doc_id").select("doc_id", F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("none")).alias("lang"), F.concat_ws("；", "lang", "source").alias("label"))
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, role, CASE WHEN length(text) <= 100 THEN text ELSE substring(text, 1, 99) || '…' END AS text FROM r WHERE back <= 10")
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, turn, role, CASE
+WHEN length(text) <= 100 THEN text ELSE substring(text, 1, 99) || '…' END AS text FROM r WHERE back <= 10"""
+)
 def last_messages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("back <= 10")
     return c.select("conv_id", "turn", "role", T.trimmed(F.col("text"), 100).alias("text"))
 
 
-@query("SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, lag(length(text)) OVER w AS prev_chars, lead(length(text)) OVER w AS next_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query(
+    """SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn, lag(length(text)) OVER w AS prev_chars,
+lead(length(text)) OVER w AS next_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
 def neighbours(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"), F.lag(F.length("text")).over(w).alias("prev_chars"), F.lead(F.length("text")).over(w).alias("next_chars"))
 
 
-@query("WITH r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id, role, substring(text, 1, 80) AS summary FROM r WHERE n = 1")
+@query(
+    """WITH r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) SELECT conv_id,
+role, substring(text, 1, 80) AS summary FROM r WHERE n = 1"""
+)
 def first_summaries(spark, sf_dir):
     return S.first_per(table(spark, sf_dir, "conversations"), ("conv_id", "role"), F.col("turn")).select("conv_id", "role", F.substring("text", 1, 80).alias("summary"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c) SELECT conv_id, island::BIGINT AS island, min(turn) AS first_turn, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM i GROUP BY conv_id, island")
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS
+(PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c) SELECT conv_id,
+island::BIGINT AS island, min(turn) AS first_turn, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM i GROUP BY conv_id, island"""
+)
 def merged_messages(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     new = F.coalesce((F.col("role") != F.lag("role").over(w)).cast("long"), F.lit(1))
@@ -124,7 +169,10 @@ def merged_messages(spark, sf_dir):
     return i.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), n("messages"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("WITH k AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key FROM benchmark), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY item_id) AS n FROM k) SELECT item_id, md5(key) AS key FROM r WHERE n = 1")
+@query(
+    """WITH k AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key FROM benchmark), r AS (SELECT *, row_number() OVER
+(PARTITION BY key ORDER BY item_id) AS n FROM k) SELECT item_id, md5(key) AS key FROM r WHERE n = 1"""
+)
 def ordered_distinct(spark, sf_dir):
     k = table(spark, sf_dir, "benchmark").select("item_id", T.canonical_key(F.col("text")).alias("key"))
     return S.first_per(k, ("key",), F.col("item_id")).select("item_id", F.md5(F.col("key").cast("binary")).alias("key"))
@@ -135,7 +183,10 @@ def paging(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").orderBy("c_custkey").offset(10).limit(20).select("c_custkey", "c_name")
 
 
-@query("WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) SELECT event_id, user_id FROM r WHERE back <= 8")
+@query(
+    """WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) SELECT event_id,
+user_id FROM r WHERE back <= 8"""
+)
 def tail_cap(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id").withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id"))))
     return e.filter("back <= 8").select("event_id", "user_id")
@@ -146,13 +197,20 @@ def tumbling_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(n("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")
 
 
-@query("WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 120 second THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 120 second THEN 1 ELSE 0 END AS new FROM
+events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT
+user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s"""
+)
 def pending_sessions(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "120 seconds").alias("w")).agg(n("n"))
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, event_id, k // 10 AS fired FROM r WHERE k % 10 = 0")
+@query(
+    """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id,
+event_id, k // 10 AS fired FROM r WHERE k % 10 = 0"""
+)
 def counter_triggers(spark, sf_dir):
     """The events at which a key's counter reaches the threshold and starts anew."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

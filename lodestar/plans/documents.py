@@ -20,7 +20,8 @@ def md5(c):
     return F.md5(c.cast("binary"))
 
 
-@query("""WITH p AS (SELECT n_nationkey AS id, unnest([concat('# H', n_nationkey, chr(10), n_name, chr(10), 'two'), concat('```py', chr(10), '# ', n_comment_free, chr(10), chr(10), 'x', chr(10), '```'), 'end']) AS t, unnest([0, 1, 2])::INT AS place
+@query("""WITH p AS (SELECT n_nationkey AS id, unnest([concat('# H', n_nationkey, chr(10), n_name, chr(10), 'two'), concat('```py', chr(10), '# ',
+n_comment_free, chr(10), chr(10), 'x', chr(10), '```'), 'end']) AS t, unnest([0, 1, 2])::INT AS place
 FROM (SELECT *, n_name AS n_comment_free FROM nation)) SELECT id, place, md5(t) AS digest FROM p""")
 def markdown_chunks(spark, sf_dir):
     """A header takes the text below it, a fence is a part of its own, two blank lines end a part."""
@@ -30,9 +31,12 @@ def markdown_chunks(spark, sf_dir):
     return C.folded(rows, "t", lambda t: [(x,) for x in folds.markdown_parts(t)], "part string").select("id", "place", md5(F.col("part")).alias("digest"))
 
 
-@query(f"""WITH RECURSIVE {_LINES}, b AS (SELECT doc_id, i, length(text) AS n FROM l WHERE doc_id % 5 = 0), r AS (SELECT doc_id, i, n AS size, 0 AS place, 1 AS parts FROM b WHERE i = 0
-UNION ALL SELECT b.doc_id, b.i, CASE WHEN r.size + 2 + b.n <= 500 THEN r.size + 2 + b.n ELSE b.n END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.place ELSE r.place + 1 END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.parts + 1 ELSE 1 END
-FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1) SELECT doc_id, place::INT AS place, max(size)::INT AS n, max(parts)::INT AS parts FROM r GROUP BY doc_id, place""")
+@query(f"""WITH RECURSIVE {_LINES}, b AS (SELECT doc_id, i, length(text) AS n FROM l WHERE doc_id % 5 = 0), r AS (SELECT doc_id, i, n AS size, 0 AS
+place, 1 AS parts FROM b WHERE i = 0
+UNION ALL SELECT b.doc_id, b.i, CASE WHEN r.size + 2 + b.n <= 500 THEN r.size + 2 + b.n ELSE b.n END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.place
+ELSE r.place + 1 END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.parts + 1 ELSE 1 END
+FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1) SELECT doc_id, place::INT AS place, max(size)::INT AS n, max(parts)::INT AS parts FROM r GROUP
+BY doc_id, place""")
 def merged_chunks(spark, sf_dir):
     """Neighbouring chunks of texts without headers put together up to 500 characters."""
     parts = lines(spark, sf_dir).filter("doc_id % 5 = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
@@ -52,11 +56,14 @@ def merged_chunks(spark, sf_dir):
 _HEAD = "'| key | name |' || chr(10) || '| --- | --- |'"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT s_suppkey // 500 AS part, row_number() OVER (PARTITION BY s_suppkey // 500 ORDER BY s_suppkey) AS i, concat('| ', s_suppkey, ' | ', replace(s_name, '|', chr(92) || '|'), ' |') AS t FROM supplier),
+@query(f"""WITH RECURSIVE s AS (SELECT s_suppkey // 500 AS part, row_number() OVER (PARTITION BY s_suppkey // 500 ORDER BY s_suppkey) AS i,
+concat('| ', s_suppkey, ' | ', replace(s_name, '|', chr(92) || '|'), ' |') AS t FROM supplier),
 r AS (SELECT part, i, t, length(t) + 1 AS used, i AS first_row, t AS held FROM s WHERE i = 1 UNION ALL
-SELECT s.part, s.i, s.t, CASE WHEN r.used + length(s.t) > 900 - length({_HEAD}) THEN 0 ELSE r.used END + length(s.t) + 1, CASE WHEN r.used + length(s.t) > 900 - length({_HEAD}) THEN s.i ELSE r.first_row END,
+SELECT s.part, s.i, s.t, CASE WHEN r.used + length(s.t) > 900 - length({_HEAD}) THEN 0 ELSE r.used END + length(s.t) + 1, CASE WHEN r.used +
+length(s.t) > 900 - length({_HEAD}) THEN s.i ELSE r.first_row END,
 CASE WHEN r.used + length(s.t) > 900 - length({_HEAD}) THEN s.t ELSE r.held || chr(10) || s.t END FROM r JOIN s ON s.part = r.part AND s.i = r.i + 1)
-SELECT part, first_row::INT AS first_row, max(i)::INT AS last_row, md5({_HEAD} || chr(10) || arg_max(held, i)) AS digest FROM r GROUP BY part, first_row""")
+SELECT part, first_row::INT AS first_row, max(i)::INT AS last_row, md5({_HEAD} || chr(10) || arg_max(held, i)) AS digest FROM r GROUP BY part,
+first_row""")
 def sheet_blocks(spark, sf_dir):
     """Rows of a sheet as Markdown blocks with a repeated header; rows longer than the header are cut. A sheet has at most 500 rows here."""
     cells = F.array(F.col("s_suppkey").cast("string"), F.col("s_name"), F.lit("beyond the header"))
@@ -66,7 +73,8 @@ def sheet_blocks(spark, sf_dir):
     return out.select("part", "first_row", "last_row", md5(F.col("block")).alias("digest"))
 
 
-@query("""WITH c AS (SELECT count(*) AS n FROM customer) SELECT md5(concat('# customers', chr(10), '规模：', n, ' 行 × 3 列', chr(10), '列名：c_custkey | c_name | c_mktsegment', chr(10), '摘要：（未生成）')) AS digest FROM c""")
+@query("""WITH c AS (SELECT count(*) AS n FROM customer) SELECT md5(concat('# customers', chr(10), '规模：', n, ' 行 × 3 列', chr(10),
+'列名：c_custkey | c_name | c_mktsegment', chr(10), '摘要：（未生成）')) AS digest FROM c""")
 def sheet_summary(spark, sf_dir):
     """A sheet's name, size, columns and summary as a chunk."""
     columns = ["c_custkey", "c_name", "c_mktsegment"]
@@ -80,11 +88,17 @@ _VALUE = {"c_custkey": "c_custkey::VARCHAR", "c_nationkey": "CASE WHEN c_nationk
 
 
 @query(
-    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, c_custkey AS i, {v} AS v FROM customer" for c, v in _VALUE.items()) + """), e AS (SELECT * FROM u WHERE v <> ''),
-p AS (SELECT name, count(*) AS n_rows, count(*) FILTER (v = '') AS nulls, count(DISTINCT CASE WHEN v <> '' THEN v END) AS n_distinct, count(*) FILTER (v <> '') AS held, count(try_cast(nullif(v, '') AS DOUBLE)) AS numbers, min(try_cast(nullif(v, '') AS DOUBLE)) AS low, max(try_cast(nullif(v, '') AS DOUBLE)) AS high FROM u GROUP BY name),
-x AS (SELECT name, v, min(i) AS i FROM e GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM x), s AS (SELECT name, string_agg(CASE WHEN length(v) <= 60 THEN v ELSE left(v, 57) || '...' END, ' | ' ORDER BY k) AS examples FROM o WHERE k <= 5 GROUP BY name)
-SELECT name, concat('# customers.', name, chr(10), '类型：', CASE WHEN numbers >= 0.8 * held THEN 'numeric' WHEN n_distinct <= greatest(20, floor(0.1 * held)) THEN 'categorical' ELSE 'text' END, '；非空：', n_rows - nulls, '/', n_rows, '；唯一值：', n_distinct,
-chr(10), '示例：', examples, CASE WHEN numbers >= 0.8 * held THEN concat(chr(10), '统计：min=', low::BIGINT, ' max=', high::BIGINT) ELSE '' END) AS chunk FROM p JOIN s USING (name)"""
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, c_custkey AS i, {v} AS v FROM customer" for c, v in _VALUE.items()) + """), e AS
+(SELECT * FROM u WHERE v <> ''),
+p AS (SELECT name, count(*) AS n_rows, count(*) FILTER (v = '') AS nulls, count(DISTINCT CASE WHEN v <> '' THEN v END) AS n_distinct, count(*) FILTER
+(v <> '') AS held, count(try_cast(nullif(v, '') AS DOUBLE)) AS numbers, min(try_cast(nullif(v, '') AS DOUBLE)) AS low, max(try_cast(nullif(v, '') AS
+DOUBLE)) AS high FROM u GROUP BY name),
+x AS (SELECT name, v, min(i) AS i FROM e GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM x), s AS (SELECT
+name, string_agg(CASE WHEN length(v) <= 60 THEN v ELSE left(v, 57) || '...' END, ' | ' ORDER BY k) AS examples FROM o WHERE k <= 5 GROUP BY name)
+SELECT name, concat('# customers.', name, chr(10), '类型：', CASE WHEN numbers >= 0.8 * held THEN 'numeric' WHEN n_distinct <= greatest(20, floor(0.1 *
+held)) THEN 'categorical' ELSE 'text' END, '；非空：', n_rows - nulls, '/', n_rows, '；唯一值：', n_distinct,
+chr(10), '示例：', examples, CASE WHEN numbers >= 0.8 * held THEN concat(chr(10), '统计：min=', low::BIGINT, ' max=', high::BIGINT) ELSE '' END) AS chunk
+FROM p JOIN s USING (name)"""
 )
 def column_portraits(spark, sf_dir):
     """Each column of a sheet as a chunk: kind, filled and distinct values, the first five of them, the least and greatest number."""
@@ -96,7 +110,8 @@ def column_portraits(spark, sf_dir):
     return C.column_portraits(sheet, "row", _PROFILED, "customers")
 
 
-@query("""SELECT doc_id, md5(coalesce(nullif(trim(concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END, chr(10), CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END), ' ' || chr(10)), ''), '音频文件')) AS digest FROM documents""")
+@query("""SELECT doc_id, md5(coalesce(nullif(trim(concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END, chr(10), CASE WHEN doc_id % 2 = 0 THEN '' ELSE
+lang END), ' ' || chr(10)), ''), '音频文件')) AS digest FROM documents""")
 def audio_texts(spark, sf_dir):
     """Transcript and description of a sound as one text; a placeholder where there is neither."""
     transcript, description = F.when(F.col("doc_id") % 3 != 0, F.col("text")), F.when(F.col("doc_id") % 2 != 0, F.col("lang"))
@@ -110,9 +125,12 @@ def interval_frames(spark, sf_dir):
     return p.select("p_partkey", F.explode(C.frames_every(F.col("p_size") * 30, F.lit(25.0), 10)).alias("frame"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT p_partkey, i, i * 50.0 AS a, i * 50.0 + CASE WHEN i % 3 = 2 THEN 20 ELSE 48 END AS b, CASE WHEN (p_partkey + i) % 4 = 0 THEN 'other' ELSE repeat('scene one ', 3) || (i % 2) END AS t FROM part, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) WHERE p_partkey % 10 = 0),
-r AS (SELECT p_partkey, i, a, b, t, 0 AS place FROM s WHERE i = 0 UNION ALL SELECT s.p_partkey, s.i, CASE WHEN j THEN r.a ELSE s.a END, CASE WHEN j THEN greatest(r.b, s.b) ELSE s.b END, CASE WHEN j THEN r.t ELSE s.t END, CASE WHEN j THEN r.place ELSE r.place + 1 END
-FROM r JOIN s ON s.p_partkey = r.p_partkey AND s.i = r.i + 1, LATERAL (SELECT s.a - r.b < 10 AND (left(s.t, 80) = left(r.t, 80) OR length(left(r.t, 80)) > 20 AND left(s.t, 20) = left(r.t, 20)) AS j) x)
+@query("""WITH RECURSIVE s AS (SELECT p_partkey, i, i * 50.0 AS a, i * 50.0 + CASE WHEN i % 3 = 2 THEN 20 ELSE 48 END AS b, CASE WHEN (p_partkey + i)
+% 4 = 0 THEN 'other' ELSE repeat('scene one ', 3) || (i % 2) END AS t FROM part, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) WHERE p_partkey % 10 = 0),
+r AS (SELECT p_partkey, i, a, b, t, 0 AS place FROM s WHERE i = 0 UNION ALL SELECT s.p_partkey, s.i, CASE WHEN j THEN r.a ELSE s.a END, CASE WHEN j
+THEN greatest(r.b, s.b) ELSE s.b END, CASE WHEN j THEN r.t ELSE s.t END, CASE WHEN j THEN r.place ELSE r.place + 1 END
+FROM r JOIN s ON s.p_partkey = r.p_partkey AND s.i = r.i + 1, LATERAL (SELECT s.a - r.b < 10 AND (left(s.t, 80) = left(r.t, 80) OR length(left(r.t,
+80)) > 20 AND left(s.t, 20) = left(r.t, 20)) AS j) x)
 SELECT p_partkey, place::INT AS place, max(a)::DOUBLE AS start, max(b)::DOUBLE AS stop FROM r GROUP BY ALL""")
 def merged_scenes(spark, sf_dir):
     """Scenes of overlapping windows put together where they tell the same."""
@@ -125,7 +143,10 @@ def merged_scenes(spark, sf_dir):
     return merged.drop("summary")
 
 
-@query("SELECT p_partkey, unnest([0, 1])::INT AS place, unnest([p_size * 1.0, p_size + 2.5])::DOUBLE AS start, unnest([p_brand, 'b']) AS summary FROM part WHERE p_partkey % 3 <> 2")
+@query(
+    """SELECT p_partkey, unnest([0, 1])::INT AS place, unnest([p_size * 1.0, p_size + 2.5])::DOUBLE AS start, unnest([p_brand, 'b']) AS summary FROM
+part WHERE p_partkey % 3 <> 2"""
+)
 def scene_answers(spark, sf_dir):
     """Scenes from a model's answer: fenced, with trailing commas, inside prose; none where it holds no JSON."""
     size = F.col("p_size").cast("string")
@@ -135,8 +156,10 @@ def scene_answers(spark, sf_dir):
     return C.folded(rows, "a", folds.scenes, "start double, summary string")
 
 
-@query("""SELECT doc_id, CASE WHEN t = 'excel' THEN 'sheet' WHEN m AND t IN ('pdf', 'docx', 'pptx', 'md') THEN 'markdown' WHEN t = 'pdf' THEN 'pages' WHEN t IN ('docx', 'txt', 'md') THEN 'paragraphs' ELSE 'none' END AS splitter,
-CASE WHEN t = 'md' THEN NOT h WHEN t IN ('docx', 'txt') AND NOT (t = 'docx' AND m) THEN true ELSE false END AS merge FROM (SELECT doc_id, ['pdf', 'docx', 'txt', 'md', 'excel', 'image'][doc_id % 6 + 1] AS t, doc_id % 4 < 2 AS m, doc_id % 5 = 0 AS h FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN t = 'excel' THEN 'sheet' WHEN m AND t IN ('pdf', 'docx', 'pptx', 'md') THEN 'markdown' WHEN t = 'pdf' THEN 'pages'
+WHEN t IN ('docx', 'txt', 'md') THEN 'paragraphs' ELSE 'none' END AS splitter,
+CASE WHEN t = 'md' THEN NOT h WHEN t IN ('docx', 'txt') AND NOT (t = 'docx' AND m) THEN true ELSE false END AS merge FROM (SELECT doc_id, ['pdf',
+'docx', 'txt', 'md', 'excel', 'image'][doc_id % 6 + 1] AS t, doc_id % 4 < 2 AS m, doc_id % 5 = 0 AS h FROM documents)""")
 def chunk_policies(spark, sf_dir):
     """By a file's type, whether it has Markdown and headers: how it is cut, and whether short neighbours are put together."""
     kind = F.get(F.array(*[F.lit(x) for x in ("pdf", "docx", "txt", "md", "excel", "image")]), (F.col("doc_id") % 6).cast("int"))
@@ -144,7 +167,8 @@ def chunk_policies(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.splitter", "p.merge")
 
 
-@query("""SELECT item_id, md5(concat('**Item ', item_id, '**', chr(10), text, chr(10), chr(10), ' --- ', chr(10), chr(10), '```', chr(10), '# kept ![a](b)', chr(10), '```', chr(10), '[pic](http://h/', item_id, ') and （图：配图）')) AS digest FROM benchmark""")
+@query("""SELECT item_id, md5(concat('**Item ', item_id, '**', chr(10), text, chr(10), chr(10), ' --- ', chr(10), chr(10), '```', chr(10),
+'# kept ![a](b)', chr(10), '```', chr(10), '[pic](http://h/', item_id, ') and （图：配图）')) AS digest FROM benchmark""")
 def post_markdown(spark, sf_dir):
     """Markdown as chat posts show it."""
     text = F.concat(F.lit("## Item "), "item_id", F.lit(" \r\n"), F.coalesce("text", F.lit("")), F.lit("\n***\n```\n# kept ![a](b)\n```\n![pic](http://h/"), "item_id", F.lit(") and ![](local.png)"))
@@ -160,7 +184,8 @@ def post_parts(spark, sf_dir):
     return C.folded(rows, "t", lambda t: [(len(x),) for x in folds.post_parts(t, 80)], "n int")
 
 
-@query("""SELECT c_custkey, CASE k WHEN 1 THEN 'image' ELSE 'file' END AS type, 'key' || c_custkey AS key, CASE k WHEN 1 THEN '.jpg' WHEN 2 THEN '.mp3' WHEN 3 THEN '.pdf' ELSE '' END AS suffix, CASE k WHEN 3 THEN 'a b.v2.PDF' END AS name
+@query("""SELECT c_custkey, CASE k WHEN 1 THEN 'image' ELSE 'file' END AS type, 'key' || c_custkey AS key, CASE k WHEN 1 THEN '.jpg' WHEN 2 THEN
+'.mp3' WHEN 3 THEN '.pdf' ELSE '' END AS suffix, CASE k WHEN 3 THEN 'a b.v2.PDF' END AS name
 FROM (SELECT c_custkey, c_custkey % 6 AS k FROM customer) WHERE k IN (1, 2, 3, 4)""")
 def message_resources(spark, sf_dir):
     """What messages carry to download: images, sounds, files with and without a name; texts and broken ones carry nothing."""
@@ -172,8 +197,10 @@ def message_resources(spark, sf_dir):
     return m.select("c_custkey", "r.type", "r.key", "r.suffix", "r.name")
 
 
-@query("""WITH a AS (SELECT n_regionkey AS id, string_agg(concat('[附件', k, ' ', CASE WHEN k % 2 = 0 THEN '图片' ELSE '音频' END, ' ', n_name, '] ', left(repeat(n_name || ' says more. ', 40), 300)), chr(10) ORDER BY k) AS b FROM
-(SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) WHERE k <= 3 GROUP BY n_regionkey) SELECT id, md5(CASE WHEN length(b) > 900 THEN left(b, 899) || '…' ELSE b END) AS digest FROM a""")
+@query("""WITH a AS (SELECT n_regionkey AS id, string_agg(concat('[附件', k, ' ', CASE WHEN k % 2 = 0 THEN '图片' ELSE '音频' END, ' ', n_name, '] ',
+left(repeat(n_name || ' says more. ', 40), 300)), chr(10) ORDER BY k) AS b FROM
+(SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) WHERE k <= 3 GROUP BY n_regionkey) SELECT id, md5(CASE
+WHEN length(b) > 900 THEN left(b, 899) || '…' ELSE b END) AS digest FROM a""")
 def attachment_blocks(spark, sf_dir):
     """Summaries of a message's first three attachments as one block."""
     place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
@@ -182,8 +209,11 @@ def attachment_blocks(spark, sf_dir):
     return C.attachment_block(a, "n_regionkey", "k", "kind", "n_name", "summary").select(F.col("n_regionkey").alias("id"), md5(F.col("block")).alias("digest"))
 
 
-@query("""WITH t AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, coalesce(lang, '无标题') AS title, CASE WHEN doc_id % 2 = 0 THEN 'http://h/' || doc_id ELSE '' END AS url, trim(coalesce(text, ''), ' ' || chr(10)) AS c FROM documents),
-b AS (SELECT source, string_agg(concat('## ', i, '. ', title, CASE WHEN url <> '' THEN concat(chr(10), chr(10), '来源：[', title, '](', url, ')') ELSE '' END, CASE WHEN c <> '' THEN concat(chr(10), chr(10), left(c, 2000), CASE WHEN length(c) > 2000 THEN '...' ELSE '' END) ELSE '' END, chr(10)), chr(10) ORDER BY i) AS t FROM t WHERE i <= 10 GROUP BY source)
+@query("""WITH t AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, coalesce(lang, '无标题') AS title, CASE WHEN doc_id % 2
+= 0 THEN 'http://h/' || doc_id ELSE '' END AS url, trim(coalesce(text, ''), ' ' || chr(10)) AS c FROM documents),
+b AS (SELECT source, string_agg(concat('## ', i, '. ', title, CASE WHEN url <> '' THEN concat(chr(10), chr(10), '来源：[', title, '](', url, ')') ELSE ''
+END, CASE WHEN c <> '' THEN concat(chr(10), chr(10), left(c, 2000), CASE WHEN length(c) > 2000 THEN '...' ELSE '' END) ELSE '' END, chr(10)), chr(10)
+ORDER BY i) AS t FROM t WHERE i <= 10 GROUP BY source)
 SELECT source AS topic, md5(concat('# 每日热点摘要 2024-01-10', chr(10), chr(10), t)) AS digest FROM b""")
 def topic_digests(spark, sf_dir):
     """The first results of a search as one Markdown text."""
@@ -193,8 +223,10 @@ def topic_digests(spark, sf_dir):
     return C.topic_digest(rows, "source", "i", F.coalesce("lang", F.lit("无标题")), url, F.col("text"), "2024-01-10").select(F.col("source").alias("topic"), md5(F.col("digest")).alias("digest"))
 
 
-@query("""SELECT page_id, ['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1] AS src,
-left(sha1(coalesce(['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1], '')), 16) AS key FROM pages""")
+@query("""SELECT page_id, ['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1] AS
+src,
+left(sha1(coalesce(['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1], '')),
+16) AS key FROM pages""")
 def lazy_images(spark, sf_dir):
     """The address of an image that is loaded late, and the key under which it is stored."""
     n = F.col("page_id")
@@ -207,11 +239,16 @@ def lazy_images(spark, sf_dir):
     return p.select("page_id", "src", F.left(F.sha1(F.coalesce("src", F.lit("")).cast("binary")), F.lit(16)).alias("key"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 3 AS k, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages),
-c AS (SELECT page_id, 'first' AS title, repeat('b ', 100) AS body, 0 AS o, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, NULL, '# ' || repeat('long ', 400), 1, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, 'state', concat('## s', chr(10), '# h ', repeat('n', 330)), 2, k, host FROM p WHERE k = 1),
-s AS (SELECT *, 50 + least(length(trim(body)) // 160, 140) + CASE WHEN title IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN contains(body, '# ') THEN 20 ELSE 0 END + CASE WHEN contains(body, '## ') THEN 15 ELSE 0 END AS score FROM c),
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 3 AS k, regexp_extract(url,
+'^[a-z]+://([^/:?#]+)', 1) AS host FROM pages),
+c AS (SELECT page_id, 'first' AS title, repeat('b ', 100) AS body, 0 AS o, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, NULL, '# ' ||
+repeat('long ', 400), 1, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, 'state', concat('## s', chr(10), '# h ', repeat('n', 330)), 2, k, host
+FROM p WHERE k = 1),
+s AS (SELECT *, 50 + least(length(trim(body)) // 160, 140) + CASE WHEN title IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN contains(body, '# ') THEN 20
+ELSE 0 END + CASE WHEN contains(body, '## ') THEN 15 ELSE 0 END AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(trim(body)) DESC) AS n FROM s)
-SELECT page_id, coalesce(title, '') AS title, score::INT AS score, CASE WHEN o = 0 THEN 'Ann' ELSE '' END AS author, CASE WHEN o = 2 THEN host ELSE 'The Site' END AS site, length(trim(body))::INT AS n FROM r WHERE n = 1""")
+SELECT page_id, coalesce(title, '') AS title, score::INT AS score, CASE WHEN o = 0 THEN 'Ann' ELSE '' END AS author, CASE WHEN o = 2 THEN host ELSE
+'The Site' END AS site, length(trim(body))::INT AS n FROM r WHERE n = 1""")
 def structured_pages(spark, sf_dir):
     """Candidates from the structured data of a page (JSON-LD, application state), the best of each page by (score, length), with
     author and site, which may stand on a mapping around the text."""

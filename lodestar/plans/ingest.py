@@ -26,7 +26,10 @@ def image_references(spark, sf_dir):
     return found.select("doc_id", "place", "image.path")
 
 
-@query(f"WITH l AS (SELECT DISTINCT doc_id FROM labels), c AS (SELECT doc_id, {_WITH_IMAGES} AS c, doc_id IN (SELECT doc_id FROM l) AS known FROM documents) SELECT doc_id, md5(CASE WHEN known THEN replace(c, '![one](img/' || doc_id || '.png)', 'caption ' || doc_id) ELSE c END) AS digest FROM c")
+@query(
+    f"""WITH l AS (SELECT DISTINCT doc_id FROM labels), c AS (SELECT doc_id, {_WITH_IMAGES} AS c, doc_id IN (SELECT doc_id FROM l) AS known FROM
+documents) SELECT doc_id, md5(CASE WHEN known THEN replace(c, '![one](img/' || doc_id || '.png)', 'caption ' || doc_id) ELSE c END) AS digest FROM c"""
+)
 def captioned_text(spark, sf_dir):
     """Images with a known caption become that caption."""
     known = table(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -36,7 +39,9 @@ def captioned_text(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || h WHEN h LIKE '#%' THEN regexp_extract(url, '^[^#]*') || h ELSE regexp_extract(url, '^[a-z]+://[^?#]*/') || h END AS link, count(*) AS n FROM l GROUP BY ALL""")
+SELECT page_id, CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || h
+WHEN h LIKE '#%' THEN regexp_extract(url, '^[^#]*') || h ELSE regexp_extract(url, '^[a-z]+://[^?#]*/') || h END AS link, count(*) AS n FROM l GROUP BY
+ALL""")
 def absolute_links(spark, sf_dir):
     links = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
     return links.groupBy("page_id", M.absolute("url", "h").alias("link")).agg(F.count(F.lit(1)).alias("n"))
@@ -51,8 +56,10 @@ def filled_prompts(spark, sf_dir):
 QUESTIONS = ("What is known about {topic}?", "How does {topic} work?", "Which files cover {topic}?")
 
 
-@query("""WITH p AS (SELECT DISTINCT source AS kb_id, lang FROM documents WHERE lang IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY lang) % 3 AS i FROM p),
-q AS (SELECT kb_id, CASE i WHEN 0 THEN 'What is known about ' || lang WHEN 1 THEN 'How does ' || lang || ' work' ELSE 'Which files cover ' || lang END || '？' AS question FROM i WHERE lang <> 'en')
+@query("""WITH p AS (SELECT DISTINCT source AS kb_id, lang FROM documents WHERE lang IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY
+kb_id ORDER BY lang) % 3 AS i FROM p),
+q AS (SELECT kb_id, CASE i WHEN 0 THEN 'What is known about ' || lang WHEN 1 THEN 'How does ' || lang || ' work' ELSE 'Which files cover ' || lang END
+|| '？' AS question FROM i WHERE lang <> 'en')
 SELECT kb_id, question, left(sha256(kb_id || ':' || regexp_replace(lower(question), '[^a-z0-9]+', '', 'g')), 16) AS id FROM q""")
 def question_bank(spark, sf_dir):
     """Template questions of each topic that the bank, which holds those on one language, lacks."""
@@ -65,7 +72,10 @@ def question_bank(spark, sf_dir):
     return S.first_per(new.join(bank, ["kb_id", "key"], "left_anti"), ("kb_id", "key"), F.col("question")).select("kb_id", "question", id_.alias("id"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN trim(text) ELSE 'find ' || role || ' ' || turn END AS query, CASE WHEN turn % 5 = 4 THEN '' ELSE array_to_string(list_sort(['a', 'b', role]), ',') END AS keywords, CASE WHEN turn % 5 = 4 THEN 0 ELSE 2 END AS n_views FROM conversations")
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN trim(text) ELSE 'find ' || role || ' ' || turn END AS query, CASE WHEN turn % 5 = 4 THEN ''
+ELSE array_to_string(list_sort(['a', 'b', role]), ',') END AS keywords, CASE WHEN turn % 5 = 4 THEN 0 ELSE 2 END AS n_views FROM conversations"""
+)
 def rewritten_queries(spark, sf_dir):
     """Model answers as JSON, as lines or without any use; then the query itself."""
     c = table(spark, sf_dir, "conversations")
@@ -79,7 +89,8 @@ def rewritten_queries(spark, sf_dir):
     return a.select("conv_id", "turn", F.coalesce(M.answer_field(F.col("a"), "query"), F.trim("text")).alias("query"), F.coalesce(keywords, F.lit("")).alias("keywords"), views.alias("n_views"))
 
 
-@query("""WITH l AS (SELECT user_id, event_type, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events)
+@query("""WITH l AS (SELECT user_id, event_type, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value, row_number() OVER (PARTITION BY user_id,
+event_type ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last FROM events)
 SELECT user_id, event_type, value FROM l WHERE n = 1 AND value IS NOT NULL AND last - ts <= INTERVAL 86400 second""")
 def session_preferences(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
@@ -96,7 +107,10 @@ def rich_text_markdown(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(M.rich_text(doc).cast("binary")).alias("digest"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')) AS c FROM conversations) SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN c ELSE trim(c || ' end') END) AS digest FROM c")
+@query(
+    """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')) AS c FROM
+conversations) SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN c ELSE trim(c || ' end') END) AS digest FROM c"""
+)
 def message_texts(spark, sf_dir):
     text = F.concat(F.lit("@_user_1 "), F.coalesce("text", F.lit("")))
     plain = F.to_json(F.struct(text.alias("text")))
@@ -106,7 +120,8 @@ def message_texts(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(M.message_text(F.col("c")).cast("binary")).alias("digest"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, source, {_PARTS} AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS file FROM documents), x AS (SELECT source, doc_id, file, unnest(generate_series(0, least(2, len(p)) - 1)) AS item FROM f WHERE file < 8)
+@query(f"""WITH f AS (SELECT doc_id, source, {_PARTS} AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS file FROM documents), x AS
+(SELECT source, doc_id, file, unnest(generate_series(0, least(2, len(p)) - 1)) AS item FROM f WHERE file < 8)
 SELECT source AS kb_id, doc_id, item::INT AS item, greatest(0.82, round(1 - 0.03 * file - 0.01 * item, 4))::DOUBLE AS score FROM x""")
 def selected_files(spark, sf_dir):
     """First chunks of the first files that a user selected, with scores by place. Files are ranked before their texts are cut."""
@@ -117,14 +132,20 @@ def selected_files(spark, sf_dir):
     return parts.select(F.col("source").alias("kb_id"), "doc_id", "item", score.alias("score"))
 
 
-@query(f"WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(left(array_to_string(p[greatest(1, len(p) // 2):len(p) // 2 + 2], chr(10)), 1200)) AS digest FROM p")
+@query(
+    f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(left(array_to_string(p[greatest(1, len(p) //
+2):len(p) // 2 + 2], chr(10)), 1200)) AS digest FROM p"""
+)
 def image_context(spark, sf_dir):
     """The part in the middle, where an image is taken to be, between its neighbours."""
     p = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.paragraphs(F.col("text"), "\n").alias("p"))
     return p.select("doc_id", F.md5(M.around(F.col("p"), F.floor(F.size("p") / 2).cast("int")).cast("binary")).alias("digest"))
 
 
-@query("SELECT p_partkey, unnest(CASE WHEN p_size % 3 = 0 THEN [p_size / 2.0] ELSE list_transform(generate_series(0, p_size, 10), lambda x: x::DOUBLE) END)::DOUBLE AS at FROM part")
+@query(
+    """SELECT p_partkey, unnest(CASE WHEN p_size % 3 = 0 THEN [p_size / 2.0] ELSE list_transform(generate_series(0, p_size, 10), lambda x: x::DOUBLE)
+END)::DOUBLE AS at FROM part"""
+)
 def scene_keyframes(spark, sf_dir):
     """A row per keyframe; a scene without any has its middle."""
     frames = F.when(F.col("p_size") % 3 != 0, F.sequence(F.lit(0), F.col("p_size"), F.lit(10)))
@@ -132,7 +153,10 @@ def scene_keyframes(spark, sf_dir):
     return p.select("p_partkey", F.coalesce(F.col("frame").cast("double"), F.col("p_size") / 2.0).alias("at"))
 
 
-@query("SELECT c_nationkey::VARCHAR AS kb_id, (c_custkey % 50)::VARCHAR AS file_id, min(c_custkey) AS first FROM customer WHERE c_custkey % 11 <> 0 GROUP BY ALL")
+@query(
+    """SELECT c_nationkey::VARCHAR AS kb_id, (c_custkey % 50)::VARCHAR AS file_id, min(c_custkey) AS first FROM customer WHERE c_custkey % 11 <> 0
+GROUP BY ALL"""
+)
 def scope_normalised(spark, sf_dir):
     """Scopes in either spelling, trimmed, without invalid ones, each once and in order."""
     kb, file = F.format_string(" %d ", "c_nationkey"), (F.col("c_custkey") % 50).cast("string")
@@ -144,13 +168,17 @@ def scope_normalised(spark, sf_dir):
     return s.groupBy("kb_id", "file_id").agg(F.min("c_custkey").alias("first"))
 
 
-@query("""SELECT n_nationkey, 'kb-' || regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS bucket, sha256('{"kb":"' || n_name || '","n":' || n_nationkey || '}') AS key FROM nation""")
+@query("""SELECT n_nationkey, 'kb-' || regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS bucket,
+sha256('{"kb":"' || n_name || '","n":' || n_nationkey || '}') AS key FROM nation""")
 def bucket_names(spark, sf_dir):
     key = F.sha2(F.to_json(F.struct(F.col("n_name").alias("kb"), F.col("n_nationkey").alias("n"))), 256)
     return table(spark, sf_dir, "nation").select("n_nationkey", M.bucket(F.col("n_name")).alias("bucket"), key.alias("key"))
 
 
-@query(f"SELECT doc_id, md5(left(array_to_string(list_transform({_PARTS}[1:3], lambda x: left(x, 450)), chr(10)), 14000)) AS digest FROM documents WHERE text IS NOT NULL")
+@query(
+    f"""SELECT doc_id, md5(left(array_to_string(list_transform({_PARTS}[1:3], lambda x: left(x, 450)), chr(10)), 14000)) AS digest FROM documents
+WHERE text IS NOT NULL"""
+)
 def question_material(spark, sf_dir):
     parts = F.transform(F.slice(T.paragraphs(F.col("text"), "\n"), 1, 3), lambda x: F.left(x, F.lit(450)))
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.left(F.array_join(parts, "\n"), F.lit(14000)).cast("binary")).alias("digest"))

@@ -124,7 +124,8 @@ def selected_file_intents(spark, sf_dir):
     return a.select("conv_id", "turn", F.array_join("kinds", ",").alias("modalities"), *own)
 
 
-@query("""SELECT conv_id, turn, NOT role = 'user' OR turn % 5 = 0 OR conv_id % 3 = 1 AS by_name, NOT role = 'user' OR conv_id % 3 <> 0 AS by_any FROM conversations""")
+@query("""SELECT conv_id, turn, NOT role = 'user' OR turn % 5 = 0 OR conv_id % 3 = 1 AS by_name, NOT role = 'user' OR conv_id % 3 <> 0 AS by_any FROM
+conversations""")
 def group_triggers(spark, sf_dir):
     """Which messages the bot answers: users speak in groups, some with its prefix, some mention it or someone else."""
     c = table(spark, sf_dir, "conversations")

@@ -32,13 +32,18 @@ _MODALITY = "['doc', 'image', 'audio', 'video'][{} % 4 + 1]"
 
 
 @query(
-    f"""WITH d AS (SELECT source, doc_id, lang, trim(regexp_replace(left(text, {TOPIC_CHARS}), '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g')) AS s, doc_id % 3 = 0 AS image FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, image ORDER BY doc_id) AS n FROM d), k AS (SELECT * FROM r WHERE n <= CASE WHEN image THEN {SAMPLE_IMAGES} ELSE {SAMPLE_TEXTS} END),
+    f"""WITH d AS (SELECT source, doc_id, lang, trim(regexp_replace(left(text, {TOPIC_CHARS}), '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g')) AS s, doc_id % 3 =
+0 AS image FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, image ORDER BY doc_id) AS n FROM d), k AS (SELECT * FROM r WHERE n <= CASE WHEN image THEN
+{SAMPLE_IMAGES} ELSE {SAMPLE_TEXTS} END),
 t AS (SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM k WHERE NOT image AND n <= {TOPIC_TEXTS} AND s <> ''),
-w AS (SELECT source, array_to_string(list_filter(regexp_split_to_array(s, '[ \\n\\t]+'), lambda x: x <> '')[1:{TOPIC_WORDS}], ' ') AS topic, min(i) AS i FROM t WHERE i <= {TOPICS} GROUP BY ALL),
+w AS (SELECT source, array_to_string(list_filter(regexp_split_to_array(s, '[ \\n\\t]+'), lambda x: x <> '')[1:{TOPIC_WORDS}], ' ') AS topic, min(i) AS
+i FROM t WHERE i <= {TOPICS} GROUP BY ALL),
 l AS (SELECT source, string_agg(topic, ' | ' ORDER BY i) AS topics FROM w GROUP BY source),
-f AS (SELECT source, string_agg(DISTINCT CASE WHEN image THEN 'png' ELSE lang END, ',' ORDER BY CASE WHEN image THEN 'png' ELSE lang END) AS formats, count(*) AS sample_count,
-CASE WHEN bool_or(NOT image) AND bool_or(image) THEN 'document,image' WHEN bool_or(image) THEN 'image' ELSE 'document' END AS kinds FROM k GROUP BY source)
+f AS (SELECT source, string_agg(DISTINCT CASE WHEN image THEN 'png' ELSE lang END, ',' ORDER BY CASE WHEN image THEN 'png' ELSE lang END) AS formats,
+count(*) AS sample_count,
+CASE WHEN bool_or(NOT image) AND bool_or(image) THEN 'document,image' WHEN bool_or(image) THEN 'image' ELSE 'document' END AS kinds FROM k GROUP BY
+source)
 SELECT f.source AS kb_id, formats, kinds, sample_count, md5(coalesce(topics, '未分类内容')) AS topics FROM f LEFT JOIN l USING (source)""".replace("\\n", "\n").replace("\\t", "\t")
 )
 def content_summary(spark, sf_dir):
@@ -58,9 +63,11 @@ def content_summary(spark, sf_dir):
 
 
 _ITEMS = f"i AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS kb_id, {_MODALITY.format('l_linenumber')} AS modality FROM lineitem)"
-_PLAN = f"""WITH {_ITEMS}, c AS (SELECT kb_id, modality, count(*) AS n FROM i GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY kb_id) AS total FROM c),
+_PLAN = f"""WITH {_ITEMS}, c AS (SELECT kb_id, modality, count(*) AS n FROM i GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY kb_id) AS total
+FROM c),
 z AS (SELECT *, least(1000, greatest(50, floor(0.2 * total))) AS size FROM t), o AS (SELECT *, floor(size * n / total) AS own FROM z),
-q AS (SELECT kb_id, modality, n, CASE WHEN total < 5000 THEN n WHEN modality = 'video' THEN size - sum(CASE WHEN modality <> 'video' THEN own ELSE 0 END) OVER (PARTITION BY kb_id) ELSE own END::BIGINT AS quota FROM o)"""
+q AS (SELECT kb_id, modality, n, CASE WHEN total < 5000 THEN n WHEN modality = 'video' THEN size - sum(CASE WHEN modality <> 'video' THEN own ELSE 0
+END) OVER (PARTITION BY kb_id) ELSE own END::BIGINT AS quota FROM o)"""
 
 
 def items(spark, sf_dir: str):
@@ -78,11 +85,15 @@ def stratified_sample(spark, sf_dir):
     return P.sample(items(spark, sf_dir)).select("id", "kb_id", "modality", "place")
 
 
-_KNOWN = """k AS (SELECT source AS kb_id, count(*) AS n, min(doc_id) AS m FROM documents GROUP BY source), p AS (SELECT kb_id, n, CASE WHEN m % 4 <> 0 THEN n + (m % 9 - 4) * 6 END AS last,
+_KNOWN = """k AS (SELECT source AS kb_id, count(*) AS n, min(doc_id) AS m FROM documents GROUP BY source), p AS (SELECT kb_id, n, CASE WHEN m % 4 <> 0
+THEN n + (m % 9 - 4) * 6 END AS last,
 CASE WHEN m % 4 <> 0 THEN DATE '2024-01-10' - (m % 10)::INT END AS created FROM k)"""
 
 
-@query(f"WITH {_KNOWN} SELECT kb_id, n, created IS NULL OR coalesce(last > 0 AND abs(n - last) / greatest(last, 1)::DOUBLE >= 0.2, false) OR coalesce(DATE '2024-01-10' - created >= 7, false) OR coalesce(n >= 50 AND last < 50, false) AS refresh FROM p")
+@query(
+    f"""WITH {_KNOWN} SELECT kb_id, n, created IS NULL OR coalesce(last > 0 AND abs(n - last) / greatest(last, 1)::DOUBLE >= 0.2, false) OR
+coalesce(DATE '2024-01-10' - created >= 7, false) OR coalesce(n >= 50 AND last < 50, false) AS refresh FROM p"""
+)
 def portrait_refresh(spark, sf_dir):
     """Which portraits are due on a day: none yet, changed by a fifth, a week old, or across the threshold."""
     k = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("kb_id")).agg(n("n"), F.min("doc_id").alias("m"))
@@ -101,8 +112,10 @@ def portrait_pipeline(spark, sf_dir):
     return built.groupBy("kb_id").agg(n("clusters"), F.sum("cluster_size").alias("points"), sound.alias("sound"))
 
 
-@query(f"""WITH c AS (SELECT label AS kb_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), m AS (SELECT kb_id, id, {_MODALITY.format('id')} AS modality FROM c WHERE n <= 10)
-SELECT m.kb_id, m.id, md5(CASE modality WHEN 'doc' THEN '[文档片段] ' WHEN 'image' THEN '[图片描述] ' WHEN 'audio' THEN '[音频转写/描述] ' ELSE '[视频关键帧] ' END || left(trim(text), 300)) AS piece
+@query(f"""WITH c AS (SELECT label AS kb_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings), m AS (SELECT
+kb_id, id, {_MODALITY.format('id')} AS modality FROM c WHERE n <= 10)
+SELECT m.kb_id, m.id, md5(CASE modality WHEN 'doc' THEN '[文档片段] ' WHEN 'image' THEN '[图片描述] ' WHEN 'audio' THEN '[音频转写/描述] ' ELSE '[视频关键帧] ' END ||
+left(trim(text), 300)) AS piece
 FROM m JOIN documents d ON d.doc_id = m.id WHERE trim(text) <> ''""")
 def member_texts(spark, sf_dir):
     """The texts of a cluster's members, by their modality."""
@@ -112,7 +125,8 @@ def member_texts(spark, sf_dir):
     return m.join(texts, "id").select("kb_id", "id", F.md5(F.concat(head, "text").cast("binary")).alias("piece"))
 
 
-@query("""WITH c AS (SELECT 'documents' AS name, count(*) AS points, count(DISTINCT source) AS kbs FROM documents UNION ALL SELECT 'embeddings', count(*), count(DISTINCT label) FROM embeddings
+@query("""WITH c AS (SELECT 'documents' AS name, count(*) AS points, count(DISTINCT source) AS kbs FROM documents UNION ALL SELECT 'embeddings',
+count(*), count(DISTINCT label) FROM embeddings
 UNION ALL SELECT 'pages', count(*), count(DISTINCT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) FROM pages) SELECT * FROM c""")
 def collection_statistics(spark, sf_dir):
     out = None
@@ -122,16 +136,23 @@ def collection_statistics(spark, sf_dir):
     return out
 
 
-@query(f"WITH c AS (SELECT source AS kb_id, {_MODALITY.format('doc_id')} AS m, count(*) AS n FROM documents GROUP BY ALL) SELECT kb_id, sum(n) FILTER (m = 'doc')::BIGINT AS doc, sum(n) FILTER (m = 'image')::BIGINT AS image, sum(n) FILTER (m = 'audio')::BIGINT AS audio, sum(n) FILTER (m = 'video')::BIGINT AS video FROM c GROUP BY kb_id")
+@query(
+    f"""WITH c AS (SELECT source AS kb_id, {_MODALITY.format('doc_id')} AS m, count(*) AS n FROM documents GROUP BY ALL) SELECT kb_id, sum(n) FILTER
+(m = 'doc')::BIGINT AS doc, sum(n) FILTER (m = 'image')::BIGINT AS image, sum(n) FILTER (m = 'audio')::BIGINT AS audio, sum(n) FILTER (m =
+'video')::BIGINT AS video FROM c GROUP BY kb_id"""
+)
 def points_by_collection(spark, sf_dir):
     """A knowledge base's points in each of the four collections."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id"), modality("doc_id").alias("m"))
     return d.groupBy("kb_id").pivot("m", P.MODALITIES).agg(F.count(F.lit(1)))
 
 
-@query(f"""WITH f AS (SELECT n_nationkey AS path, 's' || n_regionkey AS file FROM nation), d AS (SELECT 's' || (doc_id % 5) AS file, source AS kb_id, {_MODALITY.format('doc_id // 5')} AS m FROM documents),
-g AS (SELECT path, kb_id, count(*) FILTER (m = 'doc') AS a, count(*) FILTER (m = 'image') AS b, count(*) FILTER (m = 'audio') AS c, count(*) FILTER (m = 'video') AS v FROM f JOIN d USING (file) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a DESC, b DESC, c DESC, v DESC, kb_id) AS n FROM g) SELECT path, kb_id FROM r WHERE n = 1""")
+@query(f"""WITH f AS (SELECT n_nationkey AS path, 's' || n_regionkey AS file FROM nation), d AS (SELECT 's' || (doc_id % 5) AS file, source AS kb_id,
+{_MODALITY.format('doc_id // 5')} AS m FROM documents),
+g AS (SELECT path, kb_id, count(*) FILTER (m = 'doc') AS a, count(*) FILTER (m = 'image') AS b, count(*) FILTER (m = 'audio') AS c, count(*) FILTER (m
+= 'video') AS v FROM f JOIN d USING (file) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY a DESC, b DESC, c DESC, v DESC, kb_id) AS n FROM g) SELECT path, kb_id FROM r WHERE n =
+1""")
 def kb_of_path(spark, sf_dir):
     """The knowledge base under which an object's file has most points: by texts, then images, sounds and videos."""
     files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.concat(F.lit("s"), "n_regionkey").alias("file"))
@@ -142,7 +163,8 @@ def kb_of_path(spark, sf_dir):
     return files.join(best, "file").select("path", "kb_id")
 
 
-@query("""WITH v AS (SELECT doc_id AS video, 'v' || doc_id AS uuid, source || '.mp4' AS name FROM documents WHERE doc_id % 4 = 3), k AS (SELECT doc_id AS frame, 'frames/v' || (doc_id - doc_id % 4 + 3 + 8 * (doc_id % 2)) || '/1.jpg' AS path FROM documents WHERE doc_id % 4 < 2)
+@query("""WITH v AS (SELECT doc_id AS video, 'v' || doc_id AS uuid, source || '.mp4' AS name FROM documents WHERE doc_id % 4 = 3), k AS (SELECT doc_id
+AS frame, 'frames/v' || (doc_id - doc_id % 4 + 3 + 8 * (doc_id % 2)) || '/1.jpg' AS path FROM documents WHERE doc_id % 4 < 2)
 SELECT frame, coalesce(name, path) AS video FROM k LEFT JOIN v ON uuid = regexp_extract(path, 'frames/([^/]+)/', 1)""")
 def keyframe_videos(spark, sf_dir):
     """The name of the video that a key frame is from, by the identifier in its path; the path itself where there is none."""
@@ -153,11 +175,15 @@ def keyframe_videos(spark, sf_dir):
     return N.with_video(frames, videos).select("frame", F.coalesce("name", "path").alias("video"))
 
 
-@query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' AFRICA ' WHEN 1 THEN 'am' WHEN 2 THEN 'a' WHEN 3 THEN 'xyz' WHEN 4 THEN '' ELSE '2' END AS token FROM customer),
+@query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' AFRICA ' WHEN 1 THEN 'am' WHEN 2 THEN 'a' WHEN 3 THEN 'xyz' WHEN 4 THEN ''
+ELSE '2' END AS token FROM customer),
 r AS (SELECT r_regionkey::VARCHAR AS id, lower(r_name) AS name FROM region UNION ALL SELECT '9', 'europe'),
-c AS (SELECT c_custkey, count(*) FILTER (id = trim(token)) AS ids, count(*) FILTER (name = lower(trim(token))) AS exact, count(*) FILTER (starts_with(name, lower(trim(token))) AND trim(token) <> '') AS begun,
+c AS (SELECT c_custkey, count(*) FILTER (id = trim(token)) AS ids, count(*) FILTER (name = lower(trim(token))) AS exact, count(*) FILTER
+(starts_with(name, lower(trim(token))) AND trim(token) <> '') AS begun,
 min(id) FILTER (name = lower(trim(token))) AS e, min(id) FILTER (starts_with(name, lower(trim(token)))) AS b FROM t, r GROUP BY c_custkey)
-SELECT c_custkey, CASE WHEN ids = 1 THEN trim(token) WHEN exact = 1 THEN e WHEN exact = 0 AND begun = 1 THEN b END AS kb_id, CASE WHEN trim(token) = '' THEN 'empty' WHEN ids = 1 OR exact = 1 OR exact = 0 AND begun = 1 THEN 'found' WHEN exact > 1 OR begun > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome FROM c JOIN t USING (c_custkey)""")
+SELECT c_custkey, CASE WHEN ids = 1 THEN trim(token) WHEN exact = 1 THEN e WHEN exact = 0 AND begun = 1 THEN b END AS kb_id, CASE WHEN trim(token) =
+'' THEN 'empty' WHEN ids = 1 OR exact = 1 OR exact = 0 AND begun = 1 THEN 'found' WHEN exact > 1 OR begun > 1 THEN 'ambiguous' ELSE 'unknown' END AS
+outcome FROM c JOIN t USING (c_custkey)""")
 def kb_names_resolved(spark, sf_dir):
     """What a user typed as a knowledge base: its id, its name, or the beginning of one name only."""
     tokens = F.array(*[F.lit(x) for x in (" AFRICA ", "am", "a", "xyz", "", "2")])
@@ -167,8 +193,10 @@ def kb_names_resolved(spark, sf_dir):
     return N.resolved(asked, kbs).select("c_custkey", "kb_id", "outcome")
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS w, string_split(lower(coalesce(lang, '')) || ',zz,' || lower(source), ',') AS m FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(w, []), list_filter(m, lambda x: x <> ''))))[1:10], ',') AS keywords FROM a""")
+@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS w, string_split(lower(coalesce(lang,
+'')) || ',zz,' || lower(source), ',') AS m FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(w, []), list_filter(m, lambda x: x <> ''))))[1:10], ',') AS keywords FROM
+a""")
 def keyword_union(spark, sf_dir):
     """Keywords of a text and of a model's answer as one set, ten of them."""
     given = F.filter(F.split(F.concat(F.lower(F.coalesce("lang", F.lit(""))), F.lit(",zz,"), F.lower("source")), ","), lambda x: x != "")
@@ -184,9 +212,12 @@ def shuffled_questions(spark, sf_dir):
     return first.select("item_id", F.row_number().over(Window.orderBy("draw", "item_id")).alias("place"))
 
 
-@query(f"""WITH d AS (SELECT source AS kb_id, doc_id, {_MODALITY.format('doc_id')} AS kind, left(text, 120) AS head FROM documents WHERE trim(text) <> ''), u AS (SELECT kb_id, kind, head, min(doc_id) AS doc_id FROM d GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY kb_id, kind ORDER BY md5('5:' || doc_id), doc_id) AS n FROM u), k AS (SELECT * FROM r WHERE n <= CASE WHEN kind = 'doc' THEN 15 ELSE 6 END),
-o AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY md5('6:' || doc_id), doc_id) AS place FROM k) SELECT kb_id, kind, doc_id, place, (place - 1) // 8 AS batch FROM o WHERE place <= 30""")
+@query(f"""WITH d AS (SELECT source AS kb_id, doc_id, {_MODALITY.format('doc_id')} AS kind, left(text, 120) AS head FROM documents WHERE trim(text) <>
+''), u AS (SELECT kb_id, kind, head, min(doc_id) AS doc_id FROM d GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY kb_id, kind ORDER BY md5('5:' || doc_id), doc_id) AS n FROM u), k AS (SELECT * FROM r WHERE n <= CASE
+WHEN kind = 'doc' THEN 15 ELSE 6 END),
+o AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY md5('6:' || doc_id), doc_id) AS place FROM k) SELECT kb_id, kind, doc_id, place, (place
+- 1) // 8 AS batch FROM o WHERE place <= 30""")
 def question_backfill(spark, sf_dir):
     """Material for a knowledge base's questions: half texts, a fifth of each other kind, distinct by their beginnings, shuffled, in batches."""
     d = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select(F.col("source").alias("kb_id"), "doc_id", modality("doc_id").alias("kind"), F.left("text", F.lit(120)).alias("head"))
@@ -197,8 +228,10 @@ def question_backfill(spark, sf_dir):
     return o.select("kb_id", "kind", "doc_id", "place", F.expr("(place - 1) div 8").alias("batch"))
 
 
-@query("""WITH k AS (SELECT r_regionkey AS id, r_name AS name, 'old' AS note FROM region), c AS (SELECT 1 AS id, 'renamed' AS name, NULL AS note UNION ALL SELECT 7, 'new', 'fresh'), g AS (SELECT 3 AS id),
-u AS (SELECT coalesce(k.id, c.id) AS id, coalesce(c.name, k.name) AS name, coalesce(c.note, k.note) AS note FROM k FULL JOIN c ON k.id = c.id) SELECT * FROM u WHERE id NOT IN (SELECT id FROM g)""")
+@query("""WITH k AS (SELECT r_regionkey AS id, r_name AS name, 'old' AS note FROM region), c AS (SELECT 1 AS id, 'renamed' AS name, NULL AS note UNION
+ALL SELECT 7, 'new', 'fresh'), g AS (SELECT 3 AS id),
+u AS (SELECT coalesce(k.id, c.id) AS id, coalesce(c.name, k.name) AS name, coalesce(c.note, k.note) AS note FROM k FULL JOIN c ON k.id = c.id) SELECT
+* FROM u WHERE id NOT IN (SELECT id FROM g)""")
 def kb_changes(spark, sf_dir):
     """Knowledge bases after creations, updates of the fields that are given, and deletions."""
     kbs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("old").alias("note"))
@@ -206,7 +239,8 @@ def kb_changes(spark, sf_dir):
     return N.changed(kbs, given, spark.createDataFrame([(3,)], "id int"), "id")
 
 
-@query("""WITH c AS (SELECT n_nationkey AS asked, unnest(['x' || n_nationkey, 'src' || n_nationkey, 'src1']) AS kb, unnest([1, 2, 3]) AS place FROM nation), d AS (SELECT 'src' || (doc_id % 11) AS kb, count(*) AS n FROM documents GROUP BY ALL),
+@query("""WITH c AS (SELECT n_nationkey AS asked, unnest(['x' || n_nationkey, 'src' || n_nationkey, 'src1']) AS kb, unnest([1, 2, 3]) AS place FROM
+nation), d AS (SELECT 'src' || (doc_id % 11) AS kb, count(*) AS n FROM documents GROUP BY ALL),
 r AS (SELECT asked, kb, n, row_number() OVER (PARTITION BY asked ORDER BY place) AS k FROM c JOIN d USING (kb)) SELECT asked, kb, n FROM r WHERE k = 1""")
 def first_kb_with_points(spark, sf_dir):
     """Of the ids that a knowledge base may be stored under, the first that has points."""
@@ -216,7 +250,8 @@ def first_kb_with_points(spark, sf_dir):
     return S.first_per(c.join(d, "kb"), ("asked",), F.col("place")).select("asked", "kb", "n")
 
 
-@query("""WITH p AS (SELECT doc_id // 4 AS file, source AS kb_id, doc_id, text FROM documents WHERE trim(text) <> ''), g AS (SELECT file, count(*) AS chunks, md5(string_agg(left(text, 200), chr(10) || chr(10) ORDER BY doc_id)) AS joined FROM p GROUP BY file) SELECT * FROM g""")
+@query("""WITH p AS (SELECT doc_id // 4 AS file, source AS kb_id, doc_id, text FROM documents WHERE trim(text) <> ''), g AS (SELECT file, count(*) AS
+chunks, md5(string_agg(left(text, 200), chr(10) || chr(10) ORDER BY doc_id)) AS joined FROM p GROUP BY file) SELECT * FROM g""")
 def file_previews(spark, sf_dir):
     """A file's chunks in their order as one text."""
     p = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select(F.expr("doc_id div 4").alias("file"), "doc_id", F.left("text", F.lit(200)).alias("t"))
@@ -225,8 +260,10 @@ def file_previews(spark, sf_dir):
     return p.groupBy("file").agg(n("chunks"), F.md5(joined.cast("binary")).alias("joined"))
 
 
-@query(f"""WITH m AS (SELECT source AS kb_id, doc_id, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE 1 END AS k FROM documents WHERE doc_id % 4 IN (1, 3) AND source <> (SELECT min(source) FROM documents)),
-r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY k, md5('3:' || doc_id), doc_id) AS n FROM m) SELECT kb_id, doc_id AS cover FROM r WHERE n = 1""")
+@query(f"""WITH m AS (SELECT source AS kb_id, doc_id, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE 1 END AS k FROM documents WHERE doc_id % 4 IN (1, 3) AND
+source <> (SELECT min(source) FROM documents)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY k, md5('3:' || doc_id), doc_id) AS n FROM m) SELECT kb_id, doc_id AS cover FROM r WHERE
+n = 1""")
 def kb_covers(spark, sf_dir):
     """A picture for each knowledge base, drawn by a seed: one of its images, else a key frame."""
     d = table(spark, sf_dir, "documents")
@@ -235,7 +272,10 @@ def kb_covers(spark, sf_dir):
     return S.first_per(m, ("source",), F.col("doc_id") % 4 == 3, draw, F.col("doc_id")).select(F.col("source").alias("kb_id"), F.col("doc_id").alias("cover"))
 
 
-@query("SELECT doc_id, source || '/new' AS kb_id FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 0")
+@query(
+    """SELECT doc_id, source || '/new' AS kb_id FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 10
+<> 0"""
+)
 def replaced_documents(spark, sf_dir):
     """Points after documents were written anew: theirs replace the old ones, others stay."""
     old = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"))
@@ -243,7 +283,10 @@ def replaced_documents(spark, sf_dir):
     return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
 
 
-@query("SELECT page_id, array_to_string(list_filter([CASE WHEN t <> '' THEN 'title' END, CASE WHEN page_id % 3 = 0 THEN 'author' END, 'url'], lambda x: x IS NOT NULL), ',') AS fields FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
+@query(
+    """SELECT page_id, array_to_string(list_filter([CASE WHEN t <> '' THEN 'title' END, CASE WHEN page_id % 3 = 0 THEN 'author' END, 'url'], lambda
+x: x IS NOT NULL), ',') AS fields FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)"""
+)
 def page_fields(spark, sf_dir):
     """The fields of a fetched page that aren't empty."""
     author = F.when(F.col("page_id") % 3 == 0, "someone").otherwise("  ")
@@ -251,7 +294,8 @@ def page_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.map_keys(N.without_empty(fields)), ",").alias("fields"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'html' ELSE '' END AS ext, page_id % 3 = 0 AS is_binary, least(length(html), 1000)::INT AS kept FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'html' ELSE '' END AS ext, page_id % 3 = 0 AS is_binary,
+least(length(html), 1000)::INT AS kept FROM pages""")
 def fetched_contents(spark, sf_dir):
     """What a fetched address is by its path, whether it is binary, and how much of a text is kept."""
     k = F.col("page_id") % 3
@@ -268,7 +312,8 @@ def article_types(spark, sf_dir):
     return p.select("page_id", M.is_article(F.col("t")).alias("article"))
 
 
-@query("""WITH t AS (SELECT label AS kb_id, vec_id % 3 AS cluster, count(*) AS size FROM embeddings GROUP BY ALL) SELECT kb_id, cluster, size, CASE WHEN cluster = 0 THEN 'one,,two,three;two' WHEN cluster = 1 THEN '' ELSE 'alpha,beta,x' END AS keywords FROM t""")
+@query("""WITH t AS (SELECT label AS kb_id, vec_id % 3 AS cluster, count(*) AS size FROM embeddings GROUP BY ALL) SELECT kb_id, cluster, size, CASE WHEN
+cluster = 0 THEN 'one,,two,three;two' WHEN cluster = 1 THEN '' ELSE 'alpha,beta,x' END AS keywords FROM t""")
 def portrait_rows(spark, sf_dir):
     """Portraits as shown to clients, with the words of their topics."""
     t = R.points(spark, sf_dir).groupBy("kb_id", (F.col("id") % 3).alias("cluster")).agg(n("size"))

@@ -32,17 +32,22 @@ c AS (SELECT query_id, kb_id, raw, norm, method FROM d WHERE method <> 'low_conf
 UNION ALL SELECT l.query_id, k.kb_id, s.raw, 1.0, 'low_confidence' FROM (SELECT DISTINCT query_id FROM d WHERE method = 'low_confidence') l
 CROSS JOIN (SELECT DISTINCT kb_id FROM e) k LEFT JOIN s ON s.query_id = l.query_id AND s.kb_id = k.kb_id)"""
 _D = """dn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
-(SELECT c.query_id, e.id, e.kb_id, list_cosine_similarity(e.v, q.qv) AS score FROM c JOIN q USING (query_id) JOIN e USING (kb_id)) WHERE score >= 0) WHERE rank < 20)"""
+(SELECT c.query_id, e.id, e.kb_id, list_cosine_similarity(e.v, q.qv) AS score FROM c JOIN q USING (query_id) JOIN e USING (kb_id)) WHERE score >= 0)
+WHERE rank < 20)"""
 #: A second view of a query: its vector turned by half its length.
 _D2 = """vn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
-(SELECT c.query_id, e.id, e.kb_id, list_cosine_similarity(e.v, list_concat(q.qv[33:64], q.qv[1:32])) AS score FROM c JOIN q USING (query_id) JOIN e USING (kb_id))
+(SELECT c.query_id, e.id, e.kb_id, list_cosine_similarity(e.v, list_concat(q.qv[33:64], q.qv[1:32])) AS score FROM c JOIN q USING (query_id) JOIN e
+USING (kb_id))
 WHERE score >= 0) WHERE rank < 20)"""
 #: The sparse route: tokens of a point's text, and of the first 200 characters of the query's own.
-_S = """tk AS (SELECT id, token, count(*) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents) GROUP BY ALL),
+_S = """tk AS (SELECT id, token, count(*) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM
+documents) GROUP BY ALL),
 qt AS (SELECT query_id, token, count(*) AS weight FROM
-(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL),
+(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY
+ALL),
 sn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
-(SELECT c.query_id, e.id, e.kb_id, sum(tk.weight * qt.weight)::BIGINT AS score FROM c JOIN qt USING (query_id) JOIN e USING (kb_id) JOIN tk ON tk.id = e.id AND tk.token = qt.token
+(SELECT c.query_id, e.id, e.kb_id, sum(tk.weight * qt.weight)::BIGINT AS score FROM c JOIN qt USING (query_id) JOIN e USING (kb_id) JOIN tk ON tk.id =
+e.id AND tk.token = qt.token
 GROUP BY ALL)) WHERE rank < 15)"""
 _F = """f AS (SELECT query_id, id, sum(w / (60 + rank)) AS score, string_agg(route, ',' ORDER BY route) AS routes FROM
 (SELECT query_id, id, rank, 1.0 AS w, 'dense' AS route FROM dn UNION ALL SELECT query_id, id, rank, 0.8, 'sparse' FROM sn) GROUP BY ALL)"""
@@ -126,9 +131,11 @@ def sparse_route(spark, sf_dir):
 
 
 @query(
-    _HYBRID + """, n AS (SELECT q.query_id, count(dn.id) AS dense FROM q LEFT JOIN dn USING (query_id) GROUP BY ALL), m AS (SELECT query_id, count(*) AS sparse FROM sn GROUP BY ALL),
+    _HYBRID + """, n AS (SELECT q.query_id, count(dn.id) AS dense FROM q LEFT JOIN dn USING (query_id) GROUP BY ALL), m AS (SELECT query_id, count(*)
+AS sparse FROM sn GROUP BY ALL),
 u AS (SELECT query_id, count(*) AS fused FROM f GROUP BY ALL)
-SELECT query_id, dense, coalesce(sparse, 0) AS sparse, coalesce(fused, 0) AS fused, 'hybrid_' || ((dense > 0)::INT + (coalesce(sparse, 0) > 0)::INT) || '_way' AS strategy
+SELECT query_id, dense, coalesce(sparse, 0) AS sparse, coalesce(fused, 0) AS fused, 'hybrid_' || ((dense > 0)::INT + (coalesce(sparse, 0) > 0)::INT)
+|| '_way' AS strategy
 FROM n LEFT JOIN m USING (query_id) LEFT JOIN u USING (query_id)"""
 )
 def search_diagnostics(spark, sf_dir):
@@ -153,7 +160,8 @@ def route_decisions(spark, sf_dir):
 
 @query(
     f"""WITH {_E}, {_P}, {_R}, {_C}, o AS (SELECT query_id, method, count(*) AS kbs, max(norm) AS best FROM c GROUP BY ALL)
-SELECT method, count(*) AS queries, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent, round(avg(kbs), 6) AS kbs, round(avg(best), 6) AS confidence FROM o GROUP BY method"""
+SELECT method, count(*) AS queries, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent, round(avg(kbs), 6) AS kbs, round(avg(best), 6) AS
+confidence FROM o GROUP BY method"""
 )
 def routing_statistics(spark, sf_dir):
     per = decided(points(spark, sf_dir)).groupBy("query_id", "method").agg(F.count(F.lit(1)).alias("kbs"), F.max("norm").alias("best"))
@@ -162,8 +170,10 @@ def routing_statistics(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_E}, {_P}, {_R}, {_C}, {_D}, {_D2}, u AS (SELECT query_id, id, 1.0 / (60 + rank) AS w FROM dn UNION ALL SELECT query_id, id, 0.8 / (60 + rank) FROM vn),
-f2 AS (SELECT query_id, id, sum(w) AS score FROM u GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM f2) SELECT query_id, id, round(score, 8) AS score, rank FROM t WHERE rank < 10"""
+    f"""WITH {_E}, {_P}, {_R}, {_C}, {_D}, {_D2}, u AS (SELECT query_id, id, 1.0 / (60 + rank) AS w FROM dn UNION ALL SELECT query_id, id, 0.8 / (60 +
+rank) FROM vn),
+f2 AS (SELECT query_id, id, sum(w) AS score FROM u GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) -
+1 AS rank FROM f2) SELECT query_id, id, round(score, 8) AS score, rank FROM t WHERE rank < 10"""
 )
 def multi_query_fusion(spark, sf_dir):
     """The views of a query fused by rank, the first with the larger weight."""
@@ -183,7 +193,8 @@ _VIEWS = f"WITH {_E}, {_P}, {_R}, {_C}, {_D}, {_D2}"
 @query(
     _VIEWS + """, u AS (SELECT query_id, id, CASE WHEN query_id % 300 = 0 THEN max(score) ELSE sum(1.0 / (2 + rank)) END AS score FROM
 (SELECT query_id, id, rank, score FROM dn UNION ALL SELECT query_id, id, rank, NULL FROM vn WHERE query_id % 300 <> 0) GROUP BY query_id, id),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM u WHERE score >= 0.3) SELECT query_id, id, round(score, 6) AS score, rank FROM t WHERE rank < 20"""
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM u WHERE score >= 0.3) SELECT query_id, id,
+round(score, 6) AS score, rank FROM t WHERE rank < 20"""
 )
 def dual_route_search(spark, sf_dir):
     """Two vectors of each image, fused by rank with the threshold on the fused score; queries without the second vector go by the first alone."""
@@ -208,17 +219,24 @@ def multi_query_dense(spark, sf_dir):
     return first.withColumn("place", place).select("query_id", "id", r6("score"), "view", "place")
 
 
-@query(f"WITH {_E}, {_P}, {_R}, {_C}, {_D}, k AS (SELECT *, id % 7 AS segment, row_number() OVER (PARTITION BY query_id, kb_id, id % 7 ORDER BY score DESC, id) AS n FROM dn) SELECT query_id, kb_id, segment, id, round(score, 6) AS score FROM k WHERE n = 1")
+@query(
+    f"""WITH {_E}, {_P}, {_R}, {_C}, {_D}, k AS (SELECT *, id % 7 AS segment, row_number() OVER (PARTITION BY query_id, kb_id, id % 7 ORDER BY score
+DESC, id) AS n FROM dn) SELECT query_id, kb_id, segment, id, round(score, 6) AS score FROM k WHERE n = 1"""
+)
 def segment_best(spark, sf_dir):
     hits = both_views(points(spark, sf_dir))[0].withColumn("segment", F.col("id") % 7)
     return S.first_per(hits, ("query_id", "kb_id", "segment"), F.desc("score"), F.col("id")).select("query_id", "kb_id", "segment", "id", r6("score"))
 
 
-_M = _HYBRID + """, m AS (SELECT f.query_id, f.id, f.score * 30 AS total, coalesce(dn.score, 0) AS ce, f.id % 5 = 0 AS is_image, f.query_id % 200 = 0 AS enriched FROM f LEFT JOIN dn USING (query_id, id)),
-o AS (SELECT *, row_number() OVER w AS place, (total - lead(total) OVER w) / nullif(total, 0) AS gap FROM m WINDOW w AS (PARTITION BY query_id ORDER BY total DESC, id)),
+_M = _HYBRID + """, m AS (SELECT f.query_id, f.id, f.score * 30 AS total, coalesce(dn.score, 0) AS ce, f.id % 5 = 0 AS is_image, f.query_id % 200 = 0
+AS enriched FROM f LEFT JOIN dn USING (query_id, id)),
+o AS (SELECT *, row_number() OVER w AS place, (total - lead(total) OVER w) / nullif(total, 0) AS gap FROM m WINDOW w AS (PARTITION BY query_id ORDER
+BY total DESC, id)),
 ww AS (SELECT *, place = 1 AND coalesce(gap > 0.2, false) AS ahead FROM o),
-wp AS (SELECT *, CASE WHEN ahead THEN least(0.5, 0.3 * (1 + gap)) ELSE 0.3 END AS wt, CASE WHEN ahead THEN least(2.0, 0.45 * (1 + gap)) ELSE 0.45 END AS pt FROM ww),
-mm AS (SELECT query_id, id, total, ce, is_image, enriched, CASE WHEN is_image AND enriched THEN CASE WHEN ahead THEN 1 - (pt - 0.45) ELSE 0.35 END * ce + pt * total
+wp AS (SELECT *, CASE WHEN ahead THEN least(0.5, 0.3 * (1 + gap)) ELSE 0.3 END AS wt, CASE WHEN ahead THEN least(2.0, 0.45 * (1 + gap)) ELSE 0.45 END
+AS pt FROM ww),
+mm AS (SELECT query_id, id, total, ce, is_image, enriched, CASE WHEN is_image AND enriched THEN CASE WHEN ahead THEN 1 - (pt - 0.45) ELSE 0.35 END *
+ce + pt * total
 ELSE (1 - wt) * ce + wt * total END AS final FROM wp)"""
 
 IS_IMAGE, ENRICHED = "id % 5 = 0", "query_id % 200 = 0"
@@ -237,7 +255,8 @@ def rerank_merge(spark, sf_dir):
     return merged(spark, sf_dir).select("query_id", "id", r6("total"), r6("ce"), r6("final"))
 
 
-_CUT = _M + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_image ORDER BY final DESC, id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS overall,
+_CUT = _M + """, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_image ORDER BY final DESC, id) AS n, row_number() OVER (PARTITION BY
+query_id ORDER BY final DESC, id) AS overall,
 least(10, sum(is_image::INT) OVER (PARTITION BY query_id)) AS images FROM mm),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY enriched AND is_image, final DESC, id) AS position FROM k
 WHERE CASE WHEN enriched THEN CASE WHEN is_image THEN n <= images ELSE n <= 10 - images END ELSE overall <= 10 END)"""
@@ -253,10 +272,12 @@ def final_cut_with_images(spark, sf_dir):
 
 
 @query(
-    _CUT + """, y AS (SELECT *, CASE WHEN is_image THEN 'image' WHEN id % 7 = 3 THEN 'audio' WHEN id % 7 = 5 THEN 'video' ELSE 'doc' END AS content_type FROM z),
+    _CUT + """, y AS (SELECT *, CASE WHEN is_image THEN 'image' WHEN id % 7 = 3 THEN 'audio' WHEN id % 7 = 5 THEN 'video' ELSE 'doc' END AS
+content_type FROM z),
 k2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_type ORDER BY final DESC, id) AS nth FROM y),
 l AS (SELECT * FROM k2 WHERE content_type NOT IN ('doc', 'image') OR nth <= CASE WHEN content_type = 'doc' THEN 15 WHEN enriched THEN 6 ELSE 5 END)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY list_position(['doc', 'image', 'audio', 'video'], content_type), final DESC, id) AS ref_id, id, content_type FROM l"""
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY list_position(['doc', 'image', 'audio', 'video'], content_type), final DESC, id) AS
+ref_id, id, content_type FROM l"""
 )
 def context_references(spark, sf_dir):
     """References numbered by modality, within the quotas of documents and images."""
@@ -269,21 +290,30 @@ def context_references(spark, sf_dir):
     return limited.withColumn("ref_id", ref).select("query_id", "ref_id", "id", "content_type")
 
 
-@query(f"WITH {_E}, {_P}, {_R}, {_C}, {_D} SELECT query_id, count(*) AS hits, round(min(score), 6) AS low, round(max(score), 6) AS high, round(avg(score), 6) AS mean FROM dn GROUP BY query_id")
+@query(
+    f"""WITH {_E}, {_P}, {_R}, {_C}, {_D} SELECT query_id, count(*) AS hits, round(min(score), 6) AS low, round(max(score), 6) AS high,
+round(avg(score), 6) AS mean FROM dn GROUP BY query_id"""
+)
 def hit_statistics(spark, sf_dir):
     return both_views(points(spark, sf_dir))[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"WITH {_E} SELECT id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squared, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM e")
+@query(
+    f"""WITH {_E} SELECT id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squared, round(v[1] / sqrt(list_sum(list_transform(v, lambda x:
+x * x))), 6) AS first FROM e"""
+)
 def unit_vectors(spark, sf_dir):
     p = points(spark, sf_dir)
     return p.select("id", F.round(S.dot(F.col("vec"), F.col("vec")), 6).alias("squared"), F.round(S.unit(F.col("vec"))[0], 6).alias("first"))
 
 
-@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token, count(*) AS weight FROM d GROUP BY ALL),
-q0 AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark), q AS (SELECT item_id, token, count(*) AS weight FROM q0 GROUP BY ALL),
+@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token,
+count(*) AS weight FROM d GROUP BY ALL),
+q0 AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark), q AS (SELECT item_id, token, count(*) AS weight
+FROM q0 GROUP BY ALL),
 s AS (SELECT q.item_id AS query_id, t.doc_id AS id, sum(q.weight * t.weight) AS score FROM q JOIN t USING (token) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) SELECT query_id, id, score::BIGINT AS score, rank FROM r WHERE rank < 15""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) SELECT query_id, id, score::BIGINT AS score,
+rank FROM r WHERE rank < 15""")
 def sparse_search(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     count = lambda df, key: df.select(F.col(key).alias("id"), F.explode(T.words(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("weight"))
@@ -296,9 +326,12 @@ def scope_filter(spark, sf_dir):
     return S.scope_filter(p, [1, 3, 5, 3], [0], ("file_id", "source_file_id")).select("id", "kb_id")
 
 
-@query("""WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS c, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i, avg(c) AS c FROM x GROUP BY ALL), p AS (SELECT label, list(c ORDER BY i) AS m FROM a GROUP BY ALL),
-d AS (SELECT label AS kb_id, vec_id AS id, list_distance(embedding::DOUBLE[], m) AS distance, count(*) OVER (PARTITION BY label) AS size FROM embeddings JOIN p USING (label)),
-r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY distance, id) AS n FROM d) SELECT kb_id, id, round(distance, 6) AS distance, n FROM r WHERE n <= least(15, greatest(10, size))""")
+@query("""WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS c, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i,
+avg(c) AS c FROM x GROUP BY ALL), p AS (SELECT label, list(c ORDER BY i) AS m FROM a GROUP BY ALL),
+d AS (SELECT label AS kb_id, vec_id AS id, list_distance(embedding::DOUBLE[], m) AS distance, count(*) OVER (PARTITION BY label) AS size FROM
+embeddings JOIN p USING (label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY distance, id) AS n FROM d) SELECT kb_id, id, round(distance, 6) AS distance, n FROM r
+WHERE n <= least(15, greatest(10, size))""")
 def nearest_members(spark, sf_dir):
     p = points(spark, sf_dir)
     means = portraits(p, 1).select("kb_id", F.col("vec").alias("mean"))

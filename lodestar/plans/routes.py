@@ -21,14 +21,17 @@ _IMAGE, _AUDIO, _VIDEO = "id % 4 = 1", "id % 4 = 2", "id % 4 = 3"
 
 
 def _hits(name: str, where: str, limit: int, low: str = "0", qv: str = "q.qv", ev: str = "e.v") -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
-(SELECT c.query_id, e.id, list_cosine_similarity({ev}, {qv}) AS score FROM c JOIN q USING (query_id) JOIN e USING (kb_id) WHERE e.{where}) WHERE score >= {low}) WHERE rank < {limit})"""
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank
+FROM
+(SELECT c.query_id, e.id, list_cosine_similarity({ev}, {qv}) AS score FROM c JOIN q USING (query_id) JOIN e USING (kb_id) WHERE e.{where}) WHERE score
+>= {low}) WHERE rank < {limit})"""
 
 
 def _fused(name: str, routes: list[str], limit: str, low: str) -> str:
     union = " UNION ALL ".join(f"SELECT query_id, id, rank FROM {r}" for r in routes)
     return f"""{name}0 AS (SELECT query_id, id, sum(1.0 / (2 + rank)) AS score FROM ({union}) GROUP BY ALL),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM {name}0 WHERE score >= {low}) WHERE rank < {limit})"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM {name}0 WHERE score >= {low})
+WHERE rank < {limit})"""
 
 
 def intent(shift: int = 0):
@@ -60,7 +63,8 @@ _DUAL = ", ".join([_hits("t", _IMAGE, 40), _hits("k", _IMAGE, 40, qv=_TURNED_Q),
 
 
 @query(
-    f"""{_BASE}, {_DUAL} SELECT fz.query_id, fz.id, round(fz.score, 6) AS score, round(coalesce(t.score, 0), 6) AS text_vec, round(coalesce(k.score, 0), 6) AS clip_vec
+    f"""{_BASE}, {_DUAL} SELECT fz.query_id, fz.id, round(fz.score, 6) AS score, round(coalesce(t.score, 0), 6) AS text_vec, round(coalesce(k.score,
+0), 6) AS clip_vec
 FROM fz LEFT JOIN t USING (query_id, id) LEFT JOIN k USING (query_id, id)"""
 )
 def image_score_details(spark, sf_dir):
@@ -77,8 +81,10 @@ def image_score_details(spark, sf_dir):
     f"""{_BASE}, {_hits('t', _AUDIO, 40)}, {_hits('k', _AUDIO, 40, qv=_TURNED_Q)},
 u AS (SELECT *, {_intent()} AS asked FROM (SELECT query_id, id, rank FROM t UNION ALL SELECT query_id, id, rank FROM k WHERE query_id % 500 <> 0)),
 f AS (SELECT query_id, id, asked, sum(1.0 / (2 + rank)) AS score FROM u WHERE asked <> 'unnecessary' GROUP BY ALL),
-gz AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM f WHERE query_id % 500 = 0 OR asked = 'explicit_demand' OR score >= 0.2)
-SELECT query_id, id, round(score, 6) AS score, rank FROM gz WHERE rank < CASE WHEN query_id % 500 <> 0 AND asked = 'implicit_enrichment' THEN 20 ELSE 10 END"""
+gz AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM f WHERE query_id % 500 = 0 OR asked =
+'explicit_demand' OR score >= 0.2)
+SELECT query_id, id, round(score, 6) AS score, rank FROM gz WHERE rank < CASE WHEN query_id % 500 <> 0 AND asked = 'implicit_enrichment' THEN 20 ELSE
+10 END"""
 )
 def audio_search(spark, sf_dir):
     """Nothing where audio isn't asked for; text and sound vectors fused, with twice the rows and a threshold where it only enriches;
@@ -92,7 +98,8 @@ def audio_search(spark, sf_dir):
 
 
 @query(
-    f"""{_BASE}, {_hits('va', _VIDEO, 40)}, {_hits('vb', _VIDEO, 40, ev=_TURNED_E)}, {_hits('vk', _VIDEO, 40, qv=_TURNED_Q)}, {_fused('f', ['va', 'vb', 'vk'], '20', '0')}
+    f"""{_BASE}, {_hits('va', _VIDEO, 40)}, {_hits('vb', _VIDEO, 40, ev=_TURNED_E)}, {_hits('vk', _VIDEO, 40, qv=_TURNED_Q)},
+{_fused('f', ['va', 'vb', 'vk'], '20', '0')}
 SELECT query_id, id, round(score, 6) AS score, rank FROM f"""
 )
 def video_search(spark, sf_dir):
@@ -119,7 +126,10 @@ def visual_search(spark, sf_dir):
     return out
 
 
-@query(f"WITH {R._E}, {R._P}, n AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY m) AS n FROM p) SELECT kb_id, m::BIGINT AS cluster, round(v[1], 6) AS first FROM n WHERE kb_id % 2 = 0 AND n <= 3")
+@query(
+    f"""WITH {R._E}, {R._P}, n AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY m) AS n FROM p) SELECT kb_id, m::BIGINT AS cluster,
+round(v[1], 6) AS first FROM n WHERE kb_id % 2 = 0 AND n <= 3"""
+)
 def portraits_of_kb(spark, sf_dir):
     """A knowledge base's portraits, the first few."""
     own = R.portraits(R.points(spark, sf_dir).filter("kb_id % 2 = 0"))
@@ -127,8 +137,10 @@ def portraits_of_kb(spark, sf_dir):
     return own.withColumn("n", n).filter("n <= 3").select("kb_id", F.col("cluster").cast("long").alias("cluster"), F.round(F.get("vec", F.lit(0)), 6).alias("first"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '  ' ELSE NULL END AS dense, CASE turn % 4 WHEN 2 THEN ['b', role] ELSE [] END AS keywords, CASE WHEN conv_id % 2 = 0 THEN role ELSE ' ' END AS original FROM conversations),
-c AS (SELECT conv_id, turn, trim(coalesce(nullif(trim(dense), ''), nullif(array_to_string(keywords, ' '), ''), original, '')) AS q FROM t) SELECT conv_id, turn, md5(q) AS digest FROM c WHERE q <> ''""")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN '  ' ELSE NULL END AS dense, CASE turn % 4 WHEN 2 THEN ['b',
+role] ELSE [] END AS keywords, CASE WHEN conv_id % 2 = 0 THEN role ELSE ' ' END AS original FROM conversations),
+c AS (SELECT conv_id, turn, trim(coalesce(nullif(trim(dense), ''), nullif(array_to_string(keywords, ' '), ''), original, '')) AS q FROM t) SELECT
+conv_id, turn, md5(q) AS digest FROM c WHERE q <> ''""")
 def sparse_query_text(spark, sf_dir):
     """What the sparse route asks with: the dense query, else the keywords, else the question itself; blank asks for nothing."""
     k = F.col("turn") % 4
@@ -146,9 +158,11 @@ _BY_INTENT = f"""{_BASE}, {R._S}, {R._D}, {_hits('vi', 'id % 2 = 1', 20, qv=_TUR
 u AS (SELECT query_id, id, rank, 'dense' AS route, 1 AS o FROM dn UNION ALL SELECT query_id, id, rank, 'sparse', 2 FROM sn
 UNION ALL SELECT query_id, id, rank, 'visual', 3 FROM vi UNION ALL SELECT query_id, id, rank, 'video', 5 FROM vd),
 w AS (SELECT *, {_TYPES[0]} AS content_type, CASE route WHEN 'dense' THEN 1.0 WHEN 'sparse' THEN 0.8
-WHEN 'visual' THEN CASE {_intent()} WHEN 'explicit_demand' THEN CASE WHEN {_intent(1)} = 'explicit_demand' THEN 0.9 ELSE 1.2 END WHEN 'implicit_enrichment' THEN 0.9 ELSE 0.0 END
+WHEN 'visual' THEN CASE {_intent()} WHEN 'explicit_demand' THEN CASE WHEN {_intent(1)} = 'explicit_demand' THEN 0.9 ELSE 1.2 END WHEN
+'implicit_enrichment' THEN 0.9 ELSE 0.0 END
 ELSE CASE {_intent(1)} WHEN 'explicit_demand' THEN 1.2 WHEN 'implicit_enrichment' THEN 1.0 ELSE 1.1 END END AS w FROM u),
-f AS (SELECT query_id, id, sum(w / (60 + rank)) AS score, CASE WHEN bool_or(content_type = 'video') THEN 'video' ELSE arg_min(content_type, o) END AS content_type, arg_max(route, o) AS payload_route FROM w GROUP BY query_id, id)"""
+f AS (SELECT query_id, id, sum(w / (60 + rank)) AS score, CASE WHEN bool_or(content_type = 'video') THEN 'video' ELSE arg_min(content_type, o) END AS
+content_type, arg_max(route, o) AS payload_route FROM w GROUP BY query_id, id)"""
 
 
 def routes_by_intent(spark, sf_dir: str) -> DataFrame:
@@ -173,9 +187,12 @@ def fusion_by_intent(spark, sf_dir):
 
 
 @query(
-    _BY_INTENT.replace("query_id, id, rank, '", "query_id, id, rank, score, '") + """, t AS (SELECT query_id, id, o, rank, content_type, round(CASE route WHEN 'video' THEN score * 2 WHEN 'visual' THEN score + 0.5 ELSE score END, 6) AS total FROM w),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY content_type = 'video' DESC, CASE WHEN content_type = 'video' THEN -o ELSE o END) AS n FROM t)
-SELECT query_id, id, content_type, total, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS place FROM k WHERE n = 1) WHERE place <= 50"""
+    _BY_INTENT.replace("query_id, id, rank, '", "query_id, id, rank, score, '") + """, t AS (SELECT query_id, id, o, rank, content_type, round(CASE
+route WHEN 'video' THEN score * 2 WHEN 'visual' THEN score + 0.5 ELSE score END, 6) AS total FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY content_type = 'video' DESC, CASE WHEN content_type = 'video' THEN -o ELSE o
+END) AS n FROM t)
+SELECT query_id, id, content_type, total, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, id) AS place FROM k
+WHERE n = 1) WHERE place <= 50"""
 )
 def coarse_list(spark, sf_dir):
     """Candidates of all routes, each by the total it brings, the sum of its scores or its score; once per id, video first."""
@@ -190,7 +207,10 @@ _SHOWN = """CASE doc_id % 4 WHEN 0 THEN concat('[音频/歌曲] 来源: f', doc_
 WHEN 2 THEN concat('[文档片段] 来源: f', doc_id, chr(10), '内容: ', t) ELSE concat('[图片描述] 来源: f', doc_id, chr(10), '描述: ', t) END"""
 
 
-@query(f"WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {_SHOWN} AS s FROM d) SELECT doc_id, md5(CASE WHEN length(s) > 1000 THEN left(s, 997) || '...' ELSE s END) AS digest FROM s")
+@query(
+    f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {_SHOWN} AS s FROM d) SELECT doc_id, md5(CASE
+WHEN length(s) > 1000 THEN left(s, 997) || '...' ELSE s END) AS digest FROM s"""
+)
 def rerank_texts(spark, sf_dir):
     """What a candidate of each modality is scored by."""
     kind = F.get(F.array(*[F.lit(x) for x in ("audio", "video", "doc", "image")]), (F.col("doc_id") % 4).cast("int"))
@@ -198,7 +218,10 @@ def rerank_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(shown.cast("binary")).alias("digest"))
 
 
-@query("SELECT p_partkey, i::INT AS idx, CASE WHEN p_partkey % 5 = 4 THEN 0.5 ELSE round(p_size / 100.0 + i, 2) END::DOUBLE AS score FROM part, (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 5 <> 3")
+@query(
+    """SELECT p_partkey, i::INT AS idx, CASE WHEN p_partkey % 5 = 4 THEN 0.5 ELSE round(p_size / 100.0 + i, 2) END::DOUBLE AS score FROM part,
+(SELECT unnest([0, 1]) AS i) WHERE p_partkey % 5 <> 3"""
+)
 def reranker_answers(spark, sf_dir):
     """Scores from answers as a list, under ``results`` or ``data``, inside prose, or without positions."""
     p = table(spark, sf_dir, "part")
@@ -213,7 +236,8 @@ def reranker_answers(spark, sf_dir):
 
 @query(
     f"""{_BASE}, k AS (SELECT DISTINCT kb_id FROM e),
-cs AS (SELECT query_id, CASE WHEN query_id % 400 = 0 THEN 'explicit' WHEN query_id % 400 = 100 THEN 'default_all' WHEN query_id % 400 = 200 THEN 'no_portraits' END AS m FROM q)
+cs AS (SELECT query_id, CASE WHEN query_id % 400 = 0 THEN 'explicit' WHEN query_id % 400 = 100 THEN 'default_all' WHEN query_id % 400 = 200 THEN
+'no_portraits' END AS m FROM q)
 SELECT cs.query_id, c.kb_id, c.method, round(c.norm, 6) AS confidence FROM cs JOIN c USING (query_id) WHERE m IS NULL
 UNION ALL SELECT query_id, kb_id, m, 1.0 FROM cs, k WHERE m = 'default_all' OR m = 'explicit' AND kb_id IN (1, 4)
 UNION ALL SELECT query_id, NULL, m, NULL FROM cs WHERE m = 'no_portraits'"""
@@ -229,8 +253,10 @@ def routing_methods(spark, sf_dir):
     return K.routed(cases, named, R.decided(p), kbs).select("query_id", "kb_id", "method", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""WITH s AS (SELECT c_custkey, [' ' || (c_nationkey % 5), 'b' || c_nationkey, '', 'b' || (c_nationkey % 5)] AS given FROM customer), x AS (SELECT c_custkey, unnest(given) AS g, generate_subscripts(given, 1) AS i FROM s),
-r AS (SELECT c_custkey, i, CASE WHEN g IN ('b1', 'b3') THEN substring(g, 2) ELSE trim(g) END AS kb FROM x WHERE g <> ''), f AS (SELECT c_custkey, kb, min(i) AS i FROM r WHERE kb <> '' GROUP BY ALL)
+@query("""WITH s AS (SELECT c_custkey, [' ' || (c_nationkey % 5), 'b' || c_nationkey, '', 'b' || (c_nationkey % 5)] AS given FROM customer), x AS
+(SELECT c_custkey, unnest(given) AS g, generate_subscripts(given, 1) AS i FROM s),
+r AS (SELECT c_custkey, i, CASE WHEN g IN ('b1', 'b3') THEN substring(g, 2) ELSE trim(g) END AS kb FROM x WHERE g <> ''), f AS (SELECT c_custkey, kb,
+min(i) AS i FROM r WHERE kb <> '' GROUP BY ALL)
 SELECT c_custkey, string_agg(kb, ',' ORDER BY i) AS kbs FROM f GROUP BY c_custkey""")
 def resolved_kbs(spark, sf_dir):
     """Given ids, some of them of buckets, as the ids under which points are stored; each once, in order."""
