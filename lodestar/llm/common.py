@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,21 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Makes tables by ``materialize`` and deletes all of them at once, when what was made of them is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(materialize(df, what))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,14 +85,15 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", keep: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
     """``left`` joined with ``right``, which has a row per key, without gathering the rows of a frequent key.
 
     Keys with more than an eighth of a partition's even share of ``left``, of which there can't be more than eight a
-    partition, are joined by broadcast; the others by a shuffle. ``how`` is inner or left.
+    partition, are joined by broadcast; the others by a shuffle. ``how`` is inner or left. ``keep`` writes the table of counts, which
+    must stand until the result is written.
     """
     parts = shuffle_partitions(left.sparkSession)
-    counts = materialize(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"), "key-counts")
+    counts = keep(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"), "key-counts")
     most = (counts.agg(F.sum("_copies")).first()[0] or 0) / (8 * parts)
     hot = F.broadcast(counts.filter(F.col("_copies") > max(1.0, most)).select(key))
     few = F.broadcast(right.join(hot, key, "left_semi"))

@@ -17,11 +17,12 @@ An id may stand on different texts. A row is therefore known by its id and ``mar
 stands; nodes are numbered, and a class is named by its smallest (id, mark).
 
 Two kinds of pairs are left, and only where the texts are of different classes: two texts of a key like none of its
-centres, and a text like a centre with one unlike it. They are found by further keys: ``MORE_BANDS`` bands of a longer
-sketch, so many that two texts of a similarity of 0.8 share none with a chance below one in a million. What shares one
-is told apart by sketches of one bit a register; those that differ in few enough bits are compared in full. A bit is
+centres, and a text like a centre with one unlike it. Both similarities are one minus a metric, so two texts are alike
+only if their similarities to the centre differ by at most ``1 - SIMILARITY``. Such pairs are told apart by longer
+sketches of one bit a register, within the join; those that differ in few enough bits are compared in full. A bit is
 taken from shingle and register together, so that the bits of a text of few shingles are independent too. At a
-similarity of 0.8 the bound (``DIFFER`` of ``BITS``) lies more than five standard deviations above the mean.
+similarity of 0.8 the bound (``DIFFER`` of ``BITS``) lies more than five standard deviations above the mean. The texts
+of a key or centre are dealt over ``SALTS`` parts, so that these joins don't fall to one task.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import discard, join_split, materialize
+from lodestar.llm.common import Scratch, join_split, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 SMALL, SECOND = 8, 8
 BITS, DIFFER = 2048, 275
-MORE_BANDS, MORE_ROWS = 128, 10
 SALTS = 16
 
 _WORD = re.compile(r"\w+")
@@ -168,7 +168,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS,
 
 
 def _bits(texts: DataFrame) -> DataFrame:
-    """id, two sketches of one bit a register, as longs, of the weighted shingles and of their set, and ``more``, the further keys."""
+    """id and two sketches of one bit a register, as longs: of the weighted shingles and of their set."""
     names = [f"{kind}{k}" for kind in ("weighted", "plain") for k in range(BITS // 64)]
     register = np.arange(BITS, dtype=np.uint64) * _MULTIPLIER
 
@@ -179,12 +179,9 @@ def _bits(texts: DataFrame) -> DataFrame:
                 sets = [shingles(word_hashes(t)) for t in batch.column(1).to_pylist()]
                 both = [sketch(s, BITS) for s in (sets, [(e, np.ones_like(n)) for e, n in sets])]
                 longs = np.concatenate([np.packbits(_mix(s ^ register) & np.uint64(1) > 0, axis=1).view(np.int64) for s in both], axis=1)
-                weighted, plain = (_band_keys(s[:, : MORE_BANDS * MORE_ROWS], MORE_ROWS) for s in both)
-                more = [np.union1d(w, p) for w, p in zip(weighted, plain, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]), pa.int32()), pa.array(np.concatenate(more)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy()), lists], names=["id", *names, "more"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, longs.T.copy())], names=["id", *names])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names) + ", more array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _close(left: str, right: str) -> Column:
@@ -217,25 +214,25 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long, plain double, weighted double")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Scratch) -> DataFrame:
     """(id, root): each linked node's class, named by its smallest id. Each round is written to the shared folder."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
+    both = keep(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        step = materialize(step.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
+        step = keep(step.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
         changed = step.filter("root <> old").limit(1).count()
         labels = step.select("id", "root")
         if not changed:
             return labels
 
 
-def _candidates(members: DataFrame, small: int, centres: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(members: DataFrame, small: int, centres: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """(key, id) -> pairs (a, b) to compare, and the members of large keys with their centres (key, id, centre)."""
-    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key-sizes")
-    members = materialize(join_split(members, sizes, "key"), "members")
+    sizes = keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key-sizes")
+    members = keep(join_split(members, sizes, "key", keep=keep), "members")
     few = members.filter(F.col("n") <= small).select("key", "id")
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
     large = members.filter(F.col("n") > small)
@@ -246,8 +243,8 @@ def _candidates(members: DataFrame, small: int, centres: int) -> tuple[DataFrame
     for keys in (("key", "part"), ("key",)):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "id"))
         part = part.withColumn("place", place).filter(F.col("place") <= centres)
-    top = materialize(part.groupBy("key").agg(F.transform(best, lambda x: x["id"]).alias("centres")), "centres")
-    stars = join_split(large.select("key", "id"), top, "key").select("key", "id", F.explode("centres").alias("centre"))
+    top = keep(part.groupBy("key").agg(F.transform(best, lambda x: x["id"]).alias("centres")), "centres")
+    stars = join_split(large.select("key", "id"), top, "key", keep=keep).select("key", "id", F.explode("centres").alias("centre"))
     pairs = pairs.union(stars.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
     return pairs.distinct(), stars
 
@@ -256,81 +253,88 @@ def _like() -> Column:
     return F.greatest("plain", "weighted") >= SIMILARITY
 
 
-def _further_pairs(asking: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different classes, one of them in ``asking`` (id), that share a further key and have close
-    sketches. ``known``: id, root, sketches, ``more``. A key's texts are dealt over SALTS parts; those that ask go to each."""
-    keys = known.select("id", "root", F.explode("more").alias("key"))
-    right = keys.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    left = keys.join(asking, "id", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = left.select(F.col("id").alias("l"), F.col("root").alias("l_root"), "key", "part")
-    met = left.join(right, ["key", "part"]).filter((F.col("l") != F.col("id")) & (F.col("l_root") != F.col("root")))
-    pairs = met.select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
-    sketches = known.drop("root", "more")
-    both = pairs.join(sketches.withColumnRenamed("id", "a").alias("l"), "a").join(sketches.withColumnRenamed("id", "b").alias("r"), "b")
-    return both.filter(_close("l", "r")).select("a", "b")
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on a frequent key: ``right`` in SALTS parts, ``left`` in each."""
+    every = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return every.alias("l"), right.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("r")
 
 
-def _border(spokes: DataFrame) -> DataFrame:
-    """Of spokes (centre, id, plain, weighted) the texts unlike their centre that may be alike to one which is like it.
+def _left_pairs(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, id) of one key, of different classes and with close sketches. ``known``: id, root, sketches."""
+    left, right = _dealt(members.join(known, "id"), members.join(known, "id"))
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part"))
+    on = same & (F.col("l.id") < F.col("r.id")) & (F.col("l.root") != F.col("r.root")) & _close("l", "r")
+    return left.join(right, on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
-    Both similarities are one minus a metric, so two texts are alike only if their similarities to the centre
-    differ by at most ``1 - SIMILARITY``.
+
+def _border_pairs(spokes: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes, one like and one unlike their centre, that may be alike.
+
+    ``spokes`` are (centre, id, plain, weighted). A text not like the centre comes into question if its similarity
+    lies at most ``1 - SIMILARITY`` below that of one which is.
     """
     reach = 1 - SIMILARITY + 1e-9
     like, unlike = spokes.filter(_like()), spokes.filter(~_like())
     floors = like.groupBy("centre").agg(F.min("plain").alias("p"), F.min("weighted").alias("w"))
     near = (F.col("plain") >= F.col("p") - reach) | (F.col("weighted") >= F.col("w") - reach)
-    return unlike.join(floors, "centre").filter(near).select("id").distinct()
+    unlike = unlike.join(floors, "centre").filter(near).drop("p", "w")
+    left, right = _dealt(unlike.join(known, "id"), like.join(known, "id"))
+    near = (F.abs(F.col("l.plain") - F.col("r.plain")) <= reach) | (F.abs(F.col("l.weighted") - F.col("r.weighted")) <= reach)
+    same = (F.col("l.centre") == F.col("r.centre")) & (F.col("l.part") == F.col("r.part"))
+    pairs = left.join(right, same & (F.col("l.root") != F.col("r.root")) & near & _close("l", "r"))
+    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, small: int, second: int) -> DataFrame:
     """(id, mark, class_id, class_size, kept) for every row of ``docs``; see ``classes``."""
+    keep = Scratch()
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     row = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
     nodes = signed.filter("content IS NOT NULL").groupBy("content").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     nodes = nodes.filter("row IS NOT NULL").select("content", "row.id", "row.mark", "n", "keys", F.monotonically_increasing_id().alias("node"))
-    nodes = materialize(nodes, "nodes")
+    nodes = keep(nodes, "nodes")
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
     texts, compared, spokes = None, None, None
     for centres in (1, second):
-        pairs, stars = _candidates(members, small, centres)
-        pairs, stars = materialize(pairs, "pairs"), materialize(stars, "stars")
+        pairs, stars = _candidates(members, small, centres, keep)
+        pairs, stars = keep(pairs, "pairs"), keep(stars, "stars")
         if texts is None:
             wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
             wanted = nodes.select("id", "mark", "node").join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
             texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
             texts = texts.join(wanted.hint("merge"), ["id", "mark"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
-            texts = materialize(texts, "texts")
-        found = materialize(_compare(pairs, texts), "compared")
+            texts = keep(texts, "texts")
+        found = keep(_compare(pairs, texts), "compared")
         of = stars.filter("id <> centre").select("centre", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        now = materialize(of.join(found, ["a", "b"]).select("centre", "id", "plain", "weighted"), "spokes")
+        now = keep(of.join(found, ["a", "b"]).select("centre", "id", "plain", "weighted"), "spokes")
         compared, spokes = (found, now) if compared is None else (compared.union(found), spokes.union(now))
         done = stars.join(now.filter(_like()), ["id", "centre"]).select("key", "id").union(stars.select("key", F.col("centre").alias("id"))).distinct()
-        members = materialize(stars.select("key", "id").distinct().join(done, ["key", "id"], "left_anti"), "unlike")
+        members = keep(stars.select("key", "id").distinct().join(done, ["key", "id"], "left_anti"), "unlike")
         if not members.limit(1).count():
             break
-    roots = components(compared.filter(_like()))
+    roots = components(compared.filter(_like()), keep)
     if spokes.filter(~_like()).limit(1).count():
         starred = spokes.select("id").union(members.select("id")).distinct()
         known = _bits(texts.join(starred, "id", "left_semi")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        known = materialize(known, "sketches")
-        asking = materialize(members.select("id").union(_border(spokes)).distinct(), "asking")
-        left = materialize(_further_pairs(asking, known), "left")
+        known = keep(known, "sketches")
+        left = keep(_left_pairs(members, known).union(_border_pairs(spokes, known)).distinct(), "left")
         between = _compare(left, texts).filter(_like())
         for side in ("a", "b"):
             between = between.join(roots.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        between = materialize(between, "between")
+        between = keep(between, "between")
         if between.limit(1).count():
-            joined = components(between).select(F.col("id").alias("root"), F.col("root").alias("further"))
+            joined = components(between, keep).select(F.col("id").alias("root"), F.col("root").alias("further"))
             alone = joined.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("further").alias("root"))
-            roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
-    linked = materialize(nodes.select("node", "id", "mark", "n").join(roots.withColumnRenamed("id", "node"), "node"), "linked")
+            roots = keep(roots.join(joined, "root", "left").select("id", F.coalesce("further", "root").alias("root")).union(alone), "roots")
+    linked = keep(nodes.select("node", "id", "mark", "n").join(roots.withColumnRenamed("id", "node"), "node"), "linked")
     named = linked.groupBy("root").agg(F.min(F.struct("id", "mark")).alias("first"), F.sum("n").alias("size"))
-    linked = join_split(linked.select("node", "root"), materialize(named, "named"), "root").select("node", "first", "size")
+    linked = join_split(linked.select("node", "root"), keep(named, "named"), "root", keep=keep).select("node", "first", "size")
     own = nodes.select("content", "node", "id", "mark", "n").join(linked, "node", "left")
     own = own.select("content", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.mark", "mark").alias("class_mark"), F.coalesce("size", "n").alias("class_size"))
     kept = F.col("id").isNull() | F.col("class_mark").isNull() | ((F.col("id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark")))
-    out = join_split(signed.select("id", "mark", "content"), materialize(own, "classes"), "content", "left")
+    classed = materialize(own, "classes")
+    keep.clear()
+    out = join_split(signed.select("id", "mark", "content"), classed, "content", "left")
     return out.select("id", "mark", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
 
 
@@ -343,7 +347,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sma
     own row, and classes named by the same id are counted apart. Ids may be of any type that has an order. Texts
     are read whole, however long, and ties are broken by the smaller id. Other columns aren't read. An empty table gives
     an empty result. In a key's group larger than ``small``, members are compared with one centre, those unlike it with
-    ``second`` others, and the pairs then left by further keys and sketches.
+    ``second`` others, and the pairs then left by their sketches.
     """
     return _classes(docs, id_col, text_col, small, second).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
