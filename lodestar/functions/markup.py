@@ -123,6 +123,19 @@ def around(parts: Column, i: Column, cap: int = 1200) -> Column:
     return F.left(F.array_join(F.slice(parts, start, i + 3 - start), "\n"), F.lit(cap))
 
 
+def around_image(parts: Column, ref: Column, cap: int = 1200) -> Column:
+    """The first part that holds the reference with its neighbours; all parts if none does."""
+    places = F.transform(parts, lambda x, i: F.when(F.contains(x, ref), i))
+    first = F.array_min(F.filter(places, lambda i: i.isNotNull()))
+    return F.when(first.isNull(), F.left(F.array_join(parts, "\n"), F.lit(cap))).otherwise(around(parts, F.coalesce(first, F.lit(0)), cap))
+
+
+def scope_key(mode: Column, kb_ids: Column, files: Column, most: Column) -> Column:
+    """The digest of a scope's JSON, keys and lists sorted."""
+    fields = F.struct(F.sort_array(files).alias("files"), F.sort_array(kb_ids).alias("kb_ids"), mode.alias("kb_mode"), most.alias("max_q"))
+    return F.sha2(F.to_json(fields), 256)
+
+
 #: Declared types of a page that is an article.
 ARTICLE_TYPES = ["article", "newsarticle", "blogposting", "report", "techarticle"]
 

@@ -71,9 +71,37 @@ def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1)
 
 
+def meta(html: Column, name: str, cap: int = 300) -> Column:
+    """The content of a page's meta element by property or name, in either order of attributes; null if it is blank or missing."""
+    key, content = rf"""(?:property|name)=["']{name}["']""", r"""content=(?:"([^"]*)"|'([^']*)')"""
+    forms = [(rf"(?i)<meta[^>]+{key}[^>]*?\s{content}", (1, 2)), (rf"(?i)<meta[^>]+{content}[^>]*?\s{key}", (1, 2))]
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.left(F.coalesce(*[blank(F.regexp_extract(html, form, g)) for form, groups in forms for g in groups]), F.lit(cap))
+
+
 def page_title(html: Column, cap: int = 300) -> Column:
-    meta = lambda name: F.nullif(F.regexp_extract(html, rf'<meta property="{name}" content="([^"]*)"', 1), F.lit(""))
-    return F.substring(F.coalesce(meta("og:title"), meta("twitter:title"), F.regexp_extract(html, "<title>([^<]*)</title>", 1)), 1, cap)
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.coalesce(meta(html, "og:title", cap), meta(html, "twitter:title", cap), F.left(title, F.lit(cap)))
+
+
+def page_site(html: Column, url: Column) -> Column:
+    return F.coalesce(meta(html, "og:site_name"), F.nullif(host(url), F.lit("")))
+
+
+def first_long_enough(texts: dict[str, Column], least: int) -> Column:
+    """(name, text) of the first text of at least ``least`` characters, else of the first that isn't null."""
+    pair = lambda name, c: F.struct(F.lit(name).alias("name"), c.alias("text"))
+    long = [F.when(F.length(c) >= least, pair(name, c)) for name, c in texts.items()]
+    return F.coalesce(*long, *[F.when(c.isNotNull(), pair(name, c)) for name, c in texts.items()])
+
+
+def fit(query: Column, name: Column, description: Column) -> Column:
+    """How well a name and a description fit a query: equality, parts, and common words."""
+    q, n, d = (F.lower(c) for c in (F.trim(query), name, description))
+    share = lambda text, most: F.length(q) * most / F.greatest(F.length(text), F.lit(1))
+    common = lambda text: F.size(F.filter(F.split(q, " "), lambda w: F.array_contains(F.split(text, " "), w)))
+    by_name = F.when(n == q, 100.0).when(F.contains(n, q), 50 + share(n, 30.0)).otherwise(0.0)
+    return by_name + F.when(F.contains(d, q), 20 + share(d, 10.0)).otherwise(0.0) + 10 * common(n) + 5 * common(d)
 
 
 def file_name(title: Column, fallback: Column) -> Column:

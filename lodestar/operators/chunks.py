@@ -92,6 +92,18 @@ def sheet_summary(name: Column, n_rows: Column, columns: list[str], summary: Col
     return F.concat_ws("\n", F.concat(F.lit("# "), name), size, F.lit(f"列名：{listed}"), F.concat(F.lit("摘要："), F.coalesce(F.nullif(summary, F.lit("")), F.lit("（未生成）"))))
 
 
+def sheet_preview(rows: DataFrame, sheet: str, order: str, cells: str, header: list[str], most: int = 200) -> DataFrame:
+    """(sheet, preview): the first rows of each sheet as a Markdown table, with a note where there are more."""
+    escaped = F.transform(cells, lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
+    line = F.concat(F.lit("| "), F.array_join(escaped, " | "), F.lit(" |"))
+    place = F.row_number().over(Window.partitionBy(sheet).orderBy(order))
+    counts = rows.groupBy(sheet).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("k", place).filter(F.col("k") <= most).groupBy(sheet).agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))
+    head = "| " + " | ".join(header) + " |\n|" + "|".join(["---"] * len(header)) + "|\n"
+    note = F.when(F.col("n") > most, F.concat(F.lit(f"\n\n_（仅展示前 {most} 行，原始共 "), F.col("n").cast("string"), F.lit(" 行）_"))).otherwise("")
+    return first.join(counts, sheet).select(sheet, F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), note).alias("preview"))
+
+
 def column_portraits(sheet: DataFrame, order: str, columns: list[str], name: str, examples: int = 5) -> DataFrame:
     """(name, chunk) of each column: its kind, filled and distinct values, the first distinct ones, and for numbers their range.
 

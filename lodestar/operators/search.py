@@ -40,6 +40,17 @@ def scope_filter(df: DataFrame, kb_ids: list | None = None, file_ids: list | Non
     return df
 
 
+#: Folders whose files aren't listed.
+IGNORED = (".", "__MACOSX/")
+
+
+def listed_files(df: DataFrame, path: str) -> DataFrame:
+    """Rows whose path is neither a key frame's nor in an ignored folder."""
+    for prefix in IGNORED:
+        df = df.filter(~F.col(path).startswith(prefix))
+    return df.filter(~F.contains(path, F.lit("/keyframes/")))
+
+
 def top(df: DataFrame, n: int, by: Column, keys: tuple[str, ...] = ("query_id",), tie: str = "id", rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key by ``by``, largest first, then by ``tie``; numbered from 0."""
     order = Window.partitionBy(*keys).orderBy(by.desc_nulls_last(), F.col(tie))

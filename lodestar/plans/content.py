@@ -51,12 +51,22 @@ def recursive_chunks(spark, sf_dir):
     return C.records(C.split(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", F.length("text").alias("n"), "prev_id", "next_id")
 
 
+_META = """m AS (SELECT page_id, url, page_id % 4 AS k, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h FROM pages)"""
+
+
 @query(
-    """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, substring(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 300)
-AS title FROM pages"""
+    f"""WITH {_META} SELECT page_id, CASE k WHEN 0 THEN 'OG ' || page_id WHEN 1 THEN 'Tw' ELSE left(trim(t), 300) END AS title,
+CASE WHEN k IN (0, 2) THEN 'The Site' ELSE h END AS site, CASE WHEN k = 0 THEN 'Ann' END AS author, CASE WHEN k = 2 THEN '2024-01-10' END AS published FROM m"""
 )
 def page_metadata(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.page_title(F.col("html")).alias("title"))
+    """Title, site, author and date of a page: from its meta elements, else its title and host."""
+    k = F.col("page_id") % 4
+    og = F.concat(F.lit('<meta property="og:title" content="OG '), "page_id", F.lit('"><meta content="The Site" property="og:site_name"><meta name="author" content=" Ann ">'))
+    tags = F.when(k == 0, og).when(k == 1, "<meta name='twitter:title' content='Tw'><meta property=\"og:title\" content=\" \">")
+    tags = tags.when(k == 2, '<meta property="og:site_name" content="The Site"><meta property="article:published_time" content="2024-01-10">').otherwise("")
+    html, url = F.concat(tags, F.coalesce("html", F.lit(""))), F.col("url")
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", T.page_title(html).alias("title"), T.page_site(html, url).alias("site"), T.meta(html, "author").alias("author"), T.meta(html, "article:published_time").alias("published"))
 
 
 @query(r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\/:*?"<>|#%&' ||
@@ -81,13 +91,30 @@ def page_text(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS a, {_TEXT} AS b FROM pages) SELECT page_id, CASE WHEN length(a) >=
-200 THEN 'heading' WHEN length(b) >= 200 THEN 'text' WHEN a <> '' THEN 'heading' ELSE 'text' END AS source FROM c"""
+    """WITH c AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN repeat('s', 250) WHEN page_id % 5 = 1 THEN 'short' END AS a, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) AS b,
+length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS c, length(html) AS d FROM pages)
+SELECT page_id, CASE WHEN length(a) >= 200 THEN 'structured' WHEN page_id % 3 <> 0 AND b >= 200 THEN 'article' WHEN c >= 200 THEN 'heading' WHEN page_id % 7 <> 0 AND d >= 200 THEN 'raw'
+WHEN a IS NOT NULL THEN 'structured' WHEN page_id % 3 <> 0 THEN 'article' ELSE 'heading' END AS source FROM c""".replace("\\n", "\n")
 )
 def extraction_cascade(spark, sf_dir):
-    """The first candidate long enough, else the first there is."""
-    c = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("a"), T.html_text(F.col("html")).alias("b"))
-    return c.select("page_id", F.when(F.length("a") >= 200, "heading").when(F.length("b") >= 200, "text").when(F.col("a") != "", "heading").otherwise("text").alias("source"))
+    """Of the texts that several extractors give, the first that is long enough, else the first there is."""
+    k = F.col("page_id")
+    structured = F.when(k % 5 == 0, F.repeat(F.lit("s"), 250)).when(k % 5 == 1, "short")
+    article = F.when(k % 3 != 0, F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1))
+    found = {"structured": structured, "article": article, "heading": F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), "raw": F.when(k % 7 != 0, F.col("html"))}
+    return table(spark, sf_dir, "pages").select("page_id", T.first_long_enough(found, 200)["name"].alias("source"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \n\t]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: trim(x)) AS s FROM t)
+SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""".replace("\\n", "\n").replace("\\t", "\t")
+)
+def sentences(spark, sf_dir):
+    """Each up to its terminator; what follows the last one is kept."""
+    t = F.trim(F.regexp_replace("text", r"[ \n\t]+", " "))
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.sentences(t).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
 @query(
@@ -164,21 +191,33 @@ def event_times(spark, sf_dir):
 
 
 @query(
-    """SELECT r_regionkey, concat('| key | name |', chr(10), '| --- | --- |', chr(10), '| ', r_regionkey, ' | ', r_name, ' |') AS preview FROM region"""
+    """WITH r AS (SELECT 'customer' AS sheet, c_custkey AS i, concat('| ', c_custkey, ' | ', replace(replace(c_name || CASE WHEN c_custkey % 9 = 0 THEN '|' || chr(10) ELSE '' END, '|', chr(92) || '|'), chr(10), ' '), ' |') AS line FROM customer
+UNION ALL SELECT 'region', r_regionkey, concat('| ', r_regionkey, ' | ', r_name, ' |') FROM region), n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY i) AS k, count(*) OVER (PARTITION BY sheet) AS n FROM r)
+SELECT sheet, md5(concat('| key | name |', chr(10), '|---|---|', chr(10), string_agg(line, chr(10) ORDER BY i), CASE WHEN max(n) > 100 THEN concat(chr(10), chr(10), '_（仅展示前 100 行，原始共 ', max(n), ' 行）_') ELSE '' END)) AS preview
+FROM n WHERE k <= 100 GROUP BY sheet"""
 )
 def sheet_preview(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", F.concat_ws("\n", F.lit("| key | name |"), F.lit("| --- | --- |"), F.format_string("| %s | %s |", "r_regionkey", "r_name")).alias("preview"))
+    """A sheet's first rows as a Markdown table, with a note if there are more."""
+    odd = F.when(F.col("c_custkey") % 9 == 0, "|\n").otherwise("")
+    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("sheet"), F.col("c_custkey").alias("i"), F.array(F.col("c_custkey").cast("string"), F.concat("c_name", odd)).alias("cells"))
+    r = table(spark, sf_dir, "region").select(F.lit("region").alias("sheet"), F.col("r_regionkey").cast("long").alias("i"), F.array(F.col("r_regionkey").cast("string"), "r_name").alias("cells"))
+    return C.sheet_preview(c.unionByName(r), "sheet", "i", "cells", ["key", "name"], 100).select("sheet", F.md5(F.col("preview").cast("binary")).alias("preview"))
+
+
+_SCORE = """CASE WHEN name = q THEN 100.0 WHEN contains(name, q) THEN 50 + length(q) * 30.0 / length(name) ELSE 0 END + CASE WHEN contains(d, q) THEN 20 + length(q) * 10.0 / greatest(length(d), 1) ELSE 0 END
++ 10 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(name, ' '), w))) + 5 * len(list_filter(string_split(q, ' '), lambda w: list_contains(string_split(d, ' '), w)))"""
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, p_brand AS q, lower(p_name) AS name, lower(p_type) AS d, 'a' AS w FROM part) SELECT p_partkey, (CASE WHEN name =
-'a' THEN 100 WHEN contains(name, w) THEN 50 + floor(30.0 / length(name)) ELSE 0 END + CASE WHEN contains(d, w) THEN 20 ELSE 0 END)::INT AS score FROM
-p"""
+    f"""WITH p AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS d, lower(trim(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, 4) WHEN 2 THEN p_type ELSE p_brand || ' ' || p_name END)) AS q FROM part)
+SELECT p_partkey, round({_SCORE}, 6)::DOUBLE AS score FROM p WHERE {_SCORE} > 0"""
 )
 def kb_text_score(spark, sf_dir):
-    name, kind = F.lower("p_name"), F.lower("p_type")
-    score = F.when(name == "a", 100).when(F.contains(name, F.lit("a")), 50 + F.floor(30.0 / F.length(name))).otherwise(0) + F.when(F.contains(kind, F.lit("a")), 20).otherwise(0)
-    return table(spark, sf_dir, "part").select("p_partkey", score.cast("int").alias("score"))
+    """How well a knowledge base's name and description fit what is typed."""
+    k = F.col("p_partkey") % 4
+    q = F.when(k == 0, F.col("p_name")).when(k == 1, F.left("p_name", F.lit(4))).when(k == 2, F.col("p_type")).otherwise(F.concat("p_brand", F.lit(" "), "p_name"))
+    score = F.round(T.fit(q, F.col("p_name"), F.col("p_type")), 6)
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).filter("score > 0")
 
 
 @query("""WITH v AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN round(c_acctbal, 0) WHEN 2 THEN c_acctbal / 1e7 ELSE

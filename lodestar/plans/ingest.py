@@ -133,13 +133,16 @@ def selected_files(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(left(array_to_string(p[greatest(1, len(p) //
-2):len(p) // 2 + 2], chr(10)), 1200)) AS digest FROM p"""
+    f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, p, (doc_id % greatest(1, len(p)))::INT AS i FROM p WHERE len(p) > 0),
+b AS (SELECT doc_id, i, list_transform(p, lambda x, k: CASE WHEN k = i + 1 AND doc_id % 4 > 0 THEN x || ' ![one](img/' || doc_id || '.png)' ELSE x END) AS p FROM a)
+SELECT doc_id, md5(left(CASE WHEN doc_id % 4 = 0 THEN array_to_string(p, chr(10)) ELSE array_to_string(p[greatest(1, i):i + 2], chr(10)) END, 1200)) AS digest FROM b"""
 )
 def image_context(spark, sf_dir):
-    """The part in the middle, where an image is taken to be, between its neighbours."""
-    p = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.paragraphs(F.col("text"), "\n").alias("p"))
-    return p.select("doc_id", F.md5(M.around(F.col("p"), F.floor(F.size("p") / 2).cast("int")).cast("binary")).alias("digest"))
+    """The part that holds an image between its neighbours; the page's text where no part does."""
+    p = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.paragraphs(F.col("text"), "\n").alias("p")).filter("size(p) > 0")
+    own, ref = (F.col("doc_id") % F.size("p")).cast("int"), F.concat(F.lit("img/"), "doc_id", F.lit(".png"))
+    held = F.transform("p", lambda x, k: F.when((k == own) & (F.col("doc_id") % 4 > 0), F.concat(x, F.lit(" ![one]("), ref, F.lit(")"))).otherwise(x))
+    return p.withColumn("p", held).select("doc_id", F.md5(M.around_image(F.col("p"), ref).cast("binary")).alias("digest"))
 
 
 @query(
@@ -182,3 +185,40 @@ WHERE text IS NOT NULL"""
 def question_material(spark, sf_dir):
     parts = F.transform(F.slice(T.paragraphs(F.col("text"), "\n"), 1, 3), lambda x: F.left(x, F.lit(450)))
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.left(F.array_join(parts, "\n"), F.lit(14000)).cast("binary")).alias("digest"))
+
+
+@query(
+    """SELECT vec_id, label FROM embeddings WHERE label IN (1, 2) AND CASE WHEN vec_id % 2 = 0 THEN vec_id % 9 IN (3, 4) OR vec_id % 11 IN (3, 4) ELSE vec_id % 9 IN (3, 4) END AND vec_id % 5 <> 0 AND vec_id % 7 <> 0"""
+)
+def file_scopes(spark, sf_dir):
+    """Points of selected files: images and sounds by either file field, videos by their own; without key frames and ignored folders."""
+    n = F.col("vec_id")
+    folder = F.when(n % 5 == 0, "frames/keyframes/").when(n % 7 == 0, ".tmp/").otherwise("docs/")
+    p = table(spark, sf_dir, "embeddings").select("vec_id", "label", (n % 9).alias("file_id"), (n % 11).alias("source_file_id"), F.concat(folder, n.cast("string")).alias("path"))
+    p = p.withColumn("kb_id", F.col("label"))
+    images = S.scope_filter(p.filter("vec_id % 2 = 0"), [1, 2], [3, 4], ("file_id", "source_file_id"))
+    videos = S.scope_filter(p.filter("vec_id % 2 = 1"), [1, 2], [3, 4], ("file_id",))
+    return S.listed_files(images.unionByName(videos), "path").select("vec_id", "label")
+
+
+@query(
+    """SELECT c_custkey, sha256(concat('{"files":', CASE WHEN c_custkey % 2 = 0 THEN '["a/1","b/2"]' ELSE '[]' END, ',"kb_ids":["', c_nationkey % 5, '","z"],"kb_mode":"', CASE WHEN c_custkey % 3 = 0 THEN 'auto' ELSE 'manual' END, '","max_q":6}')) AS key FROM customer"""
+)
+def scope_keys(spark, sf_dir):
+    """A cache key of a scope: the digest of its JSON with sorted keys and lists."""
+    files = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("b/2"), F.lit("a/1"))).otherwise(F.array().cast("array<string>"))
+    kbs = F.array(F.lit("z"), (F.col("c_nationkey") % 5).cast("string"))
+    mode = F.when(F.col("c_custkey") % 3 == 0, "auto").otherwise("manual")
+    return table(spark, sf_dir, "customer").select("c_custkey", M.scope_key(mode, kbs, files, F.lit(6)).alias("key"))
+
+
+@query(
+    """WITH d AS (SELECT source AS kb_id, left(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 12) AS key, doc_id FROM documents WHERE text IS NOT NULL), k AS (SELECT kb_id, key, min(doc_id) AS doc_id FROM d WHERE key <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY doc_id) AS n FROM k) SELECT kb_id, doc_id, n FROM r WHERE n <= 6"""
+)
+def distinct_questions(spark, sf_dir):
+    """A knowledge base's questions, each once by what is asked, up to a cap."""
+    key = F.left(T.canonical_key(F.col("text")), F.lit(12))
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("source").alias("kb_id"), key.alias("key"), "doc_id").filter("key <> ''")
+    first = d.groupBy("kb_id", "key").agg(F.min("doc_id").alias("doc_id"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("kb_id").orderBy("doc_id"))).filter("n <= 6").select("kb_id", "doc_id", "n")
