@@ -60,5 +60,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str | None = N
         wanted.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
 
     counted = join_split(keyed, cached(), "digest")
-    discard(misses)
+    discard(misses, copies)
     return counted.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
