@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, exactdedup, htmltext, langid, neardup, packing, quality, tokencount, trie, warc
+from lodestar.llm import ann, bpe, exactdedup, hardneg, htmltext, langid, neardup, packing, quality, tokencount, trie, warc
 from lodestar.llm import pipeline as stages
 from lodestar.llm.common import held_out, table
 from lodestar.llm.tokenizers_io import public_path
@@ -63,6 +63,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -70,10 +75,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_warc, op2_near_dedup, op3_language_id, op4_exact_dedup, op5_token_counts, op6_packing, op7_bpe, op8_html_text, op9_ann, op10_quality,
-        op11_prefix_trie, pipeline,
+        op11_prefix_trie, op12_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op4_exact_dedup": exactdedup.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op4_exact_dedup": exactdedup.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_hard_negatives": hardneg.ORACLE_SQL}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Scratch, join_split, shuffle_partitions
+from lodestar.llm.common import Scratch, join_split, materialize, shuffle_partitions
 
 FAMILY, HEADS, LONG_TURNS = 5, 9, 1024
 _KEYS = 1 << 128
@@ -323,10 +323,13 @@ def build(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", rol
     for piece in pieces[1:]:
         union = union.unionByName(piece, allowMissingColumns=True)
     out = union.groupBy("key").agg(*[F.max(c).alias(c) for c in ("depth", "owner", "n", "above", "sha")], *[F.sum(c).alias(c) for c in ("children", "leaves", "saved")])
-    return out.select(
+    out = out.select(
         F.col("owner").alias("conv_id"), "depth", F.when(F.col("depth") > 0, F.coalesce("above", "owner")).alias("parent_conv_id"), F.col("n").alias("n_convs"),
         F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
+    out = materialize(out, "trie")
+    scratch.clear()
+    return out
 
 
 ORACLE_SQL = """
