@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import ann, bpe, exactdedup, hardneg, htmltext, langid, neardup, packing, quality, tokencount, trie, warc
+from lodestar.llm import ann, bpe, exactdedup, hardneg, htmltext, langid, mixing, neardup, packing, quality, tokencount, trie, warc
 from lodestar.llm import pipeline as stages
 from lodestar.llm.common import held_out, table
 from lodestar.llm.tokenizers_io import public_path
@@ -68,6 +68,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_warc, op2_near_dedup, op3_language_id, op4_exact_dedup, op5_token_counts, op6_packing, op7_bpe, op8_html_text, op9_ann, op10_quality,
-        op11_prefix_trie, op12_hard_negatives, pipeline,
+        op11_prefix_trie, op12_hard_negatives, op13_mixing, pipeline,
     )
     return {f.__name__: f for f in own}
 
