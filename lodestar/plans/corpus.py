@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
 from lodestar.operators import search as S
+from lodestar.operators import segment as G
 from lodestar.plans.registry import query, table
 
 
@@ -63,30 +64,65 @@ def column_profile(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token, count(*)
-AS n FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS place FROM t) SELECT doc_id, token, n,
-place FROM r WHERE place <= 5"""
+    f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fa5}}a-zA-Z0-9]+')) AS token, generate_subscripts(
+regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fa5}}a-zA-Z0-9]+'), 1) AS pos FROM documents), t AS (SELECT doc_id, token, count(*) AS n, min(pos) AS pos FROM d WHERE
+length(token) >= 2 AND token NOT IN {tuple(G.STOP_WORDS)} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos)
+AS place FROM t) SELECT doc_id, token, n, place FROM r WHERE place <= 5"""
 )
 def top_keywords(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(n("n"))
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "token"))).filter("place <= 5")
+    """Runs of two characters or more, in their case, that aren't stop words: the five most frequent, earlier ones on ties."""
+    runs = F.regexp_extract_all("text", F.lit("[\u4e00-\u9fa5a-zA-Z0-9]+"), F.lit(0))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(runs).alias("pos", "token")).filter(G.useful(F.col("token")))
+    t = t.groupBy("doc_id", "token").agg(n("n"), F.min("pos").alias("pos"))
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos"))).filter("place <= 5").drop("pos")
 
 
-@query("""WITH d AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), tf AS (SELECT source,
-token, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT token, count(DISTINCT doc_id) AS df FROM d GROUP BY ALL), t AS (SELECT count(*) AS total
-FROM documents),
+@query(f"""WITH d AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS token FROM documents), tf AS (SELECT source,
+token, count(*) AS tf FROM d WHERE length(token) >= 2 GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL), t AS (SELECT
+count(DISTINCT source) AS total FROM documents),
 s AS (SELECT source AS kb_id, token, tf * ln(total / df::DOUBLE) AS score FROM tf JOIN df USING (token), t), r AS (SELECT *, row_number() OVER
 (PARTITION BY kb_id ORDER BY round(score, 6) DESC, token) AS place FROM s) SELECT kb_id, token, round(score, 6) AS score, place FROM r WHERE place <=
 10""")
 def topic_keywords(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    per = docs.select("source", "doc_id", F.explode(T.words(F.col("text"))).alias("token")).groupBy("source", "doc_id", "token").agg(n("n"))
-    # a document has one source, so a row of ``per`` is a document of its token: both counts come from one pass over it
-    tf = per.groupBy("token", "source").agg(F.sum("n").alias("tf"), n("own"))
-    total = F.broadcast(docs.agg(n("total")))
-    df = F.sum("own").over(Window.partitionBy("token"))
-    s = tf.withColumn("df", df).join(total).select(F.col("source").alias("kb_id"), "token", F.round(F.col("tf") * F.log(F.col("total") / F.col("df").cast("double")), 6).alias("score"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("score"), "token"))).filter("place <= 10")
+    """The words that tell a knowledge base from the others: those of its texts in Latin letters and, were there any, of its Chinese runs."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id"), "text")
+    words = G.segmented(docs, ["kb_id"], "text", G.dictionary(docs, "text"))
+    return G.tfidf(words, "kb_id").withColumnRenamed("word", "token")
+
+
+#: Letters become characters and spaces go: texts that must be cut into words, made from those of the tables.
+_LETTERS, _CHARS = "abcdefghijklmnopqrstuvwxyz ", "一个可以什么数据检索问题知识文档图像模型学习系统分析"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT conv_id, translate(lower(text), '{_LETTERS}', '{_CHARS}') AS t FROM conversations), u AS (SELECT conv_id,
+unnest(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fa5}}]+')) AS s FROM r), p AS (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM u),
+g AS (SELECT substr(s, i, l) AS w, CASE WHEN i > 1 THEN substr(s, i - 1, 1) ELSE '' END AS a, CASE WHEN i + l <= length(s) THEN substr(s, i + l, 1)
+ELSE '' END AS b FROM p, range(1, 5) x(l) WHERE i + l - 1 <= length(s)),
+n AS (SELECT w, count(*) AS n, min(a) <> max(a) AND min(b) <> max(b) AS free FROM g GROUP BY w),
+total AS (SELECT sum(n)::DOUBLE AS total FROM n WHERE length(w) = 1),
+c AS (SELECT n.w, n.n, min(n.n * total / a.n / b.n) AS bound FROM n JOIN range(1, 4) k(k) ON k < length(n.w) JOIN n a ON a.w = left(n.w, k) JOIN n b
+ON b.w = substr(n.w, k + 1), total WHERE n.n >= 5 AND n.free GROUP BY ALL),
+d AS (SELECT w, round(1000 * ln(total / n))::BIGINT AS cost FROM (SELECT w, n FROM n WHERE length(w) = 1 UNION ALL SELECT w, n FROM c WHERE bound >=
+3), total),
+z AS (SELECT s, 0::BIGINT AS i, 0::BIGINT AS c0, NULL::BIGINT AS c1, NULL::BIGINT AS c2, NULL::BIGINT AS c3, '' AS p0, '' AS p1, '' AS p2, '' AS p3
+FROM (SELECT DISTINCT s FROM u)
+UNION ALL SELECT s, i + 1, m, c0, c1, c2, CASE m WHEN e4 THEN p3 || '|' || w4 WHEN e3 THEN p2 || '|' || w3 WHEN e2 THEN p1 || '|' || w2 ELSE p0 || '|'
+|| w1 END, p0, p1, p2 FROM (SELECT z.*, d1.w AS w1, d2.w AS w2, d3.w AS w3, d4.w AS w4, c0 + d1.cost AS e1, c1 + d2.cost AS e2, c2 + d3.cost AS e3, c3 +
+d4.cost AS e4, least(e1, e2, e3, e4) AS m FROM z JOIN d d1 ON d1.w = substr(s, i + 1, 1) LEFT JOIN d d2 ON i >= 1 AND d2.w = substr(s, i, 2) LEFT JOIN d
+d3 ON i >= 2 AND d3.w = substr(s, i - 1, 3) LEFT JOIN d d4 ON i >= 3 AND d4.w = substr(s, i - 2, 4) WHERE i < length(s)) q),
+w AS (SELECT conv_id, unnest(regexp_extract_all(t, '[\\x{{4e00}}-\\x{{9fa5}}]+|[a-zA-Z0-9]+')) AS s FROM r),
+o AS (SELECT conv_id, unnest(string_split(words, '|')) AS word FROM (SELECT conv_id, string_agg(coalesce(p0[2:], w.s), '|') AS words FROM w LEFT JOIN z
+ON z.s = w.s AND i = length(w.s) GROUP BY conv_id) v),
+tf AS (SELECT conv_id, word, count(*) AS tf FROM o WHERE length(word) >= 2 AND word NOT IN {tuple(G.STOP_WORDS)} GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY ALL), f AS (SELECT conv_id, word, round(tf * ln((SELECT count(DISTINCT conv_id) FROM conversations) /
+df::DOUBLE), 6) AS score FROM tf JOIN df USING (word))
+SELECT conv_id, word, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, word) AS place FROM f QUALIFY place <= 10"""
+)
+def segmented_keywords(spark, sf_dir):
+    """Keywords of texts without spaces: a dictionary learnt from them, the most probable words, the first ten by TF-IDF."""
+    texts = table(spark, sf_dir, "conversations").select("conv_id", F.translate(F.lower("text"), _LETTERS, _CHARS).alias("text"))
+    return G.tfidf(G.segmented(texts, ["conv_id"], "text", G.dictionary(texts, "text")), "conv_id")
 
 
 @query(
