@@ -95,8 +95,9 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     parts = shuffle_partitions(left.sparkSession)
     counts = keep(left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"), "key-counts")
     most = (counts.agg(F.sum("_copies")).first()[0] or 0) / (8 * parts)
-    none = left.sparkSession.range(1).select(F.lit(None).cast(left.schema[key].dataType).alias(key))  # the plan is the same with and without such keys
-    hot = F.broadcast(counts.filter(F.col("_copies") > max(1.0, most)).select(key).unionByName(none))
+    # one key more, frequent or not, so that the plan is the same with and without such keys (a null alone would be seen as an empty side)
+    none = left.sparkSession.range(1).select(F.lit("0").cast(left.schema[key].dataType).alias(key))
+    hot = F.broadcast(counts.filter(F.col("_copies") > max(1.0, most)).select(key).unionByName(none).distinct())
     few = F.broadcast(right.join(hot, key, "left_semi"))
     rest = left.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, how)
     out = left.join(hot, key, "left_semi").join(few, key, how).unionByName(rest)
