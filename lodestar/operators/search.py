@@ -57,14 +57,35 @@ def top(df: DataFrame, n: int, by: Column, keys: tuple[str, ...] = ("query_id",)
     return df.withColumn(rank, F.row_number().over(order) - 1).filter(F.col(rank) < n)
 
 
-def dense_search(scope: DataFrame, points: DataFrame, limit: int = 20, threshold: float | None = 0.0, parts: int = 4) -> DataFrame:
+#: Points that one part of a knowledge base, and postings that one part of a token, hold on average at most.
+PART_ROWS = 50_000
+
+
+def parts_of(rows: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """(keys, _parts): into how many parts the rows of a key are dealt; only keys that need more than one."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")).filter(F.col("_parts") > 1)
+
+
+def _dealt(rows: DataFrame, asking: DataFrame, keys: list[str], part_rows: int, by: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the ``_part`` that their id falls into, and ``asking`` once for each part of its key.
+
+    The parts follow each key's own number of rows. Joins with them are plain, so that Spark may split skewed ones.
+    """
+    parts = parts_of(rows, keys, part_rows)
+    many = F.coalesce("_parts", F.lit(1))
+    base = rows.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), many)).drop("_parts")
+    every = asking.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("_parts")
+    return base, every
+
+
+def dense_search(scope: DataFrame, points: DataFrame, limit: int = 20, threshold: float | None = 0.0, part_rows: int = PART_ROWS) -> DataFrame:
     """scope (query_id, kb_id, query_vec), points (id, kb_id, vec) -> query_id, id, kb_id, score, rank.
 
     Only points of a query's knowledge bases are scored. Both sides are made unit vectors once, so that a pair costs
-    one product. A knowledge base's points are dealt over ``parts``, each of which keeps its own first ``limit``.
+    one product. A large knowledge base's points are dealt over parts, each of which keeps its own first ``limit``.
     """
-    base = points.select("id", "kb_id", unit(F.col("vec")).alias("_u"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_part"))
-    asking = scope.select("query_id", "kb_id", unit(F.col("query_vec")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    base = points.select("id", "kb_id", unit(F.col("vec")).alias("_u"))
+    base, asking = _dealt(base, scope.select("query_id", "kb_id", unit(F.col("query_vec")).alias("_q")), ["kb_id"], part_rows)
     scored = base.join(asking, ["kb_id", "_part"]).select("query_id", "id", "kb_id", "_part", dot(F.col("_u"), F.col("_q")).alias("score"))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
@@ -87,16 +108,15 @@ def nearest_portraits(queries: DataFrame, portraits: DataFrame, limit: int = POR
     return scored.select("query_id", "kb_id", "cluster", "sim")
 
 
-def sparse_search(query_terms: DataFrame, terms: DataFrame, limit: int = 15, by: tuple[str, ...] = (), salts: int = 8) -> DataFrame:
+def sparse_search(query_terms: DataFrame, terms: DataFrame, limit: int = 15, by: tuple[str, ...] = (), part_rows: int = PART_ROWS) -> DataFrame:
     """query_terms (query_id, token, weight, *by), terms (id, token, weight, *by) -> the largest dot products over shared tokens.
 
-    Postings of a token are dealt over ``salts`` parts by id, so that no task holds a frequent token's rows; a part's
-    sums are complete, since an id lies in one part.
+    Postings of a frequent token are dealt over parts by id, as many as their number asks for, so that no task holds
+    all of them.
     """
     q = query_terms.select("query_id", "token", F.col("weight").alias("query_weight"), *by)
-    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = terms.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    scored = dealt.join(q, ["token", "_part", *by]).groupBy("query_id", "id", *by).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+    dealt, asking = _dealt(terms, q, ["token", *by], part_rows)
+    scored = dealt.join(asking, ["token", "_part", *by]).groupBy("query_id", "id", *by).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
     return top(scored, limit, F.col("score"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.operators import search as S
 from lodestar.plans.registry import query, table
+from lodestar.session import saved
 
 EVERY, CLUSTERS = 100, 5
 
@@ -83,7 +84,8 @@ def decided(p: DataFrame) -> DataFrame:
 
 
 def scoped(p: DataFrame) -> DataFrame:
-    return decided(p).join(asked(p), "query_id").select("query_id", "kb_id", "query_vec")
+    """The routed knowledge bases of each query. All routes of a search need them, so they are computed once and saved."""
+    return saved(decided(p).join(asked(p), "query_id").select("query_id", "kb_id", "query_vec"), "routing")
 
 
 def turned(v):

@@ -6,9 +6,10 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -25,6 +26,28 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lodestar-tables-')}"
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path below the folder that driver and executors share: ``spark.checkpoint.dir``, on one machine else a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+        base = _local_folder()
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what several parts of a query need is computed once."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _archive() -> str:
     folder = tempfile.mkdtemp(prefix="lodestar-package-")
