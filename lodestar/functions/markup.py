@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import string
 from urllib.parse import urljoin
 
@@ -11,8 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestar.functions.text import bound, stripped, trimmed
+
 #: Attributes that hold an image's address where ``src`` doesn't yet.
-LAZY = ["data-src", "data-original", "data-lazy-src", "data-srcset", "srcset"]
+LAZY = ["data-src", "data-original", "data-lazy-src", "data-actualsrc", "data-original-src", "data-echo", "data-srcset"]
+#: Extensions of images that a page's address may name, how mentions stand in messages, and the most text of one that isn't JSON.
+ASSET_EXT = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".avif"]
+MENTION, TEXT_CHARS = re.compile(r"@_user_\d+"), 20_000
 IMAGE = r'!\[[^\]]*\]\([^)\s]+\)|<img[^>]*src="[^"]*"[^>]*>'
 
 
@@ -63,45 +69,54 @@ def listed(c: Column, marks: str, most: int) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _texts_within(content: pd.Series) -> pd.Series:
-    """All texts of a nested post, in order and at any depth; null where the JSON can't be read."""
+def message_text(kind: pd.Series, content: pd.Series) -> pd.Series:
+    """The text of a message by its kind: ``text`` has one, of a ``post`` all nodes tagged as text count, at any depth; other kinds have
+    none. Mentions go, spaces collapse. What isn't JSON is taken as it is, up to TEXT_CHARS; null where nothing is left."""
 
-    def walk(x):
+    def tagged(x):
         if isinstance(x, dict):
-            if isinstance(x.get("text"), str):
-                yield x["text"]
-            for k, v in x.items():
-                if k != "text":
-                    yield from walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                yield from walk(v)
-
-    def one(c):
+            if x.get("tag") == "text" and isinstance(x.get("text"), str):
+                yield x["text"].strip()
+            x = list(x.values())
+        for v in x if isinstance(x, list) else ():
+            yield from tagged(v)
+
+    def one(of, raw):
+        raw = (raw or "").strip()
         try:
-            return " ".join(walk(json.loads(c)))
-        except (TypeError, ValueError):
-            return None
-
-    return content.map(one).astype(object)
-
+            held = json.loads(raw) if raw else {}
+        except ValueError:
+            return raw[:TEXT_CHARS]
+        of = (of or "").lower()
+        own = str(held.get("text") or "") if of == "text" and isinstance(held, dict) else " ".join(filter(None, tagged(held))) if of == "post" else ""
+        return " ".join(MENTION.sub("", own).split()) or None
 
-def message_text(content: Column) -> Column:
-    """The text of a message: its ``text``, else all texts of a nested post; mentions go, spaces collapse."""
-    nested = _texts_within(F.when(F.get_json_object(content, "$.text").isNull(), F.get_json_object(content, "$.content")))
-    text = F.regexp_replace(F.coalesce(F.get_json_object(content, "$.text"), nested), r"@_[a-z]+_[0-9]+", " ")
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return pd.Series([one(k, c) for k, c in zip(kind, content, strict=True)], dtype=object)
 
 
 def lazy_source(tag: Column) -> Column:
-    """The address of an image: its ``src``, unless that is missing or a placeholder and a lazy one is given."""
+    """The address of an image: its ``src``, unless that is missing or a placeholder and a lazy one is given. Of a set the last counts."""
     attribute = lambda name: F.nullif(F.trim(F.regexp_extract(tag, rf'(?i)[\s"]{name}="([^"]*)"', 1)), F.lit(""))
+    last = lambda c: F.nullif(F.regexp_extract(F.trim(F.element_at(F.split(c, ","), -1)), "^[^ ]*", 0), F.lit(""))
     src = attribute("src")
     held = F.lower(src)
-    placeholder = src.isNull() | held.startswith("data:image/svg") | held.startswith("data:image/gif;base64,r0lgodlh")
-    placeholder = placeholder | (held.rlike(r"\.(gif|svg)$") & held.rlike("blank|loading"))
-    lazy = F.coalesce(*[F.regexp_extract(attribute(name), r"^[^\s,]+", 0) for name in LAZY])
-    return F.when(placeholder & lazy.isNotNull(), lazy).otherwise(src)
+    placeholder = src.isNull() | src.startswith("data:image/svg") | src.startswith("data:image/gif;base64,R0lGODlh")
+    placeholder = placeholder | (src.rlike(r"\.(gif|svg)$") & held.rlike("blank|loading"))
+    known = [F.struct(F.lit(name).alias("name"), attribute(name).alias("v")) for name in LAZY]
+    first = F.get(F.filter(F.array(*known), lambda x: x["v"].isNotNull()), 0)
+
+    def shown(x: Column) -> Column:
+        of_set = (x["name"] == "data-srcset") | F.contains(x["v"], F.lit(","))
+        return F.when(x.isNull(), last(attribute("srcset"))).when(of_set, F.coalesce(last(x["v"]), x["v"])).otherwise(x["v"])
+
+    return F.when(placeholder, F.coalesce(bound(first, shown), src)).otherwise(src)
+
+
+def asset_key(url: Column) -> Column:
+    """Where an image of a page is kept: by the digest of its address, with the address's own extension if it is an image's."""
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
+    own = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    return F.concat(F.lit("_assets/"), F.left(F.sha1(F.encode(F.coalesce(url, F.lit("")), "UTF-8")), F.lit(16)), F.when(own.isin(ASSET_EXT), own).otherwise(".jpg"))
 
 
 def resource(kind: Column, content: Column) -> Column:
@@ -117,17 +132,19 @@ def resource(kind: Column, content: Column) -> Column:
     return out.when((kind == "file") & key("file_key").isNotNull(), spec(F.lit("file"), key("file_key"), suffix, name))
 
 
-def around(parts: Column, i: Column, cap: int = 1200) -> Column:
-    """A part (counted from 0) with the one before and the one after, capped."""
+def around(parts: Column, i: Column, cap: int = 1200, mark: str = "\n\n") -> Column:
+    """A part (counted from 0) with the one before and the one after, stripped and capped with three points."""
     start = F.greatest(i, F.lit(1))
-    return F.left(F.array_join(F.slice(parts, start, i + 3 - start), "\n"), F.lit(cap))
+    return bound(stripped(F.array_join(F.slice(parts, start, i + 3 - start), mark)), lambda x: trimmed(x, cap, "..."))
 
 
-def around_image(parts: Column, ref: Column, cap: int = 1200) -> Column:
-    """The first part that holds the reference with its neighbours; all parts if none does."""
+def around_image(text: Column, ref: Column, page: Column, cap: int = 1200) -> Column:
+    """The first part of a text, between blank lines, that holds the reference, with its neighbours; else the page's text, else ``无``."""
+    parts = F.split(text, "\n\n")
     places = F.transform(parts, lambda x, i: F.when(F.contains(x, ref), i))
     first = F.array_min(F.filter(places, lambda i: i.isNotNull()))
-    return F.when(first.isNull(), F.left(F.array_join(parts, "\n"), F.lit(cap))).otherwise(around(parts, F.coalesce(first, F.lit(0)), cap))
+    held = F.when(first.isNotNull() & (F.coalesce(ref, F.lit("")) != ""), around(parts, F.coalesce(first, F.lit(0)), cap))
+    return F.coalesce(F.nullif(F.coalesce(held, bound(stripped(page), lambda x: trimmed(x, cap, "..."))), F.lit("")), F.lit("无"))
 
 
 def scope_key(mode: Column, kb_ids: Column, files: Column, most: Column) -> Column:
@@ -147,20 +164,30 @@ def is_article(types: Column) -> Column:
 
 
 def bucket(name: Column) -> Column:
-    """A name that object stores accept."""
-    return F.concat(F.lit("kb-"), F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9-]+", "-"), "^-+|-+$", ""))
+    """A name that object stores accept: underscores become dashes, what else isn't allowed goes, 63 characters, never empty."""
+    kept = F.left(F.regexp_replace(F.replace(F.lower(name), F.lit("_"), F.lit("-")), "[^a-z0-9-]", ""), F.lit(63))
+    return F.coalesce(F.nullif(F.regexp_replace(kept, "^-+|-+$", ""), F.lit("")), F.lit("kb-default"))
+
+
+def tag_value(c: Column) -> Column:
+    """A value that object stores accept in a tag: other characters become spaces, runs of them one, 256 characters, never empty."""
+    kept = F.regexp_replace(stripped(F.coalesce(c, F.lit(""))), r"[^a-zA-Z0-9\s_.:/=+\-@]", " ")
+    kept = F.left(F.trim(F.regexp_replace(kept, r"\s+", " ")), F.lit(256))
+    return F.coalesce(F.nullif(kept, F.lit("")), F.lit("-"))
+
+
+#: What stands on either side of marked text.
+MARKS = {"code": ("`", "`"), "bold": ("**", "**"), "italic": ("*", "*"), "strike": ("~~", "~~"), "underline": ("<u>", "</u>")}
 
 
 def _marked(node: dict) -> str:
-    text = node.get("text") or ""
-    for mark in node.get("marks") or []:
-        kind = mark.get("type")
-        if kind == "link":
-            text = f"[{text}]({(mark.get('attrs') or {}).get('href', '')})"
-        else:
-            around = {"bold": "**", "italic": "*", "code": "`", "strike": "~~", "underline": "_"}.get(kind, "")
-            text = f"{around}{text}{around}"
-    return text
+    """A text within its marks from the inside out; a link, the last one if there are several, goes around all of them."""
+    text, marks = str(node.get("text") or ""), [m for m in node.get("marks") or [] if isinstance(m, dict)]
+    links = [href for m in marks if m.get("type") == "link" and (href := str((m.get("attrs") or {}).get("href") or "").strip())]
+    for mark in marks if text else ():
+        before, after = MARKS.get((mark.get("type") or "").strip(), ("", ""))
+        text = before + text + after
+    return f"[{text}]({links[-1]})" if text and links else text
 
 
 def node_markdown(node) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,15 +45,28 @@ def modality(path: Column) -> Column:
     return F.when(e.isin(IMAGE_EXT), "image").when(e.isin(AUDIO_EXT), "audio").when(e.isin(VIDEO_EXT), "video").otherwise("doc")
 
 
-def canonical_key(c: Column) -> Column:
-    """Lower case without spaces and punctuation, to compare questions by."""
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of an expression that it uses several times, computed once."""
+    return F.get(F.transform(F.array(c), f), 0)
 
 
 def question(c: Column, n: int = 96) -> Column:
-    """Without list marks, spaces collapsed, end marks stripped, capped, ending in a question mark."""
-    q = F.regexp_replace(F.regexp_replace(c, r"^[ ]*([-*•]|[0-9]+[.)])[ ]*", ""), r"[ \n\t]+", " ")
-    return F.concat(F.substring(F.regexp_replace(F.trim(q), r"[.!?;,]+$", ""), 1, n), F.lit("？"))
+    """Without list marks before it and separators around it, spaces collapsed, capped with an ellipsis, ending in a question mark;
+    empty where nothing is left, and for null."""
+    q = F.regexp_replace(stripped(F.coalesce(c, F.lit(""))), r"(?U)^[-*\d.)\s]+", "")
+    q = F.regexp_replace(stripped(F.regexp_replace(q, r"(?U)\s+", " ")), "^[，,。;；:：]+|[，,。;；:：]+$", "")
+    capped = bound(q, lambda x: F.when(F.length(x) > n, F.concat(stripped(F.left(x, F.lit(n - 1))), F.lit("…"))).otherwise(x))
+    return bound(capped, lambda x: F.when((x == "") | x.rlike("[?？]$"), x).otherwise(F.concat(x, F.lit("？"))))
+
+
+def canonical_key(c: Column) -> Column:
+    """What questions are compared by: the question in lower case without the marks at its end."""
+    return stripped(F.regexp_replace(F.lower(question(c)), "[?？!！。,.，;；:：]+$", ""))
 
 
 def words(c: Column) -> Column:
@@ -71,21 +87,21 @@ def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1)
 
 
-def meta(html: Column, name: str, cap: int = 300) -> Column:
+def meta(page: Column, name: str, cap: int = 300) -> Column:
     """The content of a page's meta element by property or name, in either order of attributes; null if it is blank or missing."""
     key, content = rf"""(?:property|name)=["']{name}["']""", r"""content=(?:"([^"]*)"|'([^']*)')"""
     forms = [(rf"(?i)<meta[^>]+{key}[^>]*?\s{content}", (1, 2)), (rf"(?i)<meta[^>]+{content}[^>]*?\s{key}", (1, 2))]
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.left(F.coalesce(*[blank(F.regexp_extract(html, form, g)) for form, groups in forms for g in groups]), F.lit(cap))
+    return F.left(F.coalesce(*[blank(F.regexp_extract(page, form, g)) for form, groups in forms for g in groups]), F.lit(cap))
 
 
-def page_title(html: Column, cap: int = 300) -> Column:
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    return F.coalesce(meta(html, "og:title", cap), meta(html, "twitter:title", cap), F.left(title, F.lit(cap)))
+def page_title(page: Column, cap: int = 300) -> Column:
+    title = F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.coalesce(meta(page, "og:title", cap), meta(page, "twitter:title", cap), F.left(title, F.lit(cap)))
 
 
-def page_site(html: Column, url: Column) -> Column:
-    return F.coalesce(meta(html, "og:site_name"), F.nullif(host(url), F.lit("")))
+def page_site(page: Column, url: Column) -> Column:
+    return F.coalesce(meta(page, "og:site_name"), F.nullif(host(url), F.lit("")))
 
 
 def first_long_enough(texts: dict[str, Column], least: int) -> Column:
@@ -104,20 +120,38 @@ def fit(query: Column, name: Column, description: Column) -> Column:
     return by_name + F.when(F.contains(d, q), 20 + share(d, 10.0)).otherwise(0.0) + 10 * common(n) + 5 * common(d)
 
 
-def file_name(title: Column, fallback: Column) -> Column:
-    """Characters that file systems refuse become one underscore; 60 characters and .md."""
-    clean = F.substring(F.regexp_replace(F.regexp_replace(title, r'[\\/:*?"<>|#%&\n\r\t ]+', "_"), "^_+|_+$", ""), 1, 60)
-    return F.concat(F.coalesce(F.nullif(clean, F.lit("")), fallback), F.lit(".md"))
+def file_part(c: Column, most: int = 60) -> Column:
+    """Characters that file systems refuse become one underscore; none, no point and no space stands at the ends."""
+    clean = F.regexp_replace(F.regexp_replace(stripped(F.coalesce(c, F.lit(""))), r'[\\/:*?"<>|\r\n\t]+', "_"), "_+", "_")
+    return F.left(F.regexp_replace(clean, "^[_. ]+|[_. ]+$", ""), F.lit(most))
+
+
+def file_name(title: Column, url: Column, day: Column) -> Column:
+    """A page's title as a file's name, else its host, path and ``day`` (yyyymmdd)."""
+    where = F.coalesce(F.nullif(F.replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit("."), F.lit("_")), F.lit("")), F.lit("page"))
+    path = file_part(F.replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1), F.lit("/"), F.lit("_")))
+    other = F.concat(F.concat_ws("_", where, F.nullif(path, F.lit(""))), F.lit("-"), day)
+    return F.concat(F.coalesce(F.nullif(file_part(title), F.lit("")), other), F.lit(".md"))
+
+
+@F.pandas_udf(StringType())
+def unescaped(c: pd.Series) -> pd.Series:
+    """Character references decoded."""
+    return c.map(lambda x: None if x is None else html.unescape(x)).astype(object)
+
+
+def clean_text(c: Column) -> Column:
+    """Character references decoded, runs of spaces as one, lines stripped, no more than one blank line in a row."""
+    c = newlines(F.when(F.contains(c, F.lit("&")), unescaped(c)).otherwise(c))
+    lines = F.transform(F.split(F.regexp_replace(c, r"[ \t\f\x0B]+", " "), r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), stripped)
+    return stripped(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
-def html_text(html: Column) -> Column:
-    """Scripts and styles go, breaks and block ends become line feeds, tags go, common references are decoded, spaces collapse."""
-    c = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    c = F.regexp_replace(F.regexp_replace(c, "(?i)<br */?>", "\n"), "(?i)</(p|div|h[1-6]|li|article|nav|footer|ul)>", "\n")
-    c = F.regexp_replace(c, "<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), r"\n+", "\n"))
+def html_text(page: Column) -> Column:
+    """Scripts and styles go, breaks become line feeds, block ends blank lines, tags go; then as clean text."""
+    c = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), "(?i)</(p|div|section|article|li|tr|table|h[1-6]|blockquote)>", "\n\n")
+    return clean_text(F.regexp_replace(c, "<[^>]+>", ""))
 
 
 def timestamp_text(x: Column) -> Column:

@@ -29,13 +29,16 @@ def records(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return chunks.select("*", chunk_id(F.col(id_col), F.col("chunk_index")).alias("id"), own(F.lag("chunk_index").over(w)).alias("prev_id"), own(F.lead("chunk_index").over(w)).alias("next_id"))
 
 
-def overlapped(chunks: DataFrame, n: int = folds.OVERLAP, id_col: str = "doc_id") -> DataFrame:
-    """Each chunk between the end of the one before and the start of the one after, where those are longer than ``n``."""
+def overlapped(chunks: DataFrame, n: int = folds.OVERLAP, id_col: str = "doc_id", alone: str | None = None) -> DataFrame:
+    """Each chunk between the end of the one before and the start of the one after, where those are longer than ``n``, blank lines
+    between them. Chunks marked in the column ``alone`` neither take nor give."""
     w = Window.partitionBy(id_col).orderBy("chunk_index")
-    before, after = F.lag("text").over(w), F.lead("text").over(w)
-    head = F.when(F.length(before) > n, F.concat(F.right(before, F.lit(n)), F.lit("\n"))).otherwise("")
-    tail = F.when(F.length(after) > n, F.concat(F.lit("\n"), F.left(after, F.lit(n)))).otherwise("")
-    return chunks.select(id_col, "chunk_index", F.concat(head, "text", tail).alias("text"))
+    apart = F.lit(False) if alone is None else F.coalesce(F.col(alone), F.lit(False))
+    given = F.when(~apart & (F.length("text") > n), F.col("text"))
+    rows = chunks.withColumn("_apart", apart).withColumn("_before", F.lag(given).over(w)).withColumn("_after", F.lead(given).over(w))
+    head = F.when(F.col("_before").isNotNull() & ~F.col("_apart"), F.concat(F.right("_before", F.lit(n)), F.lit("\n\n"))).otherwise("")
+    tail = F.when(F.col("_after").isNotNull() & ~F.col("_apart"), F.concat(F.lit("\n\n"), F.left("_after", F.lit(n)))).otherwise("")
+    return rows.select(id_col, "chunk_index", F.concat(head, "text", tail).alias("text"))
 
 
 def folded(rows: DataFrame, column: str, fold: Callable, schema: str) -> DataFrame:
@@ -116,6 +119,7 @@ def column_portraits(sheet: DataFrame, order: str, columns: list[str], name: str
     profile = values.groupBy("name").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("held"), F.count_if(held).alias("distinct"),
         F.coalesce(F.sum(F.when(number.isNotNull(), F.col("n"))), F.lit(0)).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"),
+        (F.sum(number * F.col("n")) / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
     )
     place = F.row_number().over(Window.partitionBy("name").orderBy("first"))
     shown = F.when(F.length("v") <= 60, F.col("v")).otherwise(F.concat(F.left("v", F.lit(57)), F.lit("...")))
@@ -124,7 +128,7 @@ def column_portraits(sheet: DataFrame, order: str, columns: list[str], name: str
     kind = F.when(numeric, "numeric").when((F.col("distinct") > 0) & (F.col("distinct") <= F.greatest(F.lit(20), F.floor(0.1 * F.col("held")))), "categorical").otherwise("text")
     whole = F.concat(F.lit("类型："), kind, F.lit("；非空："), F.col("held").cast("string"), F.lit("/"), F.col("rows").cast("string"), F.lit("；唯一值："), F.col("distinct").cast("string"))
     listed = F.when(F.size("e") > 0, F.concat(F.lit("示例："), F.array_join(F.transform("e", lambda x: x["v"]), " | ")))
-    span = F.when(numeric, F.concat(F.lit("统计：min="), T.number_text(F.col("low")), F.lit(" max="), T.number_text(F.col("high"))))
+    span = F.when(numeric, F.concat(F.lit("统计：min="), T.number_text(F.col("low")), F.lit(" max="), T.number_text(F.col("high")), F.lit(" mean="), T.number_text(F.col("mean"))))
     return profile.join(first, "name", "left").select("name", F.concat_ws("\n", F.concat(F.lit(f"# {name}."), "name"), whole, listed, span).alias("chunk"))
 
 

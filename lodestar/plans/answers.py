@@ -169,14 +169,14 @@ def stream_sessions(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
-event_type = 'purchase' AS taking FROM events WHERE user_id % 20 = 0),
-r AS (SELECT user_id, i, t, taking, CASE WHEN taking THEN [] ELSE [event_id] END AS held, CASE WHEN taking THEN [] END AS taken, event_id FROM e WHERE
+event_type = 'purchase' AS taking FROM events),
+r AS (SELECT user_id, i, t, taking, CASE WHEN taking THEN []::BIGINT[] ELSE [event_id] END AS held, CASE WHEN taking THEN []::BIGINT[] END AS taken, event_id FROM e WHERE
 i = 1 UNION ALL
-SELECT e.user_id, e.i, CASE WHEN e.taking OR len(k) < 3 THEN e.t ELSE r.t END, e.taking, CASE WHEN e.taking THEN [] WHEN len(k) < 3 THEN
+SELECT e.user_id, e.i, CASE WHEN e.taking OR len(k) < 3 THEN e.t ELSE r.t END, e.taking, CASE WHEN e.taking THEN []::BIGINT[] WHEN len(k) < 3 THEN
 list_append(k, e.event_id) ELSE k END, CASE WHEN e.taking THEN k END, e.event_id
 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1, LATERAL (SELECT CASE WHEN r.taking OR e.t - r.t > 120000000 THEN []::BIGINT[] ELSE r.held
 END AS k) x) SELECT user_id, event_id AS at, array_to_string(taken, ',') AS items FROM r WHERE taking""")
 def pending_attachments(spark, sf_dir):
     """What waits when a message takes all: at most three items, none after a pause of two minutes."""
-    e = table(spark, sf_dir, "events").filter("user_id % 20 = 0").withColumn("taking", F.col("event_type") == "purchase")
+    e = table(spark, sf_dir, "events").withColumn("taking", F.col("event_type") == "purchase")
     return state.taken(e, "user_id", "event_id", "ts", "taking").select("user_id", "at", "items")

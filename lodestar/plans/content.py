@@ -39,8 +39,8 @@ def chunk_records(spark, sf_dir):
 
 @query(f"""WITH {_LINES}, w AS (SELECT doc_id, i, text, lag(text) OVER k AS a, lead(text) OVER k AS b FROM l WINDOW k AS (PARTITION BY doc_id ORDER BY
 i))
-SELECT doc_id, i::INT AS chunk_index, md5(concat(CASE WHEN length(a) > 150 THEN right(a, 150) || chr(10) ELSE '' END, text, CASE WHEN length(b) > 150
-THEN chr(10) || left(b, 150) ELSE '' END)) AS digest FROM w""")
+SELECT doc_id, i::INT AS chunk_index, md5(concat(CASE WHEN length(a) > 150 THEN right(a, 150) || chr(10) || chr(10) ELSE '' END, text, CASE WHEN length(b) > 150
+THEN chr(10) || chr(10) || left(b, 150) ELSE '' END)) AS digest FROM w""")
 def chunk_overlap(spark, sf_dir):
     return C.overlapped(lines(spark, sf_dir)).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -69,24 +69,35 @@ def page_metadata(spark, sf_dir):
     return p.select("page_id", T.page_title(html).alias("title"), T.page_site(html, url).alias("site"), T.meta(html, "author").alias("author"), T.meta(html, "article:published_time").alias("published"))
 
 
-@query(r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\\/:*?"<>|#%&' ||
-chr(10) || chr(13) || chr(9) || ' ]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) || '.md' AS name
-FROM pages""")
+_PART = """left(regexp_replace(regexp_replace(regexp_replace(trim({}), '[\\\\/:*?"<>|' || chr(10) || chr(13) || chr(9) || ']+', '_', 'g'), '_+', '_', 'g'), '^[_. ]+|[_. ]+$', '', 'g'), 60)"""
+
+
+@query(f"""WITH t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '.. ' WHEN page_id % 3 = 1 THEN ' A/B: 50% & more? ' || page_id || '.' ELSE
+regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.', '_') AS host,
+replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#;]*)', 1), '/', '_') AS path FROM pages), n AS (SELECT page_id, {_PART.format('title')} AS name, host,
+{_PART.format('path')} AS path FROM t)
+SELECT page_id, CASE WHEN name <> '' THEN name ELSE host || CASE WHEN path <> '' THEN '_' || path ELSE '' END || '-20240110' END || '.md' AS name FROM n""")
 def page_file_name(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.file_name(T.page_title(F.col("html")), T.host(F.col("url"))).alias("name"))
+    """A page's title as a file's name; where nothing of it is left, host, path and day."""
+    n = F.col("page_id")
+    title = F.when(n % 3 == 0, ".. ").when(n % 3 == 1, F.concat(F.lit(" A/B: 50% & more? "), n, F.lit("."))).otherwise(T.page_title(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", T.file_name(title, F.col("url"), F.lit("20240110")).alias("name"))
 
 
-_TEXT = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
-_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '(?i)<br */?>', chr(10), 'g'), '(?i)</(p|div|h[1-6]|li|article|nav|footer|ul)>', chr(10), 'g')"
-_TEXT = f"regexp_replace({_TEXT}, '<[^>]*>', '', 'g')"
-for _a, _b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+_TEXT = r"regexp_replace(html || '<p>a&eacute;&#x42;&amp;lt;</p>', '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|section|article|li|tr|table|h[1-6]|blockquote)>', chr(10) || chr(10), 'g')"
+_TEXT = f"regexp_replace({_TEXT}, '<[^>]+>', '', 'g')"
+for _a, _b in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&eacute;", "'é'"), ("&#x42;", "'B'"), ("&copy;", "'©'"), ("&middot;", "'·'")):
     _TEXT = f"replace({_TEXT}, '{_a}', {_b})"
-_TEXT = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '+', chr(10), 'g'))"
+_TEXT = f"regexp_replace({_TEXT}, '&amp;?', '&', 'g')"
+_TEXT = rf"list_transform(string_split(regexp_replace({_TEXT}, '[ \t\f\v]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(160)))"
+_TEXT = rf"trim(regexp_replace(array_to_string({_TEXT}, chr(10)), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
 
 
 @query(f"SELECT page_id, md5({_TEXT}) AS digest, length({_TEXT})::INT AS n FROM pages")
 def page_text(spark, sf_dir):
-    c = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("c"))
+    """A page's text: blocks as paragraphs, character references decoded once."""
+    c = table(spark, sf_dir, "pages").select("page_id", T.html_text(F.concat("html", F.lit("<p>a&eacute;&#x42;&amp;lt;</p>"))).alias("c"))
     return c.select("page_id", F.md5(F.col("c").cast("binary")).alias("digest"), F.length("c").alias("n"))
 
 
@@ -117,14 +128,33 @@ def sentences(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
+#: SQL of the rule for questions and for the keys by which they are compared.
+def question_sql(text: str) -> str:
+    q = f"regexp_replace(regexp_replace(trim({text}, ' ' || chr(10) || chr(9)), '^[-*0-9.)\\s]+', ''), '\\s+', ' ', 'g')"
+    q = f"trim(trim({q}), '，,。;；:：')"
+    q = f"CASE WHEN length({q}) > 96 THEN trim(left({q}, 95)) || '…' ELSE {q} END"
+    return f"CASE WHEN ({q}) = '' OR right({q}, 1) IN ('?', '？') THEN {q} ELSE ({q}) || '？' END"
+
+
+def key_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({question_sql(text)}), '[?？!！。,.，;；:：]+$', ''))"
+
+
+_ASKED = """CASE item_id % 6 WHEN 0 THEN text WHEN 1 THEN '1. ' || text WHEN 2 THEN '- 第' || item_id || '个问题：如何检索' || left(text, 9) || '？' WHEN 3 THEN
+'，2) 什么是' || item_id || '，。' WHEN 4 THEN ' 12.) ' ELSE left(text, 20) || ' ?' END"""
+
+
 @query(
-    """SELECT item_id, regexp_replace(trim(regexp_replace(text, '[ ' || chr(10) || chr(9) || ']+', ' ', 'g')), '[.!?;,]+$', '')[1:96] || '？' AS
-question, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key, CASE WHEN length(text) <= 40 THEN text ELSE substring(text, 1, 39) || '…' END AS
-short FROM benchmark"""
+    f"""WITH b AS (SELECT item_id, text, {_ASKED} AS asked FROM benchmark) SELECT item_id, {question_sql('asked')} AS question, {key_sql('asked')} AS key,
+CASE WHEN length(text) <= 40 THEN text ELSE substring(text, 1, 39) || '…' END AS short FROM b"""
 )
 def questions(spark, sf_dir):
+    """Questions in Latin and Chinese as they are asked, and the keys by which they are compared."""
+    n, text = F.col("item_id"), F.col("text")
+    asked = F.when(n % 6 == 0, text).when(n % 6 == 1, F.concat(F.lit("1. "), text)).when(n % 6 == 2, F.concat(F.lit("- 第"), n, F.lit("个问题：如何检索"), F.left(text, F.lit(9)), F.lit("？")))
+    asked = asked.when(n % 6 == 3, F.concat(F.lit("，2) 什么是"), n, F.lit("，。"))).when(n % 6 == 4, " 12.) ").otherwise(F.concat(F.left(text, F.lit(20)), F.lit(" ?")))
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", T.question(F.col("text")).alias("question"), T.canonical_key(F.col("text")).alias("key"), T.trimmed(F.col("text"), 40).alias("short"))
+    return b.select("item_id", T.question(asked).alias("question"), T.canonical_key(asked).alias("key"), T.trimmed(text, 40).alias("short"))
 
 
 _EXTENSIONS = [

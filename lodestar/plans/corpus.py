@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.operators import search as S
 from lodestar.operators import segment as G
+from lodestar.plans.content import key_sql
 from lodestar.plans.registry import query, table
+from lodestar.streaming import state
 
 
 def n(alias: str):
@@ -206,7 +208,7 @@ def merged_messages(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key FROM benchmark), r AS (SELECT *, row_number() OVER
+    f"""WITH k AS (SELECT item_id, {key_sql('text')} AS key FROM benchmark), r AS (SELECT *, row_number() OVER
 (PARTITION BY key ORDER BY item_id) AS n FROM k) SELECT item_id, md5(key) AS key FROM r WHERE n = 1"""
 )
 def ordered_distinct(spark, sf_dir):
@@ -243,11 +245,10 @@ def pending_sessions(spark, sf_dir):
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@query(
-    """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id,
-event_id, k // 10 AS fired FROM r WHERE k % 10 = 0"""
-)
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, 1 + event_id % 7 AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM
+events), r AS (SELECT user_id, i, event_id, delta AS total FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.event_id, CASE WHEN r.total >= 50 THEN
+0 ELSE r.total END + e.delta FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, total FROM r WHERE total >= 50""")
 def counter_triggers(spark, sf_dir):
-    """The events at which a key's counter reaches the threshold and starts anew."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", k.cast("long").alias("k")).filter("k % 10 = 0").select("user_id", "event_id", F.expr("k div 10").alias("fired"))
+    """The events at which a key's summed deltas reach the threshold of 50; the counter is deleted then."""
+    e = table(spark, sf_dir, "events").withColumn("delta", 1 + F.col("event_id") % 7)
+    return state.counter_triggers(e, "user_id", "delta", ["ts", "event_id"]).select("user_id", "event_id", "total")

@@ -92,12 +92,14 @@ _VALUE = {"c_custkey": "c_custkey::VARCHAR", "c_nationkey": "CASE WHEN c_nationk
 (SELECT * FROM u WHERE v <> ''),
 p AS (SELECT name, count(*) AS n_rows, count(*) FILTER (v = '') AS nulls, count(DISTINCT CASE WHEN v <> '' THEN v END) AS n_distinct, count(*) FILTER
 (v <> '') AS held, count(try_cast(nullif(v, '') AS DOUBLE)) AS numbers, min(try_cast(nullif(v, '') AS DOUBLE)) AS low, max(try_cast(nullif(v, '') AS
-DOUBLE)) AS high FROM u GROUP BY name),
+DOUBLE)) AS high, avg(try_cast(nullif(v, '') AS DOUBLE)) AS mean,
+CASE WHEN mean < 10 THEN format('{:.3f}', mean) WHEN mean < 100 THEN format('{:.2f}', mean) WHEN mean < 1000 THEN format('{:.1f}', mean) ELSE format('{:.0f}', mean) END AS mean_text
+FROM u GROUP BY name),
 x AS (SELECT name, v, min(i) AS i FROM e GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM x), s AS (SELECT
 name, string_agg(CASE WHEN length(v) <= 60 THEN v ELSE left(v, 57) || '...' END, ' | ' ORDER BY k) AS examples FROM o WHERE k <= 5 GROUP BY name)
 SELECT name, concat('# customers.', name, chr(10), '类型：', CASE WHEN numbers >= 0.8 * held THEN 'numeric' WHEN n_distinct <= greatest(20, floor(0.1 *
 held)) THEN 'categorical' ELSE 'text' END, '；非空：', n_rows - nulls, '/', n_rows, '；唯一值：', n_distinct,
-chr(10), '示例：', examples, CASE WHEN numbers >= 0.8 * held THEN concat(chr(10), '统计：min=', low::BIGINT, ' max=', high::BIGINT) ELSE '' END) AS chunk
+chr(10), '示例：', examples, CASE WHEN numbers >= 0.8 * held THEN concat(chr(10), '统计：min=', low::BIGINT, ' max=', high::BIGINT, ' mean=', CASE WHEN abs(mean - floor(mean)) < 1e-9 THEN mean::BIGINT::VARCHAR ELSE mean_text END) ELSE '' END) AS chunk
 FROM p JOIN s USING (name)"""
 )
 def column_portraits(spark, sf_dir):
@@ -223,20 +225,21 @@ def topic_digests(spark, sf_dir):
     return C.topic_digest(rows, "source", "i", F.coalesce("lang", F.lit("无标题")), url, F.col("text"), "2024-01-10").select(F.col("source").alias("topic"), md5(F.col("digest")).alias("digest"))
 
 
-@query("""SELECT page_id, ['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1] AS
-src,
-left(sha1(coalesce(['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'set' || page_id || '.webp', 'plain.gif', NULL][page_id % 5 + 1], '')),
-16) AS key FROM pages""")
+@query("""WITH s AS (SELECT page_id, ['a/' || page_id || '.png', 'real' || page_id || '.jpg', 'http://h/b.WEBP?x=1.png', 'plain.gif', NULL, 'e' || page_id ||
+'.bin', 'large.avif'][page_id % 7 + 1] AS src FROM pages)
+SELECT page_id, src, '_assets/' || left(sha1(coalesce(src, '')), 16) || CASE page_id % 7 WHEN 0 THEN '.png' WHEN 2 THEN '.webp' WHEN 3 THEN '.gif' WHEN 6 THEN
+'.avif' ELSE '.jpg' END AS key FROM s""")
 def lazy_images(spark, sf_dir):
     """The address of an image that is loaded late, and the key under which it is stored."""
     n = F.col("page_id")
     tags = [
         F.concat(F.lit('<img alt="x" src="a/'), n, F.lit('.png" data-src="no.png">')), F.concat(F.lit('<img src="data:image/svg+xml;x" data-src=" real'), n, F.lit('.jpg">')),
-        F.concat(F.lit('<img src="/loading.gif" data-srcset="set'), n, F.lit('.webp 1x, b.webp 2x">')), F.lit('<img data-original="" src="plain.gif">'), F.lit('<img src="">'),
+        F.concat(F.lit('<img src="/loading.gif" data-srcset="set'), n, F.lit('.webp 1x, http://h/b.WEBP?x=1.png 2x">')), F.lit('<img data-original="" src="plain.gif">'), F.lit('<img src="">'),
+        F.concat(F.lit('<img data-echo="e'), n, F.lit('.bin" srcset="s.png 1x">')), F.lit('<img src="blank.svg" srcset="small.png 1x, large.avif 2x">'),
     ]
-    src = M.lazy_source(F.get(F.array(*tags), (n % 5).cast("int")))
+    src = M.lazy_source(F.get(F.array(*tags), (n % 7).cast("int")))
     p = table(spark, sf_dir, "pages").select("page_id", src.alias("src"))
-    return p.select("page_id", "src", F.left(F.sha1(F.coalesce("src", F.lit("")).cast("binary")), F.lit(16)).alias("key"))
+    return p.select("page_id", "src", M.asset_key(F.col("src")).alias("key"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 3 AS k, regexp_extract(url,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import markup as M
 from lodestar.functions import text as T
 from lodestar.operators import search as S
+from lodestar.plans.content import key_sql, question_sql
 from lodestar.plans.registry import query, table
 from lodestar.streaming import state
 
@@ -53,22 +54,23 @@ def filled_prompts(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("digest"))
 
 
-QUESTIONS = ("What is known about {topic}?", "How does {topic} work?", "Which files cover {topic}?")
+QUESTIONS = ("1. What is known about {topic}?", "- {topic} 是如何工作的。", "Which files cover {topic}?")
 
 
-@query("""WITH p AS (SELECT DISTINCT source AS kb_id, lang FROM documents WHERE lang IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY
+@query(f"""WITH p AS (SELECT DISTINCT source AS kb_id, lang FROM documents WHERE lang IS NOT NULL), i AS (SELECT *, row_number() OVER (PARTITION BY
 kb_id ORDER BY lang) % 3 AS i FROM p),
-q AS (SELECT kb_id, CASE i WHEN 0 THEN 'What is known about ' || lang WHEN 1 THEN 'How does ' || lang || ' work' ELSE 'Which files cover ' || lang END
-|| '？' AS question FROM i WHERE lang <> 'en')
-SELECT kb_id, question, left(sha256(kb_id || ':' || regexp_replace(lower(question), '[^a-z0-9]+', '', 'g')), 16) AS id FROM q""")
+q AS (SELECT kb_id, lang, CASE i WHEN 0 THEN '1. What is known about ' || lang || '?' WHEN 1 THEN '- ' || lang || ' 是如何工作的。' ELSE 'Which files cover ' || lang ||
+'?' END AS asked FROM i), n AS (SELECT kb_id, lang, {question_sql('asked')} AS question, {key_sql('asked')} AS key FROM q)
+SELECT kb_id, question, left(sha256(kb_id || '|' || lang || '|' || question), 16) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.kb_id = n.kb_id
+AND b.key = n.key AND b.lang = 'en')""")
 def question_bank(spark, sf_dir):
-    """Template questions of each topic that the bank, which holds those on one language, lacks."""
+    """Template questions of each topic that the bank, which holds those on one language, lacks; an id's digest is of bank, file and question."""
     topics = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("source").alias("kb_id"), "lang").distinct()
     i = F.row_number().over(Window.partitionBy("kb_id").orderBy("lang")) % 3
     asked = F.element_at(F.array(*[M.filled(q, topic=F.col("lang")) for q in QUESTIONS]), i + 1)
-    new = topics.withColumn("question", T.question(asked)).withColumn("key", T.canonical_key(F.col("question")))
+    new = topics.withColumn("question", T.question(asked)).withColumn("key", T.canonical_key(asked)).filter("key <> ''")
     bank = new.filter("lang = 'en'").select("kb_id", "key")
-    id_ = F.left(F.sha2(F.concat_ws(":", "kb_id", "key"), 256), F.lit(16))
+    id_ = F.left(F.sha2(F.concat_ws("|", "kb_id", "lang", "question"), 256), F.lit(16))
     return S.first_per(new.join(bank, ["kb_id", "key"], "left_anti"), ("kb_id", "key"), F.col("question")).select("kb_id", "question", id_.alias("id"))
 
 
@@ -108,16 +110,21 @@ def rich_text_markdown(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')) AS c FROM
-conversations) SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 0 THEN c ELSE trim(c || ' end') END) AS digest FROM c"""
+    """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')) AS c,
+trim(coalesce(text, '')) AS raw FROM conversations) SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN md5(c) WHEN 1 THEN md5(trim(c || ' @_all_2 end')) WHEN 2
+THEN md5(left('plain ' || raw, 20000)) END AS digest FROM c"""
 )
 def message_texts(spark, sf_dir):
+    """Texts and nested posts without mentions of users, messages that aren't JSON, and kinds that have no text."""
     text = F.concat(F.lit("@_user_1 "), F.coalesce("text", F.lit("")))
     plain = F.to_json(F.struct(text.alias("text")))
-    node = lambda x: F.struct(F.lit("text").alias("tag"), x.alias("text"))
-    post = F.to_json(F.struct(F.lit("title").alias("title"), F.array(F.array(node(text)), F.array(node(F.lit("@_all_2")), node(F.lit("end")))).alias("content")))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, plain).otherwise(post).alias("c"))
-    return c.select("conv_id", "turn", F.md5(M.message_text(F.col("c")).cast("binary")).alias("digest"))
+    node = lambda x, tag="text": F.struct(F.lit(tag).alias("tag"), x.alias("text"))
+    post = F.to_json(F.struct(F.lit("title").alias("title"), F.array(F.array(node(text), node(F.lit("not this"), "a")), F.array(node(F.lit("@_all_2")), node(F.lit("end")))).alias("content")))
+    k = F.col("turn") % 4
+    kind = F.when(k == 1, "Post").when(k == 3, "image").otherwise("text")
+    said = F.when(k == 0, plain).when(k == 2, F.concat(F.lit("plain "), F.trim(F.coalesce("text", F.lit(""))))).otherwise(post)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), said.alias("c"))
+    return c.select("conv_id", "turn", F.md5(M.message_text(F.col("kind"), F.col("c")).cast("binary")).alias("digest"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, source, {_PARTS} AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS file FROM documents), x AS
@@ -134,15 +141,17 @@ def selected_files(spark, sf_dir):
 
 @query(
     f"""WITH p AS (SELECT doc_id, {_PARTS} AS p FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, p, (doc_id % greatest(1, len(p)))::INT AS i FROM p WHERE len(p) > 0),
-b AS (SELECT doc_id, i, list_transform(p, lambda x, k: CASE WHEN k = i + 1 AND doc_id % 4 > 0 THEN x || ' ![one](img/' || doc_id || '.png)' ELSE x END) AS p FROM a)
-SELECT doc_id, md5(left(CASE WHEN doc_id % 4 = 0 THEN array_to_string(p, chr(10)) ELSE array_to_string(p[greatest(1, i):i + 2], chr(10)) END, 1200)) AS digest FROM b"""
+b AS (SELECT doc_id, i, list_transform(p, lambda x, k: CASE WHEN k = i + 1 AND doc_id % 4 > 0 THEN x || ' ![one](img/' || doc_id || '.png)' ELSE x END) AS p FROM a),
+c AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN '无' WHEN doc_id % 4 = 0 THEN 'page ' || array_to_string(p, chr(10)) ELSE array_to_string(p[greatest(1, i):i + 2],
+chr(10) || chr(10)) END AS c FROM b) SELECT doc_id, md5(CASE WHEN length(c) > 1200 THEN left(c, 1197) || '...' ELSE c END) AS digest FROM c"""
 )
 def image_context(spark, sf_dir):
-    """The part that holds an image between its neighbours; the page's text where no part does."""
+    """The paragraph that holds an image between its neighbours; the page's text where none does, and a word where there is no page."""
     p = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.paragraphs(F.col("text"), "\n").alias("p")).filter("size(p) > 0")
     own, ref = (F.col("doc_id") % F.size("p")).cast("int"), F.concat(F.lit("img/"), "doc_id", F.lit(".png"))
     held = F.transform("p", lambda x, k: F.when((k == own) & (F.col("doc_id") % 4 > 0), F.concat(x, F.lit(" ![one]("), ref, F.lit(")"))).otherwise(x))
-    return p.withColumn("p", held).select("doc_id", F.md5(M.around_image(F.col("p"), ref).cast("binary")).alias("digest"))
+    page = F.when(F.col("doc_id") % 8 != 0, F.concat(F.lit(" page "), F.array_join("p", "\n")))
+    return p.withColumn("p", held).select("doc_id", F.md5(M.around_image(F.array_join("p", "\n\n"), ref, page).cast("binary")).alias("digest"))
 
 
 @query(
@@ -171,11 +180,16 @@ def scope_normalised(spark, sf_dir):
     return s.groupBy("kb_id", "file_id").agg(F.min("c_custkey").alias("first"))
 
 
-@query("""SELECT n_nationkey, 'kb-' || regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS bucket,
-sha256('{"kb":"' || n_name || '","n":' || n_nationkey || '}') AS key FROM nation""")
+@query("""WITH n AS (SELECT n_nationkey, n_name, [n_name, '_' || n_name || '_Bank!', repeat(n_name || '-', 20), '知识库', '__'][n_nationkey % 5 + 1] AS name FROM nation)
+SELECT n_nationkey, coalesce(nullif(trim(left(regexp_replace(replace(lower(name), '_', '-'), '[^a-z0-9-]', '', 'g'), 63), '-'), ''), 'kb-default') AS bucket,
+CASE WHEN n_nationkey % 5 = 3 THEN '-' ELSE trim(regexp_replace(replace(name, '!', ' '), ' +', ' ', 'g')) END AS tag,
+sha256('{"kb":"' || n_name || '","n":' || n_nationkey || '}') AS key FROM n""")
 def bucket_names(spark, sf_dir):
     key = F.sha2(F.to_json(F.struct(F.col("n_name").alias("kb"), F.col("n_nationkey").alias("n"))), 256)
-    return table(spark, sf_dir, "nation").select("n_nationkey", M.bucket(F.col("n_name")).alias("bucket"), key.alias("key"))
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    names = [name, F.concat(F.lit("_"), name, F.lit("_Bank!")), F.repeat(F.concat(name, F.lit("-")), 20), F.lit("知识库"), F.lit("__")]
+    own = F.get(F.array(*names), (n % 5).cast("int"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", M.bucket(own).alias("bucket"), M.tag_value(own).alias("tag"), key.alias("key"))
 
 
 @query(
@@ -213,12 +227,11 @@ def scope_keys(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT source AS kb_id, left(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 12) AS key, doc_id FROM documents WHERE text IS NOT NULL), k AS (SELECT kb_id, key, min(doc_id) AS doc_id FROM d WHERE key <> '' GROUP BY ALL),
+    f"""WITH d AS (SELECT source AS kb_id, {key_sql("text")} AS key, doc_id FROM documents), k AS (SELECT kb_id, key, min(doc_id) AS doc_id FROM d WHERE key <> '' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY doc_id) AS n FROM k) SELECT kb_id, doc_id, n FROM r WHERE n <= 6"""
 )
 def distinct_questions(spark, sf_dir):
     """A knowledge base's questions, each once by what is asked, up to a cap."""
-    key = F.left(T.canonical_key(F.col("text")), F.lit(12))
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("source").alias("kb_id"), key.alias("key"), "doc_id").filter("key <> ''")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id"), T.canonical_key(F.col("text")).alias("key"), "doc_id").filter("key <> ''")
     first = d.groupBy("kb_id", "key").agg(F.min("doc_id").alias("doc_id"))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("kb_id").orderBy("doc_id"))).filter("n <= 6").select("kb_id", "doc_id", "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from lodestar.functions import text
 
 #: What a file starts with (hexadecimal) and its type; types by extension.
-MAGIC = [("25504446", "pdf"), ("FFD8FF", "image"), ("89504E47", "image"), ("47494638", "image"), ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image")]
+MAGIC = [("25504446", "pdf"), ("FFD8FF", "image"), ("89504E47", "image"), ("47494638", "image"), ("424D", "image"), ("49492A00", "image"), ("4D4D002A", "image"), ("4949002A", "image"), ("4D4D2A00", "image")]
 TYPES = {"pdf": "pdf", "docx": "docx", "doc": "doc", "pptx": "pptx", "txt": "txt", "md": "markdown", "csv": "sheet", "xlsx": "sheet", "xls": "sheet"}
 ENCODINGS = ["utf-8", "utf-8-sig", "gbk", "gb18030", "latin-1"]
 
@@ -87,24 +88,37 @@ def decoded(content: pd.Series) -> pd.Series:
 READABLE = {"utf-8": "utf-8", "utf-8-sig": "utf-8", "latin-1": "iso-8859-1"}
 
 
+@F.pandas_udf(T.StringType())
+def _encodings(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: encoding_of(bytes(b)))
+
+
 def csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Every column as text, empty fields as empty text. Without ``encoding`` the first that reads the file's beginning is taken.
+    """Every column as text, empty and missing fields as empty text. Without ``encoding`` each file is read in the first that fits it.
 
-    In an encoding that Spark's reader doesn't take, each file is parsed whole by the task that reads it.
+    Spark's own reader takes the files whose encoding it knows; the others are parsed whole by the task that reads them.
     """
-    files = spark.read.format("binaryFile").load(path)
+    found = spark.read.format("binaryFile").load(path)
     if encoding is None:
-        head = bytes(files.select(F.substring("content", 1, 1 << 16).alias("b")).first()["b"])
-        encoding = encoding_of(head[: head.rfind(b"\n") + 1] or head)
+        kinds = found.select("path", _encodings("content").alias("encoding")).groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        by = {r["encoding"]: r["paths"] for r in kinds.collect()}  # the paths that the driver lists anyway
+    else:
+        by = {encoding: [path]}
+    tables = [_csv_in(spark, paths, name) for name, paths in sorted(by.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).fillna("")
+
+
+def _csv_in(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     if encoding in READABLE:
-        return spark.read.csv(path, header=True, inferSchema=False, encoding=READABLE[encoding]).fillna("")
+        return spark.read.csv(paths, header=True, inferSchema=False, encoding=READABLE[encoding])
+    files = spark.read.format("binaryFile").load(paths)
     first = files.select(F.substring("content", 1, 1 << 16).alias("b")).first()
     columns = list(pd.read_csv(io.BytesIO(bytes(first["b"])), encoding=encoding, nrows=0, encoding_errors="ignore").columns)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                yield pd.read_csv(io.BytesIO(bytes(content)), encoding=encoding, dtype=str, keep_default_na=False)[columns]
+                yield pd.read_csv(io.BytesIO(bytes(content)), encoding=encoding, dtype=str, keep_default_na=False).reindex(columns=columns, fill_value="")
 
     return files.select("content").mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 

@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lodestar.streaming import stateful
 
 THRESHOLD, DEDUP_TTL, PENDING_TTL = 50, "10 minutes", "120 seconds"
 
 
-def counter_triggers(events: DataFrame, key: str, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, fired): a row each time a key's count reaches the threshold; the count then starts anew."""
-    kind = events.schema[key].dataType.simpleString()
+def sequential(rows: DataFrame, key: str, order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """Each key's rows in order through ``step(state, row) -> (state, rows out)``, the state begun by ``start()``.
+
+    A key's rows stream through one task, which holds its state alone; what order rows have within a key can't be divided.
+    """
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    at = rows.columns.index(key)
+    target = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[at] != now:
+                    now, state = row[at], start()
+                state, found = step(state, row)
+                out += found
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+
+    return sorted_rows.mapInArrow(run, schema)
+
 
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, fired = state.get if state.exists else (0, 0)
-        before = fired
-        for frame in frames:
-            count += len(frame)
-        fired, count = fired + count // threshold, count % threshold
-        state.update((count, fired))
-        if fired > before:
-            yield pd.DataFrame({key: [keys[0]] * (fired - before), "fired": range(before + 1, fired + 1)})
+def counter_triggers(events: DataFrame, key: str, delta: str, order: list[str], threshold: int = THRESHOLD) -> DataFrame:
+    """(key, order, total): a row whenever a key's deltas, summed in order, come to the threshold; the counter is deleted then.
 
-    return events.select(key).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, fired long", "count long, fired long", "append", GroupStateTimeout.NoTimeout)
+    Streams take their order from the first of ``order``.
+    """
+    if events.isStreaming:
+        return stateful.counters(events, key, delta, order[0], threshold)
+    kinds = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (key, *order))
+
+    def step(n: int, row: tuple) -> tuple[int, list]:
+        n += row[-1] or 0
+        return (0, [(*row[:-1], n)]) if n >= threshold else (n, [])
+
+    return sequential(events.select(key, *order, F.col(delta).cast("long")), key, order, int, step, f"{kinds}, total long")
 
 
 def deduplicated(events: DataFrame, key: str, time: str, ttl: str = DEDUP_TTL) -> DataFrame:
@@ -48,27 +73,6 @@ def windows(events: DataFrame, time: str, length: str, slide: str | None = None,
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def last_turns(events: DataFrame, key: str, text: str, order: str, most: int = 10, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
-    """(key, turns): each session's last turns by ``order`` (a number) after every batch, whatever order they arrive in; a session
-    that rests for the time to live is forgotten."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for frame in frames:
-            held = sorted([*held, *zip(frame[order].tolist(), frame[text].tolist(), strict=True)])[-most:]
-        numbers, turns = [int(n) for n, _ in held], [t for _, t in held]
-        state.update((numbers, turns))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({key: [keys[0]], "turns": [turns]})
-
-    few = events.select(key, text, order).groupBy(key)
-    return few.applyInPandasWithState(step, f"{key} {kind}, turns array<string>", "numbers array<long>, turns array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 STAGES = ["connected", "intent", "routing", "retrieval", "message", "citation", "complete"]
 
 
@@ -94,49 +98,23 @@ def alive(rows: DataFrame, time: str, now, seconds: int) -> DataFrame:
     return rows.filter(within(F.col(time), now, seconds))
 
 
-def _take(most: int, ttl: int):
-    def step(held: list, deadline: int, rows) -> tuple[list, int, list]:
-        out = []
-        for at, item, taking in rows:
-            if at > deadline:
-                held = []
-            if taking:
-                out.append((item, ",".join(map(str, held))))
-                held = []
-            elif len(held) < most:
-                held, deadline = [*held, item], at + ttl
-        return held, deadline, out
-
-    return step
-
-
 def taken(events: DataFrame, key: str, item: str, time: str, taking: str, most: int = 3, ttl_seconds: int = 120) -> DataFrame:
     """(key, at, items): what waits for each event that takes all. Other events wait, at most ``most`` of them, until a pause
-    longer than the time to live. As a stream the waiting items are the state."""
+    longer than the time to live. A stream holds what waits as state, and tells what expired as well (``stateful.pending``)."""
+    if events.isStreaming:
+        told = stateful.pending(events, key, item, time, taking, most, ttl_seconds)
+        return told.filter("NOT expired").select(key, "at", F.array_join("items", ",").alias("items"))
     kind, item_kind = (events.schema[c].dataType.simpleString() for c in (key, item))
-    step = _take(most, ttl_seconds * 1_000_000)
     rows = events.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.col(item).alias("_item"), F.col(taking).alias("_taking"))
-    columns = ["_t", "_item", "_taking"]
-    schema = f"{key} {kind}, at {item_kind}, items string"
-
-    def shown(k, out: list) -> pd.DataFrame:
-        return pd.DataFrame({key: [k] * len(out), "at": [x for x, _ in out], "items": [x for _, x in out]})
-
-    if not events.isStreaming:
-        def whole(frame: pd.DataFrame) -> pd.DataFrame:
-            ordered = frame.sort_values(["_t", "_item"])
-            return shown(frame[key].iloc[0], step([], -1 << 62, ordered[columns].itertuples(index=False))[2])
-
-        return rows.groupBy(key).applyInPandas(whole, schema)
 
-    def batch(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, deadline = (list(state.get[0]), state.get[1]) if state.exists else ([], -1 << 62)
-        ordered = pd.concat(list(frames)).sort_values(["_t", "_item"])
-        held, deadline, out = step(held, deadline, ordered[columns].itertuples(index=False))
-        state.update((held, deadline))
-        yield shown(keys[0], out)
+    def step(state: tuple, row: tuple) -> tuple[tuple, list]:
+        (held, until), (own, at, what, takes) = state, row
+        held = held if until is None or at <= until else []
+        if takes:
+            return ([], until), [(own, what, ",".join(map(str, held)))]
+        return (([*held, what], at + ttl_seconds * 1_000_000) if len(held) < most else (held, until)), []
 
-    return rows.groupBy(key).applyInPandasWithState(batch, schema, f"held array<{item_kind}>, deadline long", "append", GroupStateTimeout.NoTimeout)
+    return sequential(rows, key, ["_t", "_item"], lambda: ([], None), step, f"`{key}` {kind}, at {item_kind}, items string")
 
 
 def preferences(events: DataFrame, session: str, name: str, value: str, time: str, tie: str, ttl_seconds: int = 600) -> DataFrame:

@@ -31,7 +31,6 @@ def test_row_blocks_and_scenes_and_json():
     assert folds.merge_scenes([(0, 50, "same"), (45, 90, "same"), (89, 120, "other")]) == [(0, 90, "same"), (89, 120, "other")]
     assert folds.first_json('say ```json\n{"a": [1, 2,],}``` end') == {"a": [1, 2]}
     assert folds.page_candidates('<script type="application/ld+json">{"publisher": {"name": "s"}, "x": {"headline": "h", "articleBody": "b"}}</script>') == [("h", "b", "", "s", 50)]
-    assert folds.post_markdown("# T\n---\nx") == "**T**\n\n --- \n\nx" and len(folds.post_parts("p1\n\n" + "x" * 100, 80)) >= 2
     assert folds.merge_scenes([(0, 5, "short a"), (4, 9, "short b"), (8, 12, "y" * 21), (11, 15, "y" * 20 + "z")]) == [(0, 5, "short a"), (4, 9, "short b"), (8, 15, "y" * 21)]
 
 
@@ -87,13 +86,10 @@ def test_folder_and_types(spark, tmp_path):
     assert sorted((r["path"].rsplit("/", 1)[1], r["t"]) for r in got) == [("a.txt", "txt"), ("c.bin", "pdf"), ("d.JPG", "image")]
 
 
-def test_counter_stream(spark, tmp_path):
-    for part in range(3):
-        spark.range(part * 40, part * 40 + 40).select((F.col("id") % 2).alias("kb"), "id").write.parquet(str(tmp_path / "in" / str(part)))
-    stream = spark.readStream.schema("kb long, id long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = state.counter_triggers(stream, "kb", 25).writeStream.format("memory").queryName("fired").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((r["kb"], r["fired"]) for r in spark.table("fired").collect()) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+def test_counters_in_order(spark):
+    rows = [("a", 3, 30), ("a", 1, 30), ("a", 2, 19), ("a", 4, 1), ("b", 1, 50), ("b", 2, None), ("c", 1, 49)]
+    got = state.counter_triggers(spark.createDataFrame(rows, "kb string, n int, d int"), "kb", "d", ["n"]).collect()
+    assert sorted(map(tuple, got)) == [("a", 3, 79), ("b", 1, 50)]
 
 
 def test_dedup_stream_and_windows(spark, tmp_path):
@@ -127,19 +123,44 @@ def test_encodings_parsers_and_texts(spark, tmp_path):
     assert [r[0] for r in got] == [kind for _, kind in heads]
 
 
-def test_turns_and_pending_items_as_streams(spark, tmp_path):
-    rows = [(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 5, "x")]
-    spark.createDataFrame(rows, "s int, n int, t string").coalesce(1).write.parquet(str(tmp_path / "turns"))
-    stream = spark.readStream.schema("s int, n int, t string").parquet(str(tmp_path / "turns"))
-    q = state.last_turns(stream, "s", "t", "n", 2).writeStream.format("memory").queryName("turns").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["s"]: r["turns"] for r in spark.table("turns").collect()} == {1: ["b", "c"], 2: ["x"]}
-    events = [(1, k, k * 10, k in (4, 7)) for k in range(8)] + [(2, 0, 0, False), (2, 1, 500, True)]
+def test_pending_items_in_batch_and_as_a_stream(spark, tmp_path):
+    events = [(1, k, 1000 + k * 10, k in (4, 7)) for k in range(8)] + [(2, 0, 1000, False), (2, 1, 1500, True)]
     made = spark.createDataFrame(events, "s int, id int, sec int, takes boolean").withColumn("ts", F.timestamp_seconds("sec"))
     want = [(1, 4, "0,1,2"), (1, 7, "5,6"), (2, 1, "")]
     assert sorted(map(tuple, state.taken(made, "s", "id", "ts", "takes").collect())) == want
     made.coalesce(1).write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "events"))
-    q = state.taken(stream, "s", "id", "ts", "takes").writeStream.format("memory").queryName("taken").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("taken").collect())) == want
+    rows = []
+    q = state.taken(stream, "s", "id", "ts", "takes").writeStream.foreachBatch(lambda b, _: rows.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(rows) == [(s, str(at), items) for s, at, items in want]
+
+
+def test_posts(spark):
+    assert folds.post_markdown("## 小节\n\n---\n\n正文") == "**小节**\n\n\n --- \n\n\n正文"
+    assert folds.post_markdown("![x](https://a.com/z.png) ![y](rel/path.jpg) ![](p) ![a] (b) ![c]() ![") == "[x](https://a.com/z.png) （图：y） （图：配图） ![a] (b) ![c]() !["
+    fenced = "```py\n# no ![i](j)\n---\n```\n# yes ![i](j)\n####### seven\n  #\tin"
+    assert folds.post_markdown(fenced) == "```py\n# no ![i](j)\n---\n```\n**yes （图：i）**\n####### seven\n  **in**"
+    assert folds.post_markdown("```\n# open ![i](j)") == "```\n# open （图：i）"
+    assert folds.post_parts("p1\n\n" + "x" * 100, 80) == ["p1", "x" * 80, "x" * 20]
+    assert folds.post_parts("", 80) == [] and folds.post_parts(" a\n\nb ", 80) == ["a\n\nb"] and folds.post_parts("aa\n\nbb\n\ncc", 6) == ["aa\n\nbb", "cc"]
+
+
+def test_markdown_parts_wait_for_text():
+    assert folds.markdown_parts("# H\n\n行1\n行2\n\n行3") == ["# H\n\n行1\n行2\n\n行3"]
+    assert folds.markdown_parts("# H\n\n\n\ntext\n\n\nnext\n\n## I\nx\n") == ["# H\n\n\n\ntext", "next", "## I\nx"]
+    assert folds.markdown_parts("a\n\nb\n#tag\nc") == ["a\n\nb", "#tag\nc"]  # any line that begins with the sign counts
+    assert folds.markdown_parts("标题\r\n\r\n段落甲\r\n\r\n段落乙") == ["标题", "段落甲", "段落乙"]
+
+
+def test_overlap_leaves_marked_chunks_alone(spark):
+    rows = [(1, k, c * 5, c == "c") for k, c in enumerate("abcde")] + [(2, 0, "xy", False)]
+    df = spark.createDataFrame(rows, "doc_id int, chunk_index int, text string, alone boolean")
+    got = {(r["doc_id"], r["chunk_index"]): r["text"] for r in chunks.overlapped(df, 3, alone="alone").collect()}
+    assert got == {(1, 0): "aaaaa\n\nbbb", (1, 1): "aaa\n\nbbbbb", (1, 2): "ccccc", (1, 3): "ddddd\n\neee", (1, 4): "ddd\n\neeeee", (2, 0): "xy"}
+
+
+def test_csv_of_several_encodings(spark, tmp_path):
+    for name, data in (("a.csv", "k,v\n1,é\n".encode()), ("b.csv", "k,v\n2,中文\n".encode("gbk")), ("c.csv", "k,v,w\n3,x,\n".encode("utf-8-sig"))):
+        (tmp_path / name).write_bytes(data)
+    assert sorted(tuple(r) for r in files.csv(spark, str(tmp_path)).select("k", "v", "w").collect()) == [("1", "é", ""), ("2", "中文", ""), ("3", "x", "")]
