@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Least points of a portrait, sample sizes, seed and restarts of the clustering, rules of the refresh.
 LEAST, FULL, SAMPLE_LEAST, SAMPLE_MOST, SHARE, SEED, RESTARTS = 10, 5000, 50, 1000, 0.2, 42, 10
 CHANGE, DAYS, THRESHOLD = 0.2, 7, 50
+MOST_STEPS, TOLERANCE = 300, 1e-4
 MODALITIES = ["doc", "image", "audio", "video"]
 
 
@@ -41,43 +42,109 @@ def sample(points: DataFrame, seed: int = SEED) -> DataFrame:
     return few.join(quotas(points).select("kb_id", "modality", "quota"), ["kb_id", "modality"]).filter(F.col("place") <= F.col("quota")).drop("quota")
 
 
+def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of ``x`` to each of ``c``."""
+    return np.maximum(0.0, (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1))
+
+
+def _seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows drawn one after the other by their squared distance to those that are drawn; of a few draws the best is kept."""
+    chosen = [int(rng.integers(len(x)))]
+    near = _squared(x, x[chosen])[:, 0]
+    for _ in range(1, k):
+        total = near.sum()
+        draws = rng.choice(len(x), 2 + int(math.log(k)), p=near / total) if total > 0 else rng.integers(len(x), size=1)
+        left = np.minimum(near[:, None], _squared(x, x[draws]))
+        best = int(left.sum(0).argmin())
+        chosen.append(int(draws[best]))
+        near = left[:, best]
+    return x[chosen].copy()
+
+
+class _Assignment:
+    """Rows and their nearest centres, with a bound from above on the distance to the own one and from below to any other.
+
+    When centres move, the bounds move with them; by the triangle inequality a row whose upper bound is below its lower
+    one, or below half the way to the next centre, keeps its label unseen.
+    """
+
+    def __init__(self, x: np.ndarray, centres: np.ndarray):
+        self.x, self.centres, self.seen = x, centres, 0
+        self.labels = np.zeros(len(x), np.int64)
+        self.upper, self.lower = np.empty(len(x)), np.empty(len(x))
+        self._look(np.arange(len(x)))
+
+    def _look(self, rows: np.ndarray) -> None:
+        away = np.sqrt(_squared(self.x[rows], self.centres))
+        self.seen += len(rows)
+        self.labels[rows] = away.argmin(1)
+        nearest = np.partition(away, 1, axis=1)[:, :2]
+        self.upper[rows], self.lower[rows] = nearest[:, 0], nearest[:, 1]
+
+    def _filled(self) -> None:
+        """A cluster that is empty takes the row that is farthest from its centre and not alone there."""
+        for c in np.setdiff1d(np.arange(len(self.centres)), self.labels):
+            size = np.bincount(self.labels, minlength=len(self.centres))[self.labels]
+            away = ((self.x - self.centres[self.labels]) ** 2).sum(1)
+            far = int(np.where(size > 1, away, -1.0).argmax())
+            self.labels[far], self.upper[far], self.lower[far] = c, np.inf, 0.0
+
+    def moved(self) -> float:
+        """Centres go to the means of their rows, rows to their nearest centres; how far the centres went, squared and summed."""
+        self._filled()
+        sums = np.zeros_like(self.centres)
+        np.add.at(sums, self.labels, self.x)
+        new = sums / np.bincount(self.labels, minlength=len(sums))[:, None]
+        went = np.sqrt(((new - self.centres) ** 2).sum(1))
+        self.centres = new
+        order = np.argsort(went)
+        others = np.where(self.labels == order[-1], went[order[-2]], went[order[-1]])
+        self.upper += went[self.labels]
+        self.lower -= others
+        between = np.sqrt(_squared(new, new))
+        np.fill_diagonal(between, np.inf)
+        slack = 1e-7 * (1 + np.abs(self.upper))
+        doubtful = self.upper >= np.maximum(self.lower, between.min(1)[self.labels] / 2) - slack
+        self._look(np.flatnonzero(doubtful))
+        return float((went**2).sum())
+
+
 def _cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(labels, centres, inertia) of the best of RESTARTS runs; a cluster that empties takes the farthest point."""
-    rng, best = np.random.default_rng(SEED), None
+    """(labels, centres, inertia) of the best of RESTARTS runs, each until its centres rest or MOST_STEPS are done."""
+    rng, best, rest = np.random.default_rng(SEED), None, TOLERANCE * x.var(0).mean()
     for _ in range(RESTARTS):
-        centres = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(50):
-            away = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
-            labels = away.argmin(1)
-            for c in np.setdiff1d(np.arange(k), labels):
-                far = int(np.where(np.bincount(labels, minlength=k)[labels] > 1, away[np.arange(len(x)), labels], -1).argmax())
-                labels[far], away[far, c] = c, 0.0
-            moved = np.stack([x[labels == c].mean(0) for c in range(k)])
-            if np.allclose(moved, centres):
+        run = _Assignment(x, _seeds(x, k, rng))
+        for _ in range(MOST_STEPS):
+            before = run.labels.copy()
+            if run.moved() <= rest or (before == run.labels).all():
                 break
-            centres = moved
+        run._filled()
+        labels = run.labels
+        centres = np.stack([x[labels == c].mean(0) for c in range(k)])
         inertia = float(((x - centres[labels]) ** 2).sum())
         if best is None or inertia < best[2]:
-            best = labels, centres, inertia
+            best = labels.copy(), centres, inertia
     return best
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """The mean over points of (nearest other cluster's mean distance - own) / the larger of both."""
-    away = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(2))) if len(x) <= 1000 else None
-    if away is None:  # a bounded part of the sample stands for it
-        return silhouette(x[:1000], labels[:1000])
-    kinds = np.unique(labels)
+def silhouette(x: np.ndarray, labels: np.ndarray, block: int = 256) -> float:
+    """The mean over all points of (nearest other cluster's mean distance - own) / the larger of both, by blocks of distances."""
+    kinds, own = np.unique(labels, return_inverse=True)
     if len(kinds) < 2:
         return 0.0
-    sums = np.stack([away[:, labels == c].sum(1) for c in kinds], axis=1)
-    sizes, own = np.array([(labels == c).sum() for c in kinds]), np.searchsorted(kinds, labels)
-    at = np.arange(len(x))
-    inner = sums[at, own] / np.maximum(1, sizes[own] - 1)
-    outer = sums / sizes
-    outer[at, own] = np.inf
-    outer = outer.min(1)
-    return float(np.where(sizes[own] == 1, 0.0, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300)).mean())
+    sizes, member = np.bincount(own), np.eye(len(kinds))[own]
+    total = 0.0
+    for lo in range(0, len(x), block):
+        at, mine = np.arange(len(x[lo : lo + block])), own[lo : lo + block]
+        away = np.sqrt(_squared(x[lo : lo + block], x))
+        away[at, lo + at] = 0.0
+        sums = away @ member
+        inner = sums[at, mine] / np.maximum(1, sizes[mine] - 1)
+        outer = sums / sizes
+        outer[at, mine] = np.inf
+        outer = outer.min(1)
+        total += np.where(sizes[mine] == 1, 0.0, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300)).sum()
+    return float(total / len(x))
 
 
 def portraits(points: DataFrame) -> DataFrame:

@@ -128,11 +128,11 @@ def visual_search(spark, sf_dir):
 
 @query(
     f"""WITH {R._E}, {R._P}, n AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY m) AS n FROM p) SELECT kb_id, m::BIGINT AS cluster,
-round(v[1], 6) AS first FROM n WHERE kb_id % 2 = 0 AND n <= 3"""
+round(v[1], 6) AS first FROM n WHERE n <= 3"""
 )
 def portraits_of_kb(spark, sf_dir):
     """A knowledge base's portraits, the first few."""
-    own = R.portraits(R.points(spark, sf_dir).filter("kb_id % 2 = 0"))
+    own = R.portraits(R.points(spark, sf_dir))
     n = F.row_number().over(Window.partitionBy("kb_id").orderBy("cluster"))
     return own.withColumn("n", n).filter("n <= 3").select("kb_id", F.col("cluster").cast("long").alias("cluster"), F.round(F.get("vec", F.lit(0)), 6).alias("first"))
 
