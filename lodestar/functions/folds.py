@@ -175,41 +175,3 @@ def scenes(answer: str | None) -> list[tuple[float, str]]:
     found = first_json(answer or "", lambda x: isinstance(x, list) or isinstance(x, dict) and isinstance(x.get("scenes"), list))
     listed = found["scenes"] if isinstance(found, dict) else found or []
     return [(float(x.get("start_time") or 0), str(x.get("scene_summary") or "")) for x in listed if isinstance(x, dict)]
-
-
-def _mappings(x, around=()):
-    """Every mapping within a JSON value, each with those around it, nearest first."""
-    if isinstance(x, dict):
-        yield x, around
-        for v in x.values():
-            yield from _mappings(v, (x, *around))
-    elif isinstance(x, list):
-        for v in x:
-            yield from _mappings(v, around)
-
-
-def _named(mappings, keys: tuple[str, ...]) -> str:
-    """The first text under one of the keys, or the name of a mapping there."""
-    for m in mappings:
-        for k in keys:
-            v = m.get(k)
-            v = v[0] if isinstance(v, list) and v else v
-            v = v.get("name") if isinstance(v, dict) else v
-            if isinstance(v, str) and v.strip():
-                return v.strip()
-    return ""
-
-
-_DATA = re.compile(r'(?is)<script[^>]*(?:application/ld\+json|id="__NEXT_DATA__"|application/json)[^>]*>(.*?)</script>')
-
-
-def page_candidates(page: str | None) -> list[tuple[str, str, str, str, int]]:
-    """(title, body, author, site, base score) of every mapping with a text in the page's structured data."""
-    out = []
-    for m in _DATA.finditer(page or ""):
-        for x, around in _mappings(first_json(m[1])):
-            body = next((x[k].strip() for k in ("articleBody", "content", "text") if isinstance(x.get(k), str) and x[k].strip()), None)
-            if body:
-                near = (x, *around)
-                out.append((_named((x,), ("headline", "title", "name")), body, _named((x,), ("author", "creator")), _named(near, ("publisher", "siteName", "site_name")), 50))
-    return out

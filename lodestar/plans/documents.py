@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import folds
+from lodestar.functions import folds, pagedata
 from lodestar.functions import markup as M
 from lodestar.functions import text as T
 from lodestar.operators import chunks as C
@@ -242,29 +242,31 @@ def lazy_images(spark, sf_dir):
     return p.select("page_id", "src", M.asset_key(F.col("src")).alias("key"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 3 AS k, regexp_extract(url,
-'^[a-z]+://([^/:?#]+)', 1) AS host FROM pages),
-c AS (SELECT page_id, 'first' AS title, repeat('b ', 100) AS body, 0 AS o, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, NULL, '# ' ||
-repeat('long ', 400), 1, k, host FROM p WHERE k < 2 UNION ALL SELECT page_id, 'state', concat('## s', chr(10), '# h ', repeat('n', 330)), 2, k, host
-FROM p WHERE k = 1),
-s AS (SELECT *, 50 + least(length(trim(body)) // 160, 140) + CASE WHEN title IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN contains(body, '# ') THEN 20
-ELSE 0 END + CASE WHEN contains(body, '## ') THEN 15 ELSE 0 END AS score FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, length(trim(body)) DESC) AS n FROM s)
-SELECT page_id, coalesce(title, '') AS title, score::INT AS score, CASE WHEN o = 0 THEN 'Ann' ELSE '' END AS author, CASE WHEN o = 2 THEN host ELSE
-'The Site' END AS site, length(trim(body))::INT AS n FROM r WHERE n = 1""")
+@query("""WITH p AS (SELECT page_id, page_id % 7 AS k, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;?', '&', 'g') AS t, replace(regexp_extract(url,
+'^[a-z]+://([^/:?#]+)', 1), 'www.', '') AS host FROM pages), b AS (SELECT *, trim(repeat(t || ' ', 60)) AS body FROM p WHERE k < 6 AND t <> ''),
+s AS (SELECT *, CASE k WHEN 5 THEN 'Sum of ' || page_id || chr(10) || chr(10) || '# ' || body ELSE body END AS whole FROM b)
+SELECT page_id, ['json_ld_article', 'next_data_generic', 'initial_state', 'nuxt_data', 'nuxt_state', 'initial_state'][k + 1] AS strategy, t AS title,
+([270, 260, 310, 315, 320, 310][k + 1] + least(length(whole) // 160, 140) + 30)::INT AS score, CASE k WHEN 0 THEN 'Ann' WHEN 2 THEN 'Bob, Eve' ELSE ''
+END AS author, CASE k WHEN 0 THEN 'The Site' ELSE host END AS site, CASE k WHEN 3 THEN '2024-01-10 00:00:00' WHEN 4 THEN '2024' ELSE '' END AS published,
+md5(whole) AS digest FROM s""")
 def structured_pages(spark, sf_dir):
-    """Candidates from the structured data of a page (JSON-LD, application state), the best of each page by (score, length), with
-    author and site, which may stand on a mapping around the text."""
-    k = F.col("page_id") % 3
-    ld = F.concat(
-        F.lit('<script type="application/ld+json">{"publisher": {"name": "The Site"}, "@graph": [{"@type": "NewsArticle", "headline": "first", "author": {"name": "Ann"}, "articleBody": "'), F.repeat(F.lit("b "), 100),
-        F.lit('"}, {"articleBody": "# '), F.repeat(F.lit("long "), 400), F.lit('"}]}</script>'),
-    )
-    state = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"post": {"title": "state", "content": "## s\\n# h '), F.repeat(F.lit("n"), 330), F.lit('"}}}</script>'))
-    page = F.concat(F.coalesce("html", F.lit("")), F.when(k < 2, ld).otherwise(""), F.when(k == 1, state).otherwise(""))
-    rows = table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), page.alias("page"))
-    found = C.folded(rows, "page", folds.page_candidates, "title string, body string, author string, site string, base int")
-    scored = found.withColumn("score", (F.col("base") + C.page_score(F.col("title"), F.col("body"))).cast("int"))
-    best = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc(F.length("body")))
-    first = scored.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-    return first.select("page_id", "title", "score", "author", F.coalesce(F.nullif("site", F.lit("")), "host").alias("site"), F.length("body").alias("n"))
+    """The best candidate of each page from its structured data: declared articles, states in scripts and in assignments, flattened
+    states whose numbers point at other entries. Mappings of other types and short texts are none."""
+    k = F.col("page_id") % 7
+    t = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    body = F.repeat(F.concat(t, F.lit(" ")), 60)
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    data = (
+        F.when(k == 0, of('<script type="application/ld+json">{"publisher": {"name": "The Site"}, "@graph": [{"@type": "NewsArticle", "headline": "', t, '", "author": {"name": "Ann"}, "articleBody": "', body, '"}, {"@type": "Product", "name": "x", "description": "y", "content": "', body, body, '"}]}</script>'))
+        .when(k == 1, of('<script id="__NEXT_DATA__" type="application/json">{"props": {"title": "', t, '", "post": {"html": "<div><b>', body, '</b></div>", "plain": "short"}}}</script>'))
+        .when(k == 2, of('<script>window.__INITIAL_STATE__ = {"a": [{"author": [{"nickname": "Bob"}, {"userName": "Eve"}], "title": "', t, '", "content": "', body, '"}]}; f({});</script>'))
+        .when(k == 3, of('<script type="application/json" id="__NUXT_DATA__">[["ShallowReactive", 1], {"data": 2, "self": 1}, {"title": 3, "content": 4, "createTime": 5}, "', t, '", "', body, '", 1704844800000]</script>'))
+        .when(k == 4, of('<script>window.__NUXT__={"data":[{"title":"', t, '","body":"', body, '","publishedAt":"2024"}],"broken":[]}</script>'))
+        .when(k == 5, of('<script>__INITIAL_STATE__ = {broken; __INITIAL_STATE__={"title":"', t, '","summary":"Sum of ', F.col("page_id").cast("string"), '","markdown":"# ', body, '"}</script>'))
+        .otherwise(of('<script id="__NEXT_DATA__">{"title": "', t, '", "content": "too short"}</script>'))
+    )
+    rows = table(spark, sf_dir, "pages").filter(t != "").select("page_id", F.struct(F.concat(F.coalesce("html", F.lit("")), data).alias("page"), "url").alias("p"))
+    found = C.folded(rows, "p", lambda p: pagedata.candidates(p["page"], p["url"]), "strategy string, title string, body string, author string, site string, published string, score int")
+    best = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc(F.length("body")), "place")
+    first = found.withColumn("nth", F.row_number().over(best)).filter("nth = 1")
+    return first.select("page_id", "strategy", "title", "score", "author", "site", "published", F.md5(F.col("body").cast("binary")).alias("digest"))

@@ -30,7 +30,6 @@ def test_row_blocks_and_scenes_and_json():
     assert blocks[0][0] == 1 and blocks[-1][1] == 80 and all(b[1] + 1 == c[0] for b, c in zip(blocks, blocks[1:], strict=False)) and "1\\|" in blocks[0][2]
     assert folds.merge_scenes([(0, 50, "same"), (45, 90, "same"), (89, 120, "other")]) == [(0, 90, "same"), (89, 120, "other")]
     assert folds.first_json('say ```json\n{"a": [1, 2,],}``` end') == {"a": [1, 2]}
-    assert folds.page_candidates('<script type="application/ld+json">{"publisher": {"name": "s"}, "x": {"headline": "h", "articleBody": "b"}}</script>') == [("h", "b", "", "s", 50)]
     assert folds.merge_scenes([(0, 5, "short a"), (4, 9, "short b"), (8, 12, "y" * 21), (11, 15, "y" * 20 + "z")]) == [(0, 5, "short a"), (4, 9, "short b"), (8, 15, "y" * 21)]
 
 
