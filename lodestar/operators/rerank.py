@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.search import every_pair
+
 SCORED_CHARS, COARSE = 1000, 50
 SCORES = "array<struct<index:int,relevance_score:double,score:double,relevance:double,rank_score:double>>"
 
@@ -57,7 +59,8 @@ def routed(queries: DataFrame, scopes: DataFrame, decided: DataFrame, kbs: DataF
     """
     explicit = scopes.select("query_id", "kb_id", F.lit("explicit").alias("method"), F.lit(1.0).alias("confidence"))
     left = queries.join(scopes.select("query_id").distinct(), "query_id", "left_anti")
-    every = left.filter("NOT embedded").select("query_id", F.lit(0).alias("_all")).join(kbs.select("kb_id", F.lit(0).alias("_all")), "_all", "left")
+    blind = left.filter("NOT embedded").select("query_id")
+    every = blind.join(every_pair(blind, kbs.select("kb_id"), ["query_id"], ["kb_id"]).select("query_id", "kb_id"), "query_id", "left")
     known = F.col("kb_id").isNotNull()
     default = every.select("query_id", "kb_id", F.when(known, "default_all").otherwise("no_kb_available").alias("method"), F.when(known, 1.0).alias("confidence"))
     left = left.filter("embedded")

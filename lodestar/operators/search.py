@@ -93,15 +93,27 @@ def dense_search(scope: DataFrame, points: DataFrame, limit: int = 20, threshold
     return top(first, limit, F.col("score")).select("query_id", "id", "kb_id", "score", "rank")
 
 
+def every_pair(asking: DataFrame, rows: DataFrame, own: list[str], by: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Each row of ``asking`` with each row of ``rows``, and the ``_part`` of ``rows`` it lies in.
+
+    Both are dealt into parts by their own number, ``asking`` by a hash of ``own`` and ``rows`` of ``by``; a task holds one part of each.
+    """
+    numbers = [df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / part_rows)).alias(name)) for df, name in ((asking, "_asking"), (rows, "_rows"))]
+    one = F.broadcast(numbers[0].crossJoin(numbers[1]))  # a single row
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asking.crossJoin(one).withColumn("_own", F.pmod(F.xxhash64(*own), F.col("_asking"))).withColumn("_part", upto("_rows")).drop("_asking", "_rows")
+    right = rows.crossJoin(one).withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_rows"))).withColumn("_own", upto("_asking")).drop("_asking", "_rows")
+    return left.join(right, ["_own", "_part"]).drop("_own")
+
+
 def nearest_portraits(queries: DataFrame, portraits: DataFrame, limit: int = PORTRAITS, block: int = 2000) -> DataFrame:
     """queries (query_id, query_vec), portraits (kb_id, cluster, vec) -> query_id, kb_id, cluster, sim: each query's nearest portraits.
 
-    Portraits are dealt into blocks of about ``block``, and each block meets the queries on its own: none is sent whole.
+    Portraits and queries meet in blocks of about ``block`` rows: neither is sent whole. Each block keeps its own first ones.
     """
-    blocks = max(1, -(-portraits.count() // block))
-    base = portraits.select("kb_id", "cluster", unit(F.col("vec")).alias("_u"), F.pmod(F.xxhash64("kb_id", "cluster"), F.lit(blocks)).cast("int").alias("_part"))
-    asking = queries.select("query_id", unit(F.col("query_vec")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_part"))
-    scored = base.join(asking, "_part").select("query_id", "kb_id", "cluster", "_part", dot(F.col("_u"), F.col("_q")).alias("sim"))
+    base = portraits.select("kb_id", "cluster", unit(F.col("vec")).alias("_u"))
+    asking = queries.select("query_id", unit(F.col("query_vec")).alias("_q"))
+    scored = every_pair(asking, base, ["query_id"], ["kb_id", "cluster"], block).select("query_id", "kb_id", "cluster", "_part", dot(F.col("_u"), F.col("_q")).alias("sim"))
     order = (F.desc("sim"), F.col("kb_id"), F.col("cluster"))
     for keys in (("query_id", "_part"), ("query_id",)):
         scored = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= limit)
@@ -164,9 +176,9 @@ def route_decision(scores: DataFrame, kbs: DataFrame | None = None) -> DataFrame
     led = chosen.filter(~low & (F.col("place") <= F.when(F.col("method") == "dual_kb", 2).otherwise(1))).select("query_id", "kb_id", "raw", "norm", "method")
     unsure = chosen.filter(low)
     if kbs is not None:
-        lost = unsure.filter("place = 1").select("query_id", "method", F.explode(F.lit([0])).alias("_all"))
+        lost = unsure.filter("place = 1").select("query_id", "method")
         raw = unsure.select("query_id", "kb_id", "raw")
-        unsure = kbs.select("kb_id", F.lit(0).alias("_all")).join(lost, "_all").join(raw, ["query_id", "kb_id"], "left")
+        unsure = every_pair(lost, kbs.select("kb_id"), ["query_id"], ["kb_id"]).join(raw, ["query_id", "kb_id"], "left")
     return led.unionByName(unsure.select("query_id", "kb_id", "raw", F.lit(1.0).alias("norm"), "method"))
 
 

@@ -154,8 +154,8 @@ def processing_status(spark, sf_dir):
 def live_questions(spark, sf_dir):
     """Cached rows that aren't older than a week, seen from the last one."""
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    return state.alive(e, "ts", F.lit(now), 7 * 86400).select("user_id", "event_id")
+    last = F.broadcast(e.agg(F.max("ts").alias("now")))  # one row
+    return state.alive(e.crossJoin(last), "ts", F.col("now"), 7 * 86400).select("user_id", "event_id")
 
 
 @query("""WITH s AS (SELECT user_id, min(ts) AS begun, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id), t AS (SELECT max(ts) - INTERVAL
@@ -163,9 +163,9 @@ def live_questions(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     """Streams at a time: how many events they have sent in all, and whether they have outlived an hour."""
     e = table(spark, sf_dir, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 40000 SECONDS")
-    s = e.groupBy("user_id").agg(F.min("ts").alias("begun"), F.count(F.lit(1)).alias("n")).filter(F.col("begun") <= now)
-    return s.select("user_id", "n", (~state.within(F.col("begun"), now, 3600)).alias("expired"))
+    last = F.broadcast(e.agg((F.max("ts") - F.expr("INTERVAL 40000 SECONDS")).alias("now")))  # one row
+    s = e.groupBy("user_id").agg(F.min("ts").alias("begun"), F.count(F.lit(1)).alias("n")).crossJoin(last).filter(F.col("begun") <= F.col("now"))
+    return s.select("user_id", "n", (~state.within(F.col("begun"), F.col("now"), 3600)).alias("expired"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
