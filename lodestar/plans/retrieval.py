@@ -5,6 +5,10 @@ Queries are the vectors whose id is divisible by 100. A point's text is the docu
 
 from __future__ import annotations
 
+import weakref
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +73,8 @@ def tokens(docs: DataFrame, key: str, text) -> DataFrame:
 
 def portraits(p: DataFrame, clusters: int = CLUSTERS) -> DataFrame:
     """A mean vector per knowledge base and remainder of the id: few rows, whatever the number of points."""
-    parts = p.select("kb_id", (F.col("id") % clusters).alias("cluster"), F.posexplode("vec").alias("i", "x"))
-    means = parts.groupBy("kb_id", "cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    listed = means.groupBy("kb_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return listed.select("kb_id", "cluster", F.transform("v", lambda s: s["x"]).alias("vec"))
+    rows = p.select("kb_id", (F.col("id") % clusters).alias("cluster"), array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+    return rows.groupBy("kb_id", "cluster").agg(Summarizer.mean(F.col("v")).alias("m")).select("kb_id", "cluster", vector_to_array("m").alias("vec"))
 
 
 def routes(p: DataFrame) -> DataFrame:
@@ -83,9 +85,14 @@ def decided(p: DataFrame) -> DataFrame:
     return S.route_decision(routes(p), p.select("kb_id").distinct())
 
 
+_scopes: weakref.WeakKeyDictionary[DataFrame, DataFrame] = weakref.WeakKeyDictionary()
+
+
 def scoped(p: DataFrame) -> DataFrame:
-    """The routed knowledge bases of each query. All routes of a search need them, so they are computed once and saved."""
-    return saved(decided(p).join(asked(p), "query_id").select("query_id", "kb_id", "query_vec"), "routing")
+    """The routed knowledge bases of each query. All routes of a search over the same points need them, so they are computed once and saved."""
+    if p not in _scopes:
+        _scopes[p] = saved(decided(p).join(asked(p), "query_id").select("query_id", "kb_id", "query_vec"), "routing")
+    return _scopes[p]
 
 
 def turned(v):
@@ -97,9 +104,9 @@ def both_views(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return S.dense_search(scope, p, 20), S.dense_search(scope.withColumn("query_vec", turned(F.col("query_vec"))), p, 20)
 
 
-def hybrid(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def hybrid(spark, sf_dir: str, p: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The dense and the sparse route over the same routed knowledge bases."""
-    p, docs = points(spark, sf_dir), table(spark, sf_dir, "documents")
+    p, docs = p or points(spark, sf_dir), table(spark, sf_dir, "documents")
     scope = scoped(p)
     terms = tokens(docs, "id", F.col("text")).join(p.select("id", "kb_id"), "id")
     asking = tokens(docs.filter(F.col("doc_id") % EVERY == 0), "query_id", F.left("text", F.lit(200))).join(scope.select("query_id", "kb_id"), "query_id")

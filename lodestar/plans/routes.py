@@ -168,7 +168,7 @@ content_type, arg_max(route, o) AS payload_route FROM w GROUP BY query_id, id)""
 def routes_by_intent(spark, sf_dir: str) -> DataFrame:
     """Hits of four routes with what they found: (query_id, id, rank, score, route, content_type)."""
     p = R.points(spark, sf_dir)
-    dense, sparse = R.hybrid(spark, sf_dir)
+    dense, sparse = R.hybrid(spark, sf_dir, p)
     own = {"dense": dense, "sparse": sparse.withColumn("score", F.col("score").cast("double")), "visual": route(p, "id % 2 = 1", 20, asking=R.turned), "video": route(p, _VIDEO, 20)}
     out = None
     for name, hits in own.items():
