@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
+
 #: Names of modalities in materials, most characters of each part, and what stands where there is nothing.
 LABELS = {"doc": "文档", "image": "图片", "audio": "音频", "video": "视频"}
 DOC_CHARS, IMAGE_CHARS, AUDIO_CHARS, FRAMES, PREVIEW_CHARS, CLIENT_CHARS = 500, 300, 500, 5, 200, 500
@@ -59,6 +61,44 @@ def assembled(materials: DataFrame, key: str, question: Column) -> DataFrame:
     return held.select(key, F.array_join(whole, "\n").alias("context"))
 
 
+ATTACHED = "【本轮用户上传的媒体摘要（非知识库检索结果，请勿使用下方参考材料的编号引用；回答中请用自然语言指代用户上传的图片/音频）】\n"
+MOST_TOKENS, LEAST_CHARS, FRAME = 4000, 100, "（视频关键帧）"
+
+
+def attached(context: Column, attachment: Column) -> Column:
+    """The context after what the user uploaded with the question, if there is anything."""
+    own = F.nullif(F.trim(attachment), F.lit(""))
+    return F.when(own.isNotNull(), F.concat_ws("\n", F.lit(ATTACHED), own, F.lit(""), context)).otherwise(context)
+
+
+def with_keyframes(references: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """references (key, ref_id, content_type, path, content), frames (key, ref_id, nth, path, text) -> the references, and after the last
+    number each video's frames as images, in the order of videos and frames. Frames without a path, and those of others, are left out."""
+    videos = references.filter("content_type = 'video'").select(key, "ref_id")
+    shown = frames.filter(F.col("path").isNotNull() & (F.col("path") != "")).join(videos, [key, "ref_id"])
+    last = references.groupBy(key).agg(F.max("ref_id").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("ref_id", "nth"))
+    more = shown.withColumn("_nth", nth).join(last, key).select(
+        key, (F.col("_last") + F.col("_nth")).alias("ref_id"), F.lit("image").alias("content_type"), "path",
+        F.coalesce(F.nullif("text", F.lit("")), F.lit(FRAME)).alias("content"), F.col("ref_id").alias("of_video"),
+    )
+    return references.withColumn("of_video", F.lit(None).cast(more.schema["of_video"].dataType)).unionByName(more, allowMissingColumns=True)
+
+
+def shortened(contexts: DataFrame, references: DataFrame, key: str, most: int = MOST_TOKENS) -> DataFrame:
+    """contexts (key, context): one of more than ``most`` white-space tokens is made anew from the beginnings of its references (key,
+    ref_id, content_type, path, content), each cut to an even share of ``most`` characters; all but documents are called images."""
+    tokens = T.white_tokens(F.col("context"))
+    doc = F.col("content_type") == "doc"
+    share = F.greatest(F.lit(LEAST_CHARS), F.floor(most / F.count(F.lit(1)).over(Window.partitionBy(key)))).cast("int")
+    head = F.concat(F.lit("【材料 "), F.col("ref_id").cast("string"), F.lit("】 (类型: "), F.when(doc, LABELS["doc"]).otherwise(LABELS["image"]), F.lit(" | 来源: "), F.coalesce("path", F.lit("")), F.lit(")"))
+    part = F.concat_ws("\n", head, F.when(doc, "内容片段：").otherwise("[视觉描述]："), F.concat(F.left(F.coalesce("content", F.lit("")), share), F.lit("...\n")))
+    long = contexts.withColumn("_tokens", tokens)
+    anew = references.join(long.filter(F.col("_tokens") > most).select(key), key).withColumn("_part", part)
+    anew = anew.groupBy(key).agg(F.concat_ws("\n", F.lit(HEAD), F.transform(F.sort_array(F.collect_list(F.struct("ref_id", "_part"))), lambda x: x["_part"])).alias("_short"))
+    return long.join(anew, key, "left").select(key, F.coalesce("_short", "context").alias("context"), F.col("_tokens").alias("tokens"))
+
+
 def asked_with(question: Column, context: Column) -> Column:
     """The user's turn: the materials between rules, then the question; or the question alone."""
     lead = F.lit("以下是根据检索结果整理的参考材料，以及用户的最新问题。\n\n---\n")

@@ -63,6 +63,43 @@ def context_strings(spark, sf_dir):
     return X.assembled(m, "source", F.concat(F.lit("what of "), "source")).select("source", md5(F.col("context")).alias("digest"))
 
 
+@query(
+    f"""WITH {_MATERIALS}, c0 AS (SELECT source, concat('参考材料列表：', chr(10), chr(10), CASE WHEN bool_or(k > 0) THEN concat('{X.MEDIA_NOTE.strip()}',
+chr(10), chr(10)) ELSE '' END, string_agg(material || chr(10), chr(10) ORDER BY ref_id), chr(10), '用户问题：', repeat('word ', CASE WHEN source > 'src5' THEN
+4200 ELSE 9 END), source) AS context, count(*) AS refs FROM m GROUP BY source),
+a AS (SELECT *, CASE WHEN source LIKE '%1' THEN concat('{X.ATTACHED.strip()}', chr(10), chr(10), 'media of ', source, chr(10), chr(10), context) ELSE context END AS
+whole FROM c0), t AS (SELECT *, len(string_split_regex(trim(regexp_replace(whole, '\s+', ' ', 'g')), ' ')) AS tokens FROM a),
+n AS (SELECT source, concat('参考材料列表：', chr(10), chr(10), string_agg(concat('【材料 ', ref_id, '】 (类型: ', CASE k WHEN 0 THEN '文档' ELSE '图片' END, ' | 来源: ', path,
+')', chr(10), CASE k WHEN 0 THEN '内容片段：' ELSE '[视觉描述]：' END, chr(10), left(coalesce(text, ''), greatest(100, (4000 // refs))::INT), '...', chr(10)), chr(10) ORDER BY
+ref_id)) AS short FROM m JOIN c0 USING (source) GROUP BY source)
+SELECT source, tokens::INT AS tokens, md5(CASE WHEN tokens > 4000 THEN short ELSE whole END) AS digest FROM t JOIN n USING (source)"""
+)
+def shortened_contexts(spark, sf_dir):
+    """Contexts with what was uploaded before them; those that are too long are made anew from the beginnings of their references."""
+    m = materials(spark, sf_dir)
+    question = F.concat(F.repeat(F.lit("word "), F.when(F.col("source") > "src5", 4200).otherwise(9)), "source")
+    upload = F.when(F.col("source").endswith("1"), F.concat(F.lit(" media of "), "source"))
+    whole = X.assembled(m, "source", question).select("source", X.attached(F.col("context"), upload).alias("context"))
+    out = X.shortened(whole, references(spark, sf_dir).withColumn("content", F.col("text")), "source")
+    return out.select("source", F.col("tokens").cast("int").alias("tokens"), md5(F.col("context")).alias("digest"))
+
+
+@query(
+    f"""WITH {_REFS}, v AS (SELECT *, max(ref_id) OVER (PARTITION BY source) AS last FROM r), f AS (SELECT source, doc_id, ref_id AS of_video, last, i FROM v,
+range(0, 4) x(i) WHERE k = 3 AND i < doc_id % 5 AND i <> 2)
+SELECT source, ref_id::INT AS ref_id, content_type, path, NULL::INT AS of_video FROM v UNION ALL SELECT source, (last + row_number() OVER (PARTITION BY source ORDER BY
+of_video, i))::INT, 'image', concat('videos/', doc_id, '/keyframes/', i, '.jpg'), of_video::INT FROM f"""
+)
+def keyframe_references(spark, sf_dir):
+    """The references of a context with the frames of its videos as further images; a frame without a picture is none."""
+    r = references(spark, sf_dir).withColumn("content", F.col("text"))
+    i = F.explode(F.sequence(F.lit(0), F.least(F.lit(3), (F.col("doc_id") % 5 - 1).cast("int"))))
+    frames = r.filter("doc_id % 5 > 0").select("source", "ref_id", "doc_id", i.alias("nth"))
+    frames = frames.select("source", "ref_id", "nth", F.when(F.col("nth") != 2, F.format_string("videos/%d/keyframes/%d.jpg", "doc_id", "nth")).alias("path"), F.lit("frame").alias("text"))
+    out = X.with_keyframes(r.select("source", "ref_id", "content_type", "path", "content"), frames, "source")
+    return out.select("source", F.col("ref_id").cast("int").alias("ref_id"), "content_type", "path", F.col("of_video").cast("int").alias("of_video"))
+
+
 @query("""SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN concat('用户问题：', text) ELSE concat('以下是根据检索结果整理的参考材料，以及用户的最新问题。', chr(10), chr(10), '---',
 chr(10), 'some ', role, chr(10), '---', chr(10), chr(10), '用户问题：', text) END) AS digest FROM conversations WHERE text IS NOT NULL""")
 def user_turns(spark, sf_dir):
