@@ -68,7 +68,7 @@ def context_strings(spark, sf_dir):
 chr(10), chr(10)) ELSE '' END, string_agg(material || chr(10), chr(10) ORDER BY ref_id), chr(10), '用户问题：', repeat('word ', CASE WHEN source > 'src5' THEN
 4200 ELSE 9 END), source) AS context, count(*) AS refs FROM m GROUP BY source),
 a AS (SELECT *, CASE WHEN source LIKE '%1' THEN concat('{X.ATTACHED.strip()}', chr(10), chr(10), 'media of ', source, chr(10), chr(10), context) ELSE context END AS
-whole FROM c0), t AS (SELECT *, len(string_split_regex(trim(regexp_replace(whole, '\s+', ' ', 'g')), ' ')) AS tokens FROM a),
+whole FROM c0), t AS (SELECT *, len(string_split_regex(trim(regexp_replace(whole, '\\s+', ' ', 'g')), ' ')) AS tokens FROM a),
 n AS (SELECT source, concat('参考材料列表：', chr(10), chr(10), string_agg(concat('【材料 ', ref_id, '】 (类型: ', CASE k WHEN 0 THEN '文档' ELSE '图片' END, ' | 来源: ', path,
 ')', chr(10), CASE k WHEN 0 THEN '内容片段：' ELSE '[视觉描述]：' END, chr(10), left(coalesce(text, ''), greatest(100, (4000 // refs))::INT), '...', chr(10)), chr(10) ORDER BY
 ref_id)) AS short FROM m JOIN c0 USING (source) GROUP BY source)
