@@ -36,6 +36,10 @@ LABELLED = [
     ("<article><ul><li>[1]<li>[2]<li>[1]</ul><h1>{9}</h1><p>{28}<p>{55}</article><section><h2>{2}</h2><p>{20}</section>", "000 111 00"),
     ("<article><h1>{7}</h1><p>{33}<div class=ad>{12}</div><p>{44}<form><p>{5}<p>{20}</form><p>{9}<aside>{40}</aside><p>{3}</article>", "11 0 1 00 1 0 1"),
     ("<article><p>{50}<div class=share>{4} [1]</div><p>{60}</article><div id=comments><p>{3}<p>{45}<p>{12}</div>", "1 0 1 000"),
+    ("<article><p>{40}<div class=alert><p>{60}</div><p>{50}<div class=related><p>{64}<p>{70}</div></article>", "1 1 1 11"),
+    ("<article><h1>{5}</h1><p>{30}<div class=notice>{14}</div><p>{60}<div class=newsletter>{10} [2]</div><p>{7}</article>", "11 0 1 0 1"),
+    ("<article><p>{50}</article><section class=comments><article><p>{64}</article><article><p>{90}<p>{3}</article></section>", "1 0 00"),
+    ("<article><p>{50}<div class=comments><p>{66}<p>{40}<p>{80}</div></article>", "1 000"),
     ("<article><p>{2}</article>", "1"), ("<article><p>[2]<p>{3}</article>", "11"), ("<article><h1>{4}</h1><p>[3] {6}</article>", "11"),
     # pages without one
     ("<div>[1]</div><div>[1]</div><div>[2]</div><h1>{7}</h1><p>{40}<p>{6}<p>{55}<p>{30}<div>[1]</div><div>[1] {1}</div>", "000 11111 00"),
@@ -58,6 +62,7 @@ CONTAINERS = FRAMES | ARTICLES | set("div section ul ol table figure details fie
 BLOCKS = CONTAINERS | set("address blockquote body center dd dl dt figcaption h1 h2 h3 h4 h5 h6 head hr html legend li p pre summary tbody td tfoot th thead tr caption option".split())
 NAMED = set("ad ads advert advertisement banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal overlay sidebar menu nav navbar breadcrumb breadcrumbs footer masthead share sharing social related newsletter subscribe signup login widget pagination pager".split())
 COMMENTS = set("comment comments respond reply replies disqus".split())
+PLACES = set("area bar block body box boxes button buttons col column container content global group icon icons inner item items left link links list main outer page panel posts primary right row secondary section site slot small large stories text title top bottom unit wrap wrapper".split())
 NEGATED = set("no not non has with without free hide hidden".split())
 
 _DROPPED = frozenset(DROPPED.split())
@@ -68,14 +73,17 @@ _NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']
 
 
 def named(attributes: str) -> int:
-    """2 if a class, id or role names reader comments, 1 if it names something else beside the main text, else 0."""
+    """2 if a class, id or role names reader comments, 1 if it names something else beside the main text, else 0.
+
+    A name of several parts counts only if all of them are such names, places or numbers: ``related-posts-2``, not ``related-work``.
+    """
     found = 0
     for values in _NAMES.findall(attributes):
         for name in " ".join(values).lower().split():
-            parts = re.split(r"[-_]+", name)
+            parts = set(re.split(r"[-_]+", name))
             if NEGATED.isdisjoint(parts):
-                ends = {parts[0], parts[-1]}
-                found = max(found, 2 * bool(ends & COMMENTS), int(bool(ends & NAMED)))
+                rest = {p for p in parts - NAMED - COMMENTS - PLACES if p and not p.isdigit()}
+                found = max(found, 2 * bool(parts & COMMENTS and not rest), int(bool(parts & NAMED and not rest)))
     return found
 
 

@@ -318,12 +318,10 @@ def test_token_counts(spark, tmp_path):
     assert tokencount.count_tokens(docs(spark, []), JSON, cache).count() == 0
     # what is stored is taken as it is: a second call encodes nothing
     other = f"file://{tmp_path}/other"
-    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000).write.parquet(other)
-    for broadcast in (tokencount.BROADCAST_DIGESTS, 0):
-        tokencount.BROADCAST_DIGESTS, kept = broadcast, tokencount.BROADCAST_DIGESTS
-        got = tokencount.count_tokens(docs(spark, [*ODD, (99, "new text")]), JSON, other).collect()
-        tokencount.BROADCAST_DIGESTS = kept
-        assert {r["doc_id"] for r in got if r["n_tokens"] < 1000} <= {99} and len(got) == len(ODD) + 1
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000).write.partitionBy("tokenizer").parquet(other)
+    got = tokencount.count_tokens(docs(spark, [*ODD, (99, "new text"), (98, "new text")]), JSON, other).collect()
+    assert {r["doc_id"] for r in got if r["n_tokens"] < 1000} == {98, 99} and len(got) == len(ODD) + 2
+    assert spark.read.parquet(other).count() == len({t or "" for _, t in ODD}) + 1
     hot = [(k, "the same") for k in range(500)] + ODD
     assert sum(r["n_tokens"] for r in tokencount.count_tokens(docs(spark, hot), JSON).collect()) == sum(len(reference_ids(t)) for _, t in hot)
 
@@ -503,6 +501,17 @@ def test_html_unclosed_and_odd_markup():
         assert htmltext.main_text(page) == want, page[:80]
 
 
+def test_html_names_alone_lose_no_text():
+    """Wrappers whose names only begin like a menu's, and long texts under any name inside an article, stay; short ones go."""
+    long = "word " * 40
+    for name in ("related-work", "share-price", "social_history", "menu-engineering", "notice-board", "recipe-banner-story", "alert", "related", "promo box", "widget-area"):
+        assert htmltext.main_text(f'<article><h1>Head of it</h1><div class="{name}"><p>{long}</p></div></article>') == "Head of it\n" + long.strip(), name
+    for name in ("ad", "share-buttons", "related-posts-2", "newsletter", "alert"):
+        assert htmltext.main_text(f'<article><p>{long}</p><div class="{name}">Buy one now.</div><p>{long}</p></article>') == f"{long.strip()}\n{long.strip()}", name
+    for name in ("comments", "comment-list", "replies"):
+        assert htmltext.main_text(f'<article><p>{long}</p><div class="{name}"><p>{long}</p></div></article>') == long.strip(), name
+
+
 def test_html_takes_linear_time():
     import time
 
@@ -565,6 +574,37 @@ def test_neighbours(spark):
     assert ann.search(frame.limit(0)).count() == 0
 
 
+def recall(v, got, every, k=20):
+    """The share of the true neighbours that were found; each row's score and order are held against brute force."""
+    found, hit = {}, 0
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    queries = range(0, len(v), every)
+    for q in queries:
+        s = v @ v[q]
+        s[q] = -np.inf
+        pairs = found[q]
+        assert len(pairs) == k and pairs == sorted(pairs, key=lambda p: (-p[1], p[0])) and all(abs(x - s[i]) < 1e-9 for i, x in pairs)
+        hit += len({i for i, _ in pairs} & set(np.lexsort((np.arange(len(s)), -s))[:k].tolist()))
+    return hit / (k * len(queries))
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_neighbours_over_many_cells(spark, clustered):
+    """Global cells, bounds from the home block, blocks that are sent more queries than a chunk holds, ties over cells."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3000, 12))
+    if clustered:
+        v = 6 * rng.standard_normal((40, 12))[np.arange(3000) % 40] + 0.5 * v
+    v[7] *= 3
+    v[1000:1090] = v[7]  # more equal rows than a block has, and the nearest to each other
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(7, "vec_id")
+    got = ann.search(frame, every=20, block_rows=70, query_rows=9).collect()
+    assert recall(v, got, 20) >= 0.9
+    equal = next([r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1000,))
+    assert equal == [7, *range(1001, 1020)]  # ties go to the smaller ids, whatever cells and blocks they lie in
+
+
 def test_chi_square():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 0.01
 
