@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize
+from lodestar.llm.common import Scratch, materialize
 
 DIMENSIONS, LEAF, CONFIDENCE, SEED = 8, 512, 0.93, 7
 BLOCK_ROWS, QUERY_ROWS = 16_384, 32_768
-SAMPLE_ROWS, MOST_CELLS = 20_000, 2_048
+SAMPLE_ROWS, MOST_CELLS = 65_536, 16_384
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -173,8 +173,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _search_blocks(base: DataFrame, asked: DataFrame, chunks: int, k: int, space: Space, confidence: float) -> DataFrame:
-    """base (block, id, v), asked (block, id, v, least): each block against the queries sent to it, in chunks."""
+def _search_blocks(base: DataFrame, asked: DataFrame, query_rows: int, k: int, space: Space, confidence: float, scratch: Scratch) -> DataFrame:
+    """base (block, id, v), asked (block, id, v, least): each block against the queries sent to it. A block that was sent more than
+    ``query_rows`` is copied as often as they fill; one that was sent none isn't copied at all."""
+    asked = scratch(asked, "ann-asked")
+    chunks = scratch(asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("chunks")), "ann-chunks")  # a row per block
 
     def run(_, base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if len(base) and len(asked):
@@ -186,8 +189,8 @@ def _search_blocks(base: DataFrame, asked: DataFrame, chunks: int, k: int, space
             found = [], [], []
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    copies = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    dealt = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    copies = base.join(F.broadcast(chunks), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    dealt = asked.join(F.broadcast(chunks), "block").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).drop("chunks")
     return copies.groupBy("block", "chunk").cogroup(dealt.groupBy("block", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
 
 
@@ -202,9 +205,10 @@ def search(
     non-finite components or aren't of the commonest length (the larger of equally common ones), take no part. Of
     rows that repeat with an equal id and vector each is a candidate; a query id that stands on different vectors
     asks with the largest of them. An empty table gives an empty result. ``confidence`` is the least chance to
-    find a neighbour; the cells are split on at most SAMPLE_ROWS rows, and every row belongs to one.
+    find a neighbour; the cells are split on about SAMPLE_ROWS rows of the whole table, and every row belongs to one.
+    Above MOST_CELLS cells of ``block_rows`` rows a cell is dealt over several blocks, all of which are searched.
     """
-    spark, v = vectors.sparkSession, F.col("v")
+    spark, v, scratch = vectors.sparkSession, F.col("v"), Scratch()
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
 
     def usable(df: DataFrame) -> DataFrame:
@@ -226,8 +230,7 @@ def search(
     cells = min(MOST_CELLS, -(-n // block_rows))
     nodes: list = []
     if cells > 1:
-        share = min(1.0, 2 * SAMPLE_ROWS / n)
-        sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(SAMPLE_ROWS).collect()
+        sample = base.filter(F.rand(SEED) < SAMPLE_ROWS / n).select("v").collect()  # from all rows alike
         nodes = cell_splits(space.points(np.array([r["v"] for r in sample], dtype=float)), cells) if sample else []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +254,8 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(first[at] + salt), batch.column(0), batch.column(1)], names=["block", "id", "v"])
 
     base = base.select("id", "v", F.abs(F.xxhash64("id", "v") % (1 << 40)).alias("salt")).mapInArrow(number_blocks, f"block long, id long, v array<{kind}>")
-    base = materialize(base, "ann-base")
-    asked = materialize(asked, "ann-queries")
-    chunks = max(1, -(-asked.count() // query_rows))
+    base = scratch(base, "ann-base")
+    asked = scratch(asked, "ann-queries")
     enough = chi_square_quantile(confidence, DIMENSIONS)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1), pa.array(np.full(len(block), -np.inf))], names=["block", "id", "v", "least"])
 
     schema = f"block long, id long, v array<{kind}>, least double"
-    at_home = materialize(_search_blocks(base, asked.mapInArrow(home, schema), chunks, k, space, confidence), "ann-home")
+    at_home = scratch(_search_blocks(base, asked.mapInArrow(home, schema), query_rows, k, space, confidence, scratch), "ann-home")
     found = at_home
     if int(blocks.sum()) > 1:
         bounds = at_home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
@@ -288,6 +290,8 @@ def search(
                     yield pa.RecordBatch.from_arrays([block, batch.column(0).take(query), batch.column(1).take(query), floor], names=["block", "id", "v", "least"])
 
         sent = asked.join(bounds, "id", "left").select("id", "v", "least").mapInArrow(others, schema)
-        found = at_home.unionByName(_search_blocks(base, sent, chunks, k, space, confidence))
+        found = at_home.unionByName(_search_blocks(base, sent, query_rows, k, space, confidence, scratch))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    scratch.clear()
+    return out
