@@ -12,7 +12,6 @@ from lodestar.llm import tokenizers_io
 from lodestar.llm.common import discard, join_split, materialize, shared_base
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
-BROADCAST_DIGESTS = 200_000  # 32 bytes each
 
 
 def lasting_cache(spark: SparkSession) -> str:
@@ -32,7 +31,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str | None = N
     spark = docs.sparkSession
     cache_dir = cache_dir or lasting_cache(spark)
     version = tokenizers_io.file_digest(tokenizer_path)
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
 
     def cached() -> DataFrame:
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).filter(F.col("tokenizer") == version)
@@ -50,14 +49,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str | None = N
             n = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    missing = misses.count()
-    if missing:
-        wanted, distinct = texts.select("digest", "_text"), ["digest"]
-        if missing <= BROADCAST_DIGESTS:
-            wanted = wanted.join(F.broadcast(misses), "digest", "left_semi").dropDuplicates(distinct)
-        else:  # copies fall together before the texts move
-            wanted = wanted.dropDuplicates(distinct).join(misses, "digest", "left_semi")
-        wanted.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
+    # only texts that miss are moved, whatever their number; one text for each of them, rows of frequent digests where they are
+    wanted = join_split(texts.select("digest", "_text"), misses, "digest").dropDuplicates(["digest"])
+    wanted.mapInArrow(run, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
 
     counted = join_split(keyed, cached(), "digest")
     discard(misses, copies)
