@@ -223,15 +223,15 @@ def event_times(spark, sf_dir):
 @query(
     """WITH r AS (SELECT 'customer' AS sheet, c_custkey AS i, concat('| ', c_custkey, ' | ', replace(replace(c_name || CASE WHEN c_custkey % 9 = 0 THEN '|' || chr(10) ELSE '' END, '|', chr(92) || '|'), chr(10), ' '), ' |') AS line FROM customer
 UNION ALL SELECT 'region', r_regionkey, concat('| ', r_regionkey, ' | ', r_name, ' |') FROM region), n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY i) AS k, count(*) OVER (PARTITION BY sheet) AS n FROM r)
-SELECT sheet, md5(concat('| key | name |', chr(10), '|---|---|', chr(10), string_agg(line, chr(10) ORDER BY i), CASE WHEN max(n) > 100 THEN concat(chr(10), chr(10), '_（仅展示前 100 行，原始共 ', max(n), ' 行）_') ELSE '' END)) AS preview
-FROM n WHERE k <= 100 GROUP BY sheet"""
+SELECT sheet, md5(concat('| key | name |', chr(10), '|---|---|', chr(10), string_agg(line, chr(10) ORDER BY i), CASE WHEN max(n) > 200 THEN concat(chr(10), chr(10), '_（仅展示前 200 行，原始共 ', max(n), ' 行）_') ELSE '' END)) AS preview
+FROM n WHERE k <= 200 GROUP BY sheet"""
 )
 def sheet_preview(spark, sf_dir):
     """A sheet's first rows as a Markdown table, with a note if there are more."""
     odd = F.when(F.col("c_custkey") % 9 == 0, "|\n").otherwise("")
     c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("sheet"), F.col("c_custkey").alias("i"), F.array(F.col("c_custkey").cast("string"), F.concat("c_name", odd)).alias("cells"))
     r = table(spark, sf_dir, "region").select(F.lit("region").alias("sheet"), F.col("r_regionkey").cast("long").alias("i"), F.array(F.col("r_regionkey").cast("string"), "r_name").alias("cells"))
-    return C.sheet_preview(c.unionByName(r), "sheet", "i", "cells", ["key", "name"], 100).select("sheet", F.md5(F.col("preview").cast("binary")).alias("preview"))
+    return C.sheet_preview(c.unionByName(r), "sheet", "i", "cells", ["key", "name"]).select("sheet", F.md5(F.col("preview").cast("binary")).alias("preview"))
 
 
 _SCORE = """CASE WHEN name = q THEN 100.0 WHEN contains(name, q) THEN 50 + length(q) * 30.0 / length(name) ELSE 0 END + CASE WHEN contains(d, q) THEN 20 + length(q) * 10.0 / greatest(length(d), 1) ELSE 0 END

@@ -31,7 +31,7 @@ def markdown_chunks(spark, sf_dir):
     return C.folded(rows, "t", lambda t: [(x,) for x in folds.markdown_parts(t)], "part string").select("id", "place", md5(F.col("part")).alias("digest"))
 
 
-@query(f"""WITH RECURSIVE {_LINES}, b AS (SELECT doc_id, i, length(text) AS n FROM l WHERE doc_id % 5 = 0), r AS (SELECT doc_id, i, n AS size, 0 AS
+@query(f"""WITH RECURSIVE {_LINES}, b AS (SELECT doc_id, i, length(text) AS n FROM l), r AS (SELECT doc_id, i, n AS size, 0 AS
 place, 1 AS parts FROM b WHERE i = 0
 UNION ALL SELECT b.doc_id, b.i, CASE WHEN r.size + 2 + b.n <= 500 THEN r.size + 2 + b.n ELSE b.n END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.place
 ELSE r.place + 1 END, CASE WHEN r.size + 2 + b.n <= 500 THEN r.parts + 1 ELSE 1 END
@@ -39,7 +39,7 @@ FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1) SELECT doc_id, place::IN
 BY doc_id, place""")
 def merged_chunks(spark, sf_dir):
     """Neighbouring chunks of texts without headers put together up to 500 characters."""
-    parts = lines(spark, sf_dir).filter("doc_id % 5 = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
+    parts = lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
     rows = parts.select("doc_id", F.transform("p", lambda x: x["text"]).alias("p"))
 
     def packed(texts):
@@ -128,7 +128,7 @@ def interval_frames(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE s AS (SELECT p_partkey, i, i * 50.0 AS a, i * 50.0 + CASE WHEN i % 3 = 2 THEN 20 ELSE 48 END AS b, CASE WHEN (p_partkey + i)
-% 4 = 0 THEN 'other' ELSE repeat('scene one ', 3) || (i % 2) END AS t FROM part, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i) WHERE p_partkey % 10 = 0),
+% 4 = 0 THEN 'other' ELSE repeat('scene one ', 3) || (i % 2) END AS t FROM part, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i)),
 r AS (SELECT p_partkey, i, a, b, t, 0 AS place FROM s WHERE i = 0 UNION ALL SELECT s.p_partkey, s.i, CASE WHEN j THEN r.a ELSE s.a END, CASE WHEN j
 THEN greatest(r.b, s.b) ELSE s.b END, CASE WHEN j THEN r.t ELSE s.t END, CASE WHEN j THEN r.place ELSE r.place + 1 END
 FROM r JOIN s ON s.p_partkey = r.p_partkey AND s.i = r.i + 1, LATERAL (SELECT s.a - r.b < 10 AND (left(s.t, 80) = left(r.t, 80) OR length(left(r.t,
@@ -137,7 +137,7 @@ SELECT p_partkey, place::INT AS place, max(a)::DOUBLE AS start, max(b)::DOUBLE A
 def merged_scenes(spark, sf_dir):
     """Scenes of overlapping windows put together where they tell the same."""
     i = F.col("i")
-    p = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
     t = F.when((F.col("p_partkey") + i) % 4 == 0, "other").otherwise(F.concat(F.repeat(F.lit("scene one "), 3), i % 2))
     s = p.select("p_partkey", F.struct((i * 50.0).alias("a"), (i * 50.0 + F.when(i % 3 == 2, 20).otherwise(48)).alias("b"), t.alias("t")).alias("s"))
     rows = s.groupBy("p_partkey").agg(F.sort_array(F.collect_list("s")).alias("s"))
@@ -178,10 +178,11 @@ def post_markdown(spark, sf_dir):
     return C.folded(rows, "t", lambda t: [(folds.post_markdown(t),)], "shown string").select("item_id", md5(F.col("shown")).alias("digest"))
 
 
-@query("""SELECT item_id, unnest([0, 1, 2, 3])::INT AS place, unnest([length(concat(left(text, 60), 'a')), 80, 20, 3])::INT AS n FROM benchmark""")
+@query("""WITH t AS (SELECT item_id, length(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS n FROM benchmark), p AS (SELECT item_id, list_concat(list_transform(range(n // 80),
+lambda i: 80), CASE WHEN n % 80 > 0 THEN [n % 80] ELSE [] END, [80, 20, 3]) AS p FROM t) SELECT item_id, unnest(range(len(p)))::INT AS place, unnest(p)::INT AS n FROM p""")
 def post_parts(spark, sf_dir):
     """A long post in parts of at most 80 characters: paragraphs packed, an over-long one cut."""
-    text = F.concat(F.left("text", F.lit(60)), F.lit("a\n\n"), F.repeat(F.lit("x"), 100), F.lit("\n\nend"))
+    text = F.concat(F.regexp_replace(F.trim("text"), r"\s+", " "), F.lit("\n\n"), F.repeat(F.lit("x"), 100), F.lit("\n\nend"))
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.alias("t"))
     return C.folded(rows, "t", lambda t: [(len(x),) for x in folds.post_parts(t, 80)], "n int")
 

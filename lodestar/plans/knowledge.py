@@ -205,14 +205,14 @@ def kb_names_resolved(spark, sf_dir):
     return N.resolved(asked, kbs).select("c_custkey", "kb_id", "outcome")
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS w, string_split(lower(coalesce(lang,
+@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w, string_split(lower(coalesce(lang,
 '')) || ',zz,' || lower(source), ',') AS m FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(w, []), list_filter(m, lambda x: x <> ''))))[1:10], ',') AS keywords FROM
 a""")
 def keyword_union(spark, sf_dir):
     """Keywords of a text and of a model's answer as one set, ten of them."""
     given = F.filter(F.split(F.concat(F.lower(F.coalesce("lang", F.lit(""))), F.lit(",zz,"), F.lower("source")), ","), lambda x: x != "")
-    words = F.coalesce(T.words(F.left("text", F.lit(200))), F.array().cast("array<string>"))
+    words = F.coalesce(T.words(F.col("text")), F.array().cast("array<string>"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_sort(F.array_union(words, given)), 1, 10), ",").alias("keywords"))
 
 
@@ -263,10 +263,10 @@ def first_kb_with_points(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT doc_id // 4 AS file, source AS kb_id, doc_id, text FROM documents WHERE trim(text) <> ''), g AS (SELECT file, count(*) AS
-chunks, md5(string_agg(left(text, 200), chr(10) || chr(10) ORDER BY doc_id)) AS joined FROM p GROUP BY file) SELECT * FROM g""")
+chunks, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS joined FROM p GROUP BY file) SELECT * FROM g""")
 def file_previews(spark, sf_dir):
     """A file's chunks in their order as one text."""
-    p = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select(F.expr("doc_id div 4").alias("file"), "doc_id", F.left("text", F.lit(200)).alias("t"))
+    p = table(spark, sf_dir, "documents").filter("trim(text) <> ''").select(F.expr("doc_id div 4").alias("file"), "doc_id", F.col("text").alias("t"))
     held = F.sort_array(F.collect_list(F.struct("doc_id", "t")))
     joined = F.array_join(F.transform(held, lambda x: x["t"]), "\n\n")
     return p.groupBy("file").agg(n("chunks"), F.md5(joined.cast("binary")).alias("joined"))
@@ -307,13 +307,13 @@ def page_fields(spark, sf_dir):
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'html' ELSE '' END AS ext, page_id % 3 = 0 AS is_binary,
-least(length(html), 1000)::INT AS kept FROM pages""")
+least(length(html), 2000000)::INT AS kept FROM pages""")
 def fetched_contents(spark, sf_dir):
     """What a fetched address is by its path, whether it is binary, and how much of a text is kept."""
     k = F.col("page_id") % 3
     url = F.when(k == 0, "http://h.x/a/b.PDF?q=1.txt").when(k == 1, "http://h.x/a.b/c.html#x.png").otherwise("http://h.x/a.b/c")
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", N.url_extension(url).alias("ext"), N.is_binary(url).alias("is_binary"), F.length(F.left("html", F.lit(1000))).alias("kept"))
+    return p.select("page_id", N.url_extension(url).alias("ext"), N.is_binary(url).alias("is_binary"), F.length(F.left("html", F.lit(2_000_000))).alias("kept"))
 
 
 @query("SELECT page_id, page_id % 2 = 0 AS article FROM pages WHERE page_id % 5 <> 4")

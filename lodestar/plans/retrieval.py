@@ -44,11 +44,11 @@ _D2 = """vn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() O
 (SELECT c.query_id, e.id, e.kb_id, list_cosine_similarity(e.v, list_concat(q.qv[33:64], q.qv[1:32])) AS score FROM c JOIN q USING (query_id) JOIN e
 USING (kb_id))
 WHERE score >= 0) WHERE rank < 20)"""
-#: The sparse route: tokens of a point's text, and of the first 200 characters of the query's own.
+#: The sparse route: tokens of a point's text, and of the query's own.
 _S = """tk AS (SELECT id, token, count(*) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM
 documents) GROUP BY ALL),
 qt AS (SELECT query_id, token, count(*) AS weight FROM
-(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z]{3,}')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY
+(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY
 ALL),
 sn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
 (SELECT c.query_id, e.id, e.kb_id, sum(tk.weight * qt.weight)::BIGINT AS score FROM c JOIN qt USING (query_id) JOIN e USING (kb_id) JOIN tk ON tk.id =
@@ -109,7 +109,7 @@ def hybrid(spark, sf_dir: str, p: DataFrame | None = None) -> tuple[DataFrame, D
     p, docs = p or points(spark, sf_dir), table(spark, sf_dir, "documents")
     scope = scoped(p)
     terms = tokens(docs, "id", F.col("text")).join(p.select("id", "kb_id"), "id")
-    asking = tokens(docs.filter(F.col("doc_id") % EVERY == 0), "query_id", F.left("text", F.lit(200))).join(scope.select("query_id", "kb_id"), "query_id")
+    asking = tokens(docs.filter(F.col("doc_id") % EVERY == 0), "query_id", F.col("text")).join(scope.select("query_id", "kb_id"), "query_id")
     return S.dense_search(scope, p, 20), S.sparse_search(asking, terms, 15, ("kb_id",))
 
 
