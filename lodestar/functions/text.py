@@ -70,7 +70,7 @@ def canonical_key(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), 0)
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}|[一-龥]"), 0)
 
 
 def white_tokens(c: Column) -> Column:

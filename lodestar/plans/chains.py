@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators import chain
+from lodestar.operators import selected as chosen
 from lodestar.plans import retrieval as R
 from lodestar.plans.registry import query, table
 
@@ -52,3 +53,28 @@ def retrieval_chain(spark, sf_dir):
 def retrieval_chain_rrf(spark, sf_dir):
     """The same with the weighted rank fusion that its description promises."""
     return retrieved(spark, sf_dir, "rrf")
+
+
+@query(
+    """WITH s AS (SELECT c_custkey // 12 AS query_id, (c_custkey % 12)::INT AS nth, 'src' || (c_custkey % 7) AS kb_id, c_custkey % 400 AS file_id, CASE c_custkey % 3 WHEN 0
+THEN 'doc' ELSE 'image' END AS kind, CASE c_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE c_name END AS preview FROM customer),
+p0 AS (SELECT doc_id, source, doc_id // 4 AS file_id, CASE WHEN doc_id % 4 = 3 THEN doc_id // 4 + 150 END AS other, doc_id % 4 AS pos FROM documents),
+p AS (SELECT doc_id, source, pos, file_id FROM p0 UNION SELECT doc_id, source, pos, other FROM p0 WHERE other IS NOT NULL),
+f AS (SELECT query_id, nth, s.file_id, kind, doc_id, pos, source = kb_id AS own FROM s JOIN p USING (file_id) WHERE nth < 8),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, nth ORDER BY pos, doc_id::VARCHAR) - 1 AS item FROM (SELECT *, bool_or(own) OVER (PARTITION BY query_id, nth) AS best FROM f)
+WHERE own = best), h AS (SELECT query_id, nth, file_id, doc_id::VARCHAR AS id, item, CASE WHEN own THEN 'kb' ELSE 'any' END AS origin FROM k WHERE item < CASE kind WHEN 'doc' THEN 2 ELSE 1 END),
+a AS (SELECT * FROM h UNION ALL SELECT query_id, nth, file_id, 'selected:' || file_id, 0, 'preview' FROM s WHERE nth < 8 AND trim(coalesce(preview, '')) <> '' AND NOT EXISTS (SELECT 1 FROM
+h WHERE h.query_id = s.query_id AND h.nth = s.nth))
+SELECT query_id, file_id, id, item::INT AS item, greatest(0.82, round(1 - 0.03 * nth - 0.01 * item, 4))::DOUBLE AS score, origin FROM a"""
+)
+def selected_candidates(spark, sf_dir):
+    """Points of selected files: of the selected knowledge base, else of any, else the file's preview."""
+    c = table(spark, sf_dir, "customer")
+    n = F.col("c_custkey")
+    selected = c.select(
+        F.expr("c_custkey div 12").alias("query_id"), (n % 12).cast("int").alias("nth"), F.concat(F.lit("src"), n % 7).alias("kb_id"), (n % 400).alias("file_id"),
+        F.when(n % 3 == 0, "doc").otherwise("image").alias("kind"), F.when(n % 5 == 0, " ").when(n % 5 > 1, F.col("c_name")).alias("preview"),
+    )
+    file = F.expr("doc_id div 4")
+    points = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kb_id"), file.alias("file_id"), F.when(F.col("doc_id") % 4 == 3, file + 150).alias("source_file_id"), (F.col("doc_id") % 4).alias("chunk_index"))
+    return chosen.candidates(selected, points)

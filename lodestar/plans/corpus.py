@@ -36,7 +36,7 @@ def retrieval_counters(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, source, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS nnz FROM documents) SELECT source AS
+    """WITH t AS (SELECT doc_id, source, len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]'))) AS nnz FROM documents) SELECT source AS
 kb_id, count(*) FILTER (nnz > 0) AS ok, count(*) FILTER (nnz = 0 OR nnz IS NULL) AS failed, sum(nnz)::BIGINT AS total, round(avg(nnz), 6) AS mean FROM
 t GROUP BY source"""
 )

@@ -205,7 +205,7 @@ def kb_names_resolved(spark, sf_dir):
     return N.resolved(asked, kbs).select("c_custkey", "kb_id", "outcome")
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w, string_split(lower(coalesce(lang,
+@query("""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]')) AS w, string_split(lower(coalesce(lang,
 '')) || ',zz,' || lower(source), ',') AS m FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(w, []), list_filter(m, lambda x: x <> ''))))[1:10], ',') AS keywords FROM
 a""")

@@ -45,10 +45,10 @@ _D2 = """vn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() O
 USING (kb_id))
 WHERE score >= 0) WHERE rank < 20)"""
 #: The sparse route: tokens of a point's text, and of the query's own.
-_S = """tk AS (SELECT id, token, count(*) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM
+_S = """tk AS (SELECT id, token, count(*) AS weight FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]')) AS token FROM
 documents) GROUP BY ALL),
 qt AS (SELECT query_id, token, count(*) AS weight FROM
-(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY
+(SELECT doc_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]')) AS token FROM documents WHERE doc_id % 100 = 0) GROUP BY
 ALL),
 sn AS (SELECT * FROM (SELECT query_id, id, kb_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
 (SELECT c.query_id, e.id, e.kb_id, sum(tk.weight * qt.weight)::BIGINT AS score FROM c JOIN qt USING (query_id) JOIN e USING (kb_id) JOIN tk ON tk.id =
@@ -316,9 +316,9 @@ def unit_vectors(spark, sf_dir):
     return p.select("id", F.round(S.dot(F.col("vec"), F.col("vec")), 6).alias("squared"), F.round(S.unit(F.col("vec"))[0], 6).alias("first"))
 
 
-@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), t AS (SELECT doc_id, token,
+@query("""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]')) AS token FROM documents), t AS (SELECT doc_id, token,
 count(*) AS weight FROM d GROUP BY ALL),
-q0 AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark), q AS (SELECT item_id, token, count(*) AS weight
+q0 AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}|[一-龥]')) AS token FROM benchmark), q AS (SELECT item_id, token, count(*) AS weight
 FROM q0 GROUP BY ALL),
 s AS (SELECT q.item_id AS query_id, t.doc_id AS id, sum(q.weight * t.weight) AS score FROM q JOIN t USING (token) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) SELECT query_id, id, score::BIGINT AS score,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import chain
+from lodestar.operators import selected as chosen
 from lodestar.streaming import staged
 
 
@@ -74,3 +75,12 @@ def test_fusions_differ_and_are_named(spark):
     assert rrf == {2: 1, 1: 2, 3: 3}
     with pytest.raises(ValueError, match="fusion"):
         chain.candidates(hits, fusion="sum")
+
+
+def test_selected_files_fall_back(spark):
+    points = spark.createDataFrame([(1, "k", "f", None, 1), (2, "k", "f", "f", 0), (3, "k", "g", "f", 2), (4, "m", "h", None, 0), (5, "m", None, "i", None)], "id long, kb_id string, file_id string, source_file_id string, chunk_index int")
+    rows = [(1, 0, "k", "f", "doc", "p"), (1, 1, "k", "h", "doc", "p"), (1, 2, "k", "none", "doc", "shown"), (1, 3, "k", "none", "doc", "  "), (1, 4, None, "i", "image", None), (1, 8, "k", "f", "doc", "p"), (2, 7, "m", "f", "image", "")]
+    got = chosen.candidates(spark.createDataFrame(rows, "query_id int, nth int, kb_id string, file_id string, kind string, preview string"), points).collect()
+    assert sorted((r["query_id"], r["id"], r["item"], r["score"], r["origin"]) for r in got) == [
+        (1, "1", 1, 0.99, "kb"), (1, "2", 0, 1.0, "kb"), (1, "4", 0, 0.97, "any"), (1, "5", 0, 0.88, "any"), (1, "selected:none", 0, 0.94, "preview"), (2, "2", 0, 0.82, "any"),
+    ]
