@@ -15,15 +15,18 @@ ASCII_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f"
 
 
 class _Units(dict):
-    """unit -> encode(prefix + unit). Long units aren't kept; a full cache starts anew."""
+    """unit -> encode(prefix + unit). Long units aren't kept; the units of the last half of ``limit`` and those met again since are."""
 
     def __init__(self, encode: Callable, prefix: str, limit: int):
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.encode, self.prefix, self.half, self.older = encode, prefix, limit // 2, {}
 
     def __missing__(self, unit: str):
-        found = self.encode(self.prefix + unit)
+        found = self.older.pop(unit, None)
+        if found is None:
+            found = self.encode(self.prefix + unit)
         if len(unit) <= 64:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[unit] = found
         return found
@@ -39,7 +42,7 @@ def irregular(text: str) -> bool:
 class UnitEncoder:
     """``encode(str)`` gives one value for a string; ``parts(text)`` gives the values of a text's units in order."""
 
-    def __init__(self, encode: Callable, limit: int = 150_000):
+    def __init__(self, encode: Callable, limit: int = 240_000):
         self.whole = encode
         self.first = _Units(encode, "", limit // 4)
         self.rest = _Units(encode, " ", limit)
