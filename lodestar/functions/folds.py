@@ -10,26 +10,29 @@ MAX_CHUNK, OVERLAP, MERGE = 900, 150, 500
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
 
 
-def pack_parts(parts: list[str], limit: int, mark: str = "\n") -> list[str]:
-    """Join neighbours greedily while they fit."""
+def pack_parts(parts: list[str], limit: int, mark: str = "\n", overlap: int = 0) -> list[str]:
+    """Join neighbours greedily while they fit. With ``overlap`` a new one begins with the end of the one before, of that many characters
+    or as many as leave room for the part itself, if the one before is longer than that."""
     out: list[str] = []
     for part in parts:
         if out and len(out[-1]) + len(mark) + len(part) <= limit:
             out[-1] += mark + part
-        else:
-            out.append(part)
+            continue
+        shared = min(overlap, limit - len(mark) - len(part))
+        out.append(out[-1][-shared:] + mark + part if out and shared > 0 and len(out[-1]) > overlap else part)
     return out
 
 
-def recursive_split(text: str, limit: int = MAX_CHUNK, marks: tuple[str, ...] = ("\n\n", "\n")) -> list[str]:
-    """Paragraphs packed to the limit, longer ones split at sentences, longer sentences cut. Nothing is lost."""
+def recursive_split(text: str, limit: int = MAX_CHUNK, marks: tuple[str, ...] = ("\n\n", "\n"), overlap: int = 0) -> list[str]:
+    """Paragraphs packed to the limit, longer ones split at sentences, longer sentences cut. Nothing is lost. Packed parts may
+    overlap, where there is room."""
     if len(text) <= limit:
         return [text] if text.strip() else []
     parts = [p for p in (text.split(marks[0]) if marks else _SENTENCE.split(text)) if p.strip()]
     if len(parts) <= 1 and not marks:
         return [text[i : i + limit] for i in range(0, len(text), limit)]
     fine = [q for p in parts for q in ([p] if len(p) <= limit else recursive_split(p, limit, marks[1:]) if marks else [p[i : i + limit] for i in range(0, len(p), limit)])]
-    return pack_parts(fine, limit, marks[0] if marks else " ")
+    return pack_parts(fine, limit, marks[0] if marks else " ", overlap)
 
 
 def markdown_parts(text: str) -> list[str]:

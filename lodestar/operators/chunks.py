@@ -75,12 +75,12 @@ def policy(file_type: Column, has_markdown: Column, has_headers: Column) -> Colu
     return F.struct(splitter.alias("splitter"), F.coalesce(merge, F.lit(False)).alias("merge"))
 
 
-def split(docs: DataFrame, limit: int = folds.MAX_CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Recursive split of each text; nothing visible is lost. Null and blank texts give no chunk."""
+def split(docs: DataFrame, limit: int = folds.MAX_CHUNK, id_col: str = "doc_id", text_col: str = "text", overlap: int = folds.OVERLAP) -> DataFrame:
+    """Recursive split of each text, packed parts overlapping; nothing visible is lost. Null and blank texts give no chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, k, chunk) for i, text in enumerate(batch.column(1).to_pylist()) for k, chunk in enumerate(folds.recursive_split(text or "", limit))]
+            found = [(i, k, chunk) for i, text in enumerate(batch.column(1).to_pylist()) for k, chunk in enumerate(folds.recursive_split(text or "", limit, overlap=overlap))]
             row, index, text = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(index, pa.int32()), pa.array(text, pa.string())], names=[id_col, "chunk_index", "text"])
 

@@ -15,6 +15,19 @@ def test_recursive_split_loses_nothing():
         assert "".join("".join(got).split()) == "".join(text.split())
 
 
+def test_packed_parts_overlap():
+    words = lambda a, b, mark="": "".join(f"w{i}{mark} " for i in range(a, b))
+    for text in (words(0, 900, "."), words(0, 900).replace(" ", ""), "p1\n\n" + words(0, 400, "."), words(0, 120, ".") + "\n\n" + words(120, 300, "."), "\n\n".join(f"paragraph {i} " + words(1000 * i, 1000 * i + i * 7 % 120) for i in range(40))):
+        plain, got = folds.recursive_split(text, 900), folds.recursive_split(text, 900, overlap=150)
+        assert all(len(c) <= 900 for c in got) and "".join("".join(plain).split()) == "".join(text.split())
+        rest = [got[0]]
+        for before, chunk in zip(got, got[1:], strict=False):
+            shared = next((n for n in range(150, 0, -1) if chunk.startswith(before[-n:]) and chunk[n : n + 1].isspace()), 0)
+            rest.append(chunk[shared:])
+        assert "".join("".join(rest).split()) == "".join(text.split())
+    assert folds.pack_parts(["a" * 8, "b" * 3, "c" * 9], 10, "\n", 4) == ["a" * 8, "aaaa\nbbb", "c" * 9]
+
+
 def test_markdown_parts():
     assert len(folds.markdown_parts("title\n\nA\n\nB")) == 3
     assert folds.markdown_parts("# H\none\ntwo\n\n```\n# x\n\ny\n```\nend") == ["# H\none\ntwo", "```\n# x\n\ny\n```", "end"]

@@ -48,7 +48,7 @@ def test_upload_twice(spark, tmp_path):
     for _ in range(2):
         ingest.upload(spark, str(source), path, "kb1")
     rows = spark.read.parquet(path).collect()
-    assert sorted(len(r.text_content) for r in rows) == [8, 200, 900, 900]
+    assert sorted(len(r.text_content) for r in rows) == [8, 150 + 2 + 200, 900, 900]
     assert {r.kb_id for r in rows} == {"kb1"} and len({r.id for r in rows}) == 4
     ingest.upload(spark, str(source), path, "kb2", extensions=["md"])
     ingest.upload(spark, str(source), path, "kb1", extensions=["none"])
