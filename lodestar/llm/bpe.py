@@ -156,7 +156,7 @@ def codec(ranks_path: str, pattern: str | None = None):
                 known[piece] = packed
         return packed
 
-    parts = UnitEncoder(lambda s: b"".join(map(of_piece, find(s))), 300_000).parts
+    parts = UnitEncoder(lambda s: b"".join(map(of_piece, find(s))), 600_000).parts
     return (lambda text: b"".join(parts(text))), (lambda packed: decode(np.frombuffer(packed, "<u4").tolist(), table))
 
 
