@@ -93,7 +93,7 @@ _VALUE = {"c_custkey": "c_custkey::VARCHAR", "c_nationkey": "CASE WHEN c_nationk
 p AS (SELECT name, count(*) AS n_rows, count(*) FILTER (v = '') AS nulls, count(DISTINCT CASE WHEN v <> '' THEN v END) AS n_distinct, count(*) FILTER
 (v <> '') AS held, count(try_cast(nullif(v, '') AS DOUBLE)) AS numbers, min(try_cast(nullif(v, '') AS DOUBLE)) AS low, max(try_cast(nullif(v, '') AS
 DOUBLE)) AS high, avg(try_cast(nullif(v, '') AS DOUBLE)) AS mean,
-CASE WHEN mean < 10 THEN format('{:.3f}', mean) WHEN mean < 100 THEN format('{:.2f}', mean) WHEN mean < 1000 THEN format('{:.1f}', mean) ELSE format('{:.0f}', mean) END AS mean_text
+CASE WHEN mean < 10 THEN format('{:.3f}', mean) WHEN mean < 100 THEN format('{:.2f}', mean) WHEN mean < 1000 THEN format('{:.1f}', mean) ELSE format('{:.0f}', mean) END AS mean_shown, CASE WHEN contains(mean_shown, '.') THEN rtrim(rtrim(mean_shown, '0'), '.') ELSE mean_shown END AS mean_text
 FROM u GROUP BY name),
 x AS (SELECT name, v, min(i) AS i FROM e GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY i) AS k FROM x), s AS (SELECT
 name, string_agg(CASE WHEN length(v) <= 60 THEN v ELSE left(v, 57) || '...' END, ' | ' ORDER BY k) AS examples FROM o WHERE k <= 5 GROUP BY name)
