@@ -93,10 +93,13 @@ def test_running_counts_and_progress_rows(spark, tmp_path):
             stream = spark.readStream.schema("kb string").parquet(f"{tmp_path}/in/*")
             progress.running_counts(stream, ["kb"], f"{tmp_path}/counts", f"{tmp_path}/checkpoint", "counted").awaitTermination(60)
             assert set(map(tuple, progress.counts(spark, {"kb": "string"}, f"{tmp_path}/counts").collect())) == wanted
+            until = time.time() + 60  # the end of a stream is told a little later than it comes
+            while time.time() < until and spark.read.schema(progress.SCHEMA).json(f"{tmp_path}/told").filter("stage = 'completed'").count() < batch:
+                time.sleep(0.3)
         bad = spark.readStream.schema("kb string").parquet(f"{tmp_path}/in/*").select(F.raise_error(F.lit("broke")).cast("string").alias("kb"))
         with pytest.raises(Exception, match="broke"):
             bad.writeStream.format("noop").queryName("bad").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(60)
-        until = time.time() + 20
+        until = time.time() + 60
         while time.time() < until and {r["query"]: r["stage"] for r in progress.status(spark, f"{tmp_path}/told").collect()} != {"counted": "completed", "bad": "failed"}:
             time.sleep(0.3)
     finally:
