@@ -6,7 +6,7 @@ import random
 import numpy as np
 import zstandard
 
-from lodestar.llm import langid, packing
+from lodestar.llm import langid, packing, quality
 
 
 def fewest(lengths, capacity):
@@ -90,3 +90,52 @@ def test_language_like_sizes_one_by_one():
         assert (found, got) == (sizes[0][1], margin) and 0.5 <= score <= 1
         hits += found == lang or not k % 5
     assert hits >= 38
+
+
+def best_cut(rows, bins, leaf_gain):
+    """(gain, cut) by trying each cut of bins in turn, over rows (bin, residual, weight); the first of equal ones."""
+    whole = leaf_gain(rows)
+    found = (0.0, 0)
+    for at in range(1, bins):
+        gain = leaf_gain([r for r in rows if r[0] < at]) + leaf_gain([r for r in rows if r[0] >= at]) - whole
+        if gain > found[0] + 1e-12:
+            found = gain, at
+    return found
+
+
+def leaf_gain(rows):
+    return sum(g for _, g, _ in rows) ** 2 / (sum(h for _, _, h in rows) + 1)
+
+
+def leaves(rows, lo, hi, depth):
+    """bin -> value of a tree of that depth, each cut found by exhaustion."""
+    gain, at = best_cut([(b - lo, g, h) for b, g, h in rows], hi - lo, leaf_gain) if depth and hi - lo > 1 else (0.0, 0)
+    if gain <= 1e-9:
+        return dict.fromkeys(range(lo, hi), sum(g for _, g, _ in rows) / (sum(h for _, _, h in rows) + 1))
+    at += lo
+    return leaves([r for r in rows if r[0] < at], lo, at, depth - 1) | leaves([r for r in rows if r[0] >= at], at, hi, depth - 1)
+
+
+def test_quality_fit_like_exhaustive_cuts():
+    """The tables of single features refitted row by row, with every cut tried; pairs must then only lower the loss."""
+    rng = np.random.default_rng(3)
+    n, width = 40, len(quality.FEATURES)
+    x = rng.standard_normal((n, width)).round(1)
+    y = (x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + 0.3 * rng.standard_normal(n) > 0).astype(float)
+    model = quality.fit(x, y)
+    bins = np.array([[sum(e <= v for e in model.edges[f]) for f, v in enumerate(row)] for row in x])
+    assert (bins == model.bins(x)).all()
+    p = (y.sum() + 1) / (n + 2)
+    z = [float(np.log(p / (1 - p)))] * n
+    tables = np.zeros((width, quality.BINS))
+    for _ in range(quality.ROUNDS):
+        for f in range(width):
+            q = [1 / (1 + np.exp(-v)) for v in z]
+            rows = [(bins[i, f], y[i] - q[i], q[i] * (1 - q[i])) for i in range(n)]
+            value = leaves(rows, 0, quality.BINS, 2)
+            for b, v in value.items():
+                tables[f, b] += quality.RATE * v
+            z = [z[i] + quality.RATE * value[bins[i, f]] for i in range(n)]
+    assert np.allclose(tables, model.tables, atol=1e-6)
+    loss = lambda s: -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+    assert loss(model.score(x)) <= loss(1 / (1 + np.exp(-np.array(z)))) + 1e-9
