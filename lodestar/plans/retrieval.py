@@ -108,7 +108,7 @@ def hybrid(spark, sf_dir: str, p: DataFrame | None = None) -> tuple[DataFrame, D
     """The dense and the sparse route over the same routed knowledge bases."""
     p, docs = p or points(spark, sf_dir), table(spark, sf_dir, "documents")
     scope = scoped(p)
-    terms = tokens(docs, "id", F.col("text")).join(p.select("id", "kb_id"), "id")
+    terms = saved(tokens(docs, "id", F.col("text")).join(p.select("id", "kb_id"), "id"), "postings")
     asking = tokens(docs.filter(F.col("doc_id") % EVERY == 0), "query_id", F.col("text")).join(scope.select("query_id", "kb_id"), "query_id")
     return S.dense_search(scope, p, 20), S.sparse_search(asking, terms, 15, ("kb_id",))
 
@@ -326,7 +326,7 @@ rank FROM r WHERE rank < 15""")
 def sparse_search(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     count = lambda df, key: df.select(F.col(key).alias("id"), F.explode(T.words(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("weight"))
-    return S.sparse_search(count(items, "item_id").withColumnRenamed("id", "query_id"), count(docs, "doc_id"))
+    return S.sparse_search(count(items, "item_id").withColumnRenamed("id", "query_id"), saved(count(docs, "doc_id"), "postings"))
 
 
 @query("SELECT vec_id AS id, label AS kb_id FROM embeddings WHERE label IN (1, 3, 5) AND (vec_id % 2 IN (0) OR vec_id % 7 IN (0))")
