@@ -42,7 +42,7 @@ def irregular(text: str) -> bool:
 class UnitEncoder:
     """``encode(str)`` gives one value for a string; ``parts(text)`` gives the values of a text's units in order."""
 
-    def __init__(self, encode: Callable, limit: int = 240_000):
+    def __init__(self, encode: Callable, limit: int = 160_000):
         self.whole = encode
         self.first = _Units(encode, "", limit // 4)
         self.rest = _Units(encode, " ", limit)
