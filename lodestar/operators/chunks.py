@@ -128,7 +128,7 @@ def column_portraits(sheet: DataFrame, order: str, columns: list[str], name: str
     kind = F.when(numeric, "numeric").when((F.col("distinct") > 0) & (F.col("distinct") <= F.greatest(F.lit(20), F.floor(0.1 * F.col("held")))), "categorical").otherwise("text")
     whole = F.concat(F.lit("类型："), kind, F.lit("；非空："), F.col("held").cast("string"), F.lit("/"), F.col("rows").cast("string"), F.lit("；唯一值："), F.col("distinct").cast("string"))
     listed = F.when(F.size("e") > 0, F.concat(F.lit("示例："), F.array_join(F.transform("e", lambda x: x["v"]), " | ")))
-    span = F.when(numeric, F.concat(F.lit("统计：min="), T.number_text(F.col("low")), F.lit(" max="), T.number_text(F.col("high")), F.lit(" mean="), T.number_text(F.col("mean"))))
+    span = F.when(numeric, F.concat(F.lit("统计：min="), T.number_text(F.col("low")), F.lit(" max="), T.number_text(F.col("high")), F.lit(" mean="), T.mean_text(F.col("mean"))))
     return profile.join(first, "name", "left").select("name", F.concat_ws("\n", F.concat(F.lit(f"# {name}."), "name"), whole, listed, span).alias("chunk"))
 
 
