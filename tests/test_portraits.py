@@ -67,3 +67,17 @@ def test_routing_by_built_portraits(spark):
             w = [0.9**i for i in range(len(sims))]
             assert abs(got[q, kb] - sum(a * b for a, b in zip(sims, w, strict=True)) / sum(w)) < 1e-9
         assert max((s, k) for (i, k), s in got.items() if i == q)[1] == q - 100
+
+
+def test_members_share_all_points(spark):
+    """Above the sample's bound every point belongs to its nearest portrait, in one part or in several; below it to its own as well."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3 // 2, rng.standard_normal(4).tolist(), "doc") for i in range(9000)]  # 6000 and 3000
+    points = spark.createDataFrame(rows, "id long, kb_id int, vec array<double>, modality string")
+    built = spark.createDataFrame(P.portraits(points).collect(), P.portraits(points).schema)
+    assert sum(r["cluster_size"] for r in built.filter("kb_id = 0").collect()) == 1000
+    centres = {k: np.array([r["vec"] for r in built.filter(f"kb_id = {k}").orderBy("cluster").collect()]) for k in (0, 1)}
+    wanted = {i: (k, int(((centres[k] - np.array(v)) ** 2).sum(1).argmin())) for i, k, v, _ in rows}
+    for part_rows in (700, 50_000):
+        got = P.members(points, built, part_rows).collect()
+        assert len(got) == 9000 and {r["id"]: (r["kb_id"], r["cluster"]) for r in got} == wanted
