@@ -34,7 +34,7 @@ def routed(questions: DataFrame, portraits: DataFrame, kbs: DataFrame) -> DataFr
 def searched(scope: DataFrame, points: DataFrame, query_terms: DataFrame, terms: DataFrame, dense: int = 20, sparse: int = 15) -> DataFrame:
     """Hits (query_id, id, kb_id, score, rank, route) of the dense and the sparse route over each question's knowledge bases.
 
-    points (id, kb_id, vec), query_terms (query_id, token, weight), terms (id, kb_id, token, weight).
+    points (id, kb_id, vec), query_terms (query_id, tokens, weights), terms (id, kb_id, tokens, weights).
     """
     own = query_terms.join(scope.select("query_id", "kb_id"), "query_id")
     columns = ["query_id", "id", "kb_id", F.col("score").cast("double").alias("score"), "rank"]
