@@ -35,7 +35,7 @@ def retrieved(spark, sf_dir: str, fusion: str) -> DataFrame:
     p, docs = R.points(spark, sf_dir), table(spark, sf_dir, "documents")
     questions = R.asked(p)
     scope = chain.routed(questions, R.portraits(p), p.select("kb_id").distinct())
-    terms = chain.saved(R.tokens(docs, "id", F.col("text")).join(p.select("id", "kb_id"), "id"), "postings")
+    terms = R.postings(docs, p)
     own = R.tokens(docs.filter(F.col("doc_id") % R.EVERY == 0), "query_id", F.col("text"))
     kinds = p.filter(R.IS_IMAGE).select("id", F.lit("image").alias("content_type"))
     coarse = chain.saved(chain.candidates(chain.searched(scope, p, own, terms), kinds, fusion), "coarse")
