@@ -73,10 +73,7 @@ AS place FROM t) SELECT doc_id, token, n, place FROM r WHERE place <= 5"""
 )
 def top_keywords(spark, sf_dir):
     """Runs of two characters or more, in their case, that aren't stop words: the five most frequent, earlier ones on ties."""
-    runs = F.regexp_extract_all("text", F.lit("[\u4e00-\u9fa5a-zA-Z0-9]+"), F.lit(0))
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(runs).alias("pos", "token")).filter(G.useful(F.col("token")))
-    t = t.groupBy("doc_id", "token").agg(n("n"), F.min("pos").alias("pos"))
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos"))).filter("place <= 5").drop("pos")
+    return G.first_words(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS token FROM documents), tf AS (SELECT source,

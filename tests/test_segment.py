@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.operators import segment
@@ -55,3 +56,34 @@ def test_query_keywords(spark):
     cases = {"什么 是 向量检索？向量检索 a GPU GPU gpu": ["向量检索", "GPU", "gpu"], None: [], "": [], "一个，一些": [], "b2 a1 c3 d4 e5 f6 f6": ["f6", "b2", "a1", "c3", "d4"]}
     df = spark.createDataFrame([(k,) for k in cases], "q string")
     assert {r["q"]: r["k"] for r in df.select("q", segment.query_keywords(F.col("q")).alias("k")).collect()} == cases
+
+
+def test_many_runs_like_one_by_one():
+    """Runs cut side by side are cut as each alone is, and strings counted as numbers are what a plain count gives; plain and empty runs too."""
+    random.seed(4)
+    runs = ["".join(random.choices("数据检索问", k=random.randint(0, 30))) for _ in range(300)] + ["RAG2", "", "龥" * 5]
+    random.shuffle(runs)
+    pieces = {r[i:j] for r in runs for i in range(len(r)) for j in range(i + 1, min(i + 4, len(r)) + 1) if random.random() < 0.1 and not r.isascii()}
+    cost = {w: random.randint(1, 9) for w in sorted(pieces)}
+    codes, ends = segment._codes(runs)
+    found = segment.Cutter(cost, 50)(codes, ends, np.array([r.isascii() for r in runs]))
+    wanted = [len(w) for r in runs for w in ([r] if r.isascii() else segment.cut(r, cost, 50)) if w]
+    assert np.diff(np.r_[0, found]).tolist() == wanted
+    counts, cjk = {}, [r for r in runs if not r.isascii()]
+    for r in cjk:
+        for i, j in ((i, j) for i in range(len(r)) for j in range(i + 1, min(i + 4, len(r)) + 1)):
+            counts.setdefault(r[i:j], []).append((ord(r[i - 1]) if i else 0, ord(r[j]) if j < len(r) else 0))
+    got = {w: (n, *b) for ws, ns, beside in segment.grams(cjk) for w, n, b in zip(ws, ns.tolist(), beside.tolist(), strict=True)}
+    assert got == {w: (len(x), min(a for a, _ in x), max(a for a, _ in x), min(b for _, b in x), max(b for _, b in x)) for w, x in counts.items()}
+    assert list(segment.grams([])) == [] and list(segment.some(["ab", None])) == [["ab", None]]
+
+
+def test_first_words_of_repeated_keys(spark):
+    """Texts of one key count as one, null keys too; a key that stands once is counted where it lies, without a shuffle of its words."""
+    rows = [(1, "b1 a1 b1 的 c d1 e1 f1 g1"), (2, "x1 y1"), (2, "y1 z1"), (None, "n1"), (None, "n1 m1"), (3, None), (4, "一个 ab")]
+    got = segment.first_words(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    found = sorted(((r["k"] or 0), r["place"], r["token"], r["n"]) for r in got.collect())
+    assert [x for x in found if x[0] == 1] == [(1, 1, "b1", 2), (1, 2, "a1", 1), (1, 3, "d1", 1), (1, 4, "e1", 1), (1, 5, "f1", 1)]
+    assert {x[1:] for x in found if x[0] == 0} == {(1, "n1", 2), (2, "m1", 1)} and [x for x in found if x[0] > 2] == [(4, 1, "ab", 1)]
+    assert [x[2:] for x in found if x[0] == 2][0] == ("y1", 2) and {x[2:] for x in found if x[0] == 2} == {("y1", 2), ("x1", 1), ("z1", 1)}
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
