@@ -94,24 +94,25 @@ def same_by_ranks(path: str):
 
 @functools.lru_cache(maxsize=4)
 def unit_encoder(path: str, count_only: bool):
-    """text -> number of tokens, or ids as little-endian unsigned 32-bit bytes; the ids are those of the library."""
+    """text -> number of tokens, or ids as little-endian unsigned 32-bit bytes; the ids are those of the library.
+
+    By ranks a text is encoded whole, which takes less time than looking its units up. The library is slower than that,
+    so there a text goes by units with a cache, where the tokenizer allows it.
+    """
     from lodestar.llm.units import UnitEncoder
 
     by_units = splits_at_space(path)
-    encode = (by_units and same_by_ranks(path)) or library(path)
-    if count_only:
-        if not by_units:
-            return lambda text: len(encode(text or ""))
-        parts = UnitEncoder(lambda s: len(encode(s))).parts
-        return lambda text: sum(parts(text))
-
-    def packed(s: str) -> bytes:
-        return array("I", encode(s)).tobytes()
-
-    if not by_units:
-        return lambda text: packed(text or "")
-    units = UnitEncoder(packed).parts
-    return lambda text: b"".join(units(text))
+    by_ranks = by_units and same_by_ranks(path)
+    encode = by_ranks or library(path)
+
+    def one(s: str):
+        ids = encode(s)
+        return len(ids) if count_only else array("I", ids).tobytes()
+
+    if by_ranks or not by_units:
+        return lambda text: one(text or "")
+    parts = UnitEncoder(one).parts
+    return (lambda text: sum(parts(text))) if count_only else (lambda text: b"".join(parts(text)))
 
 
 @functools.lru_cache(maxsize=4)

@@ -332,6 +332,21 @@ def test_units_give_the_library_ids(text):
     assert tokenizers_io.unit_encoder(JSON, False)(text) == np.array(reference_ids(text), "<u4").tobytes()
 
 
+@pytest.mark.parametrize("by_ranks", [True, False])
+def test_texts_go_whole_by_ranks_and_by_units_to_the_library(monkeypatch, by_ranks):
+    ranks, library, calls = tokenizers_io.same_by_ranks(JSON), tokenizers_io.library(JSON), []
+    monkeypatch.setattr(tokenizers_io, "same_by_ranks", lambda path: by_ranks and (lambda text: calls.append(text) or ranks(text)))
+    monkeypatch.setattr(tokenizers_io, "library", lambda path: lambda text: calls.append(text) or library(text))
+    texts = ["the end\nof the <|endoftext|> end, ñandú's 123", "\nof the end", "two  spaces\n\n end ", "the end", "", None]
+    for count_only in (False, True):
+        encode = tokenizers_io.unit_encoder.__wrapped__(JSON, count_only)
+        calls.clear()
+        for text in texts:
+            ids = np.array(reference_ids(text), "<u4")
+            assert encode(text) == (len(ids) if count_only else ids.tobytes())
+        assert calls == [t or "" for t in texts] if by_ranks else calls.count(" end") == 1 and texts[2] in calls and texts[0] not in calls
+
+
 # 6: packing
 
 
