@@ -645,6 +645,21 @@ def test_quality(spark):
     assert quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0)).score(np.zeros((1, len(quality.FEATURES))))[0] == pytest.approx(0.5)
 
 
+def test_quality_of_ids_that_are_text(spark, tmp_path):
+    """Documents with text ids and labels with numbers: ids meet that are the same as text, and others are no error."""
+    from lodestar.llm import pipeline
+
+    rows = [(k, f"Text {k} of a few words. " * (k % 7 + 1)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    by_text = spark.createDataFrame([*((str(k), t) for k, t in rows), ("3-1", "a b"), ("003", "c d"), (None, "e f")], "doc_id string, text string")
+    want, got = quality.learn(docs(spark, rows), labels), quality.learn(by_text, labels)
+    assert got.pairs == want.pairs and np.allclose(got.tables, want.tables) and np.allclose(got.pair_tables, want.pair_tables)
+    by_text.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.quality_classifier(spark, by_text, str(tmp_path)).schema == by_text.schema
+    assert pipeline.quality_classifier(spark, by_text, str(tmp_path)).count() > 0
+
+
 def test_quality_on_held_out_labels(spark):
     """The query on the driver's tables: split by crc32, scores as the model gives them, accuracy on held-out labels."""
     from lodestar.llm import pipeline, queries
