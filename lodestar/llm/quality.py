@@ -133,13 +133,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows of ``docs``, picked by a hash of their id; null labels and ids take no part.
 
-    A row that repeats in either table repeats in the sample. Ids of different types, unless both are numbers, are equal if
-    they are the same as text.
+    Rows that repeat, in either table, count once: those of one id, label and features. So the driver gets ``rows`` at most,
+    however often ids repeat. Ids of different types, unless both are numbers, are equal if they are the same as text.
     """
     kinds = [t.schema[id_col].dataType for t in (docs, labels)]
     as_they_are = kinds[0] == kinds[1] or all(isinstance(k, NumericType) for k in kinds)
     same = F.col("_id") if as_they_are else F.col("_id").cast("string")
-    picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("_y"))
+    picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("_y")).distinct()
     picked = F.broadcast(picked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows).select(same.alias("_of"), "_y"))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_of", same).join(picked, "_of").select("_id", "_y", "_text")
 
@@ -149,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["_id", "_y", "x"])
 
     kind = kinds[0].simpleString()
-    got = sorted((r["_id"], r["_y"], tuple(r["x"])) for r in sample.mapInArrow(run, f"_id {kind}, _y double, x array<double>").collect())
+    found = sample.mapInArrow(run, f"_id {kind}, _y double, x array<double>").distinct().orderBy(F.xxhash64("_id"), "_id", "_y", "x").limit(rows)
+    got = sorted((r["_id"], r["_y"], tuple(r["x"])) for r in found.collect())
     return fit(np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got]))
 
 

@@ -660,6 +660,21 @@ def test_quality_of_ids_that_are_text(spark, tmp_path):
     assert pipeline.quality_classifier(spark, by_text, str(tmp_path)).count() > 0
 
 
+def test_quality_of_ids_that_repeat(spark, monkeypatch):
+    """Copies of rows that keep their ids, in both tables, count once, and no more rows than asked for are gathered."""
+    given = docs(spark, [(k, f"Text {k} of a few words. " * (k % 7 + 1)) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    met: list[int] = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: met.append(len(x)) or fit(x, y))
+    times = lambda t, n: t.crossJoin(spark.range(n)).drop("id")
+    want, got = quality.learn(given, labels), quality.learn(times(given, 5), times(labels, 4))
+    assert got.base == want.base and got.pairs == want.pairs and np.array_equal(got.tables, want.tables)
+    several = given.unionByName(given.withColumn("text", F.lit("Another text.")))
+    quality.learn(times(several, 3), times(labels, 2), rows=50)
+    assert met == [60, 60, 50]
+
+
 def test_quality_on_held_out_labels(spark):
     """The query on the driver's tables: split by crc32, scores as the model gives them, accuracy on held-out labels."""
     from lodestar.llm import pipeline, queries
